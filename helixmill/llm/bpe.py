@@ -21,6 +21,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,7 +232,7 @@ def encoder(path: str) -> WordEncoder:
 
 def portions(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive rows of about `most` bytes."""
-    n = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at = begin = 0
     total = 0
     for at, x in enumerate(n):
@@ -283,7 +284,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
         voc = encoder(path).voc
         for batch in batches:
             lists = batch.column(at)
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             begin = 0
             cuts = [0]
             for i, total in enumerate(np.cumsum(sizes)):
