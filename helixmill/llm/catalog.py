@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, decontam, linededup, simhash, topk
 from .common import table
 
 
@@ -16,9 +16,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.result(table(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe}
+    return {"op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_decontamination": op7_decontamination, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_topk": topk.SQL, "op7_decontamination": decontam.SQL}
