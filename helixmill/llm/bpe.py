@@ -33,8 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN = r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Any other character: numerals that are no decimal digits, and what lies beyond Latin and general punctuation.
 OTHER = "[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e]"
-#: Characters encoded at a time, and distinct words kept; they bound memory and change no result.
-CHUNK_CHARS, KEEP_WORDS = 4_000_000, 1_500_000
+#: Bytes split and merged at a time, bytes expanded to ids at a time, and distinct words kept; they bound memory and change no result.
+MERGE_BYTES, CHUNK_CHARS, KEEP_WORDS = 12_000_000, 3_000_000, 400_000
 SHIFT = 20
 
 
@@ -255,19 +255,19 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            if len(enc.number) > KEEP_WORDS:
-                enc.clear()
             texts = batch.column(at)
-            seqs = [enc.sequence(t) if t else np.zeros(0, np.int32) for x in texts if (t := x.as_py()) or True]
-            for a, b in portions(texts):
-                part = seqs[a:b]
-                flat = np.concatenate(part)
-                got = enc.expand(flat) if len(flat) else np.zeros(0, np.int32)
-                per_word = enc.counts(flat) if len(flat) else np.zeros(0, np.int64)
-                edge = np.concatenate([[0], np.cumsum([len(s) for s in part])])
-                total = np.concatenate([[0], np.cumsum(per_word)])[edge]
-                made = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(got, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(at)), made], names=[*(batch.schema.names[:at]), ids])
+            for first, last in portions(texts, MERGE_BYTES):
+                if len(enc.number) > KEEP_WORDS:
+                    enc.clear()
+                some = texts.slice(first, last - first)
+                seqs = [enc.sequence(t) if (t := x.as_py()) else np.zeros(0, np.int32) for x in some]
+                enc.tables()
+                for a, b in portions(some):
+                    flat = np.concatenate(seqs[a:b])
+                    edge = np.cumsum([0, *map(len, seqs[a:b])])
+                    total = np.concatenate([[0], np.cumsum(enc.counts(flat))])[edge]
+                    made = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(enc.expand(flat), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first + a, b - a) for k in range(at)), made], names=[*(batch.schema.names[:at]), ids])
 
     return source.mapInArrow(run, schema)
 
