@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, linededup, simhash, topk
+from . import bpe, decontam, langid, linededup, simhash, topk
 from .common import table
 
 
@@ -28,8 +28,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digests(table(spark, sf_dir, "embeddings"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digests(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_decontamination": op7_decontamination, "op9_line_dedup": op9_line_dedup}
+    return {"op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_decontamination": op7_decontamination, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
 
 
 def oracle_sql():
