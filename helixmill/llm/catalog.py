@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linededup, simhash, topk
+from . import bpe, decontam, htmltext, langid, linededup, simhash, tokencount, topk, urlfilter
 from .common import table
 
 
@@ -24,6 +24,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.result(table(spark, sf_dir, "documents"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.digests(table(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.digests(table(spark, sf_dir, "pages"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digests(table(spark, sf_dir, "embeddings"))
 
@@ -33,7 +45,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_decontamination": op7_decontamination, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
+    return {"op1_token_counts": op1_token_counts, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_decontamination": op7_decontamination, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
 
 
 def oracle_sql():
