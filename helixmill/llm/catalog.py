@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, htmltext, langid, linededup, simhash, tokencount, topk, urlfilter
+from . import bpe, decontam, htmltext, langid, linededup, pii, simhash, tokencount, topk, urlfilter
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.result(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.result(table(spark, sf_dir, "documents"))
 
@@ -44,8 +48,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digests(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {"op1_token_counts": op1_token_counts, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_decontamination": op7_decontamination, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
+    return {"op1_token_counts": op1_token_counts, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op4_topk": op4_topk, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language, "pipeline": pipeline}
 
 
 def oracle_sql():
