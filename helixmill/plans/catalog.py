@@ -1,9 +1,684 @@
-"""The queries of the alignment engine by name, with their SQL."""
+"""The queries of the alignment engine by name, with their SQL for DuckDB.
 
+The SQL takes blocks, introns and lengths from a literal table of the seven CIGAR shapes, while
+the queries parse CIGAR strings, so the two derive the results apart.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kmers
+from ..operators import cohort, complexity, counting, fragmentomics, intervals, pergene, qualimap, readstats, rseqc
+from . import views
+from .views import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+class Tables:
+    """The views of one folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    @property
+    def reads(self) -> DataFrame:
+        return views.reads(self.spark, self.dir)
+
+    @property
+    def exons(self) -> DataFrame:
+        return views.exons(self.spark, self.dir)
+
+    @property
+    def genes(self) -> DataFrame:
+        return views.genes(self.spark, self.dir)
+
+    @property
+    def contigs(self) -> DataFrame:
+        return views.contigs(self.spark, self.dir)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return intervals.union_length(self.exons, ["gene_id"])
+
+    @property
+    def tx_exons(self) -> DataFrame:
+        """One transcript a gene: its merged exons."""
+        return intervals.merge(self.exons, ["gene_id", "tid", "strand"]).withColumnRenamed("gene_id", "tx_id")
+
+    @property
+    def transcripts(self) -> DataFrame:
+        g = self.genes
+        width = F.col("e") - F.col("s")
+        return g.select(F.col("gene_id").alias("tx_id"), "gene_id", F.col("gene_ord").alias("tx_ord"), "tid", "s", "e", "strand", F.when(F.col("gene_ord") % 3 != 0, F.col("s") + 7).alias("cds_s"), F.when(F.col("gene_ord") % 3 != 0, F.col("s") + F.floor(width / 2) + 7).alias("cds_e"))
+
+    @property
+    def quality(self):
+        return F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: (2 + (F.col("rec_ord") * 3 + i * 11) % 40).cast("int"))
+
+    @property
+    def status(self) -> DataFrame:
+        return counting.read_status(self.reads, self.exons)
+
+    @property
+    def fc_reads(self) -> DataFrame:
+        return self.status.where("gene_id is not null").groupBy("gene_id").agg(F.count("*").alias("fc_reads"))
+
+
+MERGED = "mx AS (SELECT gene_id, tid, strand, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY gene_id ORDER BY s, e) AS isl FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY gene_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM exons)) GROUP BY gene_id, tid, strand, isl)"
+HITS = "hits AS (SELECT DISTINCT rec_ord, gene_id FROM blocks JOIN exons ON blocks.tid = exons.tid AND blocks.s < exons.e AND exons.s < blocks.e)"
+PER = "per AS (SELECT reads.rec_ord, any_value(qname) AS qname, any_value(flag) AS flag, any_value(nh) AS nh, count(gene_id) AS n, min(gene_id) AS g FROM reads LEFT JOIN hits USING (rec_ord) WHERE flag & 2564 = 0 GROUP BY reads.rec_ord)"
+STATUS = f"{HITS}, {PER}, st AS (SELECT *, CASE WHEN nh > 1 THEN 'MultiMapping' WHEN n = 0 THEN 'NoFeatures' WHEN n = 1 THEN 'Assigned' ELSE 'Ambiguity' END AS status FROM per)"
+FC = "fc AS (SELECT g AS gene_id, count(*) AS fc_reads FROM st WHERE status = 'Assigned' GROUP BY g)"
+
+
+@query("f01_aligned_blocks", oracle(" SELECT rec_ord, s, e, q FROM blocks", blocks=True).replace("SELECT rec_ord, s, e, q", "SELECT rec_ord, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(q AS BIGINT) AS q"))
+def aligned_blocks(spark, d):
+    from ..functions import cigar
+
+    return Tables(spark, d).reads.select("rec_ord", F.inline(cigar.aligned_blocks()))
+
+
+@query("f04_introns", oracle(" SELECT rec_ord, CAST(pos + a AS BIGINT) AS s, CAST(pos + b AS BIGINT) AS e FROM reads JOIN (VALUES (2, 20, 120), (6, 10, 210), (6, 220, 270)) v(ln, a, b) USING (ln)"))
+def introns(spark, d):
+    from ..functions import cigar
+
+    return Tables(spark, d).reads.select("rec_ord", F.inline(cigar.introns())).drop("q")
+
+
+@query("a45_effective_length", oracle(" SELECT gene_id, CAST(eff_len AS BIGINT) AS eff_len FROM eff"))
+def effective_length(spark, d):
+    return Tables(spark, d).lengths
+
+
+@query("w03_subtract", oracle(" SELECT tid, CAST(count(*) AS BIGINT) AS bases FROM (SELECT DISTINCT tid, unnest(range(s, e)) AS p FROM genes EXCEPT SELECT DISTINCT tid, unnest(range(s, e)) AS p FROM exons) GROUP BY tid"))
+def subtract(spark, d):
+    t = Tables(spark, d)
+    return intervals.subtract(t.genes, t.exons, ["tid"]).groupBy("tid").agg(F.sum(F.col("e") - F.col("s")).alias("bases"))
+
+
+@query("j01_gene_hits", oracle(" SELECT rec_ord, CAST(count(*) AS BIGINT) AS n_genes, min(gene_id) AS first_gene FROM hits GROUP BY rec_ord", HITS, blocks=True))
+def gene_hits(spark, d):
+    t = Tables(spark, d)
+    return counting.read_genes(t.reads, t.exons).select("rec_ord", F.size("genes").cast("long").alias("n_genes"), F.array_min("genes").alias("first_gene"))
+
+
+@query("a02_assignment_status", oracle(" SELECT status, count(*) AS n FROM st GROUP BY status UNION ALL SELECT 'Unmapped', count(*) FROM reads WHERE flag & 4 > 0 UNION ALL SELECT 'Singleton', 0 UNION ALL SELECT 'Chimera', 0", STATUS, blocks=True))
+def assignment_status(spark, d):
+    t = Tables(spark, d)
+    return counting.status_counts(t.status, t.reads)
+
+
+@query("a02_fc_reads", oracle(" SELECT gene_id, fc_reads FROM fc", STATUS, FC, blocks=True))
+def fc_reads(spark, d):
+    return Tables(spark, d).fc_reads
+
+
+FRAGMENTS = f"""{HITS}, gl AS (SELECT rec_ord, list(gene_id ORDER BY gene_id) AS gs FROM hits GROUP BY rec_ord),
+k AS (SELECT reads.*, coalesce(gs, []) AS gs, flag & 64 > 0 AS r1 FROM reads LEFT JOIN gl USING (rec_ord) WHERE flag & 2564 = 0 AND flag & 1 > 0),
+x AS (SELECT * FROM k WHERE r1), y AS (SELECT * FROM k WHERE NOT r1),
+fr AS (SELECT CASE WHEN x.rec_ord IS NULL THEN y.gs WHEN y.rec_ord IS NULL THEN x.gs WHEN len(list_intersect(x.gs, y.gs)) > 0 THEN list_intersect(x.gs, y.gs) ELSE list_distinct(list_concat(x.gs, y.gs)) END AS gs,
+  coalesce(x.flag, y.flag) & 1024 > 0 AS is_dup, coalesce(x.nh, y.nh) > 1 AS is_multi
+  FROM x FULL JOIN y ON x.qname = y.qname AND x.tid = y.mtid AND x.pos = y.mpos AND x.mtid = y.tid AND x.mpos = y.pos),
+gc AS (SELECT gs[1] AS gene_id, count(*) AS all_multi, count(*) FILTER (NOT is_dup) AS nodup_multi, count(*) FILTER (NOT is_multi) AS all_unique, count(*) FILTER (NOT is_dup AND NOT is_multi) AS nodup_unique FROM fr WHERE len(gs) = 1 GROUP BY 1)"""
+MATRIX = """nm AS (SELECT (SELECT count(*) FROM fr) + (SELECT count(*) FROM reads WHERE flag & 4 > 0 AND flag & 1 > 0 AND flag & 8 = 0 AND flag & 2304 = 0) AS n),
+dm AS (SELECT gene_id, gene_ord, CAST(eff_len AS BIGINT) AS gene_length, coalesce(all_multi, 0) AS am, coalesce(nodup_multi, 0) AS fm, coalesce(all_unique, 0) AS au, coalesce(nodup_unique, 0) AS fu, n FROM genes JOIN eff USING (gene_id) LEFT JOIN gc USING (gene_id), nm)"""
+
+
+@query("a01_gene_counts", oracle(" SELECT * FROM gc", FRAGMENTS, blocks=True))
+def gene_counts(spark, d):
+    t = Tables(spark, d)
+    return counting.gene_counts(counting.fragments(t.reads, t.exons))
+
+
+def _matrix(t: Tables) -> DataFrame:
+    frags = counting.fragments(t.reads, t.exons)
+    return counting.dup_matrix(t.genes, t.lengths, counting.gene_counts(frags), counting.total_mapped(t.reads, frags))
+
+
+_rate = lambda a, f: f"CASE WHEN {a} > 0 THEN ({a} - {f}) / {a} END"
+
+
+@query(
+    "a03_dup_matrix",
+    oracle(
+        f""" SELECT gene_id, gene_ord, gene_length, am AS all_counts_multi, fm AS filtered_counts_multi, {_rate("am", "fm")} AS dup_rate_multi, am - fm AS dups_per_id_multi, am * 1000.0 / gene_length AS rpk_multi, am * 1e9 / gene_length / n AS rpkm_multi,
+  au AS all_counts, fu AS filtered_counts, {_rate("au", "fu")} AS dup_rate, au - fu AS dups_per_id, au * 1000.0 / gene_length AS rpk, au * 1e9 / gene_length / n AS rpkm FROM dm""",
+        FRAGMENTS,
+        MATRIX,
+        blocks=True,
+    ),
+)
+def dup_matrix(spark, d):
+    return _round(_matrix(Tables(spark, d)))
+
+
+def _round(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+SQL["a03_dup_matrix"] = "SELECT gene_id, gene_ord, gene_length, all_counts_multi, filtered_counts_multi, round(dup_rate_multi, 6) AS dup_rate_multi, dups_per_id_multi, round(rpk_multi, 6) AS rpk_multi, round(rpkm_multi, 6) AS rpkm_multi, all_counts, filtered_counts, round(dup_rate, 6) AS dup_rate, dups_per_id, round(rpk, 6) AS rpk, round(rpkm, 6) AS rpkm FROM (" + SQL["a03_dup_matrix"] + ")"
+
+
+@query("a04_dup_stats", oracle(" SELECT count(*) AS n_regions, count(*) FILTER (au > 0) AS n_covered, count(*) FILTER (au = 0 OR au > fu) AS n_with_dups, round(count(*) FILTER (au > 0) / count(*), 6) AS f_covered, round(count(*) FILTER (au = 0 OR au > fu) / count(*), 6) AS f_dups, round(count(*) FILTER (au = 0 OR au > fu) / count(*) FILTER (au > 0), 6) AS f_dups_covered FROM dm", FRAGMENTS, MATRIX, blocks=True))
+def dup_stats(spark, d):
+    return _round(counting.dup_stats(_matrix(Tables(spark, d))))
+
+
+@query("m01_duplication_fit")
+def duplication_fit(spark, d):
+    fit = counting.fit_duplication(_matrix(Tables(spark, d)))
+    return spark.createDataFrame([tuple(round(v, 6) for v in fit.values())], ", ".join(f"{k} double" for k in fit))
+
+
+@query("a05_biotype_counts", oracle(" SELECT biotype, count(*) AS n FROM (SELECT rec_ord, min(biotype) AS biotype FROM (SELECT DISTINCT hits.rec_ord, biotype FROM hits JOIN genes USING (gene_id)) JOIN (SELECT rec_ord FROM reads WHERE flag & 2564 = 0 AND nh <= 1) USING (rec_ord) GROUP BY rec_ord HAVING count(*) = 1) GROUP BY biotype", HITS, blocks=True))
+def biotype_counts(spark, d):
+    t = Tables(spark, d)
+    return counting.biotype_counts(counting.biotype_status(t.reads, t.exons))
+
+
+@query(
+    "a06_flagstat",
+    oracle(
+        """ SELECT count(*) AS total, count(*) FILTER (flag & 2304 = 0) AS primary_reads, count(*) FILTER (flag & 256 > 0) AS secondary, count(*) FILTER (flag & 256 = 0 AND flag & 2048 > 0) AS supplementary,
+  count(*) FILTER (flag & 512 = 0 AND flag & 1024 > 0) AS duplicates, count(*) FILTER (flag & 2304 = 0 AND flag & 1024 > 0) AS primary_duplicates, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 2308 = 0) AS primary_mapped,
+  count(*) FILTER (p) AS paired, count(*) FILTER (p AND flag & 64 > 0) AS read1, count(*) FILTER (p AND flag & 128 > 0) AS read2, count(*) FILTER (p AND flag & 6 = 2) AS properly_paired, count(*) FILTER (p AND flag & 12 = 0) AS both_mapped,
+  count(*) FILTER (p AND flag & 12 = 8) AS singletons, count(*) FILTER (p AND flag & 12 = 0 AND mtid <> tid) AS mate_elsewhere, count(*) FILTER (p AND flag & 12 = 0 AND mtid <> tid AND mapq >= 5) AS mate_elsewhere_q5 FROM (SELECT *, flag & 2304 = 0 AND flag & 1 > 0 AS p FROM reads)"""
+    ),
+)
+def flagstat(spark, d):
+    return readstats.flagstat(Tables(spark, d).reads)
+
+
+@query(
+    "a07_bam_stat",
+    oracle(
+        """ SELECT count(*) AS total, count(*) FILTER (k = 1) AS qc_failed, count(*) FILTER (k = 2) AS duplicate, count(*) FILTER (k = 3) AS non_primary, count(*) FILTER (k = 4) AS unmapped, count(*) FILTER (k = 5) AS non_unique, count(*) FILTER (k = 6) AS unique,
+  count(*) FILTER (k = 6 AND flag & 64 > 0) AS read1, count(*) FILTER (k = 6 AND flag & 128 > 0) AS read2, count(*) FILTER (k = 6 AND flag & 16 = 0) AS plus, count(*) FILTER (k = 6 AND flag & 16 > 0) AS minus, count(*) FILTER (k = 6 AND ln IN (2, 6)) AS spliced,
+  count(*) FILTER (k = 6 AND ln NOT IN (2, 6)) AS non_spliced, count(*) FILTER (k = 6 AND flag & 3 = 3) AS proper_pairs, count(*) FILTER (k = 6 AND flag & 3 = 3 AND mtid <> tid) AS proper_elsewhere
+  FROM (SELECT *, CASE WHEN flag & 512 > 0 THEN 1 WHEN flag & 1024 > 0 THEN 2 WHEN flag & 256 > 0 THEN 3 WHEN flag & 4 > 0 THEN 4 WHEN mapq < 30 THEN 5 ELSE 6 END AS k FROM reads)"""
+    ),
+)
+def bam_stat(spark, d):
+    return readstats.bam_stat(Tables(spark, d).reads)
+
+
+@query("a08_idxstats", oracle(" SELECT tid, name, length, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 > 0) AS unmapped FROM contigs LEFT JOIN reads USING (tid) GROUP BY tid, name, length UNION ALL SELECT -1, '*', 0, 0, 0"))
+def idxstats(spark, d):
+    t = Tables(spark, d)
+    return readstats.idxstats(t.reads, t.contigs)
+
+
+@query(
+    "a09_summary",
+    oracle(
+        """ SELECT count(*) FILTER (p) AS raw_total, count(*) FILTER (p AND flag & 512 > 0) AS filtered, count(*) FILTER (p AND m) AS reads_mapped, count(*) FILTER (p AND flag & 1 > 0) AS reads_paired, count(*) FILTER (p AND m AND mapq = 0) AS reads_mq0,
+  50 * count(*) FILTER (p) AS total_length, 50 * count(*) FILTER (p AND m) AS bases_mapped, CAST(sum(CASE WHEN m AND flag & 256 = 0 THEN CASE WHEN ln IN (3, 7) THEN 45 ELSE 50 END ELSE 0 END) AS BIGINT) AS bases_mapped_cigar,
+  CAST(sum(CASE WHEN p AND m THEN nm ELSE 0 END) AS BIGINT) AS mismatches, CAST(50 AS BIGINT) AS maximum_length, CAST(50 AS BIGINT) AS average_length,
+  round(sum(CASE WHEN p AND flag & 512 = 0 THEN list_sum(list_transform(range(50), lambda i: 2 + (rec_ord * 3 + i * 11) % 40)) ELSE 0 END) / (50 * count(*) FILTER (p AND flag & 512 = 0)), 6) AS average_quality,
+  round(sum(CASE WHEN p AND m THEN nm ELSE 0 END) / sum(CASE WHEN m AND flag & 256 = 0 THEN CASE WHEN ln IN (3, 7) THEN 45 ELSE 50 END ELSE 0 END), 6) AS error_rate FROM (SELECT *, flag & 2304 = 0 AS p, flag & 4 = 0 AS m FROM reads)"""
+    ),
+)
+def summary(spark, d):
+    t = Tables(spark, d)
+    return _round(readstats.summary(t.reads, t.quality))
+
+
+@query("a10_mapping_qualities", oracle(" SELECT mapq, count(*) AS n FROM reads WHERE flag & 3844 = 0 GROUP BY mapq"))
+def mapping_qualities(spark, d):
+    return readstats.mapping_qualities(Tables(spark, d).reads)
+
+
+@query("a10_lengths", oracle(" SELECT 'RL' AS section, 50 AS length, count(*) AS n FROM reads WHERE flag & 2304 = 0 UNION ALL SELECT CASE WHEN flag & 128 > 0 THEN 'LRL' ELSE 'FRL' END, 50, count(*) FROM reads WHERE flag & 2304 = 0 GROUP BY 1"))
+def lengths(spark, d):
+    return readstats.lengths(Tables(spark, d).reads)
+
+
+CYCLES = "cy AS (SELECT flag & 128 > 0 AS is_last, CASE WHEN flag & 16 > 0 THEN 49 - i ELSE i END AS cycle, rec_ord, flag, i, seq FROM (SELECT *, unnest(range(50)) AS i FROM reads WHERE flag & 2304 = 0))"
+
+
+@query("a11_quality_by_cycle", oracle(" SELECT is_last, CAST(cycle AS INTEGER) AS cycle, CAST(2 + (rec_ord * 3 + i * 11) % 40 AS INTEGER) AS quality, count(*) AS n FROM cy GROUP BY ALL", CYCLES))
+def quality_by_cycle(spark, d):
+    t = Tables(spark, d)
+    return readstats.quality_by_cycle(t.reads, t.quality)
+
+
+@query("a12_gc_steps", oracle(" SELECT is_last, CAST(b AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT is_last, n, unnest(range(lo, hi)) AS b FROM (SELECT flag & 128 > 0 AS is_last, g * 199 // 50 AS lo, least((g + 1) * 199 // 50, 200) AS hi, count(*) AS n FROM (SELECT flag, length(regexp_replace(seq, '[^GC]', '', 'g')) AS g FROM reads WHERE flag & 2304 = 0) GROUP BY ALL)) GROUP BY ALL"))
+def gc_steps(spark, d):
+    return readstats.gc_steps(Tables(spark, d).reads)
+
+
+@query("a13_bases_by_cycle", oracle(" SELECT is_last, CAST(cycle AS INTEGER) AS cycle, substr(seq, CAST(i + 1 AS BIGINT), 1) AS base, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY is_last, cycle), 6) AS percent FROM cy GROUP BY is_last, cycle, base", CYCLES))
+def bases_by_cycle(spark, d):
+    return _round(readstats.bases_by_cycle(Tables(spark, d).reads))
+
+
+@query("a13_oriented_bases", oracle(" SELECT is_last, CAST(cycle AS INTEGER) AS cycle, base, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY is_last, cycle), 6) AS percent FROM (SELECT is_last, cycle, CASE WHEN flag & 16 > 0 THEN translate(substr(seq, CAST(i + 1 AS BIGINT), 1), 'ACGT', 'TGCA') ELSE substr(seq, CAST(i + 1 AS BIGINT), 1) END AS base FROM cy) GROUP BY is_last, cycle, base", CYCLES))
+def oriented_bases(spark, d):
+    return _round(readstats.bases_by_cycle(Tables(spark, d).reads, oriented=True))
+
+
+SIZES = "sz AS (SELECT least(tlen, 8000) AS size, CASE WHEN (flag & 16 > 0) = (flag & 32 > 0) THEN 'other' WHEN flag & 16 = 0 THEN 'inward' ELSE 'outward' END AS orientation, count(*) AS n FROM reads WHERE flag & 2304 = 0 AND flag & 1 > 0 AND flag & 12 = 0 AND tid = mtid AND tlen > 0 GROUP BY ALL)"
+
+
+@query("a14_insert_sizes", oracle(" SELECT * FROM sz", SIZES))
+def insert_sizes(spark, d):
+    return readstats.insert_sizes(Tables(spark, d).reads)
+
+
+@query("w07_insert_bulk", oracle(" SELECT round(sum(size * n) / sum(n), 6) AS insert_mean, round(sqrt(greatest(0, sum(size * size * n) / sum(n) - (sum(size * n) / sum(n)) ** 2)), 6) AS insert_sd, CAST(sum(n) AS BIGINT) AS n_pairs FROM (SELECT size, n, (sum(n) OVER (ORDER BY size) - n) / sum(n) OVER () AS b FROM (SELECT size, sum(n) AS n FROM sz GROUP BY size)) WHERE b <= 0.99", SIZES))
+def insert_bulk(spark, d):
+    return _round(readstats.bulk(readstats.insert_sizes(Tables(spark, d).reads)))
+
+
+@query("a15_indels", oracle(" SELECT CAST(CASE ln WHEN 4 THEN 2 ELSE 3 END AS BIGINT) AS size, count(*) FILTER (ln = 4) AS insertions, count(*) FILTER (ln = 5) AS deletions FROM reads WHERE flag & 260 = 0 AND ln IN (4, 5) GROUP BY 1"))
+def indels(spark, d):
+    return readstats.indels(Tables(spark, d).reads)
+
+
+@query("a15_indels_by_cycle", oracle(" SELECT CAST(CASE WHEN ln = 4 THEN CASE WHEN flag & 16 > 0 THEN 50 - 25 - 2 ELSE 25 END ELSE 24 END AS BIGINT) AS cycle, flag & 128 > 0 AS is_last, CASE ln WHEN 4 THEN 'I' ELSE 'D' END AS op, count(*) AS n FROM reads WHERE flag & 260 = 0 AND ln IN (4, 5) GROUP BY ALL"))
+def indels_by_cycle(spark, d):
+    return readstats.indels_by_cycle(Tables(spark, d).reads)
+
+
+@query("a16_depth_histogram", oracle(" SELECT least(n, 1001) AS depth, count(*) AS n_bases FROM (SELECT tid, p, count(*) AS n FROM (SELECT tid, unnest(range(s, e)) AS p FROM blocks WHERE flag & 260 = 0) GROUP BY tid, p) GROUP BY 1", blocks=True))
+def depth_histogram(spark, d):
+    return readstats.depth_histogram(Tables(spark, d).reads)
+
+
+@query("a17_gc_depth")
+def gc_depth(spark, d):
+    return _round(readstats.gc_depth(Tables(spark, d).reads))
+
+
+STRANDS = "sp AS (SELECT rec_ord, flag, string_agg(strand, ':' ORDER BY f) AS k FROM (SELECT rec_ord, flag, strand, min(struct_pack(a := g.s, b := g.e)) AS f FROM (SELECT rec_ord, flag, tid, pos AS s, pos + CASE WHEN ln IN (3, 7) THEN 45 ELSE 50 END AS e FROM reads WHERE flag & 1796 = 0 AND mapq >= 30) r JOIN genes g ON r.tid = g.tid AND r.s < g.e AND g.s < r.e GROUP BY rec_ord, flag, strand) GROUP BY rec_ord, flag)"
+
+
+@query("a18_strand_classes", oracle(" SELECT CASE WHEN flag & 1 = 0 THEN '' WHEN flag & 64 > 0 THEN '1' ELSE '2' END || CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END || k AS key, count(*) AS n FROM sp GROUP BY 1", STRANDS))
+def strand_classes(spark, d):
+    t = Tables(spark, d)
+    return rseqc.strand_classes(t.reads, t.transcripts)
+
+
+@query("a18_strandedness")
+def strandedness(spark, d):
+    t = Tables(spark, d)
+    return _round(rseqc.infer_strandedness(rseqc.strand_classes(t.reads, t.transcripts)))
+
+
+@query("a19_duplication_by_position", oracle(" SELECT n AS occurrence, count(*) AS n_keys FROM (SELECT tid, pos, CASE ln WHEN 7 THEN 3 ELSE ln END AS shape, count(*) AS n FROM (SELECT tid, pos, ln FROM reads WHERE flag & 516 = 0 AND mapq >= 30 AND ln <> 3 UNION ALL SELECT tid, pos, 8 FROM reads WHERE flag & 516 = 0 AND mapq >= 30 AND ln = 3) GROUP BY ALL) GROUP BY n"))
+def duplication_by_position(spark, d):
+    return rseqc.duplication(Tables(spark, d).reads)
+
+
+@query("a19_duplication_by_sequence", oracle(" SELECT n AS occurrence, count(*) AS n_keys FROM (SELECT seq, count(*) AS n FROM reads WHERE flag & 516 = 0 AND mapq >= 30 GROUP BY seq) GROUP BY n"))
+def duplication_by_sequence(spark, d):
+    return rseqc.duplication(Tables(spark, d).reads, "sequence")
+
+
+@query("a20_read_distribution")
+def read_distribution(spark, d):
+    t = Tables(spark, d)
+    sets = rseqc.regions(t.transcripts, t.tx_exons)
+    return _round(rseqc.region_report(rseqc.region_tags(t.reads, sets), sets))
+
+
+JUNCTIONS = f"""{MERGED}, kn AS (SELECT DISTINCT tid, e AS s, nx AS e FROM (SELECT tid, e, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS nx FROM mx) WHERE nx > e),
+ev AS (SELECT rec_ord, o, tid, pos + a AS s, pos + b AS e FROM reads JOIN (VALUES (2, 0, 20, 120), (6, 0, 10, 210), (6, 1, 220, 270)) v(ln, o, a, b) USING (ln) WHERE flag & 1796 = 0 AND mapq >= 30),
+jn AS (SELECT tid, s, e, count(*) AS events, CASE WHEN a AND b THEN 'known' WHEN a OR b THEN 'partial_novel' ELSE 'complete_novel' END AS class FROM (SELECT ev.*, (tid, s) IN (SELECT tid, s FROM kn) AS a, (tid, e) IN (SELECT tid, e FROM kn) AS b FROM ev) GROUP BY tid, s, e, a, b)"""
+
+
+@query("a21_junctions", oracle(" SELECT tid, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, events, class FROM jn", JUNCTIONS))
+def junctions(spark, d):
+    t = Tables(spark, d)
+    return rseqc.junctions(rseqc.splice_events(t.reads), rseqc.known_introns(t.tx_exons)).drop("first_rec", "first_nth")
+
+
+@query("a21_junction_summary", oracle(" SELECT class, count(*) AS n_junctions, CAST(sum(events) AS BIGINT) AS n_events FROM jn GROUP BY class UNION ALL SELECT 'filtered', 0, count(*) FROM ev WHERE e - s < 50", JUNCTIONS))
+def junction_summary(spark, d):
+    t = Tables(spark, d)
+    ev = rseqc.splice_events(t.reads)
+    return rseqc.junction_summary(rseqc.junctions(ev, rseqc.known_introns(t.tx_exons)), ev)
+
+
+@query("a22_junction_saturation_end", oracle(" SELECT 100 AS percent, count(*) FILTER (k) AS known, count(*) FILTER (NOT k) AS novel, count(*) AS all_junctions FROM (SELECT DISTINCT tid, s, e, (tid, s, e) IN (SELECT tid, s, e FROM kn) AS k FROM ev)", JUNCTIONS))
+def junction_saturation_end(spark, d):
+    t = Tables(spark, d)
+    return rseqc.junction_saturation(rseqc.splice_events(t.reads), rseqc.known_introns(t.tx_exons)).where("percent = 100")
+
+
+@query("a22_junction_saturation")
+def junction_saturation(spark, d):
+    t = Tables(spark, d)
+    return rseqc.junction_saturation(rseqc.splice_events(t.reads), rseqc.known_introns(t.tx_exons))
+
+
+@query("a23_inner_distance")
+def inner_distance(spark, d):
+    t = Tables(spark, d)
+    merged = intervals.merge(t.exons, ["tid"])
+    return rseqc.inner_distances(t.reads, t.transcripts, merged).groupBy("class").agg(F.count("*").alias("n"), F.sum("distance").alias("total"))
+
+
+@query("a23_distance_histogram")
+def distance_histogram(spark, d):
+    t = Tables(spark, d)
+    return rseqc.distance_histogram(rseqc.inner_distances(t.reads, t.transcripts, intervals.merge(t.exons, ["tid"])))
+
+
+TIN = f"""{MERGED}, tot AS (SELECT gene_id, sum(e - s) AS l FROM mx GROUP BY gene_id), bases AS (SELECT gene_id, tid, s, e, p, row_number() OVER (PARTITION BY gene_id ORDER BY p) - 1 AS i FROM (SELECT *, unnest(range(s + 1, e + 1)) AS p FROM mx)),
+pts AS (SELECT gene_id, tid, p, l FROM bases JOIN tot USING (gene_id) WHERE l <= 100 OR i % (l // 100) = 0 OR p = s + 1 OR p = e),
+sz AS (SELECT gene_id, CASE WHEN any_value(l) <= 100 THEN any_value(l) + 2 ELSE count(*) END AS n FROM pts GROUP BY gene_id),
+ok AS (SELECT g.gene_id, count(*) AS c FROM genes g JOIN (SELECT DISTINCT tid, CAST(pos AS BIGINT) AS p FROM reads WHERE flag & 772 = 0) r ON g.tid = r.tid AND g.s <= r.p AND r.p < g.e GROUP BY g.gene_id),
+dep AS (SELECT pts.gene_id, p, count(*) AS c FROM pts JOIN blocks b ON pts.tid = b.tid AND b.s < p AND p <= b.e WHERE b.flag & 1796 = 0 GROUP BY pts.gene_id, p),
+sc AS (SELECT gene_id, exp(-sum(c / t * ln(c / t))) AS h FROM (SELECT gene_id, c, sum(c) OVER (PARTITION BY gene_id) AS t FROM dep) GROUP BY gene_id)"""
+
+
+@query("a24_tin", oracle(" SELECT gene_id AS tx_id, coalesce(c, 0) > 10 AS passed, round(CASE WHEN coalesce(c, 0) > 10 THEN coalesce(100 * h / n, 0.0) ELSE 0.0 END, 6) AS tin FROM genes LEFT JOIN ok USING (gene_id) LEFT JOIN sz USING (gene_id) LEFT JOIN sc USING (gene_id)", TIN, blocks=True))
+def tin(spark, d):
+    t = Tables(spark, d)
+    return _round(rseqc.tin(t.reads, t.transcripts, t.tx_exons)).select("tx_id", "passed", "tin")
+
+
+@query("a24_tin_summary", oracle(" SELECT round(avg(t), 6) AS tin_mean, round(coalesce(median(t), 0.0), 6) AS tin_median, round(stddev_pop(t), 6) AS tin_sd, count(*) AS n_passed FROM (SELECT coalesce(100 * h / n, 0.0) AS t FROM genes JOIN ok USING (gene_id) LEFT JOIN sz USING (gene_id) LEFT JOIN sc USING (gene_id) WHERE c > 10)", TIN, blocks=True))
+def tin_summary(spark, d):
+    t = Tables(spark, d)
+    return _round(rseqc.tin_summary(rseqc.tin(t.reads, t.transcripts, t.tx_exons)))
+
+
+FREQUENCIES = """kp AS (SELECT reads.*, pos + CASE ln WHEN 1 THEN 50 WHEN 2 THEN 150 WHEN 3 THEN 45 WHEN 4 THEN 48 WHEN 5 THEN 53 WHEN 6 THEN 300 ELSE 45 END AS stop FROM reads WHERE flag & 2304 = 0),
+pr AS (SELECT qname, count(*) AS n, count(DISTINCT tid) AS c, min(pos) AS s, max(stop) AS e, min(tid) AS tid FROM kp WHERE flag & 1 > 0 GROUP BY qname),
+ff AS (SELECT tid, s, e FROM pr WHERE n = 2 AND c = 1 UNION ALL SELECT kp.tid, pos, stop FROM kp JOIN pr USING (qname) WHERE flag & 1 > 0 AND NOT (n = 2 AND c = 1) UNION ALL SELECT tid, pos, -1 FROM kp WHERE flag & 1 = 0),
+fq AS (SELECT j, count(*) AS n_j FROM (SELECT tid, s, e, count(*) AS j FROM ff GROUP BY ALL) GROUP BY j)"""
+
+
+@query("a25_complexity_table", oracle(" SELECT j, n_j FROM fq", FREQUENCIES))
+def complexity_table(spark, d):
+    return complexity.frequency_table(complexity.fragment_keys(Tables(spark, d).reads))
+
+
+@query("m06_complexity_curve")
+def complexity_curve(spark, d):
+    hist = {r.j: r.n_j for r in complexity_table(spark, d).collect()}  # one row for each frequency
+    total = sum(j * n for j, n in hist.items())
+    found = complexity.curve(hist, max_extrap=4.0 * total, step=total / 8) or []
+    return spark.createDataFrame([(float(t), round(float(v), 4)) for t, v in found], "total_reads double, expected_distinct double")
+
+
+@query("a26_read_origin")
+def read_origin(spark, d):
+    t = Tables(spark, d)
+    return qualimap.origin(t.reads, t.exons, t.tx_exons)
+
+
+@query("a26_cascade", oracle(" SELECT count(*) FILTER (flag & 4 > 0) AS not_aligned, count(*) FILTER (flag & 4 = 0 AND nh > 1) AS multi_mapped, count(*) FILTER (flag & 4 = 0 AND flag & 256 > 0) AS secondary, count(*) FILTER (flag & 2820 = 0) AS read_count FROM reads"))
+def cascade(spark, d):
+    return qualimap.cascade_counts(Tables(spark, d).reads)
+
+
+@query("a26_junction_support")
+def junction_support(spark, d):
+    t = Tables(spark, d)
+    return qualimap.junction_support(t.reads, t.tx_exons)
+
+
+@query("a27_coverage_profile")
+def coverage_profile(spark, d):
+    t = Tables(spark, d)
+    return _round(qualimap.profiles(qualimap.transcript_coverage(t.reads, t.tx_exons)))
+
+
+MEANS = f"""{MERGED}, sh(ln, a, b) AS (VALUES (1, 0, 49), (2, 0, 19), (2, 120, 149), (3, 5, 49), (4, 0, 24), (4, 27, 49), (5, 0, 24), (5, 28, 52), (6, 0, 9), (6, 210, 219), (6, 270, 299), (7, 0, 44)),
+mb AS (SELECT tid, pos + a AS s, pos + b AS e FROM reads JOIN sh USING (ln) WHERE flag & 2820 = 0 AND nh <= 1),
+mc AS (SELECT gene_id, sum(least(mx.e, mb.e) - greatest(mx.s, mb.s)) AS n FROM mx JOIN mb ON mx.tid = mb.tid AND mb.s < mx.e AND mx.s < mb.e GROUP BY gene_id), tl AS (SELECT gene_id, sum(e - s) AS l FROM mx GROUP BY gene_id)"""
+
+
+@query("a27_mean_coverage", oracle(" SELECT gene_id AS tx_id, round(n / l, 6) AS mean FROM mc JOIN tl USING (gene_id)", MEANS))
+def mean_coverage(spark, d):
+    t = Tables(spark, d)
+    return _round(qualimap.mean_coverage(qualimap.transcript_coverage(t.reads, t.tx_exons)).select("tx_id", "mean"))
+
+
+@query("a27_coverage_histogram", oracle(" SELECT CAST(least(floor(n / l), 50) AS BIGINT) AS bin, count(*) AS n FROM mc JOIN tl USING (gene_id) GROUP BY 1", MEANS))
+def coverage_histogram(spark, d):
+    t = Tables(spark, d)
+    return qualimap.coverage_histogram(qualimap.transcript_coverage(t.reads, t.tx_exons))
+
+
+@query("a27_bias")
+def bias(spark, d):
+    t = Tables(spark, d)
+    return _round(qualimap.bias(qualimap.transcript_coverage(t.reads, t.tx_exons), t.transcripts, least_length=60, edge=20))
+
+
+LEFT = "lm AS (SELECT * FROM reads WHERE flag & 3852 = 0 AND flag & 3 = 3 AND tid = mtid AND mapq >= 30 AND tlen > 0)"
+
+
+@query("a28_fragment_lengths", oracle(" SELECT least(tlen, 1001) AS tlen, count(*) AS n FROM lm GROUP BY 1", LEFT))
+def fragment_lengths(spark, d):
+    return fragmentomics.fragment_lengths(Tables(spark, d).reads)
+
+
+_BINS = ", ".join(f"count(*) FILTER (tlen >= {a} AND tlen < {b}) AS bin_{n}" for n, a, b in zip(kmers.TLEN_BINS, kmers.TLEN_EDGES, [*kmers.TLEN_EDGES[1:], 1001], strict=True))
+
+
+@query("a28_fragment_summary", oracle(f" SELECT {_BINS}, count(*) FILTER (tlen > 1000) AS overflow, round(count(*) FILTER (tlen < 80) / count(*), 6) AS frac_lt_80, round(count(*) FILTER (tlen >= 300) / count(*), 6) AS frac_ge_300, round(avg(least(tlen, 1001)), 6) AS mean, CAST(quantile_disc(least(tlen, 1001), 0.5) AS BIGINT) AS median FROM lm", LEFT))
+def fragment_summary(spark, d):
+    return _round(fragmentomics.fragment_summary(fragmentomics.fragment_lengths(Tables(spark, d).reads)))
+
+
+@query("a28_readthrough", oracle(" SELECT round(count(*) FILTER (abs(tlen) < 50) / count(*), 6) AS adapter_readthrough_rate, count(*) AS n FROM lm", LEFT))
+def readthrough(spark, d):
+    return _round(fragmentomics.readthrough_rate(Tables(spark, d).reads))
+
+
+#: A reference sequence in chunks: the bases of a chunk come from hashes of its 32-base pieces.
+CHUNK = 1024
+
+
+def _fasta(t: Tables) -> DataFrame:
+    """Chunks of 1024 bases, each with three bases of the next, over the first 500,000 bases of four contigs."""
+    rows = t.contigs.where("tid < 4").select(F.col("name").alias("contig"), F.explode(F.sequence(F.lit(0), F.lit(487))).alias("chunk_no"))
+    piece = lambda k: F.translate(F.md5(F.concat("contig", F.lit(":"), k.cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGN")
+    own = F.array_join(F.transform(F.sequence(F.col("chunk_no") * 32, F.col("chunk_no") * 32 + 32), piece), "")
+    return rows.select("contig", "chunk_no", F.substring(own, 1, CHUNK + 3).alias("seq"))
+
+
+_PIECE = "translate(md5(c || ':' || CAST({k} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN')"
+_AT = lambda p: f"substr({_PIECE.format(k=f'({p}) // 32')} || {_PIECE.format(k=f'({p}) // 32 + 1')}, CAST(({p}) % 32 + 1 AS BIGINT), 4)"
+MOTIFS = f"""{LEFT}, em AS (SELECT CASE WHEN tid < 4 AND pos // 1024 <= 487 THEN {_AT("pos")} END AS p5, CASE WHEN tid < 4 AND (pos + tlen - 4) // 1024 <= 487 THEN {_AT("pos + tlen - 4")} END AS p3, tlen FROM (SELECT *, 'chr' || CAST(tid + 1 AS VARCHAR) AS c FROM lm)),
+ek AS (SELECT *, CASE WHEN p5 IS NULL OR p3 IS NULL OR tlen < 4 THEN 'skipped_oob' WHEN p5 LIKE '%N%' OR p3 LIKE '%N%' THEN 'skipped_non_acgt' ELSE 'used' END AS kind FROM em)"""
+
+
+@query("a29_end_motifs", oracle(' SELECT \'5p\' AS "end", p5 AS kmer, count(*) AS n FROM ek WHERE kind = \'used\' GROUP BY p5 UNION ALL SELECT \'3p\', translate(reverse(p3), \'ACGT\', \'TGCA\'), count(*) FROM ek WHERE kind = \'used\' GROUP BY 2 UNION ALL SELECT kind, NULL, count(*) FROM ek GROUP BY kind', MOTIFS))
+def end_motifs(spark, d):
+    t = Tables(spark, d)
+    return fragmentomics.end_motifs(t.reads.withColumn("contig", F.concat(F.lit("chr"), (F.col("tid") + 1).cast("string"))), _fasta(t), chunk=CHUNK)
+
+
+CLIPS = "sc AS (SELECT CASE WHEN (ln = 3) = (flag & 16 = 0) THEN '5p' ELSE '3p' END AS ed, CASE WHEN flag & 16 > 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS q FROM reads WHERE flag & 3844 = 0 AND mapq >= 30 AND ln IN (3, 7))"
+
+
+@query("a30_soft_clips", oracle(' SELECT ed AS "end", \'len_3plus\' AS clip_bin, CASE WHEN ed = \'5p\' THEN substr(q, 1, 4) ELSE substr(q, 47, 4) END AS kmer, count(*) AS n FROM sc GROUP BY ALL', CLIPS))
+def soft_clips(spark, d):
+    return fragmentomics.soft_clips(Tables(spark, d).reads)
+
+
+@query("a30_clip_rates", oracle(" SELECT round(count(*) FILTER (ln IN (3, 7) AND (ln = 3) = (flag & 16 = 0)) / count(*), 6) AS rate_5p, round(count(*) FILTER (ln IN (3, 7) AND (ln = 3) <> (flag & 16 = 0)) / count(*), 6) AS rate_3p, count(*) AS n FROM reads WHERE flag & 3844 = 0 AND mapq >= 30"))
+def clip_rates(spark, d):
+    return _round(fragmentomics.clip_rates(Tables(spark, d).reads))
+
+
+@query("m09_periodicity")
+def periodicity(spark, d):
+    got = fragmentomics.periodicity(fragmentomics.fragment_lengths(Tables(spark, d).reads))
+    return spark.createDataFrame([tuple(round(v, 6) for v in got.values())], ", ".join(f"{k} double" for k in got))
+
+
+@query(
+    "a31_chrom_metrics",
+    oracle(
+        """ SELECT name, length, total, mapped, duplicates, round(mapped / sum(mapped) OVER (), 6) AS mapped_fraction, proper_pairs, round(mean_insert, 6) AS mean_insert FROM (SELECT tid, count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1024 > 0) AS duplicates,
+  count(*) FILTER (p) AS proper_pairs, avg(CASE WHEN p THEN tlen END) AS mean_insert FROM (SELECT *, flag & 2304 = 0 AND flag & 3 = 3 AND flag & 12 = 0 AND tid = mtid AND tlen > 0 AS p FROM reads) GROUP BY tid) JOIN contigs USING (tid)"""
+    ),
+)
+def chrom_metrics(spark, d):
+    t = Tables(spark, d)
+    return _round(readstats.chrom_metrics(t.reads, t.contigs))
+
+
+@query("a32_cycle_quality", oracle(" SELECT is_last, CAST(cycle AS INTEGER) AS cycle, round(avg(2 + (rec_ord * 3 + i * 11) % 40), 6) AS mean_quality, count(*) AS n FROM cy WHERE flag & 512 = 0 GROUP BY is_last, cycle", CYCLES))
+def cycle_quality(spark, d):
+    t = Tables(spark, d)
+    return _round(readstats.cycle_quality(t.reads, t.quality))
+
+
+CLASSES = "cl AS (SELECT DISTINCT substr(p_brand, 7, 1) AS class, p_name AS symbol FROM part WHERE p_partkey % 7 = 0 UNION SELECT 'none', 'absent symbol')"
+
+
+def _classes(t: Tables) -> DataFrame:
+    part = t.spark.read.parquet(f"{t.dir}/part.parquet")
+    return part.where("p_partkey % 7 = 0").select(F.substring("p_brand", 7, 1).alias("class"), F.col("p_name").alias("symbol")).union(t.spark.createDataFrame([("none", "absent symbol")], "class string, symbol string")).distinct()
+
+
+@query("a33_gene_classes", oracle(" SELECT class, bundled, coalesce(matched, 0) AS matched, coalesce(r, 0) AS reads, round(coalesce(r, 0) / (SELECT sum(fc_reads) FROM fc), 6) AS fraction FROM (SELECT class, count(*) AS bundled FROM cl GROUP BY class) LEFT JOIN (SELECT class, count(DISTINCT symbol) AS matched, CAST(coalesce(sum(fc_reads), 0) AS BIGINT) AS r FROM cl JOIN genes USING (symbol) LEFT JOIN fc USING (gene_id) GROUP BY class) USING (class)", STATUS, FC, CLASSES, blocks=True))
+def gene_classes(spark, d):
+    t = Tables(spark, d)
+    return _round(cohort.gene_class_fractions(t.fc_reads, t.genes, _classes(t)))
+
+
+PANELS = "pn AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'G' || CAST(p_partkey AS VARCHAR) END AS gid, p_name AS gene_symbol, 'panel' || CAST(p_partkey % 2 AS VARCHAR) AS panel, 'cell' || CAST(p_partkey % 5 AS VARCHAR) AS cell_type FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT NULL, 'absent', 'panel0', 'ghost'), sy AS (SELECT symbol AS gene_symbol, arg_max(gene_id, gene_ord) AS sg FROM genes GROUP BY symbol)"
+
+
+@query("a34_panels", oracle(" SELECT panel, cell_type, coalesce(n, 0) AS n_genes, coalesce(r, 0) AS reads FROM (SELECT DISTINCT panel, cell_type FROM pn) LEFT JOIN (SELECT panel, cell_type, count(*) AS n, CAST(coalesce(sum(fc_reads), 0) AS BIGINT) AS r FROM (SELECT DISTINCT panel, cell_type, coalesce(gid, sg) AS gene_id FROM pn LEFT JOIN sy USING (gene_symbol) WHERE coalesce(gid, sg) IS NOT NULL) LEFT JOIN fc USING (gene_id) GROUP BY ALL) USING (panel, cell_type)", STATUS, FC, PANELS, blocks=True))
+def panels(spark, d):
+    t = Tables(spark, d)
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 11 = 0")
+    text = lambda c: F.col(c).cast("string")
+    rows = part.select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("G"), text("p_partkey"))).alias("gene_id"), F.col("p_name").alias("gene_symbol"), F.concat(F.lit("panel"), (F.col("p_partkey") % 2).cast("string")).alias("panel"), F.concat(F.lit("cell"), (F.col("p_partkey") % 5).cast("string")).alias("cell_type"))
+    ghost = spark.createDataFrame([(None, "absent", "panel0", "ghost")], "gene_id string, gene_symbol string, panel string, cell_type string")
+    return cohort.panel_totals(rows.unionByName(ghost), t.genes, t.fc_reads)
+
+
+@query("a35_sex")
+def sex(spark, d):
+    t = Tables(spark, d)
+    per = t.reads.where("flag & 4 = 0").groupBy("tid").agg(F.count("*").alias("mapped")).join(t.contigs, "tid").select("name", "mapped")
+    return _round(cohort.sex_inference(per, t.fc_reads, t.genes))
+
+
+@query("a36_gene_saturation")
+def gene_saturation(spark, d):
+    t = Tables(spark, d)
+    assigned = t.status.where("gene_id is not null").join(t.reads.select("rec_ord", "qname"), "rec_ord").select("qname", "gene_id")
+    return cohort.gene_saturation(assigned)
+
+
+@query("a36_gene_saturation_end", oracle(" SELECT CAST(1.0 AS DOUBLE) AS fraction, count(*) AS genes_ge_1, count(*) FILTER (fc_reads >= 10) AS genes_ge_10, CAST(sum(fc_reads) AS BIGINT) AS reads FROM fc", STATUS, FC, blocks=True))
+def gene_saturation_end(spark, d):
+    return gene_saturation(spark, d).where("fraction = 1")
+
+
+SNPS = "sn AS (SELECT CAST(p_partkey % 5 AS INTEGER) AS tid, (p_partkey * 23) % 4900000 + 17 AS site, substr('ACGT', CAST(p_size % 4 + 1 AS BIGINT), 1) AS ref, substr('CGTA', CAST(p_size % 4 + 1 AS BIGINT), 1) AS alt FROM part WHERE p_partkey % 4 = 1)"
+SEEN = "se AS (SELECT sn.tid, site, ref, alt, substr(seq, CAST(q + site - s + 1 AS BIGINT), 1) AS base FROM sn JOIN blocks b ON sn.tid = b.tid AND s <= site AND site < e WHERE flag & 3844 = 0 AND mapq >= 30), sd AS (SELECT tid, site, ref, alt, " + ", ".join(f"count(base) FILTER (base = '{b}') AS depth_{b.lower()}" for b in "ACGT") + " FROM sn LEFT JOIN se USING (tid, site, ref, alt) GROUP BY ALL)"
+
+
+@query("a37_snp_fingerprint", oracle(" SELECT *, round(CASE WHEN depth > 0 THEN CASE alt WHEN 'A' THEN depth_a WHEN 'C' THEN depth_c WHEN 'G' THEN depth_g ELSE depth_t END / depth END, 6) AS alt_fraction, depth >= 4 AS called FROM (SELECT *, depth_a + depth_c + depth_g + depth_t AS depth FROM sd)", SNPS, SEEN, blocks=True))
+def snp_fingerprint(spark, d):
+    t = Tables(spark, d)
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 4 = 1")
+    letter = lambda s: F.substring(F.lit(s), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1))
+    sites = part.select((F.col("p_partkey") % 5).cast("int").alias("tid"), ((F.col("p_partkey") * 23) % 4900000 + 17).alias("site"), letter("ACGT").alias("ref"), letter("CGTA").alias("alt"))
+    return _round(cohort.snp_depths(t.reads, sites))
+
+
+@query("a38_splice_motifs")
+def splice_motifs(spark, d):
+    t = Tables(spark, d)
+    found = rseqc.junctions(rseqc.splice_events(t.reads), rseqc.known_introns(t.tx_exons)).select(F.concat(F.lit("chr"), (F.col("tid") + 1).cast("string")).alias("contig"), "s", "e")
+    return fragmentomics.splice_motifs(found, _fasta(t), chunk=CHUNK)
+
+
+ONE = f"{HITS}, og AS (SELECT rec_ord, min(gene_id) AS gene_id FROM hits JOIN reads USING (rec_ord) WHERE flag & 3844 = 0 AND mapq >= 30 GROUP BY rec_ord HAVING count(*) = 1), o1 AS (SELECT reads.*, gene_id FROM og JOIN reads USING (rec_ord))"
+
+
+@query("a39_read_counts", oracle(" SELECT gene_id, count(*) AS primary_reads, count(*) FILTER (nh <= 1) AS primary_reads_unique, count(*) FILTER (nh > 1) AS primary_reads_multi, count(*) FILTER (c5) AS primary_reads_with_5p_clip, count(*) FILTER (c3) AS primary_reads_with_3p_clip, round(count(*) FILTER (c5) / count(*), 6) AS soft_clip_rate_5p, round(count(*) FILTER (c3) / count(*), 6) AS soft_clip_rate_3p FROM (SELECT *, ln IN (3, 7) AND (ln = 3) = (flag & 16 = 0) AS c5, ln IN (3, 7) AND (ln = 3) <> (flag & 16 = 0) AS c3 FROM o1) GROUP BY gene_id", ONE, blocks=True))
+def pergene_counts(spark, d):
+    t = Tables(spark, d)
+    return _round(pergene.read_counts(pergene.single_gene(t.reads, t.exons)))
+
+
+@query("a41_overlap_bases", oracle(" SELECT gene_id, CAST(sum(x) AS BIGINT) AS exon_aligned_bp, CAST(sum(w - x) AS BIGINT) AS intron_aligned_bp FROM (SELECT b.rec_ord, b.s, b.e, gene_id, sum(greatest(0, least(b.e, mx.e) - greatest(b.s, mx.s))) AS x, greatest(0, least(b.e, max(mx.e)) - greatest(b.s, min(mx.s))) AS w FROM og JOIN blocks b USING (rec_ord) JOIN mx USING (gene_id) GROUP BY b.rec_ord, b.s, b.e, gene_id) GROUP BY gene_id", ONE, MERGED, blocks=True))
+def overlap_bases(spark, d):
+    t = Tables(spark, d)
+    return pergene.overlap_bases(pergene.single_gene(t.reads, t.exons), intervals.merge(t.exons, ["gene_id", "strand"])).select("gene_id", "exon_aligned_bp", "intron_aligned_bp")
+
+
+@query("a40_deciles", oracle(" SELECT gene_id, CAST(least(9, floor(10 * CASE WHEN strand = '-' THEN 1 - r ELSE r END)) AS BIGINT) AS decile, count(*) AS n FROM (SELECT gene_id, strand, (before + (greatest(b.s, mx.s) + 1 + least(b.e, mx.e)) // 2 - mx.s - 1 + 0.5) / total AS r FROM og JOIN blocks b USING (rec_ord) JOIN (SELECT *, sum(e - s) OVER (PARTITION BY gene_id ORDER BY s) - (e - s) AS before, sum(e - s) OVER (PARTITION BY gene_id) AS total FROM mx) mx USING (gene_id) WHERE b.s < mx.e AND mx.s < b.e) GROUP BY ALL", ONE, MERGED, blocks=True))
+def deciles(spark, d):
+    t = Tables(spark, d)
+    per = pergene.deciles(pergene.single_gene(t.reads, t.exons), intervals.merge(t.exons, ["gene_id", "strand"]))
+    return per.select("gene_id", F.posexplode("decile_coverage").alias("decile", "n")).where("n > 0").select("gene_id", F.col("decile").cast("long").alias("decile"), "n")
+
+
+@query("a39_per_gene_table")
+def per_gene_table(spark, d):
+    t = Tables(spark, d)
+    frags = counting.gene_counts(counting.fragments(t.reads, t.exons)).select("gene_id", F.col("all_multi").alias("fragment_count_assigned"))
+    return _round(pergene.table(t.reads, t.exons, t.genes, t.lengths, t.fc_reads, frags, min_reads=5)).drop("decile_coverage")
+
+
+@query("a42_fragment_bins")
+def fragment_bins(spark, d):
+    t = Tables(spark, d)
+    return _round(pergene.fragment_bins(pergene.single_gene(t.reads, t.exons)))
+
+
+@query("a43_qc_flags")
+def qc_flags(spark, d):
+    t = Tables(spark, d)
+    flat = readstats.flagstat(t.reads).crossJoin(cohort.first_pass(t.reads).select("is_paired", "skip_dup_check"))  # one row each
+    strand = rseqc.infer_strandedness(rseqc.strand_classes(t.reads, t.transcripts)).select("strandedness")
+    fit = counting.fit_duplication(_matrix(t))
+    fixed = {"max_length": 50, "rrna_reads": 0, "biotype_assigned": 1000, "library_prep": "Tagmentation kit", "complexity_slope": 0.5, "fit_intercept": fit["intercept"], "genes_with_reads": 2000, "intron_tags": 10, "cds_tags": 20, "utr_tags": 5, "median_tlen": 167, "has_fasta": True}
+    row = flat.crossJoin(strand).select("is_paired", "skip_dup_check", "properly_paired", "paired", "mapped", "total", "duplicates", "strandedness", *[F.lit(v).alias(k) for k, v in fixed.items()])  # one row
+    return cohort.qc_flags(row).select(F.array_join("qc_flags", ",").alias("qc_flags"))
+
+
+@query("a47_fingerprint", oracle(" SELECT 'none' AS genome, CAST(0 AS BIGINT) AS n FROM region WHERE false"))
+def fingerprint(spark, d):
+    return cohort.fingerprint(Tables(spark, d).contigs)
+
+
+@query("a48_naming_style", oracle(" SELECT 'chr' AS style"))
+def naming_style(spark, d):
+    return cohort.naming_style(Tables(spark, d).contigs)
+
+
+@query("a46_first_pass", oracle(" SELECT count(*) AS sampled, count(*) FILTER (flag & 1 > 0) AS paired, count(*) FILTER (flag & 1024 > 0) AS duplicates, 2 * count(*) FILTER (flag & 1 > 0) > count(*) AS is_paired, count(*) >= 500 AND count(*) FILTER (flag & 1024 > 0) = 0 AS skip_dup_check FROM (SELECT * FROM reads WHERE flag & 2308 = 0 ORDER BY rec_ord LIMIT 1000)"))
+def first_pass(spark, d):
+    return cohort.first_pass(Tables(spark, d).reads)
