@@ -682,3 +682,83 @@ def naming_style(spark, d):
 @query("a46_first_pass", oracle(" SELECT count(*) AS sampled, count(*) FILTER (flag & 1 > 0) AS paired, count(*) FILTER (flag & 1024 > 0) AS duplicates, 2 * count(*) FILTER (flag & 1 > 0) > count(*) AS is_paired, count(*) >= 500 AND count(*) FILTER (flag & 1024 > 0) = 0 AS skip_dup_check FROM (SELECT * FROM reads WHERE flag & 2308 = 0 ORDER BY rec_ord LIMIT 1000)"))
 def first_pass(spark, d):
     return cohort.first_pass(Tables(spark, d).reads)
+
+
+# More SQL: reports whose oracle needs several steps.
+SQL["a18_strandedness"] = oracle(
+    """, kc AS (SELECT CASE WHEN flag & 1 = 0 THEN '' WHEN flag & 64 > 0 THEN '1' ELSE '2' END || CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END || k AS key, count(*) AS n FROM sp GROUP BY 1),
+  fr2 AS (SELECT sum(CASE WHEN key IN ('1++', '1--', '2+-', '2-+', '++', '--') THEN n ELSE 0 END) / sum(n) AS f, sum(CASE WHEN key IN ('1+-', '1-+', '2++', '2--', '+-', '-+') THEN n ELSE 0 END) / sum(n) AS r, CAST(sum(n) AS BIGINT) AS total FROM kc)
+  SELECT round(f, 6) AS forward, round(r, 6) AS reverse, total, round(1.0 - f - r, 6) AS failed, CASE WHEN f > 0.75 THEN 'forward' WHEN r > 0.75 THEN 'reverse' WHEN f < 0.75 AND r < 0.75 THEN 'unstranded' ELSE 'undetermined' END AS strandedness FROM fr2""",
+    STRANDS,
+)
+_TX = """tx AS (SELECT gene_id, tid, strand, s, e, CASE WHEN gene_ord % 3 <> 0 THEN s + 7 ELSE s END AS cs, CASE WHEN gene_ord % 3 <> 0 THEN s + (e - s) // 2 + 7 ELSE e END AS ce FROM genes),
+ex AS (SELECT mx.tid, mx.strand, mx.s, mx.e, cs, ce FROM mx JOIN tx USING (gene_id)),
+raw_sets AS (
+  SELECT 'cds_exon' AS region, tid, greatest(s, cs) AS s, least(e, ce) AS e FROM ex
+  UNION ALL SELECT CASE strand WHEN '+' THEN 'utr_5' ELSE 'utr_3' END, tid, s, least(e, cs) FROM ex
+  UNION ALL SELECT CASE strand WHEN '+' THEN 'utr_3' ELSE 'utr_5' END, tid, greatest(s, ce), e FROM ex
+  UNION ALL SELECT 'intron', tid, e, nx FROM (SELECT tid, e, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS nx FROM mx)
+  UNION ALL SELECT 'tss_up_' || k || 'kb', tid, CASE strand WHEN '-' THEN e ELSE greatest(0, s - k * 1000) END, CASE strand WHEN '-' THEN e + k * 1000 ELSE s END FROM tx, (VALUES (1), (5), (10)) v(k)
+  UNION ALL SELECT 'tes_down_' || k || 'kb', tid, CASE strand WHEN '-' THEN greatest(0, s - k * 1000) ELSE e END, CASE strand WHEN '-' THEN s ELSE e + k * 1000 END FROM tx, (VALUES (1), (5), (10)) v(k)),
+pb AS (SELECT DISTINCT region, tid, unnest(range(s, e)) AS p FROM raw_sets WHERE s < e),
+rank_of AS (SELECT *, CASE region WHEN 'cds_exon' THEN 1 WHEN 'utr_5' THEN 2 WHEN 'utr_3' THEN 2 WHEN 'intron' THEN 3 ELSE 4 END AS k FROM pb),
+best AS (SELECT tid, p, min(k) AS k FROM rank_of GROUP BY tid, p),
+own AS (SELECT region, tid, p FROM rank_of JOIN best USING (tid, p, k)),"""
+# a midpoint lies strictly inside a merged set if its base and the one before are both in the set
+SQL["a20_read_distribution"] = oracle(
+    """ , mid AS (SELECT rec_ord, bs, tid, (2 * pos + bs + be) // 2 AS p FROM reads JOIN xs USING (ln) WHERE flag & 1796 = 0),
+  hit AS (SELECT rec_ord, bs, list(region) AS rs FROM mid JOIN own o USING (tid, p) JOIN (SELECT region, tid, p + 1 AS p FROM own) o2 USING (region, tid, p) GROUP BY rec_ord, bs),
+  kind AS (SELECT CASE WHEN rs IS NULL THEN 'unassigned' WHEN list_contains(rs, 'cds_exon') THEN 'cds_exon' WHEN list_contains(rs, 'utr_5') AND list_contains(rs, 'utr_3') THEN 'unassigned' WHEN list_contains(rs, 'utr_5') THEN 'utr_5' WHEN list_contains(rs, 'utr_3') THEN 'utr_3'
+    WHEN list_contains(rs, 'intron') THEN 'intron' WHEN list_contains(rs, 'tss_up_10kb') AND list_contains(rs, 'tes_down_10kb') THEN 'unassigned' WHEN list_contains(rs, 'tss_up_1kb') THEN 'tss_up_1kb' WHEN list_contains(rs, 'tss_up_5kb') THEN 'tss_up_5kb' WHEN list_contains(rs, 'tss_up_10kb') THEN 'tss_up_10kb'
+    WHEN list_contains(rs, 'tes_down_1kb') THEN 'tes_down_1kb' WHEN list_contains(rs, 'tes_down_5kb') THEN 'tes_down_5kb' WHEN list_contains(rs, 'tes_down_10kb') THEN 'tes_down_10kb' ELSE 'unassigned' END AS region FROM mid LEFT JOIN hit USING (rec_ord, bs)),
+  tags AS (SELECT region, count(*) AS n FROM kind GROUP BY region),
+  wide AS (SELECT a.region, CAST(sum(n) AS BIGINT) AS n FROM (VALUES ('cds_exon', 'cds_exon'), ('utr_5', 'utr_5'), ('utr_3', 'utr_3'), ('intron', 'intron'), ('tss_up_1kb', 'tss_up_1kb'), ('tss_up_5kb', 'tss_up_1kb'), ('tss_up_5kb', 'tss_up_5kb'), ('tss_up_10kb', 'tss_up_1kb'), ('tss_up_10kb', 'tss_up_5kb'), ('tss_up_10kb', 'tss_up_10kb'),
+    ('tes_down_1kb', 'tes_down_1kb'), ('tes_down_5kb', 'tes_down_1kb'), ('tes_down_5kb', 'tes_down_5kb'), ('tes_down_10kb', 'tes_down_1kb'), ('tes_down_10kb', 'tes_down_5kb'), ('tes_down_10kb', 'tes_down_10kb')) a(region, part) JOIN tags ON tags.region = a.part GROUP BY a.region)
+  SELECT region, count(*) AS total_bases, coalesce(any_value(n), 0) AS tags, round(coalesce(any_value(n), 0) * 1000.0 / (count(*) + 1), 6) AS tags_per_kb FROM own LEFT JOIN wide USING (region) GROUP BY region""",
+    MERGED,
+    _TX.rstrip(","),
+    "xs(ln, bs, be) AS (VALUES (1, 0, 50), (2, 0, 20), (2, 120, 150), (3, 5, 50), (4, 0, 25), (4, 25, 48), (5, 0, 25), (5, 28, 53), (6, 0, 10), (6, 210, 220), (6, 270, 300), (7, 0, 45))",
+)
+SQL["a42_fragment_bins"] = oracle(
+    f""", fb AS (SELECT gene_id, {", ".join(f"count(*) FILTER (tlen >= {a} AND tlen < {b}) AS tlen_bin_{n}" for n, a, b in zip(kmers.TLEN_BINS, kmers.TLEN_EDGES, [*kmers.TLEN_EDGES[1:], 1001], strict=True))},
+  count(*) FILTER (tlen > 1000) AS tlen_overflow, count(*) AS tlen_count, round(avg(tlen), 6) AS tlen_mean, min(tlen) AS tlen_min, max(tlen) AS tlen_max,
+  CAST(quantile_disc(CASE {" ".join(f"WHEN tlen < {b} THEN {m}" for b, m in zip([*kmers.TLEN_EDGES[1:], 1001], kmers.TLEN_MIDPOINTS, strict=True))} ELSE 1001 END, 0.5) AS DOUBLE) AS tlen_median_approx
+  FROM o1 WHERE flag & 3855 = 3 AND tid = mtid AND tlen > 0 GROUP BY gene_id) SELECT * FROM fb""",
+    ONE,
+    blocks=True,
+)
+ORIGIN = f"""{MERGED}, ux AS (SELECT * FROM reads WHERE flag & 2820 = 0 AND nh <= 1),
+qs(ln, o, a, b) AS (VALUES (1, 0, 0, 50), (2, 0, 0, 20), (2, 1, 120, 150), (3, 0, 5, 50), (4, 0, 0, 25), (4, 1, 27, 50), (5, 0, 0, 25), (5, 1, 28, 53), (6, 0, 0, 10), (6, 1, 210, 220), (6, 2, 270, 300), (7, 0, 0, 45)),
+ub AS (SELECT ux.*, o, pos + a AS s, pos + b AS e FROM ux JOIN qs USING (ln)),
+nb AS (SELECT rec_ord, count(*) AS n FROM ub GROUP BY rec_ord),
+en AS (SELECT rec_ord, gene_id, count(DISTINCT CASE WHEN mx.s <= ub.s AND ub.e <= mx.e THEN o END) AS k FROM ub JOIN mx ON ub.tid = mx.tid AND ub.s < mx.e AND mx.s < ub.e GROUP BY rec_ord, gene_id),
+gl2 AS (SELECT rec_ord, coalesce(list(gene_id) FILTER (k = n), []) AS gs, bool_or(k < n) AS t FROM en JOIN nb USING (rec_ord) GROUP BY rec_ord),
+gap2 AS (SELECT tid, e AS s, nx AS e FROM (SELECT tid, e, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS nx FROM mx) WHERE nx > e),
+it AS (SELECT DISTINCT rec_ord FROM ub JOIN gap2 g ON ub.tid = g.tid AND ub.s <= g.e AND g.s <= ub.e),
+rw AS (SELECT ux.*, coalesce(gs, []) AS gs, coalesce(t, false) AS t, it.rec_ord IS NOT NULL AS i, flag & 3 = 3 AS proper FROM ux LEFT JOIN gl2 USING (rec_ord) LEFT JOIN it USING (rec_ord)),
+un2 AS (SELECT gs, i, t, 1 AS w FROM rw WHERE NOT proper UNION ALL SELECT list_intersect(a.gs, b.gs), a.i OR b.i, a.t OR b.t, 2 FROM rw a JOIN rw b ON a.proper AND b.proper AND a.qname = b.qname AND a.flag & 64 > 0 AND b.flag & 128 > 0)"""
+SQL["a26_read_origin"] = oracle(" SELECT CASE WHEN len(gs) = 1 THEN 'exonic' WHEN len(gs) > 1 THEN 'ambiguous' WHEN i THEN 'intronic' ELSE 'intergenic' END AS origin, CAST(sum(w) AS BIGINT) AS n FROM un2 GROUP BY 1 UNION ALL SELECT 'overlapping_exon', count(*) FROM un2 WHERE len(gs) = 0 AND t", ORIGIN)
+SQL["a26_junction_support"] = oracle(
+    """, jr AS (SELECT tid, pos + a AS s, pos + b AS e FROM ux JOIN (VALUES (2, 20, 120), (6, 10, 210), (6, 220, 270)) v(ln, a, b) USING (ln)), ed AS (SELECT DISTINCT tid, unnest([s - 1, s, s + 1]) AS p FROM gap2), ee AS (SELECT DISTINCT tid, unnest([e - 1, e, e + 1]) AS p FROM gap2)
+  SELECT CASE k WHEN 2 THEN 'known' WHEN 1 THEN 'partly_known' ELSE 'novel' END AS class, count(*) AS n FROM (SELECT CAST((tid, s) IN (SELECT tid, p FROM ed) AS INTEGER) + CAST((tid, e) IN (SELECT tid, p FROM ee) AS INTEGER) AS k FROM jr) GROUP BY 1""",
+    ORIGIN,
+)
+DISTANCE = f"""{MERGED}, me AS (SELECT DISTINCT tid, unnest(range(s, e)) AS p FROM exons),
+kp2 AS (SELECT *, pos + CASE ln WHEN 2 THEN 150 WHEN 3 THEN 45 WHEN 6 THEN 300 WHEN 7 THEN 45 ELSE 50 END AS r1e FROM reads WHERE flag & 1805 = 1 AND mapq >= 30 AND ((tid = mtid AND (mpos > pos OR (mpos = pos AND flag & 64 = 0))) OR tid < mtid)),
+xs2(ln, bs, be) AS (VALUES (1, 0, 50), (2, 0, 20), (2, 120, 150), (3, 5, 50), (4, 0, 25), (4, 25, 48), (5, 0, 25), (5, 28, 53), (6, 0, 10), (6, 210, 220), (6, 270, 300), (7, 0, 45)),
+ins AS (SELECT rec_ord, sum(greatest(0, least(pos + be, r1e) - greatest(pos + bs, mpos))) AS x FROM kp2 JOIN xs2 USING (ln) GROUP BY rec_ord),
+lt AS (SELECT * FROM genes WHERE gene_ord NOT IN (SELECT min(gene_ord) FROM genes GROUP BY tid)),
+cm AS (SELECT DISTINCT rec_ord FROM kp2 k JOIN lt ON k.tid = k.mtid AND lt.tid = k.tid AND lt.s <= r1e - 1 AND r1e - 1 < lt.e AND lt.s <= mpos AND mpos < lt.e),
+exb AS (SELECT rec_ord, count(*) AS x FROM kp2 k JOIN me ON k.tid = k.mtid AND me.tid = k.tid AND r1e <= p AND p < mpos GROUP BY rec_ord),
+ds AS (SELECT k.rec_ord, k.tid, k.mtid, CASE WHEN k.tid = mtid THEN CASE WHEN mpos >= r1e THEN mpos - r1e ELSE -ins.x END END AS d, coalesce(exb.x, 0) AS x, cm.rec_ord IS NOT NULL AS c FROM kp2 k JOIN ins USING (rec_ord) LEFT JOIN exb USING (rec_ord) LEFT JOIN cm USING (rec_ord)),
+dc AS (SELECT *, CASE WHEN tid <> mtid THEN 'sameChrom=No' WHEN NOT c THEN 'sameTranscript=No,dist=genomic' WHEN d <= 0 THEN 'readPairOverlap' WHEN x = d THEN 'sameTranscript=Yes,sameExon=Yes,dist=mRNA' WHEN x > 0 THEN 'sameTranscript=Yes,sameExon=No,dist=mRNA' ELSE 'sameTranscript=Yes,nonExonic=Yes,dist=genomic' END AS class FROM ds),
+dd AS (SELECT class, CASE WHEN class = 'sameTranscript=Yes,sameExon=No,dist=mRNA' THEN x ELSE d END AS distance FROM dc)"""
+SQL["a23_inner_distance"] = oracle(" SELECT class, count(*) AS n, CAST(sum(distance) AS BIGINT) AS total FROM dd GROUP BY class", DISTANCE)
+SQL["a23_distance_histogram"] = oracle(" SELECT CAST(-250 + (CAST(ceil((distance + 250) / 5) AS BIGINT) - 1) * 5 AS BIGINT) AS lo, count(*) AS n FROM dd WHERE distance > -250 AND distance <= 250 GROUP BY 1", DISTANCE)
+SQL["a35_sex"] = oracle(" SELECT CAST(0 AS BIGINT) AS chr_y, (SELECT count(*) FROM reads WHERE flag & 4 = 0) AS autosomes, (SELECT CAST(sum(fc_reads) AS BIGINT) FROM fc) AS assigned, CAST(0 AS BIGINT) AS xist, CAST(0 AS BIGINT) AS rps4y1, 0.0 AS y_ratio, 0.0 AS xist_fraction, 0.0 AS rps4y1_fraction, 'unknown' AS predicted", STATUS, FC, blocks=True).replace("0.0 AS", "CAST(0 AS DOUBLE) AS")
+_JAT = lambda p: f"substr({_PIECE.format(k=f'({p}) // 32')} || {_PIECE.format(k=f'({p}) // 32 + 1')}, CAST(({p}) % 32 + 1 AS BIGINT), 2)"
+SQL["a38_splice_motifs"] = oracle(
+    f""", sj AS (SELECT CASE WHEN tid < 4 AND s // 1024 <= 487 AND (e - 2) // 1024 <= 487 THEN {_JAT("s")} || '-' || {_JAT("e - 2")} END AS m FROM (SELECT DISTINCT tid, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, 'chr' || CAST(tid + 1 AS VARCHAR) AS c FROM jn WHERE e - s >= 50))
+  SELECT CASE WHEN m IS NULL THEN 'oob' WHEN m IN ('GT-AG', 'CT-AC') THEN 'gt_ag' WHEN m IN ('GC-AG', 'CT-GC') THEN 'gc_ag' WHEN m IN ('AT-AC', 'GT-AT') THEN 'at_ac' ELSE 'other' END AS class, count(*) AS n FROM sj GROUP BY 1""",
+    JUNCTIONS,
+)

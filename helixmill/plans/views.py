@@ -94,5 +94,5 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(body: str, *ctes: str, blocks: bool = False) -> str:
-    """The views, more CTEs, and a query, for DuckDB."""
+    """The views, more CTEs, and a query, for DuckDB; a body that begins with a comma adds CTEs of its own."""
     return "WITH " + ",".join([READS, GENES, *([BLOCKS] if blocks else []), *ctes]) + body
