@@ -45,8 +45,12 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose name (a, b) two or more rows have."""
-    many = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    """The rows whose name (a, b) two or more rows have.
+
+    The names are saved, so that the join has a shuffle on either side, of which adaptive execution
+    can split a hot name's rows over tasks.
+    """
+    many = saved(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"))
     return rows.join(many, ["a", "b"])
 
 
@@ -105,7 +109,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
         return runs.select("doc", "mark", F.col("first").alias("idx"))
     rows = saved(reduce(DataFrame.unionByName, named))
     place = F.struct("doc", "mark", "first")
-    earliest = rows.groupBy("a", "b").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    earliest = saved(rows.groupBy("a", "b").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = rows.join(earliest, ["a", "b"]).where(place > F.col("origin"))
     return copies.select("doc", "mark", F.explode(F.sequence("first", "last")).alias("idx")).distinct()
 
