@@ -268,6 +268,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
                     total = np.concatenate([[0], np.cumsum(enc.counts(flat))])[edge]
                     made = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(enc.expand(flat), pa.int32()))
                     yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first + a, b - a) for k in range(at)), made], names=[*(batch.schema.names[:at]), ids])
+        enc.clear()  # a worker lives on and may serve other operators
 
     return source.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 #: Hashed weights of n-grams and affixes; longest word part that features read from each end is the whole word.
 BUCKETS = 1 << 16
 #: Words of a block of the chain; texts and words held at a time. They change no result.
-CHAIN, KEEP_WORDS, PART_WORDS = 64, 400_000, 400_000
+CHAIN, KEEP_WORDS, PART_WORDS = 64, 250_000, 150_000
 #: Bound of a training row's text.
 MAX_BYTES = 60_000
 UNKNOWN = "und"
