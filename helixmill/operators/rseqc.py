@@ -47,23 +47,35 @@ FLANKS = [1000, 5000, 10000]
 
 
 def regions(transcripts: DataFrame, tx_exons: DataFrame) -> DataFrame:
-    """A.2: the ten region sets, merged and subtracted. transcripts: tx_id, tid, s, e, strand, cds_s, cds_e; tx_exons: tx_id, tid, s, e."""
+    """A.2: the ten region sets, merged and subtracted. transcripts: tx_id, tid, s, e, strand, cds_s, cds_e; tx_exons: tx_id, tid, s, e.
+
+    All sets' edges are swept once: between two edges each set is there or not, and the priorities decide.
+    """
     tx = transcripts.select("tx_id", "tid", "strand", F.col("s").alias("ts"), F.col("e").alias("te"), F.coalesce("cds_s", "s").alias("cs"), F.coalesce("cds_e", "e").alias("ce"))
     ex = tx_exons.select("tx_id", "s", "e").join(tx, "tx_id")
-    cut = lambda a, b: ex.select("tid", "strand", a.alias("s"), b.alias("e")).where("s < e")
-    cds = cut(F.greatest("s", "cs"), F.least("e", "ce")).select("tid", "s", "e")
-    before, after = cut(F.col("s"), F.least("e", "cs")), cut(F.greatest("s", "ce"), F.col("e"))
-    pick = lambda p, m: p.where("strand = '+'").unionByName(m.where("strand = '-'")).select("tid", "s", "e")
-    utr5, utr3 = pick(before, after), pick(after, before)
-    intron = intervals.gaps(tx_exons.select("tx_id", "tid", "s", "e"), ["tx_id"], ["tid"]).select("tid", "s", "e").where("s < e")
-    flank = lambda up, k: tx.select("tid", F.when((F.col("strand") == "-") == F.lit(up), F.col("te")).otherwise(F.greatest(F.lit(0).cast("long"), F.col("ts") - k)).alias("s"), F.when((F.col("strand") == "-") == F.lit(up), F.col("te") + k).otherwise(F.col("ts")).alias("e")).where("s < e")
-    union = lambda *d: reduce(DataFrame.unionByName, d)
-    sets = {"cds_exon": cds, "utr_5": intervals.subtract(utr5, cds, ["tid"]), "utr_3": intervals.subtract(utr3, cds, ["tid"])}
-    sets["intron"] = intervals.subtract(intron, union(cds, utr5, utr3), ["tid"])
+    plus, minus = F.col("strand") == "+", F.col("strand") == "-"
+    part = lambda name, s, e: F.struct(name.alias("region"), s.cast("long").alias("s"), e.cast("long").alias("e"))
+    before = F.when(plus, "utr_5").when(minus, "utr_3")
+    after = F.when(plus, "utr_3").when(minus, "utr_5")
+    exonic = F.array(part(F.lit("cds_exon"), F.greatest("s", "cs"), F.least("e", "ce")), part(before, F.col("s"), F.least("e", "cs")), part(after, F.greatest("s", "ce"), F.col("e")))
+    flanks = []
     for k in FLANKS:
-        for name, up in (("tss_up", True), ("tes_down", False)):
-            sets[f"{name}_{k // 1000}kb"] = intervals.subtract(flank(up, k), union(cds, utr5, utr3, intron), ["tid"])
-    return union(*[intervals.merge(d, ["tid"]).select(F.lit(n).alias("region"), "tid", "s", "e") for n, d in sets.items()])
+        low, high = (F.greatest(F.lit(0), F.col("ts") - k), F.col("ts")), (F.col("te"), F.col("te") + k)
+        for name, first, second in ((f"tss_up_{k // 1000}kb", high, low), (f"tes_down_{k // 1000}kb", low, high)):
+            flanks.append(part(F.lit(name), *(F.when(minus, x).otherwise(y) for x, y in zip(first, second, strict=True))))
+    intron = intervals.gaps(tx_exons.select("tx_id", "tid", "s", "e"), ["tx_id"], ["tid"]).select("tid", F.lit("intron").alias("region"), "s", "e")
+    rows = ex.select("tid", F.inline(exonic)).unionByName(tx.select("tid", F.inline(F.array(*flanks)))).unionByName(intron).where("s < e and region is not null")
+    names = ["cds_exon", "utr_5", "utr_3", "intron", *(f"{n}_{k // 1000}kb" for k in FLANKS for n in ("tss_up", "tes_down"))]
+    edges = rows.select("tid", "region", F.explode(F.array(F.struct(F.col("s").alias("p"), F.lit(1).alias("d")), F.struct(F.col("e").alias("p"), F.lit(-1).alias("d")))).alias("x"))
+    steps = edges.groupBy("tid", F.col("x.p").alias("p")).agg(*[F.sum(F.when(F.col("region") == n, F.col("x.d")).otherwise(0)).alias(n) for n in names])
+    w = Window.partitionBy("tid").orderBy("p")  # edges of the annotation
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    here = steps.select("tid", F.col("p").alias("s"), F.lead("p").over(w).alias("e"), *[(F.sum(n).over(run) > 0).alias(n) for n in names]).where("e is not null")
+    c = F.col
+    exon = c("cds_exon") | c("utr_5") | c("utr_3")
+    rule = {"cds_exon": c("cds_exon"), "utr_5": c("utr_5") & ~c("cds_exon"), "utr_3": c("utr_3") & ~c("cds_exon"), "intron": c("intron") & ~exon} | {n: c(n) & ~exon & ~c("intron") for n in names[4:]}
+    found = here.select("tid", "s", "e", F.explode(F.array_compact(F.array(*[F.when(cond, n) for n, cond in rule.items()]))).alias("region"))
+    return intervals.merge(found, ["region", "tid"])
 
 
 def region_tags(reads: DataFrame, region_sets: DataFrame) -> DataFrame:
