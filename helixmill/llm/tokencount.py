@@ -34,18 +34,38 @@ LEAF = 32
 Edit = tuple[int, int, str]
 
 
+def split_words(text: str, enc: bpe.WordEncoder) -> list[str]:
+    """Pre-tokens, special tokens among them."""
+    if enc.cut and "<" in text and any(s in text for s in enc.voc.special):
+        return [w for k, part in enumerate(enc.cut(text)) for w in ([part] if k % 2 else enc.find(part))]
+    return enc.find(text)
+
+
+def numbers(words: list[str], enc: bpe.WordEncoder) -> np.ndarray:
+    special, number = enc.voc.special, enc.number.__getitem__
+    if special and any(s in words for s in special):
+        return np.array([-1 - special[w] if w in special else number(w) for w in words], np.int32)
+    return np.array(list(map(number, words)), np.int32)
+
+
+def numbered(text: str, enc: bpe.WordEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's pre-tokens and their characters."""
+    words = split_words(text, enc)
+    return numbers(words, enc), np.fromiter(map(len, words), np.int64, len(words))
+
+
 class TokenTree:
     """One document's pre-tokens and their sums."""
 
-    def __init__(self, text: str, enc: bpe.WordEncoder):
+    def __init__(self, text: str, enc: bpe.WordEncoder, split: tuple[np.ndarray, np.ndarray] | None = None):
+        """split: what numbered() gave for the text, if it is at hand."""
         self.enc = enc
         self.encoded = 0
-        words = self._split(text)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        counts = self._counts(words)
-        starts = np.arange(0, len(words), LEAF)
-        chars = np.add.reduceat(sizes, starts) if len(words) else np.zeros(0, np.int64)
-        tokens = np.add.reduceat(counts, starts) if len(words) else np.zeros(0, np.int64)
+        seq, sizes = split or numbered(text, enc)
+        counts = enc.counts(seq) if len(seq) else np.zeros(0, np.int64)
+        starts = np.arange(0, len(seq), LEAF)
+        chars = np.add.reduceat(sizes, starts) if len(seq) else np.zeros(0, np.int64)
+        tokens = np.add.reduceat(counts, starts) if len(seq) else np.zeros(0, np.int64)
         ends = np.cumsum(chars).tolist()
         self.leaves = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)] or [""]
         n = len(self.leaves)
@@ -59,20 +79,14 @@ class TokenTree:
             for sums in (self.chars, self.tokens):
                 sums[half:level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
             level = half
-        self.words = len(words)
-        self.encoded = 0
+        self.words = len(seq)
 
     def _split(self, text: str) -> list[str]:
-        enc = self.enc
-        if enc.cut and "<" in text and any(s in text for s in enc.voc.special):
-            return [w for k, part in enumerate(enc.cut(text)) for w in ([part] if k % 2 else enc.find(part))]
-        return enc.find(text)
+        return split_words(text, self.enc)
 
     def _counts(self, words: list[str]) -> np.ndarray:
         self.encoded += len(words)
-        special, number = self.enc.voc.special, self.enc.number
-        seq = np.array([-1 - special[w] if w in special else number[w] for w in words] if special and "<" in "".join(words) else list(map(number.__getitem__, words)), np.int32)
-        return self.enc.counts(seq) if len(seq) else np.zeros(0, np.int64)
+        return self.enc.counts(numbers(words, self.enc)) if words else np.zeros(0, np.int64)
 
     @property
     def total(self) -> int:
@@ -103,14 +117,49 @@ class TokenTree:
             node //= 2
 
     def edit(self, start: int, stop: int, insert: str) -> None:
+        """One edit of the text as it stands."""
         start = max(0, min(start, self.length))
-        stop = max(start, min(stop, self.length))
+        self.apply([(start, max(start, min(stop, self.length)), insert)])
+
+    def apply(self, edits: list[Edit]) -> None:
+        """Edits without overlap, from the last to the first, all in places of the text as it stands before them.
+
+        Edits whose leaves meet are made together, so that a leaf is encoded again once.
+        """
+        if not edits:
+            return
         reach = max(map(len, self.enc.voc.special), default=0) if self.enc.cut else 0  # a special token may form over this many characters
-        first, begin = self.locate(max(0, start - 2 - reach))
-        last, _ = self.locate(min(stop + reach, max(0, self.length - 1)))
+        lows = [max(0, e[0] - 2 - reach) for e in edits]
+        highs = [min(e[1] + reach, max(0, self.length - 1)) for e in edits]
+        if len(edits) > 8:
+            ends = np.cumsum(self.chars[self.width : self.width + len(self.leaves)])
+            leaf = lambda places: np.minimum(np.searchsorted(ends, places, "right"), len(self.leaves) - 1).tolist()
+            firsts, lasts = leaf(lows), leaf(highs)
+        else:
+            firsts, lasts = [self.locate(p)[0] for p in lows], [self.locate(p)[0] for p in highs]
+        at = 0
+        while at < len(edits):  # from the right, so places to the left stay
+            end, first = at + 1, firsts[at]
+            while end < len(edits) and lasts[end] >= first:
+                first = min(first, firsts[end])
+                end += 1
+            self._remake(first, max(lasts[at:end]), edits[at:end][::-1])
+            at = end
+
+    def _remake(self, first: int, last: int, edits: list[Edit]) -> None:
+        """Makes the edits (in order) in the leaves first to last and encodes these, and more up to a common border."""
+        node, begin = first + self.width, 0
+        while node > 1:
+            if node % 2:
+                begin += int(self.chars[node - 1])
+            node //= 2
+        body, done, parts = "".join(self.leaves[first : last + 1]), begin, []
+        for start, stop, insert in edits:
+            parts += [body[done - begin : start - begin], insert]
+            done = stop
+        body = "".join(parts) + body[done - begin :]
         n = len(self.leaves)
-        body = "".join(self.leaves[first : last + 1])
-        body = body[: start - begin] + insert + body[stop - begin :]
+        reach = max(map(len, self.enc.voc.special), default=0) if self.enc.cut else 0
         while True:
             ahead, k = "", last + 1
             while k < n and len(ahead) < 4 + reach:
@@ -124,11 +173,11 @@ class TokenTree:
             last += 1
             body += self.leaves[last]
         kept = words[: at + 1] if ahead and body else (words if not ahead else [])
-        tokens = int(self._counts(kept).sum())
-        self._set(first, body, tokens)
-        for leaf in range(first + 1, last + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, "", 0)
+        counts = self._counts(kept)
+        leaves = last - first + 1
+        cuts = [len(kept) * k // leaves for k in range(leaves + 1)]  # dealt out evenly, so that no leaf grows
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            self._set(first + k, "".join(kept[a:b]), int(counts[a:b].sum()))
 
     @property
     def text(self) -> str:
@@ -150,14 +199,16 @@ def ordered(edits: list[Edit | None] | None, length: int) -> list[Edit]:
 # Fixed values of the query's edits: runs of marks go; addresses, keys and long numbers are masked.
 _MARKS = re.compile(r"[$%&*#!]{2,}")
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
-_NUMBER = re.compile(r"\b[0-9a-f]{32,}\b|\+?\d[\d ().-]{7,}\d")
+_DIGIT = re.compile(r"[0-9]")
+_NUMBER = re.compile(r"\b(?=[a-f]*[0-9])[0-9a-f]{32,}\b|\+?\d[\d ().-]{7,}\d")
 
 
 def cleaning_edits(text: str) -> list[Edit]:
     found = [(m.start(), m.end(), "") for m in _MARKS.finditer(text)]
     if "@" in text:
         found += [(m.start(), m.end(), "<MAIL>") for m in _MAIL.finditer(text)]
-    found += [(m.start(), m.end(), "<NUM>") for m in _NUMBER.finditer(text)]
+    if _DIGIT.search(text):
+        found += [(m.start(), m.end(), "<NUM>") for m in _NUMBER.finditer(text)]
     return found
 
 
@@ -185,20 +236,19 @@ def recount(df: DataFrame, path: str | None = None, text: str = "text", edits: s
                 part = batch.slice(first, stop - first)
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 given = part.column(at + 1).to_pylist() if edits else None
-                for t in texts:  # all words of the portion get their ids together
-                    enc.sequence(t)
-                enc.tables()
+                splits = [numbered(t, enc) for t in texts]
+                enc.tables()  # all words of the portion get their ids together
                 rows = []
                 for i, t in enumerate(texts):
-                    tree = TokenTree(t, enc)
+                    tree = TokenTree(t, enc, splits[i])
                     before = tree.total
                     asked = cleaning_edits(t) if given is None else [e and (e["start"], e["stop"], e["insert"]) for e in given[i] or []]
                     todo = ordered(asked, len(t))
-                    for e in todo:
-                        tree.edit(*e)
+                    tree.apply(todo)
                     rows.append((before, len(todo), tree.total, tree.words, tree.encoded))
                 columns = np.array(rows, np.int64).reshape(-1, len(OUTPUTS))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(at)), *(pa.array(columns[:, k]) for k in range(len(OUTPUTS)))], names=[*keep, *OUTPUTS])
+        enc.clear()
 
     return source.mapInArrow(run, schema)
 

@@ -39,6 +39,22 @@ def test_edits_in_sequence(text, edits, leaf):
         tokencount.LEAF = kept
 
 
+@settings(max_examples=250, deadline=None)
+@given(PIECES, st.lists(st.tuples(st.integers(0, 200), st.integers(0, 9), st.lists(st.sampled_from(ALPHABET), max_size=4).map("".join)), max_size=30), st.sampled_from([1, 2, 5]))
+def test_edits_together(text, edits, leaf):
+    tokencount.LEAF, kept = leaf, tokencount.LEAF
+    try:
+        tree = tokencount.TokenTree(text, bpe.encoder(bpe.default_path()))
+        todo = tokencount.ordered([(a, a + n, s) for a, n, s in edits], len(text))
+        tree.apply(todo)
+        want = apply(text, [(a, a + n, s) for a, n, s in edits])
+        assert tree.text == want and tree.total == count(want)
+        tree.edit(0, 3, "x")
+        assert tree.text == "x" + want[3:] and tree.total == count("x" + want[3:])
+    finally:
+        tokencount.LEAF = kept
+
+
 def test_only_touched_regions_are_encoded_again():
     rng = random.Random(1)
     text = " ".join(rng.choice(["the", "of", "naïve", "x1", "don't"]) for _ in range(20000))
