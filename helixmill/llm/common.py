@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -35,10 +34,5 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def dollar_free(name: str) -> str:
-    """A column name that no input column has: for helpers beside unknown extra columns."""
-    return "__hm_" + re.sub(r"\W", "_", name)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

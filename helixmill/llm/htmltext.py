@@ -43,7 +43,7 @@ DROP_TAGS = frozenset("nav footer aside form head button select option dialog me
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "notification alert popup modal overlay nav navbar navigation navi menu breadcrumb breadcrumbs sidebar aside footer masthead topbar comment comments "
+    "notification alert popup modal overlay nav navbar navigation navi menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist "
     "disqus replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager".split()
 )
 
