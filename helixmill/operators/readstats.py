@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,23 +206,22 @@ def depth_histogram(reads: DataFrame, most: int = 1000) -> DataFrame:
 def gc_depth(reads: DataFrame, width: int = 20_000) -> DataFrame:
     """Bins opened by the arrival of reads: a read more than width beyond the open bin's start opens the next.
 
-    The bins depend on the order of reads within a contig, so each contig is one pandas group of
-    (pos, gc, length) in file order; the caller bounds it by the contig's reads.
+    The bins depend on the order of reads within a contig. Reads of one place are summed in Spark
+    first, so a contig's pandas group has at most a row for each of its places.
     """
-    rows = reads.where(none_of(flags.UNMAPPED | flags.SECONDARY)).select("tid", "rec_ord", "pos", F.length(F.regexp_replace("seq", "[^GC]", "")).alias("gc"), F.length("seq").alias("len"))
+    n = F.length("seq")
+    kept = reads.where(none_of(flags.UNMAPPED | flags.SECONDARY))
+    rows = kept.groupBy("tid", "pos").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("seq", "[^GC]", "")) / F.greatest(n, F.lit(1))).alias("gc"))
 
     def bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, start, depth, gc = [], None, 0, 0.0
-        for pos, g, n in pdf.sort_values(["pos", "rec_ord"])[["pos", "gc", "len"]].itertuples(index=False):
-            if start is None or pos - start > width:
-                if start is not None:
-                    out.append((start, depth, gc / depth))
-                start, depth, gc = pos, 0, 0.0
-            depth += 1
-            gc += g / max(1, n)
-        if start is not None:
-            out.append((start, depth, gc / depth))
-        return pd.DataFrame(out, columns=["bin_start", "depth", "gc"]).assign(tid=pdf.tid.iloc[0])[["tid", "bin_start", "depth", "gc"]]
+        pdf = pdf.sort_values("pos")
+        places = pdf.pos.to_numpy()
+        starts, at = [], 0
+        while at < len(places):
+            starts.append(at)
+            at = int(np.searchsorted(places, places[at] + width, "right"))
+        depth, gc = np.add.reduceat(pdf.n.to_numpy(), starts), np.add.reduceat(pdf.gc.to_numpy(), starts)
+        return pd.DataFrame({"tid": pdf.tid.iloc[0], "bin_start": places[starts], "depth": depth, "gc": gc / depth})
 
     return rows.groupBy("tid").applyInPandas(bins, "tid int, bin_start long, depth long, gc double")
 
