@@ -38,9 +38,9 @@ def sex_inference(per_contig: DataFrame, fc_reads: DataFrame, genes: DataFrame)
     of = lambda s: F.coalesce(F.sum(F.when(F.col("symbol") == s, F.col("fc_reads"))), F.lit(0))
     marks = own.agg(F.coalesce(F.sum("fc_reads"), F.lit(0)).alias("assigned"), of("XIST").alias("xist"), of("RPS4Y1").alias("rps4y1"))
     both = reads.crossJoin(marks).select("*", kmers.ratio(F.col("chr_y"), F.col("autosomes")).alias("y_ratio"), kmers.ratio(F.col("xist"), F.col("assigned")).alias("xist_fraction"), kmers.ratio(F.col("rps4y1"), F.col("assigned")).alias("rps4y1_fraction"))  # one row each
-    male = (F.col("y_ratio") >= 1e-3) | (F.col("rps4y1_fraction") >= 1e-5)
-    female = (F.col("xist_fraction") >= 1e-5) & (F.col("y_ratio") < 1e-4)
-    return both.withColumn("predicted", F.when(F.col("autosomes") < 1000, "unknown").when(male & ~female, "male").when(female & ~male, "female").otherwise("unknown"))
+    male = (F.col("y_ratio") > 1e-3) | (F.col("rps4y1_fraction") > 1e-5)
+    female = F.col("xist_fraction") > 1e-4
+    return both.withColumn("predicted", F.when(F.col("autosomes") < 1000, "unknown").when(male & female, "ambiguous").when(male, "male").when(female, "female").otherwise("unknown"))
 
 
 def gene_saturation(assigned: DataFrame, fractions: list[float] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def snp_depths(reads: DataFrame, sites: DataFrame, min_mapq: int = 30, min_depth
     out = sites.select(*keys).join(per, keys, "left").fillna(0, subset=[f"depth_{b}" for b in "acgt"])
     total = sum((F.col(f"depth_{b}") for b in "acg"), F.col("depth_t"))
     pick = lambda c: F.when(c == "A", F.col("depth_a")).when(c == "C", F.col("depth_c")).when(c == "G", F.col("depth_g")).when(c == "T", F.col("depth_t")).otherwise(0)
-    return out.withColumn("depth", total).withColumn("alt_fraction", F.when(F.col("depth") > 0, pick(F.col("alt")) / F.col("depth"))).withColumn("called", F.col("depth") >= min_depth)
+    return out.withColumn("depth", total).withColumn("alt_fraction", F.when(F.col("depth") > 0, pick(F.col("alt")) / F.col("depth")).otherwise(0.0)).withColumn("called", F.col("depth") >= min_depth)
 
 
 # Contig lengths that tell assemblies apart.

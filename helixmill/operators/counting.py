@@ -24,7 +24,7 @@ def with_genes(reads: DataFrame, exons: DataFrame, library: str = "unstranded")
 
 
 def fragments(reads: DataFrame, exons: DataFrame, paired: bool = True, library: str = "unstranded") -> DataFrame:
-    """One row for each fragment: genes, is_dup and is_multi.
+    """One row for each fragment: genes, is_dup, is_multi and its members' rec_ords.
 
     Mates meet on name, both ends and the hit index; a first and a second read make a pair, whose
     genes are the common ones, or all if none is common. Its status comes from the first read. A
@@ -33,7 +33,7 @@ def fragments(reads: DataFrame, exons: DataFrame, paired: bool = True, library:
     kept = with_genes(reads.where(flags.counted(paired)), exons, library)
     dup, multi = flags.has(flags.DUPLICATE), F.coalesce("nh", F.lit(1)) > 1
     if not paired:
-        return kept.select("genes", dup.alias("is_dup"), multi.alias("is_multi"))
+        return kept.select("genes", dup.alias("is_dup"), multi.alias("is_multi"), F.array("rec_ord").alias("members"))
     first = flags.has(flags.FIRST)
     mine, mate = F.struct("tid", "pos"), F.struct(F.col("mtid").alias("tid"), F.col("mpos").alias("pos"))
     hi = F.coalesce("hi", F.lit(-1)) if "hi" in reads.columns else F.lit(-1)
@@ -45,7 +45,7 @@ def fragments(reads: DataFrame, exons: DataFrame, paired: bool = True, library:
     x, y = F.col("p.x"), F.col("p.y")
     common = F.array_intersect(x.genes, y.genes)
     genes = F.when(x.isNull(), y.genes).when(y.isNull(), x.genes).when(F.size(common) > 0, common).otherwise(F.array_union(x.genes, y.genes))
-    return each.select(genes.alias("genes"), F.coalesce(x.is_dup, y.is_dup).alias("is_dup"), F.coalesce(x.is_multi, y.is_multi).alias("is_multi"))
+    return each.select(genes.alias("genes"), F.coalesce(x.is_dup, y.is_dup).alias("is_dup"), F.coalesce(x.is_multi, y.is_multi).alias("is_multi"), F.array_compact(F.array(x.rec_ord, y.rec_ord)).alias("members"))
 
 
 def gene_counts(frags: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ def readthrough_rate(reads: DataFrame, min_mapq: int = 30) -> DataFrame:
     return kept.agg(kmers.ratio(short, F.count("*")).alias("adapter_readthrough_rate"), F.count("*").alias("n"))
 
 
-def end_motifs(reads: DataFrame, fasta: DataFrame, k: int = 4, min_mapq: int = 30, chunk: int = 65536) -> DataFrame:
-    """5' and 3' k-mers of fragments from the reference; `end` used, skipped_non_acgt or skipped_oob rows too.
+def motif_pairs(reads: DataFrame, fasta: DataFrame, k: int = 4, min_mapq: int = 30, chunk: int = 65536) -> DataFrame:
+    """rec_ord, kind (used, skipped_non_acgt, skipped_oob), and the 5' and 3' k-mers p5 and p3 of each proper pair.
 
     fasta: contig, chunk_no, seq, in chunks of `chunk` bases that overlap by k - 1, so only the chunks
     of fragment ends are joined and no contig is moved whole. reads need `contig`.
@@ -55,11 +55,20 @@ def end_motifs(reads: DataFrame, fasta: DataFrame, k: int = 4, min_mapq: int = 3
     inside = (F.col("tlen") >= k) & (F.length("p5") == k) & (F.length("p3") == k)
     clean = kmers.valid(F.col("p5"), k) & kmers.valid(F.col("p3"), k)
     kind = F.when(F.coalesce(inside, F.lit(False)), F.when(clean, "used").otherwise("skipped_non_acgt")).otherwise("skipped_oob")
-    marked = both.withColumn("kind", kind)
-    motif = lambda end, c: F.struct(F.lit(end).alias("end"), c.alias("kmer"))
-    used = marked.where("kind = 'used'").select(F.explode(F.array(motif("5p", F.col("p5")), motif("3p", kmers.reverse_complement("p3")))).alias("m")).select("m.end", "m.kmer")
-    tallies = marked.groupBy("kind").agg(F.count("*").alias("n")).select(F.col("kind").alias("end"), F.lit(None).cast("string").alias("kmer"), "n")
-    return used.groupBy("end", "kmer").agg(F.count("*").alias("n")).unionByName(tallies)
+    return both.select("rec_ord", kind.alias("kind"), "p5", kmers.reverse_complement("p3").alias("p3"))
+
+
+def motif_rows(pairs: DataFrame, *keep: str) -> DataFrame:
+    """end and kmer of both ends of the used pairs."""
+    motif = lambda end, c: F.struct(F.lit(end).alias("end"), F.col(c).alias("kmer"))
+    return pairs.where("kind = 'used'").select(*keep, F.explode(F.array(motif("5p", "p5"), motif("3p", "p3"))).alias("m")).select(*keep, "m.end", "m.kmer")
+
+
+def end_motifs(reads: DataFrame, fasta: DataFrame, k: int = 4, min_mapq: int = 30, chunk: int = 65536) -> DataFrame:
+    """Counts of 5' and 3' k-mers of fragments from the reference, and of used and skipped pairs."""
+    pairs = motif_pairs(reads, fasta, k, min_mapq, chunk)
+    tallies = pairs.groupBy("kind").agg(F.count("*").alias("n")).select(F.col("kind").alias("end"), F.lit(None).cast("string").alias("kmer"), "n")
+    return motif_rows(pairs).groupBy("end", "kmer").agg(F.count("*").alias("n")).unionByName(tallies)
 
 
 def soft_clips(reads: DataFrame, min_mapq: int = 30, k: int = 4) -> DataFrame:
@@ -79,13 +88,13 @@ def clip_rates(reads: DataFrame, min_mapq: int = 30) -> DataFrame:
     return reads.where(flags.primary_mapped(min_mapq)).agg(kmers.ratio(n5, F.count("*")).alias("rate_5p"), kmers.ratio(n3, F.count("*")).alias("rate_3p"), F.count("*").alias("n"))
 
 
-def periodicity(hist: DataFrame, low: int = 50, high: int = 500, size: int = 512) -> dict[str, float]:
+def periodicity(hist: DataFrame, low: int = 50, high: int = 500, size: int = 512) -> dict[str, float | None]:
     """Spectrum of the length histogram, its mean removed; at most 1001 rows reach the driver."""
     counts = np.zeros(high - low + 1)
     for r in hist.where(F.col("tlen").between(low, high)).collect():
         counts[r.tlen - low] = r.n
     if not counts.any():
-        return {"total_power": 0.0, "nucleosomal_fraction": 0.0, "helical_fraction": 0.0, "peak_period": 0.0, "peak_power": 0.0}
+        return {"total_power": 0.0, "nucleosomal_fraction": 0.0, "helical_fraction": 0.0, "peak_period": None, "peak_power": 0.0}
     power = np.abs(np.fft.rfft(counts - counts.mean(), size)) ** 2
     total = power[1:].sum()
     # whole-number division puts every nucleosomal period in one bin, and the helical ones in two
@@ -93,7 +102,7 @@ def periodicity(hist: DataFrame, low: int = 50, high: int = 500, size: int = 512
     helical = power[[size // 10, size // 11]].mean()
     peak = 2 + int(np.argmax(power[2:]))
     share = lambda x: float(x / total) if total else 0.0
-    return {"total_power": float(total), "nucleosomal_fraction": share(nucleosomal), "helical_fraction": share(helical), "peak_period": size / peak, "peak_power": share(power[peak])}
+    return {"total_power": float(total), "nucleosomal_fraction": share(nucleosomal), "helical_fraction": share(helical), "peak_period": size // peak, "peak_power": share(power[peak])}
 
 
 def splice_motifs(found: DataFrame, fasta: DataFrame, chunk: int = 65536) -> DataFrame:

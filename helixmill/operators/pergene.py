@@ -4,28 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, flags, kmers
-from . import counting, intervals
+from . import fragmentomics, intervals
 
 
-def single_gene(reads: DataFrame, exons: DataFrame, library: str = "unstranded", min_mapq: int = 30) -> DataFrame:
-    """Primary mapped mates whose blocks overlap exactly one gene, with `gene_id`."""
-    kept = reads.where(flags.primary_mapped(min_mapq))
-    return kept.join(counting.read_genes(kept, exons, library).where(F.size("genes") == 1).select("rec_ord", F.col("genes")[0].alias("gene_id")), "rec_ord")
+def single_gene(reads: DataFrame, frags: DataFrame, min_mapq: int = 30) -> DataFrame:
+    """Primary mapped mates of fragments of exactly one gene, with `gene_id` and the fragment's `n_members`."""
+    members = frags.where(F.size("genes") == 1).select(F.col("genes")[0].alias("gene_id"), F.size("members").alias("n_members"), F.explode("members").alias("rec_ord"))
+    return reads.where(flags.primary_mapped(min_mapq)).join(members, "rec_ord")
 
 
 def read_counts(one: DataFrame) -> DataFrame:
     rev = flags.has(flags.REVERSE)
     lead, trail = cigar.leading_clip() > 0, cigar.trailing_clip() > 0
     c5, c3 = F.when(rev, trail).otherwise(lead), F.when(rev, lead).otherwise(trail)
-    multi = F.coalesce("nh", F.lit(1)) > 1
     return one.groupBy("gene_id").agg(
         F.count("*").alias("primary_reads"),
-        F.count_if(~multi).alias("primary_reads_unique"),
-        F.count_if(multi).alias("primary_reads_multi"),
         F.count_if(c5).alias("primary_reads_with_5p_clip"),
         F.count_if(c3).alias("primary_reads_with_3p_clip"),
         (F.count_if(c5) / F.count("*")).alias("soft_clip_rate_5p"),
@@ -33,9 +30,22 @@ def read_counts(one: DataFrame) -> DataFrame:
     )
 
 
+def motifs(one: DataFrame, fasta: DataFrame, min_mapq: int = 30, chunk: int = 65536) -> DataFrame:
+    """Per gene: pairs used and skipped, 5' and 3' 4-mer counts as maps, their entropies and divergence in bits."""
+    pairs = fragmentomics.motif_pairs(one.where("n_members = 2"), fasta, 4, min_mapq, chunk).join(one.select("rec_ord", "gene_id"), "rec_ord")
+    kinds = pairs.groupBy("gene_id").agg(*[F.count_if(F.col("kind") == k).alias(f"em_pair_count_{k}") for k in ("used", "skipped_non_acgt", "skipped_oob")])
+    per = fragmentomics.motif_rows(pairs, "gene_id").groupBy("gene_id", "kmer").agg(F.count_if(F.col("end") == "5p").alias("n5"), F.count_if(F.col("end") == "3p").alias("n3"))
+    w = Window.partitionBy("gene_id")  # at most 256 rows
+    shares = per.withColumn("p", F.col("n5") / F.sum("n5").over(w)).withColumn("q", F.col("n3") / F.sum("n3").over(w))
+    bits = lambda c: F.sum(F.when(F.col(c) > 0, -F.col(c) * F.log2(c)).otherwise(0.0))
+    counts = lambda n: F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(F.when(F.col(n) > 0, F.struct("kmer", F.col(n).alias("n")))))))
+    found = shares.groupBy("gene_id").agg(counts("n5").alias("em_5p"), counts("n3").alias("em_3p"), bits("p").alias("em_shannon_5p"), bits("q").alias("em_shannon_3p"), F.greatest(F.lit(0.0), F.sum(kmers.divergence(F.col("p"), F.col("q")))).alias("em_jsd_5p_3p"))
+    return kinds.join(found, "gene_id", "left")
+
+
 def fragment_bins(one: DataFrame, min_mapq: int = 30) -> DataFrame:
     """Eight length bins, overflow, mean, approximate median (A42), least and greatest."""
-    pair = one.where(flags.leftmost_proper_mate(min_mapq))
+    pair = one.where(flags.leftmost_proper_mate(min_mapq) & (F.col("n_members") == 2))
     inside = F.col("tlen") <= 1000
     bins = {b: F.count_if(inside & (kmers.tlen_bin(F.col("tlen")) == b)) for b in kmers.TLEN_BINS}
     out = pair.groupBy("gene_id").agg(
@@ -88,12 +98,17 @@ def deciles(one: DataFrame, merged: DataFrame) -> DataFrame:
     return per.select("gene_id", F.array(*[F.col(f"d{k}") for k in range(10)]).alias("decile_coverage"))
 
 
-def table(reads: DataFrame, exons: DataFrame, genes: DataFrame, lengths: DataFrame, fc_reads: DataFrame, frag_counts: DataFrame, cds: DataFrame | None = None, min_reads: int = 20, min_mapq: int = 30) -> DataFrame:
-    """One row for each gene with at least min_reads primary reads."""
-    one = single_gene(reads, exons, min_mapq=min_mapq)
+def table(reads: DataFrame, frags: DataFrame, exons: DataFrame, genes: DataFrame, lengths: DataFrame, counts: DataFrame, fc_reads: DataFrame, cds: DataFrame | None = None, fasta: DataFrame | None = None, min_reads: int = 20, min_mapq: int = 30, chunk: int = 65536) -> DataFrame:
+    """One row for each gene with at least min_reads primary reads (P16). frags and counts: counting.fragments and gene_counts."""
+    one = single_gene(reads, frags, min_mapq)
     merged = intervals.merge(exons, ["gene_id", "strand"])
-    out = genes.join(lengths, "gene_id").join(read_counts(one), "gene_id").where(F.col("primary_reads") >= min_reads)
-    for part in (fc_reads, frag_counts, fragment_bins(one, min_mapq), deciles(one, merged), overlap_bases(one, merged, cds)):
+    c = F.col
+    modes = counts.select("gene_id", c("all_multi").alias("fragment_count_assigned"), c("all_unique").alias("primary_reads_unique"), c("nodup_unique").alias("primary_reads_unique_nodup"), (c("all_multi") - c("all_unique")).alias("primary_reads_multi"))
+    out = genes.join(lengths.withColumnRenamed("eff_len", "effective_length"), "gene_id").join(read_counts(one), "gene_id").where(c("primary_reads") >= min_reads)
+    parts = [modes, fc_reads, fragment_bins(one, min_mapq), deciles(one, merged), overlap_bases(one, merged, cds)]
+    if fasta is not None:
+        parts.append(motifs(one, fasta, min_mapq, chunk))
+    for part in parts:
         out = out.join(part, "gene_id", "left")
-    counts = [c for c, kind in out.dtypes if kind in ("bigint", "int") and (c.startswith(("tlen_bin", "tlen_over", "tlen_count", "primary", "fc_", "fragment_")) or c.endswith("_bp"))]
-    return out.fillna(0, subset=counts)
+    whole = [n for n, kind in out.dtypes if kind in ("bigint", "int") and (n.startswith(("tlen_bin", "tlen_over", "tlen_count", "primary", "fc_", "fragment_", "em_pair")) or n.endswith("_bp"))]
+    return out.fillna(0, subset=whole)

@@ -143,7 +143,7 @@ def quality_by_cycle(reads: DataFrame, quality: Column, cap: int = 63) -> DataFr
 
 def cycle_quality(reads: DataFrame, quality: Column, most: int = 200) -> DataFrame:
     """Mean quality by cycle."""
-    return _cycles(reads.where(none_of(flags.QCFAIL)), quality).where(F.col("cycle") < most).groupBy("is_last", "cycle").agg(F.avg("v").alias("mean_quality"), F.count("*").alias("n"))
+    return _cycles(reads.where(flags.primary_mapped(0)), quality).where(F.col("cycle") < most).groupBy("is_last", "cycle").agg(F.avg("v").alias("mean_quality"), F.count("*").alias("n"))
 
 
 def bases_by_cycle(reads: DataFrame, oriented: bool = False) -> DataFrame:
@@ -158,7 +158,7 @@ def gc_steps(reads: DataFrame, bins: int = 200) -> DataFrame:
     gc = F.length(F.regexp_replace("seq", "[^GC]", ""))
     n = F.length("seq")
     low, high = F.floor(gc * (bins - 1) / n).cast("int"), F.floor((gc + 1) * (bins - 1) / n).cast("int")
-    rows = reads.where(flags.primary() & (F.length("seq") > 0)).select(has(flags.SECOND).alias("is_last"), low.alias("lo"), F.least(high, F.lit(bins)).alias("hi"))
+    rows = reads.where(flags.primary() & (F.length("seq") > 0)).select(has(flags.SECOND).alias("is_last"), low.alias("lo"), F.least(high, F.lit(bins - 1)).alias("hi"))
     counted = rows.groupBy("is_last", "lo", "hi").agg(F.count("*").alias("n")).where("hi > lo")
     return counted.select("is_last", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("bin"), "n").groupBy("is_last", "bin").agg(F.sum("n").alias("n"))
 
@@ -229,13 +229,13 @@ def gc_depth(reads: DataFrame, width: int = 20_000) -> DataFrame:
 def chrom_metrics(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """Contigs with records, by name; pair sizes ask no mapping quality and keep duplicates."""
     prim = flags.primary()
-    pair = prim & has(flags.PAIRED) & has(flags.PROPER) & none_of(flags.UNMAPPED | flags.MATE_UNMAPPED) & (F.col("tid") == F.col("mtid")) & (F.col("tlen") > 0)
+    pair = prim & has(flags.PAIRED) & has(flags.PROPER) & none_of(flags.UNMAPPED | flags.MATE_UNMAPPED | flags.QCFAIL) & (F.col("tid") == F.col("mtid")) & (F.col("tlen") > 0)
     per = reads.where("tid >= 0").groupBy("tid").agg(
         F.count("*").alias("total"),
         F.count_if(~has(flags.UNMAPPED)).alias("mapped"),
         F.count_if(has(flags.DUPLICATE)).alias("duplicates"),
         F.count_if(pair).alias("proper_pairs"),
-        F.avg(F.when(pair, F.col("tlen"))).alias("mean_insert"),
+        F.coalesce(F.avg(F.when(pair, F.col("tlen"))), F.lit(0.0)).alias("mean_insert"),
     )
     share = F.sum("mapped").over(Window.partitionBy())  # a row for each contig
     return contigs.join(per, "tid").select("name", "length", "total", "mapped", "duplicates", (F.col("mapped") / share).alias("mapped_fraction"), "proper_pairs", "mean_insert")

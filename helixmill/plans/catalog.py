@@ -142,7 +142,7 @@ FRAGMENTS = f"""{HITS}, gl AS (SELECT rec_ord, list(gene_id ORDER BY gene_id) AS
 k AS (SELECT reads.*, coalesce(gs, []) AS gs, flag & 64 > 0 AS r1 FROM reads LEFT JOIN gl USING (rec_ord) WHERE flag & 2564 = 0 AND flag & 1 > 0),
 x AS (SELECT * FROM k WHERE r1), y AS (SELECT * FROM k WHERE NOT r1),
 fr AS (SELECT CASE WHEN x.rec_ord IS NULL THEN y.gs WHEN y.rec_ord IS NULL THEN x.gs WHEN len(list_intersect(x.gs, y.gs)) > 0 THEN list_intersect(x.gs, y.gs) ELSE list_distinct(list_concat(x.gs, y.gs)) END AS gs,
-  coalesce(x.flag, y.flag) & 1024 > 0 AS is_dup, coalesce(x.nh, y.nh) > 1 AS is_multi
+  coalesce(x.flag, y.flag) & 1024 > 0 AS is_dup, coalesce(x.nh, y.nh) > 1 AS is_multi, x.rec_ord AS xr, y.rec_ord AS yr
   FROM x FULL JOIN y ON x.qname = y.qname AND x.tid = y.mtid AND x.pos = y.mpos AND x.mtid = y.tid AND x.mpos = y.pos),
 gc AS (SELECT gs[1] AS gene_id, count(*) AS all_multi, count(*) FILTER (NOT is_dup) AS nodup_multi, count(*) FILTER (NOT is_multi) AS all_unique, count(*) FILTER (NOT is_dup AND NOT is_multi) AS nodup_unique FROM fr WHERE len(gs) = 1 GROUP BY 1)"""
 MATRIX = """nm AS (SELECT (SELECT count(*) FROM fr) + (SELECT count(*) FROM reads WHERE flag & 4 > 0 AND flag & 1 > 0 AND flag & 8 = 0 AND flag & 2304 = 0) AS n),
@@ -267,7 +267,7 @@ def quality_by_cycle(spark, d):
     return readstats.quality_by_cycle(t.reads, t.quality)
 
 
-@query("a12_gc_steps", oracle(" SELECT is_last, CAST(b AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT is_last, n, unnest(range(lo, hi)) AS b FROM (SELECT flag & 128 > 0 AS is_last, g * 199 // 50 AS lo, least((g + 1) * 199 // 50, 200) AS hi, count(*) AS n FROM (SELECT flag, length(regexp_replace(seq, '[^GC]', '', 'g')) AS g FROM reads WHERE flag & 2304 = 0) GROUP BY ALL)) GROUP BY ALL"))
+@query("a12_gc_steps", oracle(" SELECT is_last, CAST(b AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT is_last, n, unnest(range(lo, hi)) AS b FROM (SELECT flag & 128 > 0 AS is_last, g * 199 // 50 AS lo, least((g + 1) * 199 // 50, 199) AS hi, count(*) AS n FROM (SELECT flag, length(regexp_replace(seq, '[^GC]', '', 'g')) AS g FROM reads WHERE flag & 2304 = 0) GROUP BY ALL)) GROUP BY ALL"))
 def gc_steps(spark, d):
     return readstats.gc_steps(Tables(spark, d).reads)
 
@@ -536,14 +536,14 @@ def clip_rates(spark, d):
 @query("m09_periodicity")
 def periodicity(spark, d):
     got = fragmentomics.periodicity(fragmentomics.fragment_lengths(Tables(spark, d).reads))
-    return spark.createDataFrame([tuple(round(v, 6) for v in got.values())], ", ".join(f"{k} double" for k in got))
+    return spark.createDataFrame([tuple(None if v is None else round(float(v), 6) for v in got.values())], ", ".join(f"{k} double" for k in got))
 
 
 @query(
     "a31_chrom_metrics",
     oracle(
-        """ SELECT name, length, total, mapped, duplicates, round(mapped / sum(mapped) OVER (), 6) AS mapped_fraction, proper_pairs, round(mean_insert, 6) AS mean_insert FROM (SELECT tid, count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1024 > 0) AS duplicates,
-  count(*) FILTER (p) AS proper_pairs, avg(CASE WHEN p THEN tlen END) AS mean_insert FROM (SELECT *, flag & 2304 = 0 AND flag & 3 = 3 AND flag & 12 = 0 AND tid = mtid AND tlen > 0 AS p FROM reads) GROUP BY tid) JOIN contigs USING (tid)"""
+        """ SELECT name, length, total, mapped, duplicates, round(mapped / sum(mapped) OVER (), 6) AS mapped_fraction, proper_pairs, round(coalesce(mean_insert, 0), 6) AS mean_insert FROM (SELECT tid, count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 1024 > 0) AS duplicates,
+  count(*) FILTER (p) AS proper_pairs, avg(CASE WHEN p THEN tlen END) AS mean_insert FROM (SELECT *, flag & 2816 = 0 AND flag & 3 = 3 AND flag & 12 = 0 AND tid = mtid AND tlen > 0 AS p FROM reads) GROUP BY tid) JOIN contigs USING (tid)"""
     ),
 )
 def chrom_metrics(spark, d):
@@ -551,7 +551,7 @@ def chrom_metrics(spark, d):
     return _round(readstats.chrom_metrics(t.reads, t.contigs))
 
 
-@query("a32_cycle_quality", oracle(" SELECT is_last, CAST(cycle AS INTEGER) AS cycle, round(avg(2 + (rec_ord * 3 + i * 11) % 40), 6) AS mean_quality, count(*) AS n FROM cy WHERE flag & 512 = 0 GROUP BY is_last, cycle", CYCLES))
+@query("a32_cycle_quality", oracle(" SELECT is_last, CAST(cycle AS INTEGER) AS cycle, round(avg(2 + (rec_ord * 3 + i * 11) % 40), 6) AS mean_quality, count(*) AS n FROM cy WHERE flag & 3844 = 0 GROUP BY is_last, cycle", CYCLES))
 def cycle_quality(spark, d):
     t = Tables(spark, d)
     return _round(readstats.cycle_quality(t.reads, t.quality))
@@ -607,7 +607,7 @@ SNPS = "sn AS (SELECT CAST(p_partkey % 5 AS INTEGER) AS tid, (p_partkey * 23) %
 SEEN = "se AS (SELECT sn.tid, site, ref, alt, substr(seq, CAST(q + site - s + 1 AS BIGINT), 1) AS base FROM sn JOIN blocks b ON sn.tid = b.tid AND s <= site AND site < e WHERE flag & 3844 = 0 AND mapq >= 30), sd AS (SELECT tid, site, ref, alt, " + ", ".join(f"count(base) FILTER (base = '{b}') AS depth_{b.lower()}" for b in "ACGT") + " FROM sn LEFT JOIN se USING (tid, site, ref, alt) GROUP BY ALL)"
 
 
-@query("a37_snp_fingerprint", oracle(" SELECT *, round(CASE WHEN depth > 0 THEN CASE alt WHEN 'A' THEN depth_a WHEN 'C' THEN depth_c WHEN 'G' THEN depth_g ELSE depth_t END / depth END, 6) AS alt_fraction, depth >= 4 AS called FROM (SELECT *, depth_a + depth_c + depth_g + depth_t AS depth FROM sd)", SNPS, SEEN, blocks=True))
+@query("a37_snp_fingerprint", oracle(" SELECT *, round(CASE WHEN depth > 0 THEN CASE alt WHEN 'A' THEN depth_a WHEN 'C' THEN depth_c WHEN 'G' THEN depth_g ELSE depth_t END / depth ELSE 0 END, 6) AS alt_fraction, depth >= 4 AS called FROM (SELECT *, depth_a + depth_c + depth_g + depth_t AS depth FROM sd)", SNPS, SEEN, blocks=True))
 def snp_fingerprint(spark, d):
     t = Tables(spark, d)
     part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 4 = 1")
@@ -623,39 +623,45 @@ def splice_motifs(spark, d):
     return fragmentomics.splice_motifs(found, _fasta(t), chunk=CHUNK)
 
 
-ONE = f"{HITS}, og AS (SELECT rec_ord, min(gene_id) AS gene_id FROM hits JOIN reads USING (rec_ord) WHERE flag & 3844 = 0 AND mapq >= 30 GROUP BY rec_ord HAVING count(*) = 1), o1 AS (SELECT reads.*, gene_id FROM og JOIN reads USING (rec_ord))"
+ONE = f"{FRAGMENTS}, og AS (SELECT rec_ord, gene_id, both_in FROM (SELECT gs[1] AS gene_id, xr IS NOT NULL AND yr IS NOT NULL AS both_in, unnest([xr, yr]) AS rec_ord FROM fr WHERE len(gs) = 1) JOIN reads USING (rec_ord) WHERE flag & 3844 = 0 AND mapq >= 30), o1 AS (SELECT reads.*, gene_id, both_in FROM og JOIN reads USING (rec_ord))"
 
 
-@query("a39_read_counts", oracle(" SELECT gene_id, count(*) AS primary_reads, count(*) FILTER (nh <= 1) AS primary_reads_unique, count(*) FILTER (nh > 1) AS primary_reads_multi, count(*) FILTER (c5) AS primary_reads_with_5p_clip, count(*) FILTER (c3) AS primary_reads_with_3p_clip, round(count(*) FILTER (c5) / count(*), 6) AS soft_clip_rate_5p, round(count(*) FILTER (c3) / count(*), 6) AS soft_clip_rate_3p FROM (SELECT *, ln IN (3, 7) AND (ln = 3) = (flag & 16 = 0) AS c5, ln IN (3, 7) AND (ln = 3) <> (flag & 16 = 0) AS c3 FROM o1) GROUP BY gene_id", ONE, blocks=True))
+def _one(t: Tables) -> DataFrame:
+    return pergene.single_gene(t.reads, counting.fragments(t.reads, t.exons))
+
+
+@query("a39_read_counts", oracle(" SELECT gene_id, count(*) AS primary_reads, count(*) FILTER (c5) AS primary_reads_with_5p_clip, count(*) FILTER (c3) AS primary_reads_with_3p_clip, round(count(*) FILTER (c5) / count(*), 6) AS soft_clip_rate_5p, round(count(*) FILTER (c3) / count(*), 6) AS soft_clip_rate_3p FROM (SELECT *, ln IN (3, 7) AND (ln = 3) = (flag & 16 = 0) AS c5, ln IN (3, 7) AND (ln = 3) <> (flag & 16 = 0) AS c3 FROM o1) GROUP BY gene_id", ONE, blocks=True))
 def pergene_counts(spark, d):
-    t = Tables(spark, d)
-    return _round(pergene.read_counts(pergene.single_gene(t.reads, t.exons)))
+    return _round(pergene.read_counts(_one(Tables(spark, d))))
 
 
 @query("a41_overlap_bases", oracle(" SELECT gene_id, CAST(sum(x) AS BIGINT) AS exon_aligned_bp, CAST(sum(w - x) AS BIGINT) AS intron_aligned_bp FROM (SELECT b.rec_ord, b.s, b.e, gene_id, sum(greatest(0, least(b.e, mx.e) - greatest(b.s, mx.s))) AS x, greatest(0, least(b.e, max(mx.e)) - greatest(b.s, min(mx.s))) AS w FROM og JOIN blocks b USING (rec_ord) JOIN mx USING (gene_id) GROUP BY b.rec_ord, b.s, b.e, gene_id) GROUP BY gene_id", ONE, MERGED, blocks=True))
 def overlap_bases(spark, d):
     t = Tables(spark, d)
-    return pergene.overlap_bases(pergene.single_gene(t.reads, t.exons), intervals.merge(t.exons, ["gene_id", "strand"])).select("gene_id", "exon_aligned_bp", "intron_aligned_bp")
+    return pergene.overlap_bases(_one(t), intervals.merge(t.exons, ["gene_id", "strand"])).select("gene_id", "exon_aligned_bp", "intron_aligned_bp")
 
 
 @query("a40_deciles", oracle(" SELECT gene_id, CAST(least(9, floor(10 * CASE WHEN strand = '-' THEN 1 - r ELSE r END)) AS BIGINT) AS decile, count(*) AS n FROM (SELECT gene_id, strand, (before + (greatest(b.s, mx.s) + 1 + least(b.e, mx.e)) // 2 - mx.s - 1 + 0.5) / total AS r FROM og JOIN blocks b USING (rec_ord) JOIN (SELECT *, sum(e - s) OVER (PARTITION BY gene_id ORDER BY s) - (e - s) AS before, sum(e - s) OVER (PARTITION BY gene_id) AS total FROM mx) mx USING (gene_id) WHERE b.s < mx.e AND mx.s < b.e) GROUP BY ALL", ONE, MERGED, blocks=True))
 def deciles(spark, d):
     t = Tables(spark, d)
-    per = pergene.deciles(pergene.single_gene(t.reads, t.exons), intervals.merge(t.exons, ["gene_id", "strand"]))
+    per = pergene.deciles(_one(t), intervals.merge(t.exons, ["gene_id", "strand"]))
     return per.select("gene_id", F.posexplode("decile_coverage").alias("decile", "n")).where("n > 0").select("gene_id", F.col("decile").cast("long").alias("decile"), "n")
 
 
 @query("a39_per_gene_table")
 def per_gene_table(spark, d):
     t = Tables(spark, d)
-    frags = counting.gene_counts(counting.fragments(t.reads, t.exons)).select("gene_id", F.col("all_multi").alias("fragment_count_assigned"))
-    return _round(pergene.table(t.reads, t.exons, t.genes, t.lengths, t.fc_reads, frags, min_reads=5)).drop("decile_coverage")
+    reads = t.reads.withColumn("contig", F.concat(F.lit("chr"), (F.col("tid") + 1).cast("string")))
+    frags = counting.fragments(reads, t.exons)
+    made = pergene.table(reads, frags, t.exons, t.genes, t.lengths, counting.gene_counts(frags), t.fc_reads, fasta=_fasta(t), min_reads=5, chunk=CHUNK)
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x.key, F.lit(":"), x.value.cast("string"))), ",")
+    return _round(made.withColumn("decile_coverage", F.array_join(F.col("decile_coverage").cast("array<string>"), ",")).withColumn("em_5p", text("em_5p")).withColumn("em_3p", text("em_3p")))
 
 
 @query("a42_fragment_bins")
 def fragment_bins(spark, d):
     t = Tables(spark, d)
-    return _round(pergene.fragment_bins(pergene.single_gene(t.reads, t.exons)))
+    return _round(pergene.fragment_bins(_one(t)))
 
 
 @query("a43_qc_flags")
@@ -723,7 +729,7 @@ SQL["a42_fragment_bins"] = oracle(
     f""", fb AS (SELECT gene_id, {", ".join(f"count(*) FILTER (tlen >= {a} AND tlen < {b}) AS tlen_bin_{n}" for n, a, b in zip(kmers.TLEN_BINS, kmers.TLEN_EDGES, [*kmers.TLEN_EDGES[1:], 1001], strict=True))},
   count(*) FILTER (tlen > 1000) AS tlen_overflow, count(*) AS tlen_count, round(avg(tlen), 6) AS tlen_mean, min(tlen) AS tlen_min, max(tlen) AS tlen_max,
   CAST(quantile_disc(CASE {" ".join(f"WHEN tlen < {b} THEN {m}" for b, m in zip([*kmers.TLEN_EDGES[1:], 1001], kmers.TLEN_MIDPOINTS, strict=True))} ELSE 1001 END, 0.5) AS DOUBLE) AS tlen_median_approx
-  FROM o1 WHERE flag & 3855 = 3 AND tid = mtid AND tlen > 0 GROUP BY gene_id) SELECT * FROM fb""",
+  FROM o1 WHERE flag & 3855 = 3 AND tid = mtid AND tlen > 0 AND both_in GROUP BY gene_id) SELECT * FROM fb""",
     ONE,
     blocks=True,
 )

@@ -131,8 +131,9 @@ def per_gene(sample: Sample, params: Params, cds: DataFrame | None = None) -> Da
     reads, q = sample.reads, params["min_mapq"]
     paired = bool(_one(cohort.first_pass(reads))["is_paired"]) if params["paired"] is None else params["paired"]
     fc = counting.read_status(reads, sample.exons, paired, params["library"]).where("gene_id is not null").groupBy("gene_id").agg(F.count("*").alias("fc_reads"))
-    frags = counting.gene_counts(counting.fragments(reads, sample.exons, paired, params["library"])).select("gene_id", F.col("all_multi").alias("fragment_count_assigned"))
-    return pergene.table(reads, sample.exons, sample.genes, intervals.union_length(sample.exons, ["gene_id"]), fc, frags, cds, params["min_gene_reads"], q)
+    frags = counting.fragments(reads, sample.exons, paired, params["library"])
+    named = reads if "contig" in reads.columns or sample.fasta is None else reads.join(sample.contigs.select("tid", F.col("name").alias("contig")), "tid")
+    return pergene.table(named, frags, sample.exons, sample.genes, intervals.union_length(sample.exons, ["gene_id"]), counting.gene_counts(frags), fc, cds, sample.fasta, params["min_gene_reads"], q)
 
 
 def document_hash(doc: dict) -> str:
