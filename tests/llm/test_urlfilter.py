@@ -67,3 +67,11 @@ def test_a_tree_splits_where_it_should():
     model = urlfilter.boost(x, (x[:, 0] >= 37).astype(float), bins=100)
     assert ((model.margin(x) > 0) == (x[:, 0] >= 37)).all()
     assert not urlfilter.boost(x, np.ones(100)).trees
+
+
+def test_the_sample_is_bounded_and_the_same_in_any_order(spark):
+    rows = labelled(500, 4)
+    df = spark.createDataFrame(rows.assign(page_id=range(500)))
+    a, b = urlfilter.train(df, 60), urlfilter.train(df.repartition(7), 60)
+    x = urlfilter.lexical(list(rows.url), list(rows.host), list(rows.path), a.suffix, a.prior)
+    assert a.suffix == b.suffix and (a.margin(x) == b.margin(x)).all()
