@@ -24,7 +24,7 @@ def flagstat(reads: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
         n(prim).alias("primary_reads"),
         n(has(flags.SECONDARY)).alias("secondary"),
-        n(~has(flags.SECONDARY) & has(flags.SUPPLEMENTARY)).alias("supplementary"),
+        n(has(flags.SUPPLEMENTARY)).alias("supplementary"),
         n(~has(flags.QCFAIL) & has(flags.DUPLICATE)).alias("duplicates"),
         n(prim & has(flags.DUPLICATE)).alias("primary_duplicates"),
         n(mapped).alias("mapped"),
@@ -32,7 +32,7 @@ def flagstat(reads: DataFrame) -> DataFrame:
         n(pair).alias("paired"),
         n(pair & has(flags.FIRST)).alias("read1"),
         n(pair & has(flags.SECOND)).alias("read2"),
-        n(pair & has(flags.PROPER) & mapped).alias("properly_paired"),
+        n(pair & has(flags.PROPER)).alias("properly_paired"),
         n(both).alias("both_mapped"),
         n(pair & mapped & has(flags.MATE_UNMAPPED)).alias("singletons"),
         n(elsewhere).alias("mate_elsewhere"),
@@ -75,11 +75,13 @@ def idxstats(reads: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def insert_sizes(reads: DataFrame, most: int = 8000) -> DataFrame:
-    """Size and orientation of pairs, each once (from its left mate), sizes cut at most."""
-    kept = flags.primary() & has(flags.PAIRED) & none_of(flags.UNMAPPED | flags.MATE_UNMAPPED) & (F.col("tid") == F.col("mtid")) & (F.col("tlen") > 0)
-    left, right = has(flags.REVERSE), has(flags.MATE_REVERSE)
-    kind = F.when(left == right, "other").when(~left, "inward").otherwise("outward")
-    return reads.where(kept).groupBy(F.least("tlen", F.lit(most)).alias("size"), kind.alias("orientation")).agg(F.count("*").alias("n"))
+    """Template sizes, cut at most, by orientation: n mates and half as many pairs."""
+    kept = flags.primary() & has(flags.PAIRED) & none_of(flags.UNMAPPED | flags.MATE_UNMAPPED) & (F.col("tlen") != 0)
+    first = F.when(has(flags.FIRST), 1).otherwise(-1)
+    side, forward = first * F.signum(F.col("mpos") - F.col("pos")), first * F.when(has(flags.REVERSE), -1).otherwise(1)
+    kind = F.when(has(flags.REVERSE) == has(flags.MATE_REVERSE), "other").when((side == 0) | (side * forward > 0), "inward").otherwise("outward")
+    per = reads.where(kept).groupBy(F.least(F.abs("tlen"), F.lit(most)).alias("size"), kind.alias("orientation")).agg(F.count("*").alias("n"))
+    return per.withColumn("pairs", F.floor(F.col("n") / 2))
 
 
 def bulk(sizes: DataFrame, share: float = 0.99) -> DataFrame:
@@ -90,7 +92,7 @@ def bulk(sizes: DataFrame, share: float = 0.99) -> DataFrame:
     upto = F.sum("n").over(w)
     kept = flat.withColumn("before", (upto - F.col("n")) / total).where(F.col("before") <= share)
     mean = F.sum(F.col("size") * F.col("n")) / F.sum("n")
-    return kept.agg(mean.alias("insert_mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum("n") - mean * mean)).alias("insert_sd"), F.sum("n").alias("n_pairs"))
+    return kept.agg(mean.alias("insert_mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum("n") - mean * mean)).alias("insert_sd"), F.sum("n").alias("n_mates"))
 
 
 def summary(reads: DataFrame, quality: Column) -> DataFrame:
@@ -180,9 +182,10 @@ def indels_by_cycle(reads: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).cast("long").alias("q"), F.array().cast("array<struct<op:string,q:bigint,len:bigint>>").alias("out"))
     step = lambda a, o: F.struct((a.q + F.when(o.op.isin("M", "I", "=", "X", "S"), o.len).otherwise(0)).alias("q"), F.when(o.op.isin("I", "D"), F.concat(a.out, F.array(F.struct(o.op.alias("op"), a.q.alias("q"), o.len.alias("len"))))).otherwise(a.out).alias("out"))
     found = reads.where(none_of(flags.UNMAPPED | flags.SECONDARY)).select("flag", F.length("seq").alias("n"), F.explode(F.aggregate(cigar.ops("cigar"), zero, step, lambda a: a.out)).alias("o"))
+    found = found.where("o.op = 'I' or o.q > 0")
     rev = has(flags.REVERSE)
     cycle = F.when(F.col("o.op") == "I", F.when(rev, F.col("n") - F.col("o.q") - F.col("o.len")).otherwise(F.col("o.q"))).otherwise(F.when(rev, F.col("n") - F.col("o.q") - 1).otherwise(F.col("o.q") - 1))
-    return found.select(has(flags.SECOND).alias("is_last"), cycle.alias("cycle"), F.col("o.op").alias("op")).where("cycle >= 0").groupBy("cycle", "is_last", "op").agg(F.count("*").alias("n"))
+    return found.select(has(flags.SECOND).alias("is_last"), cycle.alias("cycle"), F.col("o.op").alias("op")).groupBy("cycle", "is_last", "op").agg(F.count("*").alias("n"))
 
 
 def depth_histogram(reads: DataFrame, most: int = 1000) -> DataFrame:

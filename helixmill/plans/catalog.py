@@ -204,9 +204,9 @@ def biotype_counts(spark, d):
 @query(
     "a06_flagstat",
     oracle(
-        """ SELECT count(*) AS total, count(*) FILTER (flag & 2304 = 0) AS primary_reads, count(*) FILTER (flag & 256 > 0) AS secondary, count(*) FILTER (flag & 256 = 0 AND flag & 2048 > 0) AS supplementary,
+        """ SELECT count(*) AS total, count(*) FILTER (flag & 2304 = 0) AS primary_reads, count(*) FILTER (flag & 256 > 0) AS secondary, count(*) FILTER (flag & 2048 > 0) AS supplementary,
   count(*) FILTER (flag & 512 = 0 AND flag & 1024 > 0) AS duplicates, count(*) FILTER (flag & 2304 = 0 AND flag & 1024 > 0) AS primary_duplicates, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 2308 = 0) AS primary_mapped,
-  count(*) FILTER (p) AS paired, count(*) FILTER (p AND flag & 64 > 0) AS read1, count(*) FILTER (p AND flag & 128 > 0) AS read2, count(*) FILTER (p AND flag & 6 = 2) AS properly_paired, count(*) FILTER (p AND flag & 12 = 0) AS both_mapped,
+  count(*) FILTER (p) AS paired, count(*) FILTER (p AND flag & 64 > 0) AS read1, count(*) FILTER (p AND flag & 128 > 0) AS read2, count(*) FILTER (p AND flag & 2 > 0) AS properly_paired, count(*) FILTER (p AND flag & 12 = 0) AS both_mapped,
   count(*) FILTER (p AND flag & 12 = 8) AS singletons, count(*) FILTER (p AND flag & 12 = 0 AND mtid <> tid) AS mate_elsewhere, count(*) FILTER (p AND flag & 12 = 0 AND mtid <> tid AND mapq >= 5) AS mate_elsewhere_q5 FROM (SELECT *, flag & 2304 = 0 AND flag & 1 > 0 AS p FROM reads)"""
     ),
 )
@@ -282,7 +282,7 @@ def oriented_bases(spark, d):
     return _round(readstats.bases_by_cycle(Tables(spark, d).reads, oriented=True))
 
 
-SIZES = "sz AS (SELECT least(tlen, 8000) AS size, CASE WHEN (flag & 16 > 0) = (flag & 32 > 0) THEN 'other' WHEN flag & 16 = 0 THEN 'inward' ELSE 'outward' END AS orientation, count(*) AS n FROM reads WHERE flag & 2304 = 0 AND flag & 1 > 0 AND flag & 12 = 0 AND tid = mtid AND tlen > 0 GROUP BY ALL)"
+SIZES = "sz AS (SELECT least(abs(tlen), 8000) AS size, CASE WHEN (flag & 16 > 0) = (flag & 32 > 0) THEN 'other' WHEN mpos = pos THEN 'inward' WHEN ((flag & 64 > 0) = (mpos > pos)) = ((flag & 64 > 0) = (flag & 16 = 0)) THEN 'inward' ELSE 'outward' END AS orientation, count(*) AS n, count(*) // 2 AS pairs FROM reads WHERE flag & 2304 = 0 AND flag & 1 > 0 AND flag & 12 = 0 AND tlen <> 0 GROUP BY 1, 2)"
 
 
 @query("a14_insert_sizes", oracle(" SELECT * FROM sz", SIZES))
@@ -290,7 +290,7 @@ def insert_sizes(spark, d):
     return readstats.insert_sizes(Tables(spark, d).reads)
 
 
-@query("w07_insert_bulk", oracle(" SELECT round(sum(size * n) / sum(n), 6) AS insert_mean, round(sqrt(greatest(0, sum(size * size * n) / sum(n) - (sum(size * n) / sum(n)) ** 2)), 6) AS insert_sd, CAST(sum(n) AS BIGINT) AS n_pairs FROM (SELECT size, n, (sum(n) OVER (ORDER BY size) - n) / sum(n) OVER () AS b FROM (SELECT size, sum(n) AS n FROM sz GROUP BY size)) WHERE b <= 0.99", SIZES))
+@query("w07_insert_bulk", oracle(" SELECT round(sum(size * n) / sum(n), 6) AS insert_mean, round(sqrt(greatest(0, sum(size * size * n) / sum(n) - (sum(size * n) / sum(n)) ** 2)), 6) AS insert_sd, CAST(sum(n) AS BIGINT) AS n_mates FROM (SELECT size, n, (sum(n) OVER (ORDER BY size) - n) / sum(n) OVER () AS b FROM (SELECT size, sum(n) AS n FROM sz GROUP BY size)) WHERE b <= 0.99", SIZES))
 def insert_bulk(spark, d):
     return _round(readstats.bulk(readstats.insert_sizes(Tables(spark, d).reads)))
 
