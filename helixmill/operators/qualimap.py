@@ -21,19 +21,46 @@ def cascade_counts(reads: DataFrame) -> DataFrame:
     return reads.agg(F.count_if(~mapped).alias("not_aligned"), F.count_if(mapped & (F.coalesce("nh", F.lit(1)) > 1)).alias("multi_mapped"), F.count_if(mapped & flags.has(flags.SECONDARY)).alias("secondary"), F.count_if(mapped & ~flags.has(flags.SECONDARY) & ~flags.has(flags.SUPPLEMENTARY) & ~flags.has(flags.QCFAIL)).alias("read_count"))
 
 
-def enclosing_genes(kept: DataFrame, exons: DataFrame, library: str = "unstranded") -> DataFrame:
-    """rec_ord and the genes whose merged exons enclose every block; reads with blocks only."""
+def _block_hits(kept: DataFrame, exons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M blocks of each read, and their overlaps with merged exons of genes, each with `inside`."""
     blocks = kept.select("rec_ord", "tid", "flag", F.posexplode(cigar.span_blocks()).alias("i", "b")).select("rec_ord", "tid", "flag", "i", F.col("b.s").alias("s"), F.col("b.e").alias("e"))
     merged = intervals.merge(exons, ["tid", "gene_id", "strand"]).select("tid", "gene_id", "strand", F.col("s").alias("rs"), F.col("e").alias("re"))
-    hits = intervals.overlap_join(blocks, merged, ["tid"])
+    return blocks, intervals.overlap_join(blocks, merged, ["tid"]).withColumn("inside", (F.col("rs") <= F.col("s")) & (F.col("e") <= F.col("re")))
+
+
+def enclosing_genes(kept: DataFrame, exons: DataFrame, library: str = "unstranded") -> DataFrame:
+    """rec_ord, the genes whose merged exons enclose every block, and whether a block overlaps an exon without lying in it; reads with blocks only."""
+    blocks, hits = _block_hits(kept, exons)
+    touches = hits.groupBy("rec_ord").agg(F.bool_or(~F.col("inside")).alias("touches"))
     if library != "unstranded":
-        flip = (flags.has(flags.FIRST) | ~flags.has(flags.PAIRED)) if library == "reverse" else flags.has(flags.SECOND)
+        flip = (flags.has(flags.FIRST) | ~flags.has(flags.PAIRED)) if library == "reverse" else (flags.has(flags.PAIRED) & ~flags.has(flags.FIRST))
         hits = hits.where(F.when(flags.has(flags.REVERSE) != flip, "-").otherwise("+") == F.col("strand"))
-    inside = (F.col("rs") <= F.col("s")) & (F.col("e") <= F.col("re"))
-    per = hits.groupBy("rec_ord", "gene_id").agg(F.countDistinct(F.when(inside, F.col("i"))).alias("n_in"))
+    per = hits.groupBy("rec_ord", "gene_id").agg(F.countDistinct(F.when(F.col("inside"), F.col("i"))).alias("n_in"))
     size = blocks.groupBy("rec_ord").agg(F.count("*").alias("n_blocks"))
-    own = per.join(size, "rec_ord").groupBy("rec_ord").agg(F.array_sort(F.array_compact(F.collect_set(F.when(F.col("n_in") == F.col("n_blocks"), F.col("gene_id"))))).alias("genes"), F.bool_or(F.col("n_in") < F.col("n_blocks")).alias("touches"))
-    return size.join(own, "rec_ord", "left").select("rec_ord", F.coalesce("genes", F.array().cast("array<string>")).alias("genes"), F.coalesce("touches", F.lit(False)).alias("touches"))
+    own = per.join(size, "rec_ord").where("n_in = n_blocks").groupBy("rec_ord").agg(F.array_sort(F.collect_set("gene_id")).alias("genes"))
+    return size.join(own, "rec_ord", "left").join(touches, "rec_ord", "left").select("rec_ord", F.coalesce("genes", F.array().cast("array<string>")).alias("genes"), F.coalesce("touches", F.lit(False)).alias("touches"))
+
+
+def _pair_key() -> list:
+    mine, mate = F.struct("tid", "pos"), F.struct(F.col("mtid").alias("tid"), F.col("mpos").alias("pos"))
+    return [F.col("qname"), F.least(mine, mate).alias("a"), F.greatest(mine, mate).alias("b")]
+
+
+def counted_reads(kept: DataFrame) -> DataFrame:
+    """rec_ord of reads that count at once, and of proper pairs of which both mates are left."""
+    rows = kept.where(F.size(cigar.span_blocks()) > 0)
+    proper = flags.has(flags.PAIRED) & flags.has(flags.PROPER)
+    both = rows.where(proper).groupBy(*_pair_key()).agg(F.collect_list("rec_ord").alias("r")).where(F.size("r") == 2).select(F.explode("r").alias("rec_ord"))
+    return rows.where(~proper).select("rec_ord").unionByName(both)
+
+
+def strand_votes(reads: DataFrame, exons: DataFrame) -> DataFrame:
+    """Votes for either library strand: a vote for each block and each gene that encloses it."""
+    kept = usable(reads)
+    votes = _block_hits(kept.join(counted_reads(kept), "rec_ord", "left_semi"), exons)[1].where("inside").select("rec_ord", "i", "gene_id", "strand", "flag").distinct()
+    same = F.when(flags.has(flags.REVERSE), F.col("strand") == "-").otherwise(F.col("strand") == "+")
+    first = ~flags.has(flags.PAIRED) | flags.has(flags.FIRST)
+    return votes.agg(F.count_if(same == first).alias("ssp_fwd"), F.count_if(same != first).alias("ssp_rev"))
 
 
 def in_introns(kept: DataFrame, tx_exons: DataFrame) -> DataFrame:
@@ -50,15 +77,13 @@ def origin(reads: DataFrame, exons: DataFrame, tx_exons: DataFrame, library: str
     proper = flags.has(flags.PAIRED) & flags.has(flags.PROPER)
     rows = per.select("rec_ord", "qname", "tid", "pos", "mtid", "mpos", "flag", proper.alias("proper"), "genes", F.coalesce("intronic", F.lit(False)).alias("intronic"), "touches")
     lone = rows.where("not proper").select("genes", "intronic", "touches", F.lit(1).alias("weight"))
-    low = F.least(F.struct("tid", "pos"), F.struct(F.col("mtid").alias("tid"), F.col("mpos").alias("pos")))
-    high = F.greatest(F.struct("tid", "pos"), F.struct(F.col("mtid").alias("tid"), F.col("mpos").alias("pos")))
-    pairs = rows.where("proper").groupBy("qname", low.alias("a"), high.alias("b")).agg(F.count("*").alias("n"), F.collect_list("genes").alias("g"), F.bool_or("intronic").alias("intronic"), F.bool_or("touches").alias("touches")).where("n = 2")
+    pairs = rows.where("proper").groupBy(*_pair_key()).agg(F.count("*").alias("n"), F.collect_list("genes").alias("g"), F.bool_or("intronic").alias("intronic"), F.bool_or("touches").alias("touches")).where("n = 2")
     paired = pairs.select(F.array_intersect(F.col("g")[0], F.col("g")[1]).alias("genes"), "intronic", "touches", F.lit(2).alias("weight"))
     n = F.size("genes")
     kind = F.when(n == 1, "exonic").when(n > 1, "ambiguous").when(F.col("intronic"), "intronic").otherwise("intergenic")
     every = lone.unionByName(paired)
     main = every.select(kind.alias("origin"), "weight").groupBy("origin").agg(F.sum("weight").alias("n"))
-    touching = every.where((n == 0) & F.col("touches")).agg(F.count("*").alias("n")).select(F.lit("overlapping_exon").alias("origin"), "n")
+    touching = every.where("touches").agg(F.count("*").alias("n")).select(F.lit("overlapping_exon").alias("origin"), "n")
     return main.unionByName(touching)
 
 
@@ -73,12 +98,16 @@ def junction_support(reads: DataFrame, tx_exons: DataFrame) -> DataFrame:
     return both.select(F.when(n == 2, "known").when(n == 1, "partly_known").otherwise("novel").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-def transcript_coverage(reads: DataFrame, tx_exons: DataFrame) -> DataFrame:
-    """tx_id, strand, total, and depth by exonic place: blocks inside merged exons, without each block's last base."""
+def transcript_coverage(reads: DataFrame, exons: DataFrame, tx_exons: DataFrame) -> DataFrame:
+    """tx_id, strand, total, and depth by exonic place: counted reads' blocks that a gene's merged exon encloses, without each block's last base, on that gene's transcripts.
+
+    tx_exons: tx_id, gene_id, tid, strand, s, e.
+    """
     kept = usable(reads)
-    blocks = kept.select("tid", F.explode(cigar.span_blocks()).alias("b")).select("tid", F.col("b.s").alias("s"), (F.col("b.e") - 1).alias("e")).where("s < e").groupBy("tid", "s", "e").agg(F.count("*").alias("k"))
-    parts = intervals.offsets(tx_exons.select("tx_id", "tid", "strand", "s", "e"), ["tx_id", "tid", "strand"]).withColumn("total", F.sum(F.col("e") - F.col("s")).over(Window.partitionBy("tx_id")))
-    hits = intervals.overlap_join(blocks, parts.select("tid", "tx_id", "strand", "total", "before", F.col("s").alias("rs"), F.col("e").alias("re")), ["tid"])
+    inside = _block_hits(kept.join(counted_reads(kept), "rec_ord", "left_semi"), exons)[1].where("inside")
+    blocks = inside.select("rec_ord", "i", "gene_id", "s", (F.col("e") - 1).alias("e")).distinct().where("s < e").groupBy("gene_id", "s", "e").agg(F.count("*").alias("k"))
+    parts = intervals.offsets(tx_exons.select("tx_id", "gene_id", "tid", "strand", "s", "e"), ["tx_id", "gene_id", "tid", "strand"]).withColumn("total", F.sum(F.col("e") - F.col("s")).over(Window.partitionBy("tx_id")))
+    hits = blocks.join(parts.select("gene_id", "tx_id", "strand", "total", "before", F.col("s").alias("rs"), F.col("e").alias("re")), "gene_id").where("s < re and rs < e")
     lo, hi = F.greatest("s", "rs") - F.col("rs") + F.col("before"), F.least("e", "re") - F.col("rs") + F.col("before")
     edges = hits.select("tx_id", "strand", "total", "k", F.explode(F.array(F.struct(lo.alias("p"), F.lit(1).alias("d")), F.struct(hi.alias("p"), F.lit(-1).alias("d")))).alias("x"))
     steps = edges.groupBy("tx_id", "strand", "total", F.col("x.p").alias("p")).agg(F.sum(F.col("k") * F.col("x.d")).alias("d"))

@@ -68,7 +68,7 @@ class Tables:
     @property
     def tx_exons(self) -> DataFrame:
         """One transcript a gene: its merged exons."""
-        return intervals.merge(self.exons, ["gene_id", "tid", "strand"]).withColumnRenamed("gene_id", "tx_id")
+        return intervals.merge(self.exons, ["gene_id", "tid", "strand"]).withColumn("tx_id", F.col("gene_id"))
 
     @property
     def transcripts(self) -> DataFrame:
@@ -429,6 +429,26 @@ def complexity_curve(spark, d):
     return spark.createDataFrame([(float(t), round(float(v), 4)) for t, v in found], "total_reads double, expected_distinct double")
 
 
+ORIGIN = f"""{MERGED}, ux AS (SELECT * FROM reads WHERE flag & 2820 = 0 AND nh <= 1),
+qs(ln, o, a, b) AS (VALUES (1, 0, 0, 50), (2, 0, 0, 20), (2, 1, 120, 150), (3, 0, 5, 50), (4, 0, 0, 25), (4, 1, 27, 50), (5, 0, 0, 25), (5, 1, 28, 53), (6, 0, 0, 10), (6, 1, 210, 220), (6, 2, 270, 300), (7, 0, 0, 45)),
+ub AS (SELECT ux.*, o, pos + a AS s, pos + b AS e FROM ux JOIN qs USING (ln)),
+nb AS (SELECT rec_ord, count(*) AS n FROM ub GROUP BY rec_ord),
+en AS (SELECT rec_ord, gene_id, count(DISTINCT CASE WHEN mx.s <= ub.s AND ub.e <= mx.e THEN o END) AS k FROM ub JOIN mx ON ub.tid = mx.tid AND ub.s < mx.e AND mx.s < ub.e GROUP BY rec_ord, gene_id),
+gl2 AS (SELECT rec_ord, coalesce(list(gene_id) FILTER (k = n), []) AS gs FROM en JOIN nb USING (rec_ord) GROUP BY rec_ord),
+tt AS (SELECT rec_ord, bool_or(NOT (mx.s <= ub.s AND ub.e <= mx.e)) AS t FROM ub JOIN mx ON ub.tid = mx.tid AND ub.s < mx.e AND mx.s < ub.e GROUP BY rec_ord),
+gap2 AS (SELECT tid, e AS s, nx AS e FROM (SELECT tid, e, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS nx FROM mx) WHERE nx > e),
+it AS (SELECT DISTINCT rec_ord FROM ub JOIN gap2 g ON ub.tid = g.tid AND ub.s <= g.e AND g.s <= ub.e),
+rw AS (SELECT ux.*, coalesce(gs, []) AS gs, coalesce(t, false) AS t, it.rec_ord IS NOT NULL AS i, flag & 3 = 3 AS proper FROM ux LEFT JOIN gl2 USING (rec_ord) LEFT JOIN tt USING (rec_ord) LEFT JOIN it USING (rec_ord)),
+un2 AS (SELECT gs, i, t, 1 AS w FROM rw WHERE NOT proper UNION ALL SELECT list_intersect(a.gs, b.gs), a.i OR b.i, a.t OR b.t, 2 FROM rw a JOIN rw b ON a.proper AND b.proper AND a.qname = b.qname AND a.flag & 64 > 0 AND b.flag & 128 > 0),
+cnt AS (SELECT rec_ord FROM rw WHERE NOT proper UNION ALL SELECT unnest([a.rec_ord, b.rec_ord]) FROM rw a JOIN rw b ON a.proper AND b.proper AND a.qname = b.qname AND a.flag & 64 > 0 AND b.flag & 128 > 0)"""
+
+
+@query("a26_strand_votes", oracle(" SELECT count(*) FILTER (y = f) AS ssp_fwd, count(*) FILTER (y <> f) AS ssp_rev FROM (SELECT DISTINCT rec_ord, o, gene_id, (flag & 16 > 0) = (strand = '-') AS y, flag & 1 = 0 OR flag & 64 > 0 AS f FROM ub JOIN cnt USING (rec_ord) JOIN mx ON ub.tid = mx.tid AND mx.s <= ub.s AND ub.e <= mx.e)", ORIGIN))
+def strand_votes(spark, d):
+    t = Tables(spark, d)
+    return qualimap.strand_votes(t.reads, t.exons)
+
+
 @query("a26_read_origin")
 def read_origin(spark, d):
     t = Tables(spark, d)
@@ -449,30 +469,28 @@ def junction_support(spark, d):
 @query("a27_coverage_profile")
 def coverage_profile(spark, d):
     t = Tables(spark, d)
-    return _round(qualimap.profiles(qualimap.transcript_coverage(t.reads, t.tx_exons)))
+    return _round(qualimap.profiles(qualimap.transcript_coverage(t.reads, t.exons, t.tx_exons)))
 
 
-MEANS = f"""{MERGED}, sh(ln, a, b) AS (VALUES (1, 0, 49), (2, 0, 19), (2, 120, 149), (3, 5, 49), (4, 0, 24), (4, 27, 49), (5, 0, 24), (5, 28, 52), (6, 0, 9), (6, 210, 219), (6, 270, 299), (7, 0, 44)),
-mb AS (SELECT tid, pos + a AS s, pos + b AS e FROM reads JOIN sh USING (ln) WHERE flag & 2820 = 0 AND nh <= 1),
-mc AS (SELECT gene_id, sum(least(mx.e, mb.e) - greatest(mx.s, mb.s)) AS n FROM mx JOIN mb ON mx.tid = mb.tid AND mb.s < mx.e AND mx.s < mb.e GROUP BY gene_id), tl AS (SELECT gene_id, sum(e - s) AS l FROM mx GROUP BY gene_id)"""
+MEANS = f"""{ORIGIN}, mc AS (SELECT gene_id, sum(n) AS n FROM (SELECT DISTINCT rec_ord, o, gene_id, ub.e - 1 - ub.s AS n FROM ub JOIN cnt USING (rec_ord) JOIN mx ON ub.tid = mx.tid AND mx.s <= ub.s AND ub.e <= mx.e) GROUP BY gene_id), tl AS (SELECT gene_id, sum(e - s) AS l FROM mx GROUP BY gene_id)"""
 
 
 @query("a27_mean_coverage", oracle(" SELECT gene_id AS tx_id, round(n / l, 6) AS mean FROM mc JOIN tl USING (gene_id)", MEANS))
 def mean_coverage(spark, d):
     t = Tables(spark, d)
-    return _round(qualimap.mean_coverage(qualimap.transcript_coverage(t.reads, t.tx_exons)).select("tx_id", "mean"))
+    return _round(qualimap.mean_coverage(qualimap.transcript_coverage(t.reads, t.exons, t.tx_exons)).select("tx_id", "mean"))
 
 
 @query("a27_coverage_histogram", oracle(" SELECT CAST(least(floor(n / l), 50) AS BIGINT) AS bin, count(*) AS n FROM mc JOIN tl USING (gene_id) GROUP BY 1", MEANS))
 def coverage_histogram(spark, d):
     t = Tables(spark, d)
-    return qualimap.coverage_histogram(qualimap.transcript_coverage(t.reads, t.tx_exons))
+    return qualimap.coverage_histogram(qualimap.transcript_coverage(t.reads, t.exons, t.tx_exons))
 
 
 @query("a27_bias")
 def bias(spark, d):
     t = Tables(spark, d)
-    return _round(qualimap.bias(qualimap.transcript_coverage(t.reads, t.tx_exons), t.transcripts, least_length=60, edge=20))
+    return _round(qualimap.bias(qualimap.transcript_coverage(t.reads, t.exons, t.tx_exons), t.transcripts, least_length=60, edge=20))
 
 
 LEFT = "lm AS (SELECT * FROM reads WHERE flag & 3852 = 0 AND flag & 3 = 3 AND tid = mtid AND mapq >= 30 AND tlen > 0)"
@@ -733,17 +751,7 @@ SQL["a42_fragment_bins"] = oracle(
     ONE,
     blocks=True,
 )
-ORIGIN = f"""{MERGED}, ux AS (SELECT * FROM reads WHERE flag & 2820 = 0 AND nh <= 1),
-qs(ln, o, a, b) AS (VALUES (1, 0, 0, 50), (2, 0, 0, 20), (2, 1, 120, 150), (3, 0, 5, 50), (4, 0, 0, 25), (4, 1, 27, 50), (5, 0, 0, 25), (5, 1, 28, 53), (6, 0, 0, 10), (6, 1, 210, 220), (6, 2, 270, 300), (7, 0, 0, 45)),
-ub AS (SELECT ux.*, o, pos + a AS s, pos + b AS e FROM ux JOIN qs USING (ln)),
-nb AS (SELECT rec_ord, count(*) AS n FROM ub GROUP BY rec_ord),
-en AS (SELECT rec_ord, gene_id, count(DISTINCT CASE WHEN mx.s <= ub.s AND ub.e <= mx.e THEN o END) AS k FROM ub JOIN mx ON ub.tid = mx.tid AND ub.s < mx.e AND mx.s < ub.e GROUP BY rec_ord, gene_id),
-gl2 AS (SELECT rec_ord, coalesce(list(gene_id) FILTER (k = n), []) AS gs, bool_or(k < n) AS t FROM en JOIN nb USING (rec_ord) GROUP BY rec_ord),
-gap2 AS (SELECT tid, e AS s, nx AS e FROM (SELECT tid, e, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS nx FROM mx) WHERE nx > e),
-it AS (SELECT DISTINCT rec_ord FROM ub JOIN gap2 g ON ub.tid = g.tid AND ub.s <= g.e AND g.s <= ub.e),
-rw AS (SELECT ux.*, coalesce(gs, []) AS gs, coalesce(t, false) AS t, it.rec_ord IS NOT NULL AS i, flag & 3 = 3 AS proper FROM ux LEFT JOIN gl2 USING (rec_ord) LEFT JOIN it USING (rec_ord)),
-un2 AS (SELECT gs, i, t, 1 AS w FROM rw WHERE NOT proper UNION ALL SELECT list_intersect(a.gs, b.gs), a.i OR b.i, a.t OR b.t, 2 FROM rw a JOIN rw b ON a.proper AND b.proper AND a.qname = b.qname AND a.flag & 64 > 0 AND b.flag & 128 > 0)"""
-SQL["a26_read_origin"] = oracle(" SELECT CASE WHEN len(gs) = 1 THEN 'exonic' WHEN len(gs) > 1 THEN 'ambiguous' WHEN i THEN 'intronic' ELSE 'intergenic' END AS origin, CAST(sum(w) AS BIGINT) AS n FROM un2 GROUP BY 1 UNION ALL SELECT 'overlapping_exon', count(*) FROM un2 WHERE len(gs) = 0 AND t", ORIGIN)
+SQL["a26_read_origin"] = oracle(" SELECT CASE WHEN len(gs) = 1 THEN 'exonic' WHEN len(gs) > 1 THEN 'ambiguous' WHEN i THEN 'intronic' ELSE 'intergenic' END AS origin, CAST(sum(w) AS BIGINT) AS n FROM un2 GROUP BY 1 UNION ALL SELECT 'overlapping_exon', count(*) FROM un2 WHERE t", ORIGIN)
 SQL["a26_junction_support"] = oracle(
     """, jr AS (SELECT tid, pos + a AS s, pos + b AS e FROM ux JOIN (VALUES (2, 20, 120), (6, 10, 210), (6, 220, 270)) v(ln, a, b) USING (ln)), ed AS (SELECT DISTINCT tid, unnest([s - 1, s, s + 1]) AS p FROM gap2), ee AS (SELECT DISTINCT tid, unnest([e - 1, e, e + 1]) AS p FROM gap2)
   SELECT CASE k WHEN 2 THEN 'known' WHEN 1 THEN 'partly_known' ELSE 'novel' END AS class, count(*) AS n FROM (SELECT CAST((tid, s) IN (SELECT tid, p FROM ed) AS INTEGER) + CAST((tid, e) IN (SELECT tid, p FROM ee) AS INTEGER) AS k FROM jr) GROUP BY 1""",
