@@ -3,7 +3,8 @@
 1. language ID: documents that the CRF gives no language (no letters, or under 0.4 of the words'
    weight for each one) go.
 2. line dedup: later copies of runs of 50 words or more are cut; a document that loses all lines goes.
-3. SimHash near-dedup: of each group of linked five-word-shingle fingerprints one document stays.
+3. SimHash near-dedup: of each group of texts linked by five-word-shingle fingerprints, or by a
+   similarity of their shingle sets of 0.8 or more, one document stays.
 4. decontamination: documents with eight-word windows of a benchmark item go.
 5. BPE: each document's ids, and whether decoding gives its text back.
 """

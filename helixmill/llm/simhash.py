@@ -15,7 +15,7 @@ table. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +30,8 @@ from .common import saved
 SEED, BITS = 42, 64
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 17
+# They change no result: texts sampled for common shingles, how many of those are kept, the longest list of texts that meet pair by pair at once and the rounds before, and ids broadcast.
+SAMPLE, COMMON, LONG_LIST, ROUNDS, BROADCAST_ROWS = 20_000, 200_000, 50, 6, 500_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -62,7 +64,10 @@ def bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints_of(texts: list[str | None], width: int) -> np.ndarray:
-    parts = [shingle_hashes(t, width) for t in texts]
+    return prints_of([shingle_hashes(t, width) for t in texts])
+
+
+def prints_of(parts: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(p) for p in parts], np.int64)
     counts = bit_counts(np.concatenate(parts) if parts else np.zeros(0, np.uint64), sizes)
     bits = (2 * counts > sizes[:, None]).astype(np.uint8)
@@ -161,9 +166,105 @@ def digests(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _sets(rows: DataFrame, make: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """rows (the last column is the text) with, in place of the text, its fingerprint fp, the number n of its distinct shingles and `make` of their sorted hashes as hs."""
+    names = rows.columns[:-1]
+    kinds = [T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), T.StructField("hs", T.ArrayType(T.LongType()), False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                hashes = [shingle_hashes(t, width) for t in part.column(len(names)).to_pylist()]
+                fp = prints_of(hashes).view(np.int64)
+                sets = [np.unique(h).view(np.int64) for h in hashes]
+                made = [make(s) for s in sets]
+                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), hs], names=[*names, "fp", "n", "hs"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *kinds]))
+
+
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes of shingles that many texts (id, text) have, by a sample. They only order the prefixes; no result depends on them."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < round(share * (1 << 20)))
+    often = _sets(some, lambda s: s, width).select(F.explode("hs").alias("h")).groupBy("h").count().where("count >= 4")
+    return np.sort(np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64))
+
+
+def prefix_of(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 shingles in an order that is the same for all texts: common ones last."""
+    late = np.isin(s, common)
+    return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0]
+
+
+def joined_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """known (id and its group c) after edges a, b between ids join groups."""
+    a, b = (known.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    between = edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    roots = components(between)
+    return saved(known.join(roots, known.c == roots.node, "left").select("id", F.coalesce("root", "c").alias("c")))
+
+
+def with_similar(known: DataFrame, prefixes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """known (id and its group c) after all texts of Jaccard similarity 0.8 or more over their shingle sets are linked.
+
+    prefixes has id, n, hs of each text. Two such sets share a shingle of their prefixes, so each
+    pair is found, and the whole sets verify it. Pairs of one group need no link. In long lists
+    all texts first meet one text of the list, in rounds: large groups of near copies become one
+    group without all their pairs. What is left in several groups meets pair by pair.
+    """
+    rows = prefixes.select("id", "n", F.explode("hs").alias("h"))
+    many = saved(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"))
+    lists = saved(rows.join(many, "h"))
+    wanted = saved(lists.select("id").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = saved(_sets(texts.join(wanted, "id", "left_semi"), lambda s: s, width).select("id", "n", "hs").dropDuplicates(["id"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}")) for c in "ab")
+        both = F.size(F.array_intersect("ha", "hb"))
+        return pairs.distinct().join(x, "a").join(y, "b").where(5 * both >= 4 * (F.col("na") + F.col("nb") - both)).select("a", "b")
+
+    def spread(groups: DataFrame) -> DataFrame:
+        """The rows, with their groups, of lists in more than one group."""
+        now = lists.join(groups, "id")
+        several = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+        return saved(now.join(several, "h"))
+
+    close = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
+    now = spread(known)
+    for turn in range(ROUNDS):
+        long = now.where(F.col("size") > LONG_LIST)
+        if not long.take(1):
+            break
+        first = long.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", "h", F.lit(turn)).alias("at"), "id", "n", "c")).alias("p"))
+        met = long.join(first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "h").where((F.col("c") != F.col("d")) & close)
+        known = joined_groups(known, verified(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))))
+        now = spread(known)
+    others = now.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = now.join(others, "h").where((F.col("id") < F.col("other")) & (F.col("c") != F.col("d")) & close)
+    return joined_groups(known, verified(rest.select(F.col("id").alias("a"), F.col("other").alias("b"))))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:
-    """docs without all rows of each near-duplicate group but the one of smallest doc_id (of repeated rows of that id one). Rows without doc_id stay."""
-    groups = near_duplicates(docs.where("doc_id is not null"), width=width, max_bits=max_bits)
-    kept = groups.groupBy("doc_id").agg(F.min("component_id").alias("__hm_low")).where("doc_id = __hm_low").select("doc_id")
+    """docs without all rows of each near-duplicate group but the one of smallest doc_id (of repeated rows of that id one). Rows without doc_id stay.
+
+    Texts link at `max_bits` or fewer differing bits of their fingerprints, or at a Jaccard
+    similarity of 0.8 or more over their sets of shingles, at any distance.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("id"), text.alias("text"))
+    texts = rows.select("id", "text")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+    made = saved(_sets(rows, lambda s: prefix_of(s, common.value), width))
+    nodes = saved(made.select("id", "fp", "n", "hs").dropDuplicates(["id"]))
+    roots = components(links(nodes.select("fp").distinct(), max_bits))
+    known = saved(nodes.join(roots, nodes.fp == roots.node, "left").select("id", F.coalesce("root", "fp").alias("c")))
+    groups = made.select("doc_id", "id").join(with_similar(known, nodes.select("id", "n", "hs"), texts, width), "id")
+    named = groups.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    kept = groups.join(named, "c").groupBy("doc_id").agg(F.min("component_id").alias("__hm_low")).where("doc_id = __hm_low").select("doc_id")
     known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -99,3 +99,42 @@ def test_bit_counts_over_chunks(monkeypatch):
     edges = np.concatenate([[0], np.cumsum(sizes)])
     for k in range(len(sizes)):
         assert got[k].tolist() == [sum(int(x) >> b & 1 for x in h[edges[k] : edges[k + 1]]) for b in range(64)]
+
+
+def test_near_copies_of_similarity_four_fifths_go(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []
+    for group in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(4):
+            copy = list(words)
+            for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+                copy[at] = f"n{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(500 + k, rows[0][1] + f" tail{k} more{k}") for k in range(40)] + [(600, None), (601, ""), (602, "two words")]
+    sets = {k: frozenset(simhash.shingle_hashes(t, 5).tolist()) for k, t in rows}
+    prints = {k: int(simhash.fingerprints_of([t], 5)[0]) for k, t in rows}
+    low = {k: k for k, _ in rows}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    apart = 0
+    for i in low:
+        for j in low:
+            both = len(sets[i] & sets[j])
+            bits = (prints[i] ^ prints[j]).bit_count()
+            alike = both and 5 * both >= 4 * len(sets[i] | sets[j])
+            apart += bool(alike and bits > 4)
+            if i < j and (alike or bits <= 4):
+                a, b = sorted((find(i), find(j)))
+                low[b] = a
+    assert apart > 50
+    want = sorted(k for k in low if find(k) == k)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for longest, common in ((50, 200_000), (3, 0)):
+        monkeypatch.setattr(simhash, "LONG_LIST", longest)
+        monkeypatch.setattr(simhash, "COMMON", common)
+        assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == want
