@@ -91,7 +91,8 @@ def shortest_runs(active: DataFrame, min_words: int) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc, mark and idx of each line to delete."""
-    active = saved(repeated(saved(line_table(docs))))
+    # rows of equal doc_id and text are one document: each of its lines counts once
+    active = saved(repeated(saved(line_table(docs))).dropDuplicates(["doc", "mark", "idx"]))
     runs = saved(shortest_runs(active, min_words).withColumn("k", F.floor(F.log2(F.col("last") - F.col("first") + 1)).cast("int")))
     longest = runs.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 0
     named = []

@@ -80,3 +80,13 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = linededup.result(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_repeated_rows_with_passages_of_short_lines(spark):
+    passage = "\n".join(f"p{k} q{k} r{k} s{k}" for k in range(20))
+    rows = [(1, "a\n" + passage), (1, "a\n" + passage), (2, passage + "\nb"), (3, "c\n" + passage), (3, "c\n" + passage), (None, "d d"), (None, "d d")]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_deleted) for r in linededup.result(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(1, rows[0][1], 21, 0)] * 2 + [(2, "b", 21, 20)] + [(3, "c", 21, 20)] * 2
+    null = [(None, "d\n" + passage), (None, "d\n" + passage), (4, passage)]
+    got = {(r.doc_id, r.n_deleted) for r in linededup.result(spark.createDataFrame(null, "doc_id long, text string")).collect()}
+    assert got == {(None, 0), (4, 20)}
