@@ -250,7 +250,7 @@ def with_similar(known: DataFrame, prefixes: DataFrame, texts: DataFrame, width:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:
-    """docs without all rows of each near-duplicate group but the one of smallest doc_id (of repeated rows of that id one). Rows without doc_id stay.
+    """docs without all rows of each near-duplicate group but the one of smallest doc_id (of its rows of one text one; of its texts in the group the one of smallest hash). Rows without doc_id stay.
 
     Texts link at `max_bits` or fewer differing bits of their fingerprints, or at a Jaccard
     similarity of 0.8 or more over their sets of shingles, at any distance.
@@ -264,7 +264,6 @@ def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame
     roots = components(links(nodes.select("fp").distinct(), max_bits))
     known = saved(nodes.join(roots, nodes.fp == roots.node, "left").select("id", F.coalesce("root", "fp").alias("c")))
     groups = made.select("doc_id", "id").join(with_similar(known, nodes.select("id", "n", "hs"), texts, width), "id")
-    named = groups.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    kept = groups.join(named, "c").groupBy("doc_id").agg(F.min("component_id").alias("__hm_low")).where("doc_id = __hm_low").select("doc_id")
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    kept = groups.groupBy("c").agg(F.min(F.struct("doc_id", "id")).alias("k")).select("k.doc_id", F.col("k.id").alias("__hm_mark"))
+    known = docs.where("doc_id is not null").withColumn("__hm_mark", F.xxhash64(text)).dropDuplicates(["doc_id", "__hm_mark"]).join(kept, ["doc_id", "__hm_mark"], "left_semi")
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))

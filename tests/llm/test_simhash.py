@@ -138,3 +138,10 @@ def test_near_copies_of_similarity_four_fifths_go(spark, monkeypatch):
         monkeypatch.setattr(simhash, "LONG_LIST", longest)
         monkeypatch.setattr(simhash, "COMMON", common)
         assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == want
+
+
+def test_each_group_keeps_a_row_though_an_id_has_two_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(3, a), (5, a), (3, a), (5, b), (7, b)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, a), (5, b)]
