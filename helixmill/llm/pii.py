@@ -10,7 +10,9 @@ permutation gives different entities of one format different surrogates, and equ
 (mail case ignored; name parts apart) the same everywhere. Known given names get another given name of
 the same gender and script. Then Spark checks all distinct entities for collisions: a surrogate
 that equals any entity of the corpus, or that two entities share, is made again with the next
-counter until none is left. Only those exceptions travel to the rewriting pass, by broadcast if
+counter until none is left. Entities that still clash after those rounds, as their format has too
+few free values, get a longer surrogate (an address: any other one), checked in the same way; if
+even those don't settle, it is an error. Only those exceptions travel to the rewriting pass, by broadcast if
 few, else by a join.
 
 Rows: null text stays null; empty text stays. Repeated rows get equal results. A null doc_id keeps
@@ -37,6 +39,8 @@ from .common import saved
 KEY = b"helixmill"
 #: Exceptions up to this many are broadcast (about 100 bytes each); more are joined.
 BROADCAST_ROWS = 20_000
+#: From this counter on, a surrogate leaves its entity's format for a larger one.
+WIDE = 1 << 20
 
 # Given names by script and gender, and titles before names.
 GIVEN = {
@@ -147,6 +151,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _wide(kind: str, value: str, key: bytes, tweak: str) -> str:
+    """A surrogate in a larger format: any address, or twelve characters more."""
+    block = _stream(key, "wide", tweak, value)
+    if kind == "ip":
+        return ".".join(str(b) for b in block[:4])
+    if kind == "hex":
+        return surrogate(kind, value, 0, key) + block.hex()[:12]
+    if kind in ("family", "given"):
+        lower = next((k for k in (2, 8, 12) if value[0] in CLASSES[k] + CLASSES[k + 2] or value[0] in CLASSES[k - 1] + CLASSES[k + 1]), 2)
+        return _letters(value, key, tweak) + "".join(CLASSES[lower - (i % 2)][b % len(CLASSES[lower - (i % 2)])] for i, b in enumerate(block[:12]))
+    more = "".join(str(b % 10) for b in block[:12])
+    if kind == "mail":
+        local, _, domain = surrogate(kind, value, 0, key).partition("@")
+        return f"{local}{more}@{domain}"
+    return surrogate(kind, value, 0, key) + more
+
+
 @lru_cache(200_000)
 def surrogate(kind: str, value: str, counter: int = 0, key: bytes = KEY) -> str:
     """The surrogate of an entity; another one for each counter."""
@@ -154,6 +175,8 @@ def surrogate(kind: str, value: str, counter: int = 0, key: bytes = KEY) -> str:
     if kind == "given" and value in GENDER:
         names = sorted(GIVEN[GENDER[value]], key=lambda n: _stream(key, "order", n))
         return names[(names.index(value) + 1 + counter) % len(names)]
+    if counter >= WIDE:
+        return _wide(kind, value, key, tweak)
     if kind == "ip":
         lows = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
         octets = value.split(".")
@@ -222,7 +245,7 @@ def assign(docs: DataFrame, key: bytes = KEY, text: str = "text", rounds: int =
     """
     now = saved(_made(mentions(docs, text).distinct().withColumn("counter", F.lit(0)), key))
     originals = now.where("kind <> 'given'").select("kind", F.col("value").alias("made")).distinct().withColumn("taken", F.lit(True))
-    for _ in range(rounds):
+    for turn in range(1, 2 * rounds + 1):
         first = now.groupBy("kind", "made").agg(F.min("value").alias("first"))
         checked = now.join(first, ["kind", "made"]).join(originals, ["kind", "made"], "left")
         clash = (F.col("value") != F.col("first")) | F.col("taken").isNotNull() | (F.col("value") == F.col("made"))
@@ -230,9 +253,11 @@ def assign(docs: DataFrame, key: bytes = KEY, text: str = "text", rounds: int =
         bad = checked.where("clash")
         if not bad.take(1):
             break
-        again = _made(bad.withColumn("counter", F.col("counter") + 1), key)
+        more = F.col("counter") + 1 if turn < rounds else F.greatest(F.col("counter") + 1, F.lit(WIDE))
+        again = _made(bad.withColumn("counter", more), key)
         now = saved(checked.where("not clash").drop("clash").unionByName(again))
-    # an entity without a free surrogate after all rounds (a format of few values, all taken) keeps its last one
+    else:
+        raise RuntimeError(f"surrogates still clash after {2 * rounds} rounds")
     return now
 
 

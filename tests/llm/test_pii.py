@@ -79,3 +79,14 @@ def test_windows_find_what_a_plain_scan_finds(monkeypatch):
         for _ in range(300):
             text = "".join(rng.choice(pieces) for _ in range(rng.choice([5, 60, 400])))
             assert [f[:3] for f in pii.detect(text)] == [(*m.span(m.lastgroup), m.lastgroup) for m in pii._marked.finditer(text)], text
+
+
+def test_full_formats_get_longer_surrogates(spark):
+    names = [c + v for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"][:70]
+    rows = [(k, f"Mr {n} of 1.{k % 10}.{k // 10}.0") for k, n in enumerate(names)] + [(100 + k, f"at {k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}") for k in range(6000)]
+    got = pii.assign(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3).collect()
+    old, new = {(r.kind, r.value) for r in got}, {(r.kind, r.made) for r in got}
+    assert len(new) == len(old) == len(got) and not old & new
+    assert any(r.counter >= pii.WIDE and r.kind == "family" for r in got) and all(pii.surrogate(r.kind, r.value, r.counter) == r.made for r in got)
+    for kind, value in (("mail", "a@b.org"), ("hex", "0a" * 16), ("family", "Ив"), ("phone", "+1 2 34 56"), ("secret", "abcdef"), ("iban", "DE12 3456 7890")):
+        assert pii.surrogate(kind, value, pii.WIDE) != pii.surrogate(kind, value, pii.WIDE + 1) and len(pii.surrogate(kind, value, pii.WIDE)) == len(value) + 12
