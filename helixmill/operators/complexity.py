@@ -70,6 +70,20 @@ def evaluate(coefficients: list[float], t: float, degree: int) -> float:
     return a1 / b1 if b1 else math.nan
 
 
+def evaluate_all(coefficients: list[float], ts: np.ndarray, degree: int) -> np.ndarray:
+    """evaluate at many t."""
+    a0, a1 = np.zeros(len(ts)), np.full(len(ts), coefficients[0])
+    b0, b1 = np.ones(len(ts)), np.ones(len(ts))
+    with np.errstate(all="ignore"):
+        for c in coefficients[1:degree]:
+            a0, a1 = a1, a1 + c * ts * a0
+            b0, b1 = b1, b1 + c * ts * b0
+            size = np.maximum(np.abs(a1), np.abs(b1))
+            size = np.where((size > 1e20) | ((0 < size) & (size < 1e-20)), size, 1.0)
+            a0, a1, b0, b1 = (x / size for x in (a0, a1, b0, b1))
+        return np.where(b1 != 0, a1 / b1, math.nan)
+
+
 def good_curve(values: list[float]) -> bool:
     if not all(math.isfinite(v) and v >= 0 for v in values):
         return False
@@ -86,10 +100,10 @@ def choose_degree(hist: dict[int, int], max_terms: int = 100) -> tuple[list[floa
         return None
     series = [(-1) ** j * float(hist[j + 1]) for j in range(terms)]
     coefficients = continued_fraction(series)
-    grid = [0.05 * k for k in range(1, 2001)]
+    grid = np.array([0.05 * k for k in range(1, 2001)])
     low, step = (3, 1) if terms <= 6 else (7 + (terms % 2 == 0), 2)
     for degree in range(terms, low - 1, -step):
-        if good_curve([t * evaluate(coefficients, t, degree) for t in grid]):
+        if good_curve((grid * evaluate_all(coefficients, grid, degree)).tolist()):
             return coefficients, degree
     return None
 
@@ -102,16 +116,20 @@ def curve(hist: dict[int, int], max_extrap: float = 1e10, step: float = 1e6, max
     chosen = choose_degree(hist, max_terms)
     if chosen is None:
         return None
-    out, t = [(0.0, 0.0)], step
+    grid, t = [], step
     while t < max_extrap:
-        fold = (t - total) / total
-        out.append((t, interpolate(hist, total, distinct, t) if t < total else distinct + fold * evaluate(*chosen[:1], fold, chosen[1])))
+        grid.append(t)
         t += step
-    return out
+    inner = [(t, interpolate(hist, total, distinct, t)) for t in grid if t < total]
+    outer = np.array(grid[len(inner) :])
+    fold = (outer - total) / total
+    return [(0.0, 0.0), *inner, *zip(outer.tolist(), (distinct + fold * evaluate_all(*chosen[:1], fold, chosen[1])).tolist(), strict=True)]
 
 
 def bootstrap(hist: dict[int, int], n: int = 100, seed: int = 408, confidence: float = 0.95, **more: float) -> list[tuple[float, float, float, float]] | None:
     """Median and quantiles of curves of resampled tables; the generator is numpy's, so bounds agree in distribution only."""
+    if n == 0:  # the plain curve
+        return [(t, v, math.nan, math.nan) for t, v in found] if (found := curve(hist, **more)) else None
     rng = np.random.default_rng(seed)
     js, ns = np.array(sorted(hist)), np.array([hist[j] for j in sorted(hist)])
     curves: list[list[float]] = []
@@ -125,5 +143,13 @@ def bootstrap(hist: dict[int, int], n: int = 100, seed: int = 408, confidence: f
             break
     if not curves:
         return None
+    if len(curves) == 1:
+        return [(t, v, math.nan, math.nan) for t, v in zip(grid, curves[0], strict=True)]
     low, mid, high = np.quantile(np.array(curves), [(1 - confidence) / 2, 0.5, (1 + confidence) / 2], axis=0)
     return list(zip(grid, mid.tolist(), low.tolist(), high.tolist(), strict=True))
+
+
+def report(hist: dict[int, int], settings: dict) -> list[tuple[float, float, float, float]] | None:
+    """All points of the configured grid: reads, median, lower and upper bound."""
+    c = settings
+    return bootstrap(hist, c["n_bootstraps"], c["seed"], c["confidence"], max_extrap=c["max_extrap"], step=c["step"], max_terms=c["max_terms"]) if hist else None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kmers
 from ..operators import cohort, complexity, counting, fragmentomics, intervals, pergene, qualimap, readstats, rseqc
+from ..sources.config import DEFAULTS
 from . import views
 from .views import oracle
 
@@ -424,9 +425,9 @@ def complexity_table(spark, d):
 @query("m06_complexity_curve")
 def complexity_curve(spark, d):
     hist = {r.j: r.n_j for r in complexity_table(spark, d).collect()}  # one row for each frequency
-    total = sum(j * n for j, n in hist.items())
-    found = complexity.curve(hist, max_extrap=4.0 * total, step=total / 8) or []
-    return spark.createDataFrame([(float(t), round(float(v), 4)) for t, v in found], "total_reads double, expected_distinct double")
+    found = complexity.report(hist, DEFAULTS["complexity"]) or []
+    rows = [(float(t), *(None if v != v else round(float(v), 4) for v in vs)) for t, *vs in found]
+    return spark.createDataFrame(rows, "total_reads double, expected_distinct double, lower_ci double, upper_ci double")
 
 
 ORIGIN = f"""{MERGED}, ux AS (SELECT * FROM reads WHERE flag & 2820 = 0 AND nh <= 1),

@@ -100,8 +100,9 @@ def run(sample: Sample, params: Params) -> dict:
     if params["complexity"]["enabled"]:
         c = params["complexity"]
         table = {r.j: r.n_j for r in complexity.frequency_table(complexity.fragment_keys(reads, c["longest"])).collect()}
-        curve = complexity.curve(table, c["max_extrap"], c["step"], c["max_terms"]) if table else None
-        doc["preseq"] = {"curve": curve[:1000] if curve else None}
+        curve = complexity.report(table, c)
+        names = ("total_reads", "expected_distinct", "lower_ci", "upper_ci")
+        doc["preseq"] = {"curve": [{k: None if v != v else v for k, v in zip(names, p, strict=True)} for p in curve] if curve else None}
         slope = float(curve[-1][1] - curve[-2][1]) / c["step"] if curve and len(curve) > 1 else None
     if sample.classes is not None:
         doc["gene_class_fractions"] = {r["class"]: r.asDict() for r in cohort.gene_class_fractions(fc, sample.genes, sample.classes).collect()}

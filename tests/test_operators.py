@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from helixmill.operators import cohort, complexity, counting, fragmentomics, intervals, readstats, rseqc
@@ -171,3 +172,18 @@ def test_no_reads(spark, golden):
     assert readstats.depth_histogram(none).count() == 0 and rseqc.splice_events(none).count() == 0
     matrix = counting.dup_matrix(genes, intervals.union_length(exons, ["gene_id"]), counting.gene_counts(counting.fragments(none, exons)), counting.total_mapped(none, counting.fragments(none, exons)))
     assert matrix.count() == 8 and matrix.where("rpkm <> 0").count() == 0
+
+
+def test_complexity_report_has_all_points_and_bounds():
+    hist = {1: 500, 2: 120, 3: 40, 4: 15, 5: 6, 6: 2}
+    settings = {"seed": 408, "max_extrap": 3e6, "step": 1e3, "n_bootstraps": 20, "confidence": 0.95, "max_terms": 100}
+    got = complexity.report(hist, settings)
+    assert len(got) == 3000 and got[-1][0] == 2_999_000
+    assert all(lo <= mid <= hi for _, mid, lo, hi in got) and any(lo < mid < hi for _, mid, lo, hi in got)
+    narrow = complexity.report(hist, {**settings, "confidence": 0.5})
+    assert narrow[-1][3] - narrow[-1][2] < got[-1][3] - got[-1][2]
+    bare = complexity.report(hist, {**settings, "n_bootstraps": 0})
+    assert len(bare) == 3000 and all(math.isnan(lo) and math.isnan(hi) for _, _, lo, hi in bare)
+    coefficients, degree = complexity.choose_degree(hist)
+    ts = [0.05, 1.0, 99.0, 1e6]
+    assert np.allclose(complexity.evaluate_all(coefficients, np.array(ts), degree), [complexity.evaluate(coefficients, t, degree) for t in ts])
