@@ -4,13 +4,14 @@ A page is parsed into blocks of text and the elements that hold them. The conten
 outermost article elements, else the main element, else the body. Elements whose tag, role, id or
 class says menu, header, footer, sidebar, notice, advert, form or reader comment go, with scripts,
 styles and hidden parts. Each element's subtree is hashed (its tag, texts and child hashes); Spark
-counts the pages of each host that have it. A subtree on at least `MIN_PAGES` pages and a share of
+counts the different pages of each host that have it: pages of equal blocks count as one. A subtree on at least `MIN_PAGES` pages and a share of
 the host's pages is template and goes: MIN_SHARE outside an article or main element, MAIN_SHARE
-(a majority) inside one, where copies of an article on one host would else lose their text.
+(a majority) inside one. What holds all of a page's text never goes as a template, and a page of
+nothing but templates keeps its text.
 
 Rows: null or textless html gives empty text. A null url has the empty host. Broken markup is read
 as far as it goes; an element that is not closed ends with its parent. Repeated rows are pages
-each. Pages of any length are parsed whole. An empty table gives an empty table. Extra columns are
+each, and count as one for templates. Pages of any length are parsed whole. An empty table gives an empty table. Extra columns are
 ignored.
 """
 
@@ -184,34 +185,39 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
 def text_of(blocks: list[str], nodes: list[Node], templates: set[int] | frozenset = frozenset()) -> str:
     gone = [False] * len(blocks)
     if templates:
+        wanted = [k for k, b in enumerate(blocks) if b]
         for n in nodes:
-            if n.hash in templates:
+            if n.hash in templates and wanted and not (n.begin <= wanted[0] and wanted[-1] < n.end):
                 gone[n.begin : n.end] = [True] * (n.end - n.begin)
+        if all(gone[k] for k in wanted):
+            gone = [False] * len(blocks)
     return "\n".join(b for b, g in zip(blocks, gone, strict=True) if b and not g)
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, hash, inside (in an article or main element) once for each page that has the subtree; and hash 0 once for each page."""
+    """host, page (hash of its blocks), hash, inside (in an article or main element) for each page that has the subtree; and hash 0 for each page."""
     source = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                hosts, hashes, inside = [], [], []
+                hosts, marks, hashes, inside = [], [], [], []
                 part = batch.slice(a, 256)
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = {0: False} | {n.hash: n.root > 0 for n in parse(page or "")[1]}
+                    blocks, nodes = parse(page or "")
+                    found = {0: False} | {n.hash: n.root > 0 for n in nodes}
                     hosts += [host] * len(found)
+                    marks += [xxhash.xxh64_intdigest("\0".join(blocks).encode("utf-8", "replace")) >> 1] * len(found)
                     hashes += found
                     inside += found.values()
-                yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "hash": pa.array(hashes, pa.int64()), "inside": pa.array(inside, pa.bool_())})
+                yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "page": pa.array(marks, pa.int64()), "hash": pa.array(hashes, pa.int64()), "inside": pa.array(inside, pa.bool_())})
 
-    return source.mapInArrow(run, "host string, hash long, inside boolean")
+    return source.mapInArrow(run, "host string, page long, hash long, inside boolean")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, main_share: float = MAIN_SHARE) -> DataFrame:
     """host and hash of the subtrees that recur across the host's pages."""
-    counts = saved(subtrees(pages).groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where((F.col("n") >= min_pages) | (F.col("hash") == 0)))
+    counts = saved(subtrees(pages).groupBy("host", "hash", "page").agg(F.max("inside").alias("inside")).groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where((F.col("n") >= min_pages) | (F.col("hash") == 0)))
     hosts = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     share = F.when(F.col("inside"), main_share).otherwise(min_share)
     return counts.where("hash <> 0").join(hosts, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")

@@ -55,3 +55,13 @@ def test_copies_of_an_article_keep_their_text(spark):
     got = htmltext.digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got if r.page_id < 12} == {"Same\nCopied story"}
     assert htmltext.digests(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).collect() == []
+
+
+def test_copies_count_once_and_no_page_loses_all_its_text(spark):
+    page = "<article><h1>Same</h1><p>Copied story</p></article>"
+    rows = [(k, "http://h.example/", page) for k in range(12)] + [(20 + k, "http://plain.example/", "<div><p>One text</p><p>Two</p></div>") for k in range(15)]
+    rows += [(40 + k, "http://h.example/", page.replace("story", f"story {k}")) for k in range(5)]
+    rows += [(60 + k, "http://m.example/", f"<p>Menu</p><p>Own {k}</p>" if k else "<p>Menu</p>") for k in range(12)]
+    got = {r.page_id: r.text for r in htmltext.digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(12)} == {"Same\nCopied story"} and {got[20 + k] for k in range(15)} == {"One text\nTwo"}
+    assert got[41] == "Same\nCopied story 1" and got[60] == "Menu" and got[61] == "Own 1"
