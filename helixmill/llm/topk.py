@@ -12,7 +12,7 @@ Each block of candidates is sent once to each block of queries; the queries are
 
 Rows: vectors that are null or hold null or non-finite components take no part. Only vectors of
 one length are compared. Rows of one id are one candidate (the best of their scores) and one query
-(the one whose vector sorts first). Ties go to the smaller id. A null id takes no part. Scores beyond a
+(of its valid vectors the one that sorts first). Ties go to the smaller id. A null id takes no part. Scores beyond a
 long are set to its ends. An empty table gives an empty table. Extra columns are ignored.
 """
 
@@ -135,7 +135,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
     schema = "dims int, ids binary, cols binary"
     pick = lambda d: d.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     rows = saved(pick(df).mapInArrow(_blocks(block, scale), schema).withColumn("cblock", F.monotonically_increasing_id()))
-    once = pick(queries).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    once = pick(queries).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).groupBy("id").agg(F.min("v").alias("v"))
     n = max(1, -(-once.count() // per_query_block))
     dealt = once.repartition(n, F.pmod(F.xxhash64("id"), F.lit(n)))
     asked = saved(dealt.mapInArrow(_blocks(per_query_block, scale), schema).withColumn("qblock", F.monotonically_increasing_id()))

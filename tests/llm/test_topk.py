@@ -64,3 +64,12 @@ def test_bounds_lose_nothing(seed, dims, n, k):
     for i, qid in enumerate((0, 5, 999)):
         want = sorted(((-int(s), j) for j, s in enumerate(q[:, i] @ c) if j != qid))[:k]
         assert list(zip((-best[i][1]).astype(int).tolist(), best[i][0].tolist())) == want
+
+
+def test_an_invalid_row_does_not_hide_a_valid_query(spark):
+    inf, nan = float("inf"), float("nan")
+    bad = [[None, 1.0], [-inf, 0.0], [nan, 0.0], None]
+    rows = [(k, v) for k, v in enumerate(bad)] + [(k, [1.0, float(k)]) for k in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, df, k=1).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 1)] + [(k, 5) for k in range(1, 5)] + [(5, 4)]
