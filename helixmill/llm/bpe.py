@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same split for texts whose characters are all letters, decimal digits, marks or spaces to both expression engines.
@@ -34,7 +36,7 @@ PLAIN = r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\
 #: Any other character: numerals that are no decimal digits, and what lies beyond Latin and general punctuation.
 OTHER = "[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e]"
 #: Bytes split and merged at a time, bytes expanded to ids at a time, and distinct words kept; they bound memory and change no result.
-MERGE_BYTES, CHUNK_CHARS, KEEP_WORDS = 12_000_000, 3_000_000, 400_000
+MERGE_BYTES, CHUNK_CHARS, KEEP_WORDS = 4_000_000, 1_000_000, 120_000
 SHIFT = 20
 
 
@@ -244,38 +246,78 @@ def portions(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_CHARS) -> Iter
         yield begin, len(n)
 
 
+def encoded(enc: WordEncoder, texts: pa.Array) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """Consecutive rows first to last and the ids of their texts."""
+    for first, last in portions(texts, MERGE_BYTES):
+        if len(enc.number) > KEEP_WORDS:
+            enc.clear()
+        some = texts.slice(first, last - first)
+        seqs = [enc.sequence(t) if (t := x.as_py()) else np.zeros(0, np.int32) for x in some]
+        enc.tables()
+        for a, b in portions(some):
+            flat = np.concatenate(seqs[a:b])
+            edge = np.cumsum([0, *map(len, seqs[a:b])])
+            total = np.concatenate([[0], np.cumsum(enc.counts(flat))])[edge]
+            yield first + a, first + b, pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(enc.expand(flat), pa.int32()))
+
+
+def decoded(voc: Vocabulary, lists: pa.ListArray) -> list[str]:
+    """The texts of lists of ids."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    begin, cuts, out = 0, [0], []
+    for i, total in enumerate(np.cumsum(sizes)):
+        if total - begin > CHUNK_CHARS // 2:
+            cuts.append(i + 1)
+            begin = total
+    if cuts[-1] < len(sizes):
+        cuts.append(len(sizes))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        flat = lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+        size = voc.size[flat]
+        raw = voc.pool[ragged(voc.start[flat], size)].tobytes()
+        last = 0
+        for e in np.concatenate([[0], np.cumsum(size)])[np.cumsum(sizes[a:b])].tolist():
+            out.append(raw[last:e].decode("utf-8", "replace"))
+            last = e
+    return out
+
+
 def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """df (or its columns `keep`) with the ids of each whole text as array<int>."""
+    return _passed(df, path, text, ids, keep, None)
+
+
+def encode_decode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded_as: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encode, and decode of its ids, in one pass: one Python worker a task holds one vocabulary."""
+    return _passed(df, path, text, ids, keep, decoded_as)
+
+
+def _passed(df: DataFrame, path: str | None, text: str, ids: str, keep: list[str] | None, decoded_as: str | None) -> DataFrame:
     path = path or default_path()
-    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
+    small_batches(df.sparkSession)
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (ids, decoded_as)]
     at = len(keep)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__hm_text"))
-    schema = T.StructType([*source.schema.fields[:at], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded_as:
+        made.append(T.StructField(decoded_as, T.StringType(), False))
+    names = [*keep, *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts = batch.column(at)
-            for first, last in portions(texts, MERGE_BYTES):
-                if len(enc.number) > KEEP_WORDS:
-                    enc.clear()
-                some = texts.slice(first, last - first)
-                seqs = [enc.sequence(t) if (t := x.as_py()) else np.zeros(0, np.int32) for x in some]
-                enc.tables()
-                for a, b in portions(some):
-                    flat = np.concatenate(seqs[a:b])
-                    edge = np.cumsum([0, *map(len, seqs[a:b])])
-                    total = np.concatenate([[0], np.cumsum(enc.counts(flat))])[edge]
-                    made = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(enc.expand(flat), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first + a, b - a) for k in range(at)), made], names=[*(batch.schema.names[:at]), ids])
+            for a, b, lists in encoded(enc, batch.column(at)):
+                own = [lists, pa.array(decoded(enc.voc, lists), pa.string())] if decoded_as else [lists]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(at)), *own], names=names)
         enc.clear()  # a worker lives on and may serve other operators
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:at], *made]))
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of the ids; bytes that are no UTF-8 become U+FFFD; null ids give empty text."""
     path = path or default_path()
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text]
     at = keep.index(ids)
     source = df.select(*[F.col(f"`{c}`") for c in keep])
@@ -284,33 +326,14 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = encoder(path).voc
         for batch in batches:
-            lists = batch.column(at)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            begin = 0
-            cuts = [0]
-            for i, total in enumerate(np.cumsum(sizes)):
-                if total - begin > CHUNK_CHARS // 2:
-                    cuts.append(i + 1)
-                    begin = total
-            if cuts[-1] < len(sizes):
-                cuts.append(len(sizes))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                flat = lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
-                size = voc.size[flat]
-                raw = voc.pool[ragged(voc.start[flat], size)].tobytes()
-                ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(sizes[a:b])].tolist()
-                out, last = [], 0
-                for e in ends:
-                    out.append(raw[last:e].decode("utf-8", "replace"))
-                    last = e
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), pa.array(out, pa.string())], names=[*keep, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded(voc, batch.column(at)), pa.string())], names=[*keep, text])
 
     return source.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the hashes of ids and decoded text for each document."""
-    coded = decode(encode(df, path, keep=["doc_id"]), path)
+    coded = encode_decode(df, path, keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
