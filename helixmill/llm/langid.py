@@ -8,13 +8,15 @@ gradient takes expected counts from the forward-backward algorithm. A prediction
 forward-backward over all words of the whole text; the posterior shares of the languages over its
 words give the text's language (the largest, at a tie the first by name) and score (its share).
 
-Training reads a bounded sample of labelled rows: at most `per_language` rows of each language, of
-at most `MAX_BYTES` bytes of text each, by the smallest hashes of (seed, doc_id). Lexicon and
-weights come from that sample. Everything else covers all rows and whole texts.
+Training reads a bounded sample of labelled rows: at most `per_language` different rows of each of
+the `most_languages` most frequent languages, of at most `MAX_BYTES` bytes of text each, by the
+smallest hashes of (seed, doc_id). Repeated rows count once. Lexicon and weights come from that
+sample. Everything else covers all rows and whole texts.
 
 Rows: null text or text without a letter is `und` with score 0. A null or odd label trains
-nothing. Without any training row all texts are `und`. With one language every other text has it. Repeated
-rows get equal results; a null doc_id counts as held out. An empty table gives an empty table.
+nothing. Without any training row all texts are `und`, and a filter rejects only texts without a
+letter. With one language every other text has it. Repeated rows get equal results; a null doc_id
+counts as held out. An empty table gives an empty table.
 Extra columns are ignored.
 """
 
@@ -32,12 +34,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Hashed weights of n-grams and affixes; longest word part that features read from each end is the whole word.
 BUCKETS = 1 << 16
 #: Words of a block of the chain; texts and words held at a time. They change no result.
-CHAIN, KEEP_WORDS, PART_WORDS = 64, 250_000, 150_000
-#: Bound of a training row's text.
-MAX_BYTES = 60_000
+CHAIN, KEEP_WORDS, PART_WORDS = 64, 80_000, 50_000
+#: Bounds of training: bytes of a row's text, and languages.
+MAX_BYTES, MAX_LANGUAGES = 60_000, 200
 UNKNOWN = "und"
 _letters = re.compile(r"[^\W\d_]+").findall
 
@@ -101,13 +105,13 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def posteriors(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray, want_pairs: bool = False):
+def posteriors(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray, want_pairs: bool = False, want_before: bool = False):
     """Forward-backward over consecutive chains of `sizes` words: each word's label probabilities.
 
     Chains are cut into blocks of CHAIN words. The products of transfer matrices within all blocks
     are formed side by side, block by block messages follow, and then all words' messages, again
     side by side; so a long chain costs no more steps than a short one. want_pairs adds the
-    expected counts of label pairs.
+    expected counts of label pairs, want_before those of the label before each chain.
     """
     k = len(start)
     n = int(sizes.sum())
@@ -168,7 +172,8 @@ def posteriors(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, sta
     joint /= joint.sum(axis=(1, 2), keepdims=True)
     inner = np.ones(n, bool)
     inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
-    return p, joint[inner].sum(axis=0)
+    pairs = joint[inner].sum(axis=0)
+    return (p, pairs, joint[~inner].sum(axis=(0, 2))) if want_before else (p, pairs)
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7, per_step: int = 24, lexicon_size: int = 400) -> Crf:
@@ -190,7 +195,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
                 share = np.array([(per[z][w] + 0.5) / (n_docs[z] + 1) for z in range(k)])
                 model.lexicon[w] = np.log(share / share.mean())
     rng = np.random.default_rng(seed)
-    square_w, square_t = np.full((BUCKETS, k), 1e-8, np.float32), np.full((k, k), 1e-8)
+    square_w, square_t, square_s = np.full((BUCKETS, k), 1e-8, np.float32), np.full((k, k), 1e-8), np.full(k, 1e-8)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for a in range(0, len(order), per_step):
@@ -200,7 +205,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
             sizes = np.array([len(d) for d, _ in part])
             vocabulary = list(number)
             emit = model.emissions(vocabulary)
-            p, pairs = posteriors(emit[seq], sizes, model.transitions, model.start, True)
+            p, pairs, before = posteriors(emit[seq], sizes, model.transitions, model.start, True, True)
             truth = np.zeros_like(p)
             truth[np.arange(len(seq)), np.repeat([y for _, y in part], sizes)] = 1
             per_word = np.stack([np.bincount(seq, (truth - p)[:, y], len(vocabulary)) for y in range(k)], axis=1)
@@ -213,8 +218,12 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
             for (d, y), size in zip(part, sizes, strict=True):
                 want[y, y] += size - 1
             g = (want - pairs) / len(seq) - 1e-3 * model.transitions
+            led = np.exp(model.start[:, None] + model.transitions)  # the label before a chain is never seen: its share given the first label
+            h = ((led / led.sum(axis=0))[:, [y for _, y in part]].sum(axis=1) - before) / len(part) - 1e-3 * model.start
             square_t += g * g
+            square_s += h * h
             model.transitions += 0.1 * rate * g / np.sqrt(square_t)
+            model.start += 0.1 * rate * h / np.sqrt(square_s)
     return model
 
 
@@ -271,31 +280,23 @@ def held_out(key: Column | str) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def sample(docs: DataFrame, per_language: int = 120, seed: int = 7) -> tuple[list[str], list[str]]:
-    """At most per_language training texts of each language, in the order of a hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.octet_length(F.col("text").cast("string")) <= MAX_BYTES))
-    place = F.xxhash64(F.lit(seed), "doc_id")
-    chosen = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id"), place.alias("place"))
-    counts = {r.lang: r.n for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, per_language: int = 120, seed: int = 7, most_languages: int = MAX_LANGUAGES) -> tuple[list[str], list[str]]:
+    """At most per_language different training texts of each language, in the order of a hash of doc_id."""
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    usable = docs.where(F.col("lang").isNotNull() & text.isNotNull() & ~held_out("doc_id") & (F.octet_length(text) <= MAX_BYTES))
+    known = usable.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(seed), "doc_id").alias("place"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return [], []
-
-    def within(limits: dict) -> Column:
-        """Rows whose place is at most their language's limit."""
-        limit = F.lit(None).cast("long")
-        for x, top in sorted(limits.items()):
-            limit = F.when(F.col("lang").cast("string") == x, F.lit(top)).otherwise(limit)
-        return place <= limit
-
     # about three times the rows wanted lie below these places; a rare language is read whole
-    about = {x: min(2**63 - 1, int(-(2**63) + 3 * (per_language + 20) / n * 2**64)) for x, n in counts.items()}
-    first = Window.partitionBy("lang").orderBy("place", "doc_id")
-    best = chosen.where(within(about)).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-    last = {r.lang: r.top for r in best.groupBy("lang").agg(F.max("place").alias("top")).collect()}
-    rows = known.where(within(last)).select(F.col("lang").cast("string").alias("lang"), place.alias("place"), F.col("text").cast("string").alias("text")).collect()
-    rows.sort(key=lambda r: (r.lang, r.place, r.text))
-    kept = [r for i, r in enumerate(rows) if i < per_language or rows[i - per_language].lang != r.lang]
-    return [r.text for r in kept], [r.lang for r in kept]
+    limits = spark.createDataFrame([(r.lang, min(2**63 - 1, int(-(2**63) + 3 * (per_language + 20) / r.n * 2**64))) for r in counts], "lang string, top long")
+    near = known.join(F.broadcast(limits), "lang").where("place <= top").drop("top")  # at most most_languages rows
+    first = Window.partitionBy("lang").orderBy("place", "mark")
+    once = near.select("lang", "place", "mark").distinct()  # copies of a row meet in partial aggregates
+    chosen = once.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
+    rows = near.join(F.broadcast(chosen), ["lang", "place", "mark"]).groupBy("lang", "place", "mark").agg(F.first("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.lang, r.place, r.mark))
+    return [r.text for r in rows], [r.lang for r in rows]
 
 
 def train(docs: DataFrame, per_language: int = 120) -> Crf:
@@ -304,6 +305,7 @@ def train(docs: DataFrame, per_language: int = 120) -> Crf:
 
 def predict(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of each row."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats: bounded
@@ -334,16 +336,18 @@ def digests(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least_score: float = 0.4, per_language: int = 120) -> DataFrame:
     """docs without those of no letter or of no language with at least least_score of the words' weight."""
     model = train(docs, per_language)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                if tagger.model.langs:
-                    share = tagger.shares(part.column(at).to_pylist())
-                    yield part.filter(pa.array(np.nan_to_num(share.max(axis=1), nan=0.0) >= least_score))
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            if tagger.model.langs:
+                good = np.nan_to_num(tagger.shares(texts).max(axis=1), nan=0.0) >= least_score
+            else:  # no language is known, so none can be rejected
+                good = np.array([bool(words_of(t)) for t in texts], bool)
+            yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

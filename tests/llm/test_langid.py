@@ -80,6 +80,32 @@ def test_code_switched_words():
 def test_no_training_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.digests(df).collect()} == {"und"}
-    assert langid.digests(df.limit(0)).collect() == [] and langid.keep_known(df).collect() == []
+    assert langid.digests(df.limit(0)).collect() == [] and langid.keep_known(df.limit(0)).collect() == []
+    assert [r.doc_id for r in langid.keep_known(df).collect()] == [1]  # without a model only texts without a letter go
     one = spark.createDataFrame([(k, "abc def", "xx") for k in range(12)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.digests(one).collect()} == {"xx"}
+
+
+def test_repeated_rows_train_once(spark):
+    rows = [(k, f"tion the wh {k}", "aa") for k in range(60)] + [(k, f"ung sch keit {k}", "bb") for k in range(60, 120)]
+    hot = next(k for k, *_ in rows if zlib.crc32(str(k).encode()) % 4 != 2)
+    copies = spark.range(4000).selectExpr(f"CAST({hot} AS LONG) AS doc_id", f"'{rows[hot][1]}' AS text", "'aa' AS lang")
+    texts, labels = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(copies), 30)
+    assert labels.count("aa") == labels.count("bb") == 30 and len(set(texts)) == 60
+    many = spark.createDataFrame([(k, f"word {k}", f"l{k % 50}") for k in range(600)], "doc_id long, text string, lang string")
+    assert len(set(langid.sample(many, 5, most_languages=7)[1])) == 7
+
+
+def test_the_label_before_a_chain_is_learned():
+    model = langid.fit([r[1] for r in corpus()], [r[2] for r in corpus()])
+    assert np.abs(model.start).max() > 0 and np.isfinite(model.start).all()
+    rng = np.random.default_rng(1)
+    e, t, s = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    before = langid.posteriors(e, np.array([2, 3]), t, s, True, True)[2]
+    want = np.zeros(3)
+    for rows in (e[:2], e[2:]):
+        w = np.zeros(3)
+        for z, *path in itertools.product(range(3), repeat=len(rows) + 1):
+            w[z] += np.exp(s[z] + t[z, path[0]] + sum(rows[i, y] for i, y in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:])))
+        want += w / w.sum()
+    assert np.allclose(before, want)
