@@ -15,7 +15,7 @@ table. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import forget, saved, small_batches
 
 SEED, BITS = 42, 64
 #: Hashes whose bits are counted at a time.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 # They change no result: texts sampled for common shingles, how many of those are kept, the longest list of texts that meet pair by pair at once and the rounds before, and ids broadcast.
-SAMPLE, COMMON, LONG_LIST, ROUNDS, BROADCAST_ROWS = 20_000, 200_000, 50, 6, 500_000
+SAMPLE, COMMON, LONG_LIST, ROUNDS, BROADCAST_ROWS = 10_000, 200_000, 20, 4, 500_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """`key` and the fingerprint `fp` (its 64 bits as a long) of each row."""
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("fp", T.LongType(), False)])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,13 +101,23 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(width), r)]
 
 
+def segments_for(n: int, max_bits: int = 4) -> int:
+    """The number of segments, of those with balls of one bit or more, with the least work for n fingerprints: lookups and the candidates that they fetch by chance."""
+
+    def work(segments: int) -> float:
+        each = [len(ball(w, max_bits // segments)) for _, w in segment_bounds(segments)]
+        return sum(x / 2 + n * x / 2 / 2.0**w for x, (_, w) in zip(each, segment_bounds(segments), strict=True))
+
+    return min(range(2, max(3, max_bits)), key=work) if max_bits > 1 else 2
+
+
 def links(fps: DataFrame, max_bits: int = 4, segments: int | None = None) -> DataFrame:
     """Pairs a, b of the distinct fingerprints `fp` that differ in 1 to max_bits bits; each pair at least once.
 
     Of two segment values that differ, the one with more of the differing bits set does the lookup;
     at a tie both do, and one result is kept. So about half of each ball is enumerated.
     """
-    segments = max(2, segments or (max_bits + 2) // 2)
+    segments = max(2, segments or segments_for(fps.count(), max_bits))
     radius = max_bits // segments
     parts = segment_bounds(segments)
     value = lambda low, width: F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << width) - 1))
@@ -139,7 +150,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         small_least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(small_least, "b").select(F.explode(F.array(F.struct("m", F.col("b").alias("v")), F.struct("m", F.col("a").alias("v")))).alias("e"))
-        now = saved(small.select(F.col("e.m").alias("a"), F.col("e.v").alias("b")).where("a < b").distinct())
+        before, now = now, saved(small.select(F.col("e.m").alias("a"), F.col("e.v").alias("b")).where("a < b").distinct())
+        forget(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -166,38 +178,44 @@ def digests(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _sets(rows: DataFrame, make: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
-    """rows (the last column is the text) with, in place of the text, its fingerprint fp, the number n of its distinct shingles and `make` of their sorted hashes as hs."""
+def shingled(rows: DataFrame, width: int, common: np.ndarray | None = None) -> DataFrame:
+    """rows (the last column is the text) with, in place of the text, its fingerprint fp, the number n of its distinct shingles, their hashes hs, and the prefix of these."""
     names = rows.columns[:-1]
-    kinds = [T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), T.StructField("hs", T.ArrayType(T.LongType()), False)]
+    longs = T.ArrayType(T.LongType(), False)
+    made = [T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), T.StructField("prefix", longs, False), T.StructField("hs", longs, False)]
+    small_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if common is None else common)  # at most COMMON longs
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
                 hashes = [shingle_hashes(t, width) for t in part.column(len(names)).to_pylist()]
                 fp = prints_of(hashes).view(np.int64)
                 sets = [np.unique(h).view(np.int64) for h in hashes]
-                made = [make(s) for s in sets]
-                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-                hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), hs], names=[*names, "fp", "n", "hs"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), lists([prefix_of(s, late) for s in sets]), lists(sets)], names=[*names, "fp", "n", "prefix", "hs"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *kinds]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made]))
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """Hashes of shingles that many texts (id, text) have, by a sample. They only order the prefixes; no result depends on them."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < round(share * (1 << 20)))
-    often = _sets(some, lambda s: s, width).select(F.explode("hs").alias("h")).groupBy("h").count().where("count >= 4")
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < round(share * (1 << 20))).dropDuplicates(["id"])
+    often = shingled(some, width).select(F.explode("hs").alias("h")).groupBy("h").count().where("count >= 4")
     return np.sort(np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64))
 
 
 def prefix_of(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles in an order that is the same for all texts: common ones last."""
-    late = np.isin(s, common)
-    return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0]
+    if not len(s):
+        return s
+    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+    return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1]
 
 
 def joined_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
@@ -208,25 +226,27 @@ def joined_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
     return saved(known.join(roots, known.c == roots.node, "left").select("id", F.coalesce("root", "c").alias("c")))
 
 
-def with_similar(known: DataFrame, prefixes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def with_similar(known: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """known (id and its group c) after all texts of Jaccard similarity 0.8 or more over their shingle sets are linked.
 
-    prefixes has id, n, hs of each text. Two such sets share a shingle of their prefixes, so each
-    pair is found, and the whole sets verify it. Pairs of one group need no link. In long lists
-    all texts first meet one text of the list, in rounds: large groups of near copies become one
-    group without all their pairs. What is left in several groups meets pair by pair.
+    nodes has id, n and prefix of each text, sets id, n and hs of each row. Two such sets share a
+    shingle of their prefixes, so each pair is found, and the whole sets verify it. Pairs of one
+    group need no link. In long lists all texts first meet one text of the list, the one that comes
+    first in an order of the round: it leads most lists of a group of near copies, so such a group
+    becomes one without all its pairs. What is left in several groups meets pair by pair.
     """
-    rows = prefixes.select("id", "n", F.explode("hs").alias("h"))
+    rows = nodes.select("id", "n", F.explode("prefix").alias("h"))
     many = saved(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"))
     lists = saved(rows.join(many, "h"))
-    wanted = saved(lists.select("id").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = saved(_sets(texts.join(wanted, "id", "left_semi"), lambda s: s, width).select("id", "n", "hs").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}")) for c in "ab")
+        pairs = saved(pairs.distinct())
+        ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        own = saved(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        x, y = (own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}")) for c in "ab")
         both = F.size(F.array_intersect("ha", "hb"))
-        return pairs.distinct().join(x, "a").join(y, "b").where(5 * both >= 4 * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(5 * both >= 4 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
     def spread(groups: DataFrame) -> DataFrame:
         """The rows, with their groups, of lists in more than one group."""
@@ -240,10 +260,11 @@ def with_similar(known: DataFrame, prefixes: DataFrame, texts: DataFrame, width:
         long = now.where(F.col("size") > LONG_LIST)
         if not long.take(1):
             break
-        first = long.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", "h", F.lit(turn)).alias("at"), "id", "n", "c")).alias("p"))
+        first = long.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("at"), "id", "n", "c")).alias("p"))
         met = long.join(first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "h").where((F.col("c") != F.col("d")) & close)
         known = joined_groups(known, verified(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))))
-        now = spread(known)
+        before, now = now, spread(known)
+        forget(before)
     others = now.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
     rest = now.join(others, "h").where((F.col("id") < F.col("other")) & (F.col("c") != F.col("d")) & close)
     return joined_groups(known, verified(rest.select(F.col("id").alias("a"), F.col("other").alias("b"))))
@@ -257,13 +278,11 @@ def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame
     """
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("id"), text.alias("text"))
-    texts = rows.select("id", "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-    made = saved(_sets(rows, lambda s: prefix_of(s, common.value), width))
-    nodes = saved(made.select("id", "fp", "n", "hs").dropDuplicates(["id"]))
+    made = saved(shingled(rows, width, common_shingles(rows.select("id", "text"), width)))
+    nodes = saved(made.select("id", "fp", "n", "prefix").dropDuplicates(["id"]))
     roots = components(links(nodes.select("fp").distinct(), max_bits))
     known = saved(nodes.join(roots, nodes.fp == roots.node, "left").select("id", F.coalesce("root", "fp").alias("c")))
-    groups = made.select("doc_id", "id").join(with_similar(known, nodes.select("id", "n", "hs"), texts, width), "id")
+    groups = made.select("doc_id", "id").join(with_similar(known, nodes.select("id", "n", "prefix"), made.select("id", "n", "hs")), "id")
     kept = groups.groupBy("c").agg(F.min(F.struct("doc_id", "id")).alias("k")).select("k.doc_id", F.col("k.id").alias("__hm_mark"))
     known = docs.where("doc_id is not null").withColumn("__hm_mark", F.xxhash64(text)).dropDuplicates(["doc_id", "__hm_mark"]).join(kept, ["doc_id", "__hm_mark"], "left_semi")
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
