@@ -59,4 +59,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_topk": topk.SQL, "op7_decontamination": decontam.SQL}
+    return {"op4_topk": topk.SQL, "op7_decontamination": decontam.SQL, "op9_line_dedup": linededup.SQL}

@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+
 from helixmill.llm import linededup
 
 
@@ -90,3 +92,36 @@ def test_repeated_rows_with_passages_of_short_lines(spark):
     null = [(None, "d\n" + passage), (None, "d\n" + passage), (4, passage)]
     got = {(r.doc_id, r.n_deleted) for r in linededup.result(spark.createDataFrame(null, "doc_id long, text string")).collect()}
     assert got == {(None, 0), (4, 20)}
+
+
+def test_copies_of_texts_and_runs_of_one_word(spark):
+    rows = [(3, "x y\nz"), (1, "x y\nz"), (2, "\n\nx y\n\nz"), (None, "z"), (4, "q"), (4, "q"), (5, "x y\nq\nx y"), (6, "  \nq"), (7, "  \nq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 2, 3, 4):
+        want = brute([*dict.fromkeys(rows)], least)
+        for r in linededup.line_dedup(df, least).collect():
+            assert (r.text, r["__hm_lines"], r["__hm_deleted"]) == want[r.doc_id], (least, r.doc_id)
+
+
+def test_ranks_are_places_in_the_suffix_array(spark):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice("ab") for _ in range(2)) for _ in range(3)]
+    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.choice([3, 9, 30])))) for k in range(12)]
+    table = linededup.line_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    seqs = linededup.saved(linededup.sequences(linededup.stretches(linededup.repeated(table), 1)))
+    ends = linededup.saved(linededup.suffixes(seqs, 60))
+    names = {r.sid: [(r.sid % 2, x.a, x.b) for x in r.lines] for r in seqs.collect()}
+    got = {(r.sid, r.i): r.r for r in linededup.suffix_ranks(ends, 64).collect()}
+    ordered = sorted((names[s][i:], s, i) for s, i in got)
+    for n, (run, s, i) in enumerate(ordered):
+        assert got[s, i] == next(k for k in range(n + 1) if ordered[k][0] == run)
+
+
+def test_sql_agrees(spark):
+    rows = [(k, t) for k, t in dict(corpus(9)).items() if k is not None]
+    rows += [(200 + k, "\n".join([f"own {k}", *[f"long line of seven words no {j}" for j in range(k % 5 * 3)], "end"])) for k in range(30)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = sorted(tuple(r) for r in linededup.result(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_lines", "n_deleted").collect())
+    assert sorted(con.execute(linededup.SQL).fetchall()) == got and any(r[3] for r in got)
