@@ -30,7 +30,7 @@ from .common import forget, saved, small_batches
 SEED, BITS = 42, 64
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 16
-# They change no result: texts sampled for common shingles, how many of those are kept, the longest list of texts that meet pair by pair at once and the rounds before, and ids broadcast.
+# They change no result: texts sampled for common shingles, how many of those are kept, the longest list of texts that meet pair by pair at once and the most rounds before, and ids broadcast.
 SAMPLE, COMMON, LONG_LIST, ROUNDS, BROADCAST_ROWS = 10_000, 200_000, 20, 4, 500_000
 
 
@@ -179,15 +179,11 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def shingled(rows: DataFrame, width: int, common: np.ndarray | None = None) -> DataFrame:
-    """rows (the last column is the text) with, in place of the text, its fingerprint fp, the number n of its distinct shingles, their hashes hs, and the prefix of these."""
+    """rows (the last column is the text) with, in place of the text, its fingerprint fp, the number n of its distinct shingles, and hs: their hashes, or with `common` the prefix of these."""
     names = rows.columns[:-1]
-    longs = T.ArrayType(T.LongType(), False)
-    made = [T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), T.StructField("prefix", longs, False), T.StructField("hs", longs, False)]
+    made = [T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), T.StructField("hs", T.ArrayType(T.LongType(), False), False)]
     small_batches(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if common is None else common)  # at most COMMON longs
-
-    def lists(parts: list[np.ndarray]) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts)))
+    shared = rows.sparkSession.sparkContext.broadcast(common)  # at most COMMON longs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
@@ -197,7 +193,10 @@ def shingled(rows: DataFrame, width: int, common: np.ndarray | None = None) -> D
                 hashes = [shingle_hashes(t, width) for t in part.column(len(names)).to_pylist()]
                 fp = prints_of(hashes).view(np.int64)
                 sets = [np.unique(h).view(np.int64) for h in hashes]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), lists([prefix_of(s, late) for s in sets]), lists(sets)], names=[*names, "fp", "n", "prefix", "hs"])
+                sizes = pa.array([len(s) for s in sets], pa.int32())
+                kept = sets if late is None else [prefix_of(s, late) for s in sets]
+                hs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32)), pa.array(np.concatenate(kept)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fp), sizes, hs], names=[*names, "fp", "n", "hs"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made]))
 
@@ -226,39 +225,53 @@ def joined_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
     return saved(known.join(roots, known.c == roots.node, "left").select("id", F.coalesce("root", "c").alias("c")))
 
 
-def with_similar(known: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def shared_lists(nodes: DataFrame) -> DataFrame:
+    """h, id, n and size: the texts that share a shingle of their prefixes, for one shingle of those that the same texts share.
+
+    Texts that are near copies share many shingles, and one of them is enough to meet.
+    """
+    rows = nodes.select("id", "n", F.explode("hs").alias("h"))
+    lists = rows.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor("id").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y")).where("size > 1")
+    kept = saved(lists.groupBy("size", "x", "y").agg(F.min("h").alias("h")).select("h", "size"))
+    return saved(rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "h"))
+
+
+def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """known (id and its group c) after all texts of Jaccard similarity 0.8 or more over their shingle sets are linked.
 
-    nodes has id, n and prefix of each text, sets id, n and hs of each row. Two such sets share a
-    shingle of their prefixes, so each pair is found, and the whole sets verify it. Pairs of one
-    group need no link. In long lists all texts first meet one text of the list, the one that comes
-    first in an order of the round: it leads most lists of a group of near copies, so such a group
-    becomes one without all its pairs. What is left in several groups meets pair by pair.
+    nodes has id, its smallest doc_id, n and hs (the prefix) of each text; rows doc_id, id, text.
+    Two such sets share a shingle of their prefixes, so each pair is found, and the whole sets
+    verify it. Pairs of one group need no link. In long lists all texts first meet one text of the
+    list, the one that comes first in an order of the round: it leads most lists of a group of near
+    copies, so such a group becomes one without all its pairs. Rounds end when the lists left are short; what is left in
+    several groups meets pair by pair.
     """
-    rows = nodes.select("id", "n", F.explode("prefix").alias("h"))
-    many = saved(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"))
-    lists = saved(rows.join(many, "h"))
+    lists = shared_lists(nodes)
+
+    def spread(groups: DataFrame) -> DataFrame:
+        """The rows, with their groups, of lists in more than one group."""
+        now = lists.join(groups, "id")
+        several = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+        return saved(now.join(several, "h"))
+
+    now = spread(known)
+    wanted = saved(now.select("id").distinct().join(nodes.select("id", "doc_id"), "id"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = saved(shingled(rows.join(few, ["doc_id", "id"], "left_semi").select("id", "text"), width).select("id", "n", "hs").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs.distinct())
         ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        own = saved(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
         x, y = (own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}")) for c in "ab")
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(x, "a").join(y, "b").where(5 * both >= 4 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
-    def spread(groups: DataFrame) -> DataFrame:
-        """The rows, with their groups, of lists in more than one group."""
-        now = lists.join(groups, "id")
-        several = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-        return saved(now.join(several, "h"))
-
     close = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
-    now = spread(known)
     for turn in range(ROUNDS):
         long = now.where(F.col("size") > LONG_LIST)
-        if not long.take(1):
+        cost = now.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("n") > LONG_LIST, F.col("n").cast("double") * F.col("n"))).alias("pairs")).first()
+        if not cost.pairs or cost.pairs < LONG_LIST * cost.rows:  # to meet pair by pair is no more work
             break
         first = long.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("at"), "id", "n", "c")).alias("p"))
         met = long.join(first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "h").where((F.col("c") != F.col("d")) & close)
@@ -279,10 +292,10 @@ def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("id"), text.alias("text"))
     made = saved(shingled(rows, width, common_shingles(rows.select("id", "text"), width)))
-    nodes = saved(made.select("id", "fp", "n", "prefix").dropDuplicates(["id"]))
+    nodes = saved(made.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("hs").alias("hs")))
     roots = components(links(nodes.select("fp").distinct(), max_bits))
     known = saved(nodes.join(roots, nodes.fp == roots.node, "left").select("id", F.coalesce("root", "fp").alias("c")))
-    groups = made.select("doc_id", "id").join(with_similar(known, nodes.select("id", "n", "prefix"), made.select("id", "n", "hs")), "id")
+    groups = made.select("doc_id", "id").join(with_similar(known, nodes, rows, width), "id")
     kept = groups.groupBy("c").agg(F.min(F.struct("doc_id", "id")).alias("k")).select("k.doc_id", F.col("k.id").alias("__hm_mark"))
     known = docs.where("doc_id is not null").withColumn("__hm_mark", F.xxhash64(text)).dropDuplicates(["doc_id", "__hm_mark"]).join(kept, ["doc_id", "__hm_mark"], "left_semi")
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
