@@ -1,14 +1,14 @@
 """Operator 4: exact top-k inner products by columnar branch-and-bound.
 
 Vectors become integers, floor(scale * x). Rows are packed into blocks; a block holds its vectors
-in vertical layout, a row for each dimension. A task takes one block of queries and streams blocks
-of candidates past it. Scores are accumulated some dimensions at a time. After each step the rest
+in vertical layout, a row for each dimension, as small integers where they fit. Blocks of queries
+are broadcast in parts of at most PART_BYTES and a block; for each part, candidates are read once,
+without a shuffle, and each task streams its blocks past the queries. Scores are accumulated some dimensions at a time. After each step the rest
 of a score is at most the product of the remaining masses (norms over the dimensions to come) of
 query and candidate; candidates whose bound is below the query's k-th score so far are dropped,
 and the survivors are compacted before the next step. Nothing is left out that could be in the
-result, so it is exact; the k best of all tasks are merged at the end.
-
-Each block of candidates is sent once to each block of queries; the queries are a stated set.
+result, so it is exact; the k best of all tasks are merged at the end, which is all that is
+shuffled.
 
 Rows: vectors that are null or hold null or non-finite components take no part. Only vectors of
 one length are compared. Rows of one id are one candidate (the best of their scores) and one query
@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
-#: Candidates and queries of a block, dimensions of a step, blocks of candidates of a task. They change no result.
-BLOCK, QUERIES, STEP, PER_TASK = 4096, 2048, 16, 64
+#: Candidates and queries of a block, dimensions of a step, bytes of queries of a broadcast part. They change no result.
+BLOCK, QUERIES, STEP, PART_BYTES = 4096, 2048, 16, 16 << 20
 #: Below this, all sums are exact in double precision.
 EXACT = 2.0**53
 LONG = 2**63
@@ -40,11 +40,12 @@ def integers(values: np.ndarray, scale: int = 256) -> np.ndarray:
 
 
 def _blocks(size: int, scale: int):
-    """Packs rows (id, vector) into blocks: n, dims, ids and floor(scale * x) by dimension, as bytes."""
+    """Packs rows (id, vector) into blocks: dims, kind, ids and floor(scale * x) by dimension, as bytes of that kind."""
 
     def pack(ids: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
         m = integers(np.array(rows, np.float64).reshape(len(rows), -1), scale)
-        return pa.RecordBatch.from_pydict({"dims": pa.array([m.shape[1]], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "cols": [np.ascontiguousarray(m.T).tobytes()]})
+        kind = next((c for c in ("i2", "i4") if np.abs(m).max(initial=0) <= np.iinfo(c).max), "f8")
+        return pa.RecordBatch.from_pydict({"dims": pa.array([m.shape[1]], pa.int32()), "kind": [kind], "ids": [np.array(ids, np.int64).tobytes()], "cols": [np.ascontiguousarray(m.T).astype(kind).tobytes()]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[list[int], list[np.ndarray]]] = {}
@@ -68,6 +69,12 @@ def _blocks(size: int, scale: int):
     return run
 
 
+def _opened(dims: int, kind: str, ids: bytes, cols: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and columns of a block."""
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(cols, kind).reshape(dims, len(own))
+
+
 def merge(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best by score, then smaller id; of one id the best."""
     order = np.lexsort((ids, -scores))
@@ -130,45 +137,45 @@ def _wide_block(best, qids, q, cids, c, k) -> None:
         best[i] = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], object)
 
 
+def _searcher(shared, k: int):
+    """Streams blocks of candidates past the broadcast blocks of queries; the k best of each query at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [(dims, *_opened(dims, kind, ids, cols)) for dims, kind, ids, cols in shared.value]
+        best = [[(np.zeros(0, np.int64), np.zeros(0))] * len(ids) for _, ids, _ in asked]
+        for batch in batches:
+            for dims, kind, ids, cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cids, c = _opened(dims, kind, ids, cols)
+                c = c.astype(np.float64)
+                for own, (size, qids, q) in zip(best, asked, strict=True):
+                    if size == dims:
+                        search_block(own, qids, q.astype(np.float64), cids, c, k)
+        for own, (_, qids, _) in zip(best, asked, strict=True):
+            scores = [max(-LONG, min(LONG - 1, int(x))) for _, s in own for x in s]
+            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(qids, [len(a) for a, _ in own]), "vec_id": np.concatenate([a for a, _ in own]), "score": pa.array(scores, pa.int64())})
+
+    return run
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = BLOCK, per_query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of df for each row of queries."""
-    schema = "dims int, ids binary, cols binary"
+    spark, schema = df.sparkSession, "dims int, kind string, ids binary, cols binary"
+    small_batches(spark)
     pick = lambda d: d.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    rows = saved(pick(df).mapInArrow(_blocks(block, scale), schema).withColumn("cblock", F.monotonically_increasing_id()))
+    rows = saved(pick(df).mapInArrow(_blocks(block, scale), schema))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     once = pick(queries).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).groupBy("id").agg(F.min("v").alias("v"))
     n = max(1, -(-once.count() // per_query_block))
     dealt = once.repartition(n, F.pmod(F.xxhash64("id"), F.lit(n)))
-    asked = saved(dealt.mapInArrow(_blocks(per_query_block, scale), schema).withColumn("qblock", F.monotonically_increasing_id()))
-    # each block of candidates goes once to each block of queries of its length, in groups of PER_TASK blocks to a task
-    groups = max(1, -(-rows.count() // PER_TASK))
-    slots = asked.groupBy("dims").agg(F.collect_list("qblock").alias("qblocks"))
-    grp = F.pmod(F.xxhash64("cblock"), F.lit(groups)).cast("int").alias("grp")
-    sent = rows.join(slots, "dims").select(F.explode("qblocks").alias("qblock"), grp, F.lit(1).alias("ord"), "dims", "ids", "cols")
-    kept = asked.select("qblock", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("ord"), "dims", "ids", "cols")
-    pairs = kept.unionByName(sent).repartition("qblock", "grp").sortWithinPartitions("qblock", "grp", "ord")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, qids, q = None, [], np.zeros(0, np.int64), np.zeros((0, 0))
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                scores = [max(-LONG, min(LONG - 1, int(x))) for _, s in best for x in s]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(qids, [len(a) for a, _ in best]), "vec_id": np.concatenate([a for a, _ in best]), "score": pa.array(scores, pa.int64())})
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                cols = np.frombuffer(r["cols"], np.float64).reshape(r["dims"], len(ids))
-                if r["ord"] == 0:  # a block of queries comes before its candidates
-                    yield from out()
-                    now, qids, q = r["qblock"], ids, cols
-                    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids)
-                else:
-                    search_block(best, qids, q, ids, cols, k)
-        yield from out()
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked = saved(dealt.mapInArrow(_blocks(per_query_block, scale), schema).withColumn("q", F.monotonically_increasing_id()))
+    upto = F.sum(F.length("ids") + F.length("cols")).over(Window.orderBy("q"))  # a row of two numbers for each block of queries
+    part_of = saved(asked.select("q", F.floor((upto - 1) / PART_BYTES).alias("part")))
+    parts = [r.part for r in part_of.select("part").distinct().orderBy("part").collect()]
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for part in parts:
+        blocks = [(r.dims, r.kind, bytes(r.ids), bytes(r.cols)) for r in asked.join(part_of.where(F.col("part") == part), "q").orderBy("q").collect()]
+        found = found.unionByName(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(blocks), k), "query_id long, vec_id long, score long"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

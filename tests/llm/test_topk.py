@@ -73,3 +73,16 @@ def test_an_invalid_row_does_not_hide_a_valid_query(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.search(df, df, k=1).collect()
     assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 1)] + [(k, 5) for k in range(1, 5)] + [(5, 4)]
+
+
+def test_queries_in_several_parts_and_candidates_without_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in np.float32(rng.normal(size=6) * rng.choice([1, 200, 10**6]))]) for k in range(400)]
+    want = brute(rows, {k for k in range(0, 400, 50)})
+    for part in (16 << 20, 1):
+        monkeypatch.setattr(topk, "PART_BYTES", part)
+        assert run(spark, rows, block=50, per_query_block=3) == want
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plan = topk.search(df, df.where("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("MapInArrow") :] if "MapInArrow" in plan else plan[plan.rindex("MapInPandas") :]
+    assert "Exchange" not in below and "Join" not in plan
