@@ -2,12 +2,13 @@
 
 A window is `size` consecutive words of an item (an item of fewer words is one window). A window
 occurs in a document where all its words stand in order, so each of its words is necessary: its
-prefix is one token, the rarest by the counts over all items (then the longest word, then the
-least). Document words are joined with these prefix tokens; the window's length and the token's
-place in it bound where it can lie; then the words are compared one by one.
+prefix is one token, the rarest by the counts over all documents (then the longest word, then the
+least). A window with a word that no document has is left out. Document words are joined with these
+prefix tokens; the window's length and the token's place in it bound where it can lie; then the
+words are compared one by one.
 
-Only DataFrame functions run. The words of a document pass through one generator, join and filter
-without a shuffle. The windows are broadcast in parts of at most `PART_BYTES`; more windows mean
+Only DataFrame functions run. The words of the documents are saved once; then they are counted (in
+partial aggregates) and pass through one generator, join and filter without a shuffle. The windows are broadcast in parts of at most `PART_BYTES`; more windows mean
 more passes, so any benchmark is matched whole.
 
 Rows: null text has no words. Empty texts and items have none. A repeated document row is judged
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, forget, saved
 
 #: Fixed value: a word is a run of digits, letters a-z and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,26 +44,39 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return cut.select("item_id", F.array_join("ws", " ").alias("win"), "ws").distinct()
 
 
-def prefixes(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """Each distinct window with its prefix token and the token's place `off` in it."""
-    counts = items.select(F.explode(words_of(F.col("text").cast("string"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def word_table(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text, to tell rows of one doc_id apart) and words of each document row."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), words_of(text).alias("words"))
+
+
+def token_counts(words: DataFrame, windows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """How often each word of the windows stands in the documents, where it does."""
+    tokens = saved(windows.select(F.explode("ws").alias("token")).distinct())
+    spread = words.select(F.explode("words").alias("token"))
+    size = tokens.agg(F.sum(F.octet_length("token") + 32)).first()[0] or 0
+    if size <= part_bytes:
+        return spread.join(F.broadcast(tokens), "token").groupBy("token").agg(F.count("*").alias("n"))
+    return spread.groupBy("token").agg(F.count("*").alias("n")).join(tokens, "token")  # counted first: no word is hot
+
+
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each distinct window of counted words with its prefix token and the token's place `off` in it."""
     spread = windows.select("win", "ws").distinct().select("win", "ws", F.posexplode("ws").alias("off", "token"))
     order = F.struct("n", -F.length("token"), "token", "off")
-    best = spread.join(counts, "token").groupBy("win", "ws").agg(F.min_by(F.struct("token", "off"), order).alias("p"))
-    return best.select("win", "ws", F.col("p.token").alias("token"), F.col("p.off").alias("off"))
+    best = spread.join(counts, "token", "left").groupBy("win", "ws").agg(F.min_by(F.struct("token", "off"), order).alias("p"), F.bool_and(F.col("n").isNotNull()).alias("can"))
+    return best.where("can").select("win", "ws", F.col("p.token").alias("token"), F.col("p.off").alias("off"))
 
 
-def occurrences(docs: DataFrame, patterns: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def occurrences(words: DataFrame, patterns: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row with null `win` for each document row, and one for each occurrence of a window.
 
-    Columns doc_id, mark (a hash of the text, to tell rows of one doc_id apart), n_words, start,
-    stop, win. The row of the document itself comes from an empty word after its last one.
+    Columns doc_id, mark, n_words, start, stop, win. The row of the document itself comes from an
+    empty word after its last one.
     """
     total = patterns.agg(F.sum(2 * F.octet_length("win") + 64)).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
-    text = F.col("text").cast("string")
-    base = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), words_of(text).alias("words"))
-    own = docs.sparkSession.createDataFrame([("", 0, None, [])], "token string, off int, win string, ws array<string>")
+    own = words.sparkSession.createDataFrame([("", 0, None, [])], "token string, off int, win string, ws array<string>")
     out = None
     for k in range(parts):
         part = patterns.select("token", "off", "win", "ws")
@@ -70,7 +84,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, part_bytes: int = PART_BYT
             part = part.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == k)
         if k == 0:
             part = part.unionByName(own)
-        spread = base.select("doc_id", "mark", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
+        spread = words.select("doc_id", "mark", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
         begin = F.col("pos") - F.col("off")
         fits = (begin >= 0) & (begin + F.size("ws") <= F.size("words")) & (F.slice("words", F.greatest(begin + 1, F.lit(1)), F.size("ws")) == F.col("ws"))
         hit = spread.join(F.broadcast(part), (F.col("word") == F.col("token")) & (F.col("win").isNull() | fits))
@@ -91,15 +105,18 @@ def covered(spans: Column) -> Column:
 def judge(docs: DataFrame, items: DataFrame, size: int = 8, least_items: int = 2, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, mark, n_words, n_hit, n_items, item_ids (sorted strings) and contaminated of each document row."""
     windows = saved(item_windows(items, size))
-    found = saved(occurrences(docs, saved(prefixes(windows, items)), part_bytes))
-    hits = found.where("win is not null").withColumn("key", F.coalesce("doc_id", F.lit(-1)))
-    spans = hits.groupBy("key", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    spans = spans.select("key", "mark", covered(F.col("spans")).alias("n_hit"))
+    words = saved(word_table(docs))
+    patterns = saved(prefixes(windows, token_counts(words, windows, part_bytes)))
+    found = saved(occurrences(words, patterns, part_bytes))
+    forget(words)
+    hits = found.where("win is not null")
+    spans = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("__hm_d"), F.col("mark").alias("__hm_m"), covered(F.col("spans")).alias("n_hit"))
     owners = windows.where("item_id is not null").select("win", F.col("item_id").cast("string").alias("item"))
-    named = hits.select("key", "mark", "win").distinct().join(owners, "win").select("key", "mark", "item").distinct()
-    named = named.groupBy("key", "mark").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
-    rows = found.where("win is null").withColumn("key", F.coalesce("doc_id", F.lit(-1)))
-    both = rows.join(spans, ["key", "mark"], "left").join(named, ["key", "mark"], "left")
+    named = hits.select("doc_id", "mark", "win").distinct().join(owners, "win").select("doc_id", "mark", "item").distinct()
+    named = named.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("item")).alias("item_ids")).withColumnsRenamed({"doc_id": "__hm_e", "mark": "__hm_n"})
+    both = found.where("win is null").join(spans, F.col("doc_id").eqNullSafe(F.col("__hm_d")) & (F.col("mark") == F.col("__hm_m")), "left")
+    both = both.join(named, F.col("doc_id").eqNullSafe(F.col("__hm_e")) & (F.col("mark") == F.col("__hm_n")), "left")
     n_items = F.coalesce(F.size("item_ids"), F.lit(0)).cast("long")
     return both.select(
         "doc_id",

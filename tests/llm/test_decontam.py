@@ -84,3 +84,25 @@ def test_sql_agrees(spark, tmp_path):
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     assert sorted(con.execute(decontam.SQL).fetchall(), key=str) == brute(docs, items)
+
+
+def test_ids_of_any_kind(spark):
+    items = [(1, "one two three four five six seven eight nine")]
+    rows = [("a", "x one two three four five six seven eight y"), (None, "one two three four five six seven eight nine"), ("-1", "clean words"), ("a", "clean"), (None, "clean")]
+    d, i = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in decontam.digests(d, i).collect()), key=str) == sorted([("a", 10, 8), (None, 9, 9), ("-1", 2, 0), ("a", 1, 0), (None, 1, 0)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in decontam.clean(d, i).collect()), key=str) == sorted([("-1", "clean words"), ("a", "clean"), (None, "clean")], key=str)
+    ids = [(-1, rows[0][1]), (None, "clean words")]
+    got = decontam.digests(spark.createDataFrame(ids, "doc_id long, text string"), i).collect()
+    assert {(r.doc_id, r.n_hit) for r in got} == {(-1, 8), (None, 0)}
+
+
+def test_prefixes_are_rare_in_the_documents(spark):
+    items = spark.createDataFrame([(1, "p q r s t u v w")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "p q r s u v w " * 3 + ("t" if k else "p q r s t u v w")) for k in range(9)] + [(99, "p p")], "doc_id long, text string")
+    windows = decontam.item_windows(items, 8)
+    counts = decontam.token_counts(decontam.word_table(docs), windows)
+    assert {r.token: r.n for r in counts.collect()} == {r.token: r.n for r in decontam.token_counts(decontam.word_table(docs), windows, 1).collect()}
+    assert [(r.token, r.off) for r in decontam.prefixes(windows, counts).collect()] == [("t", 4)]
+    assert decontam.prefixes(windows, counts.where("token <> 'q'")).collect() == []
+    assert {r.doc_id for r in decontam.digests(docs, items).collect() if r.n_hit} == {0}
