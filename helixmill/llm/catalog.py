@@ -8,6 +8,10 @@ from . import bpe, decontam, htmltext, langid, linededup, pii, simhash, tokencou
 from .common import table
 
 
+#: The key of the registered query's surrogates; other callers bring their own.
+QUERY_KEY = b"op8 query"
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -21,7 +25,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.result(table(spark, sf_dir, "documents"))
+    return pii.result(table(spark, sf_dir, "documents"), QUERY_KEY)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

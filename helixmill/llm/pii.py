@@ -2,18 +2,23 @@
 
 Detected entities: mail addresses, IPv4 addresses, phone numbers, long numbers (cards keep their
 check digit valid), social security numbers, account numbers, access keys, hexadecimal tokens,
-values of password-like keys, and names after a title or with a known given name.
+values of password-like keys, and names after a title or with a known given name. Of two names
+after a title the first is a given name, of the gender that the title says. A name found so is
+found wherever its word stands in the document, so later mentions go with the first.
 
 A surrogate is a keyed permutation of the entity within its format: digits stay digits, vowels
 vowels and consonants consonants of the same script and case, all else stays in place. A
 permutation gives different entities of one format different surrogates, and equal entities
-(mail case ignored; name parts apart) the same everywhere. Known given names get another given name of
-the same gender and script. Then Spark checks all distinct entities for collisions: a surrogate
-that equals any entity of the corpus, or that two entities share, is made again with the next
-counter until none is left. Entities that still clash after those rounds, as their format has too
-few free values, get a longer surrogate (an address: any other one), checked in the same way; if
-even those don't settle, it is an error. Only those exceptions travel to the rewriting pass, by broadcast if
-few, else by a join.
+(mail case ignored; name parts apart) the same everywhere. Mail addresses of one domain keep one
+domain. Known given names get another given name of the same gender and script, others an ending of
+that gender. Then Spark checks all distinct entities for collisions: a surrogate that equals any
+entity of the corpus, or that two entities share, is made again with the next counter until none is
+left. Entities that still clash after those rounds, as their format has too few free values, get a
+longer surrogate (an address: any other one), checked in the same way; if even those don't settle,
+it is an error. The key is the caller's.
+
+Each text is searched once, and its entities' places are saved with it. Only rows with entities
+pass through the rewriting step; only exceptions travel there, by broadcast if few, else by a join.
 
 Rows: null text stays null; empty text stays. Repeated rows get equal results. A null doc_id keeps
 its row. Texts of any length are read whole. An empty table gives an empty table. Other columns
@@ -25,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, small_batches
 
-KEY = b"helixmill"
 #: Exceptions up to this many are broadcast (about 100 bytes each); more are joined.
 BROADCAST_ROWS = 20_000
 #: From this counter on, a surrogate leaves its entity's format for a larger one.
@@ -51,7 +56,11 @@ GIVEN = {
     ("greek", "f"): "Άννα Βασιλική Ελένη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Αλέξανδρος Γιώργος Γιάννης Δημήτρης Κώστας Νίκος".split(),
 }
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sra Don Doña Г-н Г-жа Κύριος Κυρία".split()
+TITLES = {
+    "m": "Mr Herr Monsieur Señor Don Г-н Κύριος".split(),
+    "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Doña Г-жа Κυρία".split(),
+    "u": "Dr Prof".split(),
+}
 GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 CLASSES = [
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäãåèéêëìíîïòóôöõùúûü", "ÀÁÂÄÃÅÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜ",
@@ -59,6 +68,9 @@ CLASSES = [
 ]
 CLASS = {c: s for s in CLASSES for c in s}
 HEX = "0123456789abcdef"
+#: Endings of given names by script and gender.
+ENDINGS = {("latin", "f"): "ae", ("latin", "m"): "nsrlo", ("cyrillic", "f"): "а", ("cyrillic", "m"): "нрлс", ("greek", "f"): "αη", ("greek", "m"): "ς"}
+SCRIPTS = {c: script for script, kinds in (("latin", CLASSES[1:7]), ("cyrillic", CLASSES[7:11]), ("greek", CLASSES[11:15])) for k in kinds for c in k}
 
 _MAIL = r"(?<![\w.+-])(?P<mail>[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,})"
 _SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)(?P<secret>[^\s\"',;]{6,})"
@@ -72,7 +84,7 @@ _PHONE = r"(?<![\w(+])(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,
 _marked = re.compile("|".join([_MAIL, _SECRET, _KEYED, _HEX, _IP, _SSN, _IBAN, _CARD, _PHONE]))
 _needs = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)\s*[=:]")
 _near = re.compile(r"[0-9@]|[=:]\s*[\"']?[^\s\"',;]{6}")
-_titled = regex.compile(r"\b(?:" + "|".join(TITLES) + r")\b\.? (\p{Lu}[\p{Ll}'’-]+)(?: (\p{Lu}[\p{Ll}'’-]+))?")
+_titled = regex.compile(r"\b(" + "|".join(t for ts in TITLES.values() for t in ts) + r")\b\.? (\p{Lu}[\p{Ll}'’-]+)(?: (\p{Lu}[\p{Ll}'’-]+))?")
 _given = regex.compile(r"\b(" + "|".join(GENDER) + r") (\p{Lu}\p{Ll}[\p{Ll}'’-]*)")
 
 #: Characters searched at a time behind a mark, and their overlap.
@@ -100,16 +112,24 @@ def detect(text: str | None) -> list[Found]:
             kind = hit.lastgroup
             out.append((*hit.span(kind), kind, hit[kind]))
             at = hit.end(kind)
-    names: list[Found] = []
+    names: dict[str, str] = {}  # the kind of each name, as first told
     for m in _titled.finditer(text):
-        for k in (1, 2):
+        gender = next(g for g, titles in TITLES.items() if m[1] in titles)
+        for k in (2, 3):
             if m[k]:
-                names.append((*m.span(k), "given" if m[k] in GENDER and (k == 1) else "family", m[k]))
+                kind = "family" if k == 3 or (m[2] not in GENDER and not m[3]) else "given" if m[2] in GENDER else f"given_{gender}"
+                names.setdefault(m[k], kind)
     for m in _given.finditer(text):
-        names += [(*m.span(1), "given", m[1]), (*m.span(2), "family", m[2])]
-    for f in sorted(set(names)):
-        if all(f[1] <= o[0] or f[0] >= o[1] for o in out):
-            out.append(f)
+        names.setdefault(m[1], "given")
+        names.setdefault(m[2], "family")
+    if names:
+        every = regex.compile(r"\b(?:" + "|".join(map(regex.escape, sorted(names, key=len, reverse=True))) + r")\b(?![’'-]\p{L})")
+        ends = sorted((o[0], o[1]) for o in out)
+        starts = [o[0] for o in ends]
+        for m in every.finditer(text):
+            k = bisect_right(starts, m.start())
+            if (k == 0 or ends[k - 1][1] <= m.start()) and (k == len(ends) or ends[k][0] >= m.end()):
+                out.append((*m.span(), names[m[0]], m[0]))
     return sorted(out)
 
 
@@ -157,20 +177,20 @@ def _wide(kind: str, value: str, key: bytes, tweak: str) -> str:
     if kind == "ip":
         return ".".join(str(b) for b in block[:4])
     if kind == "hex":
-        return surrogate(kind, value, 0, key) + block.hex()[:12]
-    if kind in ("family", "given"):
+        return surrogate(kind, value, key) + block.hex()[:12]
+    if kind == "family" or kind.startswith("given"):
         lower = next((k for k in (2, 8, 12) if value[0] in CLASSES[k] + CLASSES[k + 2] or value[0] in CLASSES[k - 1] + CLASSES[k + 1]), 2)
         return _letters(value, key, tweak) + "".join(CLASSES[lower - (i % 2)][b % len(CLASSES[lower - (i % 2)])] for i, b in enumerate(block[:12]))
     more = "".join(str(b % 10) for b in block[:12])
     if kind == "mail":
-        local, _, domain = surrogate(kind, value, 0, key).partition("@")
+        local, _, domain = surrogate(kind, value, key).partition("@")
         return f"{local}{more}@{domain}"
-    return surrogate(kind, value, 0, key) + more
+    return surrogate(kind, value, key) + more
 
 
-@lru_cache(200_000)
-def surrogate(kind: str, value: str, counter: int = 0, key: bytes = KEY) -> str:
-    """The surrogate of an entity; another one for each counter."""
+@lru_cache(10_000)
+def surrogate(kind: str, value: str, key: bytes, counter: int = 0) -> str:
+    """The surrogate of an entity under a key; another one for each counter."""
     tweak = f"{kind}\0{counter}"
     if kind == "given" and value in GENDER:
         names = sorted(GIVEN[GENDER[value]], key=lambda n: _stream(key, "order", n))
@@ -203,10 +223,12 @@ def surrogate(kind: str, value: str, counter: int = 0, key: bytes = KEY) -> str:
     if kind == "iban":
         return value[:2] + _letters(value[2:], key, f"{tweak}\0{value[:2]}")
     if kind == "mail":
-        local, _, domain = value.partition("@")
+        local, _, domain = value.lower().partition("@")
         host, _, top = domain.rpartition(".")
-        new = _letters(local.lower() + "@" + host.lower(), key, f"{tweak}\0{top.lower()}")
-        return new + "." + top.lower()
+        return f"{_letters(local, key, tweak)}@{_letters(host, key, f'domain{chr(0)}{top}')}.{top}"
+    if kind.startswith("given_") and len(value) > 2:
+        made, choice = _letters(value, key, tweak), ENDINGS.get((SCRIPTS.get(value[0].lower(), ""), kind[-1]), "")
+        return made[:-1] + choice[_stream(key, tweak, value)[0] % len(choice)] if choice else made
     return _letters(value, key, tweak)
 
 
@@ -215,16 +237,26 @@ def normal(kind: str, value: str) -> str:
     return value.lower() if kind == "mail" else value
 
 
-def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind and value of the entities of each batch of documents, each once for a batch."""
-    source = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+def located(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with __hm_found: start, stop, kind and value (as `normal` has it) of each entity of the text."""
+    place = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__hm_found", T.ArrayType(place), False)])
+    at = docs.columns.index(text)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sorted({(k, normal(k, v)) for t in batch.column(0) for _, _, k, v in detect(t.as_py())})
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in found], pa.string()), "value": pa.array([v for _, v in found], pa.string())})
+        for b in batches:
+            found = [[(s, e, k, normal(k, v)) for s, e, k, v in detect(t.as_py())] for t in b.column(at).cast(pa.string())]
+            rows = [[dict(zip(("start", "stop", "kind", "value"), f, strict=True)) for f in fs] for fs in found]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
 
-    return source.mapInArrow(run, "kind string, value string")
+def entities(found: DataFrame) -> DataFrame:
+    """The distinct kind and value of the output of located."""
+    return found.select(F.explode("__hm_found").alias("e")).select("e.kind", "e.value").distinct()
 
 
 def _made(rows: DataFrame, key: bytes) -> DataFrame:
@@ -232,18 +264,18 @@ def _made(rows: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [surrogate(k, v, n, key) for k, v, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            made = [surrogate(k, v, key, n) for k, v, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["kind", "value", "counter", "made"])
 
     return rows.select("kind", "value", "counter").mapInArrow(run, "kind string, value string, counter int, made string")
 
 
-def assign(docs: DataFrame, key: bytes = KEY, text: str = "text", rounds: int = 50) -> DataFrame:
-    """kind, value, counter and made of each distinct entity, free of collisions.
+def assign(known: DataFrame, key: bytes, rounds: int = 50) -> DataFrame:
+    """kind, value, counter and made of each distinct entity (kind, value), free of collisions.
 
     Given names take each other's places within their lists, so of them only distinctness is asked.
     """
-    now = saved(_made(mentions(docs, text).distinct().withColumn("counter", F.lit(0)), key))
+    now = saved(_made(known.withColumn("counter", F.lit(0)), key))
     originals = now.where("kind <> 'given'").select("kind", F.col("value").alias("made")).distinct().withColumn("taken", F.lit(True))
     for turn in range(1, 2 * rounds + 1):
         first = now.groupBy("kind", "made").agg(F.min("value").alias("first"))
@@ -261,53 +293,45 @@ def assign(docs: DataFrame, key: bytes = KEY, text: str = "text", rounds: int =
     return now
 
 
-def rewrite(text: str | None, exceptions: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str | None, int, list[str]]:
-    """The text with surrogates, how many entities it had, and their kinds."""
-    found = detect(text)
-    if not found:
-        return text, 0, []
+def rewrite(text: str, found: list[tuple[int, int, str, str]], exceptions: dict[tuple[str, str], int], key: bytes) -> str:
+    """The text with surrogates in the places of its entities (start, stop, kind, normal value)."""
     out, at = [], 0
     for start, stop, kind, value in found:
-        value = normal(kind, value)
-        out += [text[at:start], surrogate(kind, value, exceptions.get((kind, value), 0), key)]
+        out += [text[at:start], surrogate(kind, value, key, exceptions.get((kind, value), 0))]
         at = stop
-    return "".join(out) + text[at:], len(found), sorted({f[2] for f in found})
+    return "".join(out) + text[at:]
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with surrogates in `text`, n_entities and kinds (sorted, distinct)."""
-    odd = saved(assign(docs, key, text).where("counter > 0").select("kind", "value", "counter"))
     keep = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     at = keep.index(text)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep])
+    found = saved(located(docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in keep]), text))
+    odd = saved(assign(entities(found), key).where("counter > 0").select("kind", "value", "counter"))
+    own = [F.col(f"`{c}`") for c in keep]
+    kinds = F.array_sort(F.array_distinct(F.transform("__hm_found", lambda e: e.kind)))
+    told = [F.size("__hm_found").cast("long").alias("n_entities"), kinds.alias("kinds")]
+    plain, source = found.where(F.size("__hm_found") == 0).select(*own, *told), found.where(F.size("__hm_found") > 0)
     few = odd.count() <= BROADCAST_ROWS
-    known = {(r.kind, r.value): r.counter for r in odd.collect()} if few else {}
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.counter for r in odd.collect()} if few else {})
     if not few:  # each document gets the exceptions among its own entities
         mark = F.xxhash64(F.col(f"`{text}`"))
-
-        def list_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = sorted({(m, k, normal(k, v)) for m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for _, _, k, v in detect(t)})
-                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate((("mark", pa.int64()), ("kind", pa.string()), ("value", pa.string())))})
-
-        own = source.select(mark.alias("mark"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(list_entities, "mark long, kind string, value string").distinct()
-        per = own.join(odd, ["kind", "value"]).groupBy("mark").agg(F.collect_list(F.struct("kind", "value", "counter")).alias("__hm_odd")).withColumnRenamed("mark", "__hm_mark")
-        source = source.join(per, mark == F.col("__hm_mark"), "left").select(*[F.col(f"`{c}`") for c in keep], "__hm_odd")
-    schema = T.StructType([*(f for f in source.schema.fields if f.name != "__hm_odd"), T.StructField("n_entities", T.LongType(), False), T.StructField("kinds", T.ArrayType(T.StringType()), False)])
+        each = source.select(mark.alias("__hm_mark"), F.explode("__hm_found").alias("e")).select("__hm_mark", "e.kind", "e.value").distinct()
+        per = each.join(odd, ["kind", "value"]).groupBy("__hm_mark").agg(F.collect_list(F.struct("kind", "value", "counter")).alias("__hm_odd"))
+        source = source.join(per, mark == F.col("__hm_mark"), "left").select(*own, "__hm_found", "__hm_odd")
+    else:
+        source = source.select(*own, "__hm_found", F.lit(None).cast("array<struct<kind:string,value:string,counter:int>>").alias("__hm_odd"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                b = whole.slice(a, 512)
-                extra = b.column(len(keep)).to_pylist() if not few else [None] * b.num_rows
-                rows = [rewrite(t, {(e["kind"], e["value"]): e["counter"] for e in x} if x else shared.value, key) for t, x in zip(b.column(at).to_pylist(), extra, strict=True)]
-                columns = list(b.columns[: len(keep)])
-                columns[at] = pa.array([r[0] for r in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=[*keep, "n_entities", "kinds"])
+        for b in batches:
+            rows = zip(b.column(at).to_pylist(), b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)
+            new = [rewrite(t, [tuple(f.values()) for f in fs], {(e["kind"], e["value"]): e["counter"] for e in x} if x else shared.value, key) for t, fs, x in rows]
+            columns = list(b.columns)
+            columns[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return source.mapInArrow(run, schema)
+    return plain.unionByName(source.mapInArrow(run, source.schema).select(*own, *told))
 
 
-def result(docs: DataFrame) -> DataFrame:
-    return pseudonymize(docs.select("doc_id", "text")).select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+def result(docs: DataFrame, key: bytes) -> DataFrame:
+    return pseudonymize(docs.select("doc_id", "text"), key).select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
