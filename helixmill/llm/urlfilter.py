@@ -4,7 +4,8 @@ Host and path are cut from the url in Spark. Of the rules that fit, the longest
 get the verdict of boosted trees over length, depth, digit ratio, entropy, parameter counts and
 suffix statistics (how often urls of the host's last one and two labels are blocked in training).
 The trees learn from labelled urls: the query takes as labelled those that a rule decides, at most
-`MAX_TRAIN` of them by the smallest hashes of (url, page_id). All urls are judged.
+`MAX_TRAIN` different ones by the smallest hashes of (url, page_id). Only their features and hashes
+of their suffixes, some 60 bytes a row, reach the driver. All urls are judged.
 
 Rows: a null url, or one without ://, has an empty host and path, no rule, and the trees' verdict.
 Urls of any length are read whole. Repeated rows get equal results. Without labelled urls the trees
@@ -21,11 +22,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, small_batches
 
 #: Bound of the training sample.
 MAX_TRAIN = 20_000
@@ -54,26 +56,40 @@ def apply_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "labels", "hyphens", "path_length", "upper", "suffix1", "suffix2"]
 
 
-def _suffixes(host: str) -> tuple[str, str]:
-    parts = host.split(".")
-    return parts[-1], ".".join(parts[-2:])
+#: The features that need no suffix statistics.
+OWN = len(FEATURES) - 2
 
 
-def lexical(urls: list[str | None], hosts: list[str], paths: list[str], suffix: dict[str, float], base: float) -> np.ndarray:
-    """One row of FEATURES for each url."""
-    out = np.zeros((len(urls), len(FEATURES)))
+def _suffixes(host: str) -> tuple[int, int]:
+    """Hashes of the host's last label and its last two."""
+    parts = host.rsplit(".", 2)
+    return tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) >> 1 for x in (parts[-1], ".".join(parts[-2:])))
+
+
+def own_features(urls: list[str | None], hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first OWN of FEATURES, and the suffix hashes, of each url."""
+    out, suffixes = np.zeros((len(urls), OWN)), np.zeros((len(urls), 2), np.int64)
     for i, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
         url = url or ""
         raw = np.frombuffer(url.encode("utf-8", "replace"), np.uint8)
         n = max(1, len(raw))
         share = np.bincount(raw, minlength=1)
         share = share[share > 0] / n
-        one, two = _suffixes(host)
         query = url.partition("?")[2].partition("#")[0]
         digits = int(((raw >= 48) & (raw <= 57)).sum())
         upper = int(((raw >= 65) & (raw <= 90)).sum())
-        out[i] = (len(url), sum(map(bool, path.split("/"))), digits / n, -(share * np.log2(share)).sum() + 0.0, sum(map(bool, query.split("&"))), len(host), host.count(".") + bool(host), url.count("-"), len(path), upper / n, suffix.get(one, base), suffix.get(two, base))
-    return out
+        out[i] = (len(url), sum(map(bool, path.split("/"))), digits / n, -(share * np.log2(share)).sum() + 0.0, sum(map(bool, query.split("&"))), len(host), host.count(".") + bool(host), url.count("-"), len(path), upper / n)
+        suffixes[i] = _suffixes(host)
+    return out.astype(np.float32).astype(np.float64), suffixes
+
+
+def joined(own: np.ndarray, suffixes: np.ndarray, suffix: dict[int, float], base: float) -> np.ndarray:
+    return np.hstack([own, np.array([[suffix.get(s, base) for s in row] for row in suffixes.tolist()]).reshape(-1, 2)])
+
+
+def lexical(urls: list[str | None], hosts: list[str], paths: list[str], suffix: dict[int, float], base: float) -> np.ndarray:
+    """One row of FEATURES for each url."""
+    return joined(*own_features(urls, hosts, paths), suffix, base)
 
 
 @dataclass
@@ -82,7 +98,7 @@ class Trees:
 
     base: float
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    suffix: dict[str, float] = field(default_factory=dict)
+    suffix: dict[int, float] = field(default_factory=dict)
     prior: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -149,16 +165,18 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
 
 def fit(rows: pd.DataFrame) -> Trees:
     """Trees from columns url, host, path, block (0 or 1)."""
-    y = rows.block.to_numpy(float)
+    return learn(*own_features(list(rows.url), list(rows.host), list(rows.path)), rows.block.to_numpy(float))
+
+
+def learn(own: np.ndarray, suffixes: np.ndarray, y: np.ndarray) -> Trees:
     prior = float(y.mean()) if len(y) else 0.0
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for host, b in zip(rows.host, y, strict=True):
-        for s in set(_suffixes(host)):
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for row, b in zip(suffixes.tolist(), y, strict=True):
+        for s in set(row):
             sums[s][0] += b
             sums[s][1] += 1
     suffix = {s: (a + 5 * prior) / (n + 5) for s, (a, n) in sums.items()}
-    x = lexical(list(rows.url), list(rows.host), list(rows.path), suffix, prior)
-    model = boost(x, y)
+    model = boost(joined(own, suffixes, suffix, prior), y)
     model.suffix, model.prior = suffix, prior
     return model
 
@@ -171,6 +189,7 @@ def parsed(urls: DataFrame, key: str, url: str) -> DataFrame:
 def judge(urls: DataFrame, model: Trees, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' probability of block) of each row."""
     ruled = apply_rules(parsed(urls, key, url), rules).select("page_id", "url", "host", "path", "rule", "ruled")
+    small_batches(urls.sparkSession)
     shared = urls.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TRAIN rows
     schema = T.StructType([ruled.schema["page_id"], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")), T.StructField("score", T.DoubleType())])
 
@@ -190,13 +209,24 @@ def judge(urls: DataFrame, model: Trees, rules: list[tuple[str, str]], key: str
 
 
 def train(labelled: DataFrame, most: int = MAX_TRAIN) -> Trees:
-    """Trees from rows page_id, url, host, path, block: at most `most` of them, by the smallest hashes."""
+    """Trees from rows page_id, url, host, path, block: at most `most` different ones, by the smallest hashes."""
     place = F.xxhash64("url", "page_id")
-    n = labelled.count()
-    share = min(1.0, 2 * (most + 100) / max(1, n))  # about twice the rows wanted lie below, so tasks send that many in all
-    few = labelled.where(place.cast("double") <= F.lit(-(2.0**63) + share * 2.0**64))
-    rows = few.orderBy(place, "url", "page_id").limit(most).select("url", "host", "path", F.col("block").cast("double").alias("block")).toPandas()
-    return fit(rows)
+    rows = labelled.select(place.alias("place"), "url", "host", "path", F.col("block").cast("float").alias("block"))
+    n = rows.agg(F.approx_count_distinct("place", 0.02)).first()[0]
+    share = min(1.0, 1.2 * (most + 200) / max(1, n))  # a few more rows than wanted lie below
+    few = rows.where(F.col("place").cast("double") <= F.lit(-(2.0**63) + share * 2.0**64)).dropDuplicates(["place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, suffixes = own_features(*(c.to_pylist() for c in b.columns[1:4]))
+            packed = [x.tobytes() + s.tobytes() for x, s in zip(own.astype(np.float32), suffixes, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(4)], names=["place", "packed", "block"])
+
+    got = few.mapInArrow(run, "place long, packed binary, block float").orderBy("place").limit(most).collect()
+    raw = [bytes(r.packed) for r in got]
+    own = np.array([np.frombuffer(r, np.float32, OWN) for r in raw], np.float64).reshape(-1, OWN)
+    suffixes = np.array([np.frombuffer(r, np.int64, 2, 4 * OWN) for r in raw]).reshape(-1, 2)
+    return learn(own, suffixes, np.array([r.block for r in got], float))
 
 
 def filter_urls(urls: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:

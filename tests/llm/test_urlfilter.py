@@ -75,3 +75,13 @@ def test_the_sample_is_bounded_and_the_same_in_any_order(spark):
     a, b = urlfilter.train(df, 60), urlfilter.train(df.repartition(7), 60)
     x = urlfilter.lexical(list(rows.url), list(rows.host), list(rows.path), a.suffix, a.prior)
     assert a.suffix == b.suffix and (a.margin(x) == b.margin(x)).all()
+
+
+def test_repeated_rows_train_once_and_long_urls_stay_behind(spark):
+    rows = labelled(300, 6)
+    df = spark.createDataFrame(rows.assign(page_id=range(300)))
+    hot = df.limit(1).crossJoin(spark.range(3000)).drop("id")
+    a, b = urlfilter.train(df, 100), urlfilter.train(df.unionByName(hot), 100)
+    assert a.suffix == b.suffix and a.prior == b.prior
+    long = spark.createDataFrame([(f"http://{'h' * 5000}.org/{'p' * 100_000}{k}", "h" * 5000 + ".org", "/p", float(k % 2), k) for k in range(30)], "url string, host string, path string, block double, page_id long")
+    assert len(urlfilter.train(long).suffix) == 2 and urlfilter.train(df.limit(0)).trees == []
