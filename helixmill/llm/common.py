@@ -34,7 +34,7 @@ def saved(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixmill-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._helixmill_path = path
     fs, where = _folder(spark, path)

@@ -314,8 +314,7 @@ def text_of(blocks: list[str], nodes: list, templates: set[int] | frozenset = fr
 
 
 _Row = namedtuple("_Row", "begin end hash shape said root level")
-_LISTS = {"begin": T.IntegerType(), "end": T.IntegerType(), "hash": T.LongType(), "shape": T.LongType(), "said": T.IntegerType(), "root": T.IntegerType(), "level": T.IntegerType()}
-_SEEN = {"hash": T.LongType(), "menu": T.BooleanType(), "inside": T.BooleanType(), "words": T.IntegerType()}
+_LISTS = {"begin": T.IntegerType(), "end": T.IntegerType(), "hash": T.LongType(), "shape": T.LongType(), "said": T.IntegerType(), "root": T.IntegerType(), "level": T.IntegerType(), "inside": T.BooleanType(), "menu": T.IntegerType()}
 
 
 def _nested(rows: list[list], kinds: dict[str, T.DataType]) -> pa.ListArray:
@@ -326,24 +325,22 @@ def _nested(rows: list[list], kinds: dict[str, T.DataType]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.StructArray.from_arrays(fields, names=list(kinds)))
 
 
-def _seen(blocks: list[str], nodes: list[Node]) -> list[tuple[int, bool, bool, int]]:
-    """Each hash of a page, and each shape of a menu outside its content: whether it is a shape, whether it lies in the content, and its words. Hash 0 is the page."""
+def _told(blocks: list[str], nodes: list[Node]) -> list[tuple]:
+    """The fields of _LISTS of each node: whether it lies in the content, and the words of a menu outside of it (else -1)."""
     upto = list(accumulate((len(b.split()) for b in blocks), initial=0))
     lone = not any(x.root for x in nodes)
-    out: dict[int, tuple[int, bool, bool, int]] = {0: (0, False, False, upto[-1])}
+    out = []
     for x in nodes:
-        out[x.hash] = (x.hash, False, lone or x.level > 0, 0)
         held = upto[x.end] - upto[x.begin]
-        if not x.level and 2 * x.links >= held:
-            out[x.shape] = (x.shape, True, False, held + (out[x.shape][3] if x.shape in out else 0))
-    return list(out.values())
+        out.append((x.begin, x.end, x.hash, x.shape, x.said, x.root, x.level, lone or x.level > 0, held if not x.level and 2 * x.links >= held else -1))
+    return out
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, page (a hash of its blocks), blocks, nodes, and seen of each page."""
+    """page_id, url, host, page (a hash of its blocks), words, blocks and nodes of each page."""
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
     struct = lambda kinds: T.ArrayType(T.StructType([T.StructField(n, t) for n, t in kinds.items()]))
-    schema = T.StructType([*source.schema.fields[:3], T.StructField("page", T.LongType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("nodes", struct(_LISTS)), T.StructField("seen", struct(_SEEN))])
+    schema = T.StructType([*source.schema.fields[:3], T.StructField("page", T.LongType()), T.StructField("words", T.LongType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("nodes", struct(_LISTS))])
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,16 +349,20 @@ def parsed(pages: DataFrame) -> DataFrame:
                 part = batch.slice(a, 128)
                 got = [parse(page or "") for page in part.column(3).to_pylist()]
                 marks = [_hash("\0".join(b)) for b, _ in got]
-                nodes = [[(x.begin, x.end, x.hash, x.shape, x.said, x.root, x.level) for x in ns] for _, ns in got]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(marks, pa.int64()), pa.array([b for b, _ in got], pa.list_(pa.string())), _nested(nodes, _LISTS), _nested([_seen(*g) for g in got], _SEEN)], names=schema.names)
+                words = [sum(len(x.split()) for x in b) for b, _ in got]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(marks, pa.int64()), pa.array(words, pa.int64()), pa.array([b for b, _ in got], pa.list_(pa.string())), _nested([_told(*g) for g in got], _LISTS)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def templates(read: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, main_pages: int = MAIN_PAGES, main_share: float = MAIN_SHARE) -> DataFrame:
     """host and hash of what recurs across the host's pages; read: the output of parsed."""
-    rows = read.select("host", "page", F.explode("seen").alias("s")).select("host", "page", "s.*")
-    once = rows.groupBy("host", "hash", "page").agg(F.max("menu").alias("menu"), F.max("inside").alias("inside"), F.max("words").alias("words"))
+    # each page tells itself (hash 0), its subtrees, and the shapes of its menus
+    told = lambda x: F.array_compact(F.array(F.struct(x.hash.alias("hash"), F.lit(False).alias("menu"), x.inside.alias("inside"), F.lit(0).cast("long").alias("words")), F.when(x.menu >= 0, F.struct(x.shape.alias("hash"), F.lit(True).alias("menu"), F.lit(False).alias("inside"), x.menu.cast("long").alias("words")))))
+    own = F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit(False).alias("menu"), F.lit(False).alias("inside"), F.col("words").alias("words")))
+    rows = read.select("host", "page", F.inline(F.concat(own, F.flatten(F.transform("nodes", told)))))
+    # a page that comes twice counts once; of several menus of one shape on a page the longest does
+    once = rows.groupBy("host", "hash", "page", "menu").agg(F.max("inside").alias("inside"), F.max("words").alias("words"))
     counts = saved(once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("menu").alias("menu"), F.max("inside").alias("inside"), F.sum("words").alias("words")).where((F.col("n") >= min_pages) | (F.col("hash") == 0)))
     hosts = counts.where("hash = 0").select("host", F.col("n").alias("pages"), F.col("words").alias("all_words"))
     n, pages = F.col("n"), F.col("pages")
@@ -389,7 +390,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             flat = [c.to_pylist() for c in lists.flatten().flatten()]
             ends = np.cumsum([0, *(len(x) for x in lists)]).tolist()
             for i, (blocks, gone) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                rows = map(_Row._make, zip(*(c[ends[i] : ends[i + 1]] for c in flat), strict=True))
+                rows = map(_Row._make, zip(*(c[ends[i] : ends[i + 1]] for c in flat[:7]), strict=True))
                 out = frozenset(gone or ())
                 texts.append(text_of(blocks, [x for x in rows if x.said or x.root or x.hash in out or x.shape in out], out))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])

@@ -32,6 +32,8 @@ SEED, BITS = 42, 64
 CHUNK = 1 << 16
 # They change no result: texts sampled for common shingles, how many of those are kept, the longest list of texts that meet pair by pair at once and the most rounds before, and ids broadcast.
 SAMPLE, COMMON, LONG_LIST, ROUNDS, BROADCAST_ROWS = 10_000, 200_000, 20, 4, 500_000
+#: How many shingles of their prefixes two texts must share to be compared. More make longer prefixes and fewer pairs, and change no result.
+SHARED = 8
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -210,11 +212,11 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix_of(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles in an order that is the same for all texts: common ones last."""
+    """The first n - ceil(0.8 n) + SHARED shingles in an order that is the same for all texts: common ones last."""
     if not len(s):
         return s
     late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-    return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1]
+    return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + SHARED]
 
 
 def joined_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
@@ -226,13 +228,10 @@ def joined_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
-    """h, id, n and size: the texts that share a shingle of their prefixes, for one shingle of those that the same texts share.
-
-    Texts that are near copies share many shingles, and one of them is enough to meet.
-    """
+    """h, id, n, size and times: the texts that share a shingle of their prefixes, once for all `times` shingles that the same texts share."""
     rows = nodes.select("id", "n", F.explode("hs").alias("h"))
     lists = rows.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor("id").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y")).where("size > 1")
-    kept = saved(lists.groupBy("size", "x", "y").agg(F.min("h").alias("h")).select("h", "size"))
+    kept = saved(lists.groupBy("size", "x", "y").agg(F.min("h").alias("h"), F.count("*").alias("times")).select("h", "size", "times"))
     return saved(rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "h"))
 
 
@@ -240,11 +239,12 @@ def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int
     """known (id and its group c) after all texts of Jaccard similarity 0.8 or more over their shingle sets are linked.
 
     nodes has id, its smallest doc_id, n and hs (the prefix) of each text; rows doc_id, id, text.
-    Two such sets share a shingle of their prefixes, so each pair is found, and the whole sets
-    verify it. Pairs of one group need no link. In long lists all texts first meet one text of the
-    list, the one that comes first in an order of the round: it leads most lists of a group of near
-    copies, so such a group becomes one without all its pairs. Rounds end when the lists left are short; what is left in
-    several groups meets pair by pair.
+    Two such sets share SHARED shingles of their prefixes (or, if they are smaller, four fifths of
+    their shingles), so each pair is found, and the whole sets verify it. Pairs of one group need no
+    link. In long lists all texts first meet one text of the list, the one that comes first in an
+    order of the round: it leads most lists of a group of near copies, so such a group becomes one
+    without all its pairs. Rounds end when the lists left are short; what is left in several groups
+    meets pair by pair.
     """
     lists = shared_lists(nodes)
 
@@ -255,18 +255,17 @@ def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int
         return saved(now.join(several, "h"))
 
     now = spread(known)
-    wanted = saved(now.select("id").distinct().join(nodes.select("id", "doc_id"), "id"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = saved(shingled(rows.join(few, ["doc_id", "id"], "left_semi").select("id", "text"), width).select("id", "n", "hs").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs.distinct())
-        ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
-        x, y = (own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}")) for c in "ab")
+        pairs = saved(pairs)
+        ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes.select("id", "doc_id"), "id"))
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        sets = saved(shingled(rows.join(few, ["doc_id", "id"], "left_semi").select("id", "text"), width).select("id", "n", "hs").dropDuplicates(["id"]))
+        x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}")) for c in "ab")
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(x, "a").join(y, "b").where(5 * both >= 4 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
+    whole = lambda n: F.floor((4 * n + 4) / 5)
     close = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
     for turn in range(ROUNDS):
         long = now.where(F.col("size") > LONG_LIST)
@@ -275,12 +274,13 @@ def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int
             break
         first = long.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("at"), "id", "n", "c")).alias("p"))
         met = long.join(first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "h").where((F.col("c") != F.col("d")) & close)
-        known = joined_groups(known, verified(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))))
+        known = joined_groups(known, verified(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()))
         before, now = now, spread(known)
         forget(before)
     others = now.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
     rest = now.join(others, "h").where((F.col("id") < F.col("other")) & (F.col("c") != F.col("d")) & close)
-    return joined_groups(known, verified(rest.select(F.col("id").alias("a"), F.col("other").alias("b"))))
+    pairs = rest.groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("times").alias("shared"), F.min(F.least(F.lit(SHARED), whole(F.col("n")), whole(F.col("m")))).alias("least"))
+    return joined_groups(known, verified(pairs.where("shared >= least").select("a", "b")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:

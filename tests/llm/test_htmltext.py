@@ -136,7 +136,7 @@ def brute(rows):
             if not inside and 2 * linked(node) >= words(leaves(node)):
                 like = [[x for x, i in walk(t) if not i and shape(x) == shape(node) and 2 * linked(x) >= words(leaves(x))] for t in pages]
                 n = sum(map(bool, like))
-                recurs = recurs or (n >= 3 and 2 * n >= len(pages) and 2 * sum(words(leaves(x)) for xs in like for x in xs) < sum(words(leaves(t)) for t in pages))
+                recurs = recurs or (n >= 3 and 2 * n >= len(pages) and 2 * sum(max(words(leaves(x)) for x in xs) for xs in like if xs) < sum(words(leaves(t)) for t in pages))
             if recurs:
                 gone.add(id(node))
 
