@@ -16,6 +16,7 @@ def ops(cigar: Column | str) -> Column:
 
 def fold(cigar: Column | str, start: Column, emit: str, advance: str, query: str = "") -> Column:
     """Blocks (s, e, q) of the operations in emit; those in emit or advance move the reference, those in query the read."""
+    cigar = F.col(cigar) if isinstance(cigar, str) else cigar
     kinds = lambda op, among: op.isin(list(among)) if among else F.lit(False)
     zero = F.struct(start.cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.array().cast("array<struct<s:bigint,e:bigint,q:bigint>>").alias("out"))
 
@@ -27,7 +28,11 @@ def fold(cigar: Column | str, start: Column, emit: str, advance: str, query: str
             F.when(kinds(o.op, emit), F.concat(acc.out, F.array(block))).otherwise(acc.out).alias("out"),
         )
 
-    return F.aggregate(ops(cigar), zero, step, lambda acc: acc.out)
+    walked = F.aggregate(ops(cigar), zero, step, lambda acc: acc.out)
+    if "M" not in emit:
+        return F.when(cigar.contains("N") if emit == "N" else F.lit(True), walked).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,q:bigint>>"))
+    whole = F.regexp_extract(cigar, r"^(\d+)M$", 1).try_cast("long")  # most reads are one block
+    return F.when(whole.isNotNull(), F.array(F.struct(start.cast("long").alias("s"), (start + whole).cast("long").alias("e"), F.lit(0).cast("long").alias("q")))).otherwise(walked)
 
 
 def aligned_blocks(cigar: Column | str = "cigar", start: Column | None = None) -> Column:

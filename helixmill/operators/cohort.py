@@ -6,29 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar, flags, kmers
-from . import intervals
+from . import intervals, rseqc
 
 
 def gene_class_fractions(fc_reads: DataFrame, genes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Share of assigned reads of each class (class, symbol)."""
+    """Share of assigned reads of each class (class, symbol); matched counts genes, bundled symbols."""
     total = fc_reads.agg(F.sum("fc_reads").alias("assigned"))
     sizes = classes.distinct().groupBy("class").agg(F.count("*").alias("bundled"))
     hit = classes.distinct().join(genes.select("gene_id", "symbol"), "symbol")
-    per = hit.join(fc_reads, "gene_id", "left").groupBy("class").agg(F.countDistinct("symbol").alias("matched"), F.coalesce(F.sum("fc_reads"), F.lit(0)).cast("long").alias("reads"))
+    per = hit.join(fc_reads, "gene_id", "left").groupBy("class").agg(F.countDistinct("gene_id").alias("matched"), F.coalesce(F.sum("fc_reads"), F.lit(0)).cast("long").alias("reads"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return sizes.join(per, "class", "left").crossJoin(F.broadcast(total)).select("class", "bundled", zero("matched"), zero("reads"), kmers.ratio(F.coalesce("reads", F.lit(0)), F.coalesce("assigned", F.lit(0))).alias("fraction"))  # one row of totals
 
 
 def panel_totals(panels: DataFrame, genes: DataFrame, fc_reads: DataFrame) -> DataFrame:
-    """Reads of each panel and cell type; gene_id first, else the last gene of that symbol; each gene once in a cell type."""
+    """Entries, reads and their share of assigned reads for each panel and cell type. An entry's gene is that of its gene_id, else the last gene of its symbol; a gene counts for each entry."""
     by_symbol = genes.groupBy("symbol").agg(F.max_by("gene_id", "gene_ord").alias("sym_gene"))
     ids = genes.select(F.col("gene_id").alias("own_gene"))
     cells = panels.select("panel", "cell_type").distinct()
     found = panels.join(ids, panels.gene_id == ids.own_gene, "left").join(by_symbol, panels.gene_symbol == by_symbol.symbol, "left")
-    members = found.select("panel", "cell_type", F.coalesce("own_gene", "sym_gene").alias("gene_id")).where("gene_id is not null").distinct()
+    members = found.select("panel", "cell_type", F.coalesce("own_gene", "sym_gene").alias("gene_id")).where("gene_id is not null")
     sums = members.join(fc_reads, "gene_id", "left").groupBy("panel", "cell_type").agg(F.count("*").alias("n_genes"), F.coalesce(F.sum("fc_reads"), F.lit(0)).cast("long").alias("reads"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return cells.join(sums, ["panel", "cell_type"], "left").select("panel", "cell_type", zero("n_genes"), zero("reads"))
+    total = fc_reads.agg(F.coalesce(F.sum("fc_reads"), F.lit(0)).alias("assigned"))
+    return cells.join(sums, ["panel", "cell_type"], "left").crossJoin(F.broadcast(total)).select("panel", "cell_type", zero("n_genes"), zero("reads"), kmers.ratio(F.coalesce("reads", F.lit(0)), F.col("assigned")).alias("fraction"))  # one row of totals
 
 
 def sex_inference(per_contig: DataFrame, fc_reads: DataFrame, genes: DataFrame) -> DataFrame:
@@ -62,14 +63,15 @@ def snp_depths(reads: DataFrame, sites: DataFrame, min_mapq: int = 30, min_depth
     out = sites.select(*keys).join(per, keys, "left").fillna(0, subset=[f"depth_{b}" for b in "acgt"])
     total = sum((F.col(f"depth_{b}") for b in "acg"), F.col("depth_t"))
     pick = lambda c: F.when(c == "A", F.col("depth_a")).when(c == "C", F.col("depth_c")).when(c == "G", F.col("depth_g")).when(c == "T", F.col("depth_t")).otherwise(0)
-    return out.withColumn("depth", total).withColumn("alt_fraction", F.when(F.col("depth") > 0, pick(F.col("alt")) / F.col("depth")).otherwise(0.0)).withColumn("called", F.col("depth") >= min_depth)
+    known = pick(F.col("ref")) + pick(F.col("alt"))
+    return out.withColumn("depth", total).withColumn("ref_count", pick(F.col("ref"))).withColumn("alt_count", pick(F.col("alt"))).withColumn("other_count", F.col("depth") - known).withColumn("alt_fraction", F.when(F.col("depth") > 0, pick(F.col("alt")) / F.col("depth")).otherwise(0.0)).withColumn("called", F.col("depth") >= min_depth)
 
 
 # Contig lengths that tell assemblies apart.
 GENOMES = [
-    ("GRCh38", "1", 248956422), ("GRCh38", "2", 242193529), ("GRCh38", "3", 198295559), ("GRCh38", "10", 133797422), ("GRCh38", "X", 156040895), ("GRCh38", "Y", 57227415),
-    ("GRCh37", "1", 249250621), ("GRCh37", "2", 243199373), ("GRCh37", "3", 198022430), ("GRCh37", "10", 135534747), ("GRCh37", "X", 155270560), ("GRCh37", "Y", 59373566),
-    ("GRCm39", "1", 195154279), ("GRCm39", "2", 181755017), ("GRCm39", "3", 159745316), ("GRCm39", "10", 130530862), ("GRCm39", "X", 169476592), ("GRCm39", "Y", 91455967),
+    ("GRCh38", "1", 248956422), ("GRCh38", "2", 242193529), ("GRCh38", "3", 198295559), ("GRCh38", "4", 190214555), ("GRCh38", "X", 156040895), ("GRCh38", "Y", 57227415),
+    ("GRCh37", "1", 249250621), ("GRCh37", "2", 243199373), ("GRCh37", "3", 198022430), ("GRCh37", "4", 191154276), ("GRCh37", "X", 155270560), ("GRCh37", "Y", 59373566),
+    ("T2T-CHM13v2", "1", 248387328), ("T2T-CHM13v2", "2", 242696752), ("T2T-CHM13v2", "3", 201105948), ("T2T-CHM13v2", "4", 193574945), ("T2T-CHM13v2", "X", 154259566), ("T2T-CHM13v2", "Y", 62460029),
 ]
 
 
@@ -81,9 +83,23 @@ def fingerprint(contigs: DataFrame, least: int = 3) -> DataFrame:
 
 
 def naming_style(contigs: DataFrame) -> DataFrame:
-    """Chr, no_chr or mixed, over canonical contigs."""
-    kept = contigs.where(flags.canonical(F.col("name"))).agg(F.bool_or(F.lower("name").startswith("chr")).alias("a"), F.bool_or(~F.lower("name").startswith("chr")).alias("b"))
-    return kept.select(F.when(F.col("a") & F.col("b"), "mixed").when(F.col("a"), "chr").when(F.col("b"), "no_chr").otherwise("unknown").alias("style"))
+    """Chr or no_chr, over canonical contigs; unknown where there are both or none."""
+    named = F.lower("name").startswith("chr")
+    kept = contigs.where(flags.canonical(F.col("name"))).agg(F.bool_or(named).alias("a"), F.bool_or(~named).alias("b"))
+    one = lambda x, y: F.coalesce(F.col(x), F.lit(False)) & ~F.coalesce(F.col(y), F.lit(False))
+    return kept.select(F.when(one("a", "b"), "chr").when(one("b", "a"), "no_chr").otherwise("unknown").alias("style"))
+
+
+def name_bridge(reads_style: str, genes_style: str, explicit: bool = False) -> str:
+    """What joins alignments and annotation of different naming: add_chr, or unsupported (name the contigs explicitly), else none. An explicit prefix or mapping wins."""
+    if explicit:
+        return "none"
+    return {("no_chr", "chr"): "add_chr", ("chr", "no_chr"): "unsupported"}.get((reads_style, genes_style), "none")
+
+
+def sampled_strandedness(reads: DataFrame, transcripts: DataFrame, min_mapq: int = 30, most: int = 1_000_000) -> DataFrame:
+    """The library told by the first `most` records in file order; all of them are used."""
+    return rseqc.infer_strandedness(rseqc.strand_classes(rseqc.first_records(reads, most), transcripts, min_mapq))
 
 
 def first_pass(reads: DataFrame, most: int = 1000) -> DataFrame:
@@ -92,6 +108,10 @@ def first_pass(reads: DataFrame, most: int = 1000) -> DataFrame:
     return head.agg(F.count("*").alias("sampled"), F.count_if(flags.has(flags.PAIRED)).alias("paired"), F.count_if(flags.has(flags.DUPLICATE)).alias("duplicates")).withColumn("is_paired", 2 * F.col("paired") > F.col("sampled")).withColumn("skip_dup_check", (F.col("sampled") >= 500) & (F.col("duplicates") == 0))
 
 
+# The flags.
+FLAGS = "single_end_no_tlen duplicates_not_marked low_paired_fraction low_mapping_rate read_length_caps_long_fragments high_rrna_fraction tagmentation_endmotif_bias unstranded_endbias_unreliable low_complexity_library high_duplication_nonbiological cfdna_contamination_suspected end_motifs_skipped_no_fasta".split()
+
+
 # The rules of A43 over one row of sample metrics; each gives its flag where its condition is true.
 def qc_flags(sample: DataFrame) -> DataFrame:
     """The sorted distinct flags of each sample row.
@@ -117,5 +137,12 @@ def qc_flags(sample: DataFrame) -> DataFrame:
         "cfdna_contamination_suspected": (share(c("intron_tags"), c("intron_tags") + c("cds_tags") + c("utr_tags")) > 0.5) & (c("median_tlen") > 150),
         "end_motifs_skipped_no_fasta": ~c("has_fasta"),
     }
+    assert set(rules) == set(FLAGS)
     found = F.array(*[F.when(F.coalesce(cond, F.lit(False)), name) for name, cond in rules.items()])
     return sample.withColumn("qc_flags", F.array_sort(F.array_distinct(F.array_compact(found))))
+
+
+def snp_summary(sites: DataFrame) -> DataFrame:
+    """Sites, called sites, and called sites by the alternative's share: heterozygous between a tenth and nine tenths."""
+    called, share = F.col("called"), F.col("alt_fraction")
+    return sites.agg(F.count("*").alias("sites"), F.count_if(called).alias("called"), F.count_if(called & (share > 0.1) & (share < 0.9)).alias("mixed"), F.coalesce(F.avg(F.when(called, F.col("depth"))), F.lit(0.0)).alias("mean_depth"))

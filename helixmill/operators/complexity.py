@@ -85,25 +85,23 @@ def evaluate_all(coefficients: list[float], ts: np.ndarray, degree: int) -> np.n
 
 
 def good_curve(values: list[float]) -> bool:
-    if not all(math.isfinite(v) and v >= 0 for v in values):
-        return False
-    steps = [b - a for a, b in zip(values, values[1:], strict=False)]
-    return all(s >= 0 for s in steps) and all(b <= a + 1e-9 for a, b in zip(steps, steps[1:], strict=False))
+    """Finite, never negative, never falling, and never bent upward."""
+    v = np.asarray(values, float)
+    steps = np.diff(v)
+    return bool(np.isfinite(v).all() and (v >= 0).all() and (steps >= 0).all() and (np.diff(steps) <= 0).all())
 
 
 def choose_degree(hist: dict[int, int], max_terms: int = 100) -> tuple[list[float], int] | None:
-    """The largest even degree whose curve up to 100 is well behaved."""
+    """The first degree, from eight upward by twos, whose curve up to 100 is well behaved; of a series of six terms or fewer its own length only."""
     first_gap = next(j for j in range(1, max(hist) + 2) if not hist.get(j))
     terms = min(max_terms, first_gap - 1)
     terms -= terms % 2
-    if terms < 2:
+    if terms < 3:
         return None
-    series = [(-1) ** j * float(hist[j + 1]) for j in range(terms)]
-    coefficients = continued_fraction(series)
-    grid = np.array([0.05 * k for k in range(1, 2001)])
-    low, step = (3, 1) if terms <= 6 else (7 + (terms % 2 == 0), 2)
-    for degree in range(terms, low - 1, -step):
-        if good_curve((grid * evaluate_all(coefficients, grid, degree)).tolist()):
+    coefficients = continued_fraction([(-1) ** j * float(hist[j + 1]) for j in range(terms)])
+    grid = 0.05 * np.arange(1, 2001)
+    for degree in [terms] if terms <= 6 else range(8, terms + 1, 2):
+        if good_curve(np.concatenate([[0.0], grid * evaluate_all(coefficients, grid, degree)])):
             return coefficients, degree
     return None
 

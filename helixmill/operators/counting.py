@@ -10,34 +10,39 @@ from ..functions import cigar, flags
 from . import intervals
 
 
-def read_genes(reads: DataFrame, exons: DataFrame, library: str = "unstranded") -> DataFrame:
-    """rec_ord and the sorted distinct genes whose exons a read's blocks overlap; reads without any are absent."""
-    blocks = reads.select("rec_ord", "tid", "flag", F.explode(cigar.aligned_blocks()).alias("b")).select("rec_ord", "tid", "flag", F.col("b.s").alias("s"), F.col("b.e").alias("e"))
-    targets = exons.select("tid", F.col("s").alias("rs"), F.col("e").alias("re"), "gene_id", "strand")
-    hits = intervals.overlap_join(blocks, targets, ["tid"]).where(flags.strand_agrees(library))
-    return hits.groupBy("rec_ord").agg(F.array_sort(F.collect_set("gene_id")).alias("genes"))
+def with_genes(reads: DataFrame, exons: DataFrame, library: str = "unstranded", feature: str = "gene_id") -> DataFrame:
+    """Reads with `genes`: the sorted distinct genes whose exons its blocks overlap, empty where none. Reads are neither grouped nor joined with themselves."""
+    rows = reads.withColumn("__blocks", cigar.aligned_blocks())
+    first, last = F.get("__blocks", F.lit(0))["s"], F.get("__blocks", F.size("__blocks") - 1)["e"] - 1
+    targets = exons.select("tid", F.col("s").alias("rs"), F.col("e").alias("re"), F.col(feature).alias("g"), "strand")
+    placed = intervals.beside(rows, first, last, targets, ["tid"], ["g", "strand"])
+    hit = F.filter("near", lambda x: F.exists("__blocks", lambda b: (b.s < x.re) & (x.rs < b.e)) & flags.strand_agrees(library, x.strand))
+    return placed.select(*reads.columns, F.array_sort(F.array_distinct(F.transform(hit, lambda x: x.g))).alias("genes"))
 
 
-def with_genes(reads: DataFrame, exons: DataFrame, library: str = "unstranded") -> DataFrame:
-    """reads with `genes` (empty where none)."""
-    return reads.join(read_genes(reads, exons, library), "rec_ord", "left").withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
+def read_genes(reads: DataFrame, exons: DataFrame, library: str = "unstranded") -> DataFrame:
+    """rec_ord and genes of the reads with any."""
+    return with_genes(reads.select("rec_ord", "tid", "flag", "pos", "cigar"), exons, library).where(F.size("genes") > 0).select("rec_ord", "genes")
 
 
-def fragments(reads: DataFrame, exons: DataFrame, paired: bool = True, library: str = "unstranded") -> DataFrame:
-    """One row for each fragment: genes, is_dup, is_multi and its members' rec_ords.
+def fragments(reads: DataFrame, exons: DataFrame, paired: bool = True, library: str = "unstranded", carry: list[str] | None = None) -> DataFrame:
+    """One row for each fragment: genes, is_dup, is_multi and its members' rec_ords (with `carry`: their rec_ords and these columns).
 
     Mates meet on name, both ends and the hit index; a first and a second read make a pair, whose
     genes are the common ones, or all if none is common. Its status comes from the first read. A
-    record without a partner is a fragment of its own.
+    record without a partner is a fragment of its own; so is each of several first (or second)
+    reads of one key, whose order is that of rec_ord.
     """
-    kept = with_genes(reads.where(flags.counted(paired)), exons, library)
+    used = ["rec_ord", "qname", "tid", "flag", "pos", "cigar", "mtid", "mpos", "nh", *(["hi"] if "hi" in reads.columns else []), *(carry or [])]
+    kept = with_genes(reads.where(flags.counted(paired)).select(*dict.fromkeys(used)), exons, library)
     dup, multi = flags.has(flags.DUPLICATE), F.coalesce("nh", F.lit(1)) > 1
+    member = F.struct("rec_ord", *carry) if carry else F.col("rec_ord")
     if not paired:
-        return kept.select("genes", dup.alias("is_dup"), multi.alias("is_multi"), F.array("rec_ord").alias("members"))
+        return kept.select("genes", dup.alias("is_dup"), multi.alias("is_multi"), F.array(member).alias("members"))
     first = flags.has(flags.FIRST)
     mine, mate = F.struct("tid", "pos"), F.struct(F.col("mtid").alias("tid"), F.col("mpos").alias("pos"))
     hi = F.coalesce("hi", F.lit(-1)) if "hi" in reads.columns else F.lit(-1)
-    keyed = kept.select("qname", F.when(first, mine).otherwise(mate).alias("a"), F.when(first, mate).otherwise(mine).alias("b"), hi.alias("hi"), F.struct(F.when(first, 0).otherwise(1).alias("side"), "rec_ord", "genes", dup.alias("is_dup"), multi.alias("is_multi")).alias("r"))
+    keyed = kept.select("qname", F.when(first, mine).otherwise(mate).alias("a"), F.when(first, mate).otherwise(mine).alias("b"), hi.alias("hi"), F.struct(F.when(first, 0).otherwise(1).alias("side"), "rec_ord", "genes", dup.alias("is_dup"), multi.alias("is_multi"), member.alias("member")).alias("r"))
     groups = keyed.groupBy("qname", "a", "b", "hi").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     side = lambda n: F.filter("rs", lambda r: r.side == n)
     paired_up = F.zip_with(side(0), side(1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))  # nth first read with nth second read
@@ -45,12 +50,12 @@ def fragments(reads: DataFrame, exons: DataFrame, paired: bool = True, library:
     x, y = F.col("p.x"), F.col("p.y")
     common = F.array_intersect(x.genes, y.genes)
     genes = F.when(x.isNull(), y.genes).when(y.isNull(), x.genes).when(F.size(common) > 0, common).otherwise(F.array_union(x.genes, y.genes))
-    return each.select(genes.alias("genes"), F.coalesce(x.is_dup, y.is_dup).alias("is_dup"), F.coalesce(x.is_multi, y.is_multi).alias("is_multi"), F.array_compact(F.array(x.rec_ord, y.rec_ord)).alias("members"))
+    return each.select(genes.alias("genes"), F.coalesce(x.is_dup, y.is_dup).alias("is_dup"), F.coalesce(x.is_multi, y.is_multi).alias("is_multi"), F.array_compact(F.array(x.member, y.member)).alias("members"))
 
 
-def gene_counts(frags: DataFrame) -> DataFrame:
-    """Fragments of exactly one gene in four modes."""
-    one = frags.where(F.size("genes") == 1).select(F.col("genes")[0].alias("gene_id"), "is_dup", "is_multi")
+def tallied(frags: DataFrame) -> DataFrame:
+    """Fragments of each gene in four modes, and all `fragments`; those of no gene or several under null."""
+    one = frags.select(F.when(F.size("genes") == 1, F.col("genes")[0]).alias("gene_id"), "is_dup", "is_multi")
     return one.groupBy("gene_id").agg(
         F.count("*").alias("all_multi"),
         F.count_if(~F.col("is_dup")).alias("nodup_multi"),
@@ -59,12 +64,17 @@ def gene_counts(frags: DataFrame) -> DataFrame:
     )
 
 
+def gene_counts(frags: DataFrame) -> DataFrame:
+    """Fragments of exactly one gene in four modes."""
+    return tallied(frags).where("gene_id is not null")
+
+
 def read_status(reads: DataFrame, exons: DataFrame, paired: bool = False, library: str = "unstranded") -> DataFrame:
     """Each counted record's status and, if assigned, its gene."""
-    kept = with_genes(reads.where(flags.counted(paired)), exons, library)
+    kept = with_genes(reads.where(flags.counted(paired)).select("rec_ord", "qname", "tid", "flag", "pos", "cigar", "nh"), exons, library)
     n = F.size("genes")
     status = F.when(F.coalesce("nh", F.lit(1)) > 1, "MultiMapping").when(n == 0, "NoFeatures").when(n == 1, "Assigned").otherwise("Ambiguity")
-    return kept.select("rec_ord", "genes", status.alias("status")).withColumn("gene_id", F.when(F.col("status") == "Assigned", F.col("genes")[0]))
+    return kept.select("rec_ord", "qname", "genes", status.alias("status")).withColumn("gene_id", F.when(F.col("status") == "Assigned", F.col("genes")[0]))
 
 
 def status_counts(status: DataFrame, reads: DataFrame) -> DataFrame:
@@ -77,8 +87,13 @@ def status_counts(status: DataFrame, reads: DataFrame) -> DataFrame:
 
 def total_mapped(reads: DataFrame, frags: DataFrame) -> DataFrame:
     """N of RPKM: fragments, and unmapped records whose mate is mapped."""
+    return mapped_total(reads, tallied(frags))  # the table of gene_counts: one pass over the fragments serves both
+
+
+def mapped_total(reads: DataFrame, tallies: DataFrame) -> DataFrame:
+    """total_mapped from the output of tallied."""
     lone = reads.where(flags.has(flags.UNMAPPED) & flags.has(flags.PAIRED) & ~flags.has(flags.MATE_UNMAPPED) & flags.primary()).agg(F.count("*").alias("u"))
-    return frags.agg(F.count("*").alias("f")).crossJoin(lone).select((F.col("f") + F.col("u")).alias("n_mapped"))  # one row each
+    return tallies.agg(F.coalesce(F.sum("all_multi"), F.lit(0)).alias("f")).crossJoin(lone).select((F.col("f") + F.col("u")).alias("n_mapped"))  # one row each
 
 
 def dup_matrix(genes: DataFrame, lengths: DataFrame, counts: DataFrame, n_mapped: DataFrame) -> DataFrame:
@@ -136,6 +151,16 @@ def fit_duplication(matrix: DataFrame, most_iterations: int = 25) -> dict[str, f
     return {"beta0": float(beta[0]), "beta1": float(beta[1]), "intercept": float(np.exp(beta[0])), "slope": float(np.exp(beta[1]))}
 
 
+def dup_boxes(matrix: DataFrame, n: int = 20) -> DataFrame:
+    """Duplication rates in n bins of RPK quantiles of all genes, each from its lower quantile up to below the next, the last with its upper one: genes, mean RPK, genes with a rate, and quartiles of the rates. A gene may lie in no bin or, in the last, beside it."""
+    cuts = matrix.agg(F.percentile("rpk", F.array(*[F.lit(k / n) for k in range(n + 1)])).alias("q"))
+    bins = F.array(*[F.struct(F.lit(k).alias("bin"), F.col("q")[k].alias("lo"), F.col("q")[k + 1].alias("hi")) for k in range(n)])
+    inside = (F.col("rpk") >= F.col("b.lo")) & ((F.col("rpk") < F.col("b.hi")) | ((F.col("b.bin") == n - 1) & (F.col("rpk") <= F.col("b.hi"))))
+    dealt = matrix.select("rpk", "dup_rate").crossJoin(F.broadcast(cuts)).select("rpk", "dup_rate", F.explode(bins).alias("b")).where(inside)  # one row of quantiles
+    quartile = lambda p: F.percentile("dup_rate", F.lit(p))
+    return dealt.groupBy("b.bin").agg(F.count("*").alias("genes"), F.avg("rpk").alias("mean_rpk"), F.count("dup_rate").alias("rated"), quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
+
+
 def rpkm_threshold(matrix: DataFrame, rpkm: float = 0.5) -> DataFrame:
     """M02."""
     return matrix.agg(F.min(F.when(F.col("rpkm") >= rpkm, F.col("rpk"))).alias("rpk_threshold"))
@@ -143,14 +168,11 @@ def rpkm_threshold(matrix: DataFrame, rpkm: float = 0.5) -> DataFrame:
 
 def biotype_status(reads: DataFrame, exons: DataFrame, paired: bool = False, library: str = "unstranded") -> DataFrame:
     """As A02 with biotypes as features; each gene without one is a feature of its own."""
-    kinds = exons.select("gene_id", F.coalesce("biotype", F.concat(F.lit("gene:"), "gene_id")).alias("kind"), F.col("biotype").isNotNull().alias("named")).distinct()
-    kept = reads.where(flags.counted(paired)).select("rec_ord", "tid", "flag", "pos", "cigar", "nh")
-    hits = read_genes(kept, exons, library).select("rec_ord", F.explode("genes").alias("gene_id")).join(kinds, "gene_id")
-    per = hits.groupBy("rec_ord").agg(F.collect_set("kind").alias("kinds"))
-    both = kept.select("rec_ord", "nh").join(per, "rec_ord", "left")
-    n = F.coalesce(F.size("kinds"), F.lit(0))
-    status = F.when(F.coalesce("nh", F.lit(1)) > 1, "MultiMapping").when(F.col("kinds").isNull(), "NoFeatures").when(n == 1, "Assigned").otherwise("Ambiguity")
-    return both.select("rec_ord", status.alias("status"), F.when(status == "Assigned", F.col("kinds")[0]).alias("biotype"))
+    kinds = exons.withColumn("kind", F.coalesce("biotype", F.concat(F.lit("gene:"), "gene_id")))
+    kept = with_genes(reads.where(flags.counted(paired)).select("rec_ord", "tid", "flag", "pos", "cigar", "nh"), kinds, library, "kind")
+    n = F.size("genes")
+    status = F.when(F.coalesce("nh", F.lit(1)) > 1, "MultiMapping").when(n == 0, "NoFeatures").when(n == 1, "Assigned").otherwise("Ambiguity")
+    return kept.select("rec_ord", status.alias("status"), F.when(status == "Assigned", F.col("genes")[0]).alias("biotype"))
 
 
 def biotype_counts(status: DataFrame) -> DataFrame:

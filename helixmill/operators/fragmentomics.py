@@ -41,21 +41,21 @@ def readthrough_rate(reads: DataFrame, min_mapq: int = 30) -> DataFrame:
     return kept.agg(kmers.ratio(short, F.count("*")).alias("adapter_readthrough_rate"), F.count("*").alias("n"))
 
 
-def motif_pairs(reads: DataFrame, fasta: DataFrame, k: int = 4, min_mapq: int = 30, chunk: int = 65536) -> DataFrame:
-    """rec_ord, kind (used, skipped_non_acgt, skipped_oob), and the 5' and 3' k-mers p5 and p3 of each proper pair.
+def motif_pairs(reads: DataFrame, fasta: DataFrame, k: int = 4, min_mapq: int = 30, chunk: int = 65536, keep: list[str] | None = None) -> DataFrame:
+    """rec_ord (and the columns `keep`), kind (used, skipped_non_acgt, skipped_oob), and the 5' and 3' k-mers p5 and p3 of each proper pair.
 
     fasta: contig, chunk_no, seq, in chunks of `chunk` bases that overlap by k - 1, so only the chunks
-    of fragment ends are joined and no contig is moved whole. reads need `contig`.
+    of fragment ends are joined, one end after the other, and no contig is moved whole. reads need `contig`.
     """
-    pairs = reads.where(flags.leftmost_proper_mate(min_mapq)).select("rec_ord", "contig", "pos", "tlen")
-    ends = pairs.select("rec_ord", "contig", "tlen", F.explode(F.array(F.struct(F.lit("5p").alias("end"), F.col("pos").alias("at")), F.struct(F.lit("3p").alias("end"), (F.col("pos") + F.col("tlen") - k).alias("at")))).alias("x"))
-    placed = ends.select("rec_ord", "contig", "tlen", "x.end", "x.at", F.floor(F.col("x.at") / chunk).alias("chunk_no"))
-    found = placed.join(fasta, ["contig", "chunk_no"], "left").withColumn("kmer", F.upper(F.substring("seq", (F.pmod("at", F.lit(chunk)) + 1).cast("int"), F.lit(k))))
-    both = found.groupBy("rec_ord").agg(F.min("tlen").alias("tlen"), F.max(F.when(F.col("end") == "5p", F.col("kmer"))).alias("p5"), F.max(F.when(F.col("end") == "3p", F.col("kmer"))).alias("p3"))
+    pairs = reads.where(flags.leftmost_proper_mate(min_mapq)).select(*dict.fromkeys(["rec_ord", "contig", "pos", "tlen", *(keep or [])]))
+    for name, at in (("p5", F.col("pos")), ("p3", F.col("pos") + F.col("tlen") - k)):
+        own = fasta.select(F.col("contig").alias("__c"), F.col("chunk_no").alias("__n"), F.col("seq").alias("__seq"))
+        found = pairs.join(own, (F.col("contig") == F.col("__c")) & (F.floor(at / chunk) == F.col("__n")), "left")
+        pairs = found.withColumn(name, F.upper(F.substring("__seq", (F.pmod(at, F.lit(chunk)) + 1).cast("int"), F.lit(k)))).drop("__c", "__n", "__seq")
     inside = (F.col("tlen") >= k) & (F.length("p5") == k) & (F.length("p3") == k)
     clean = kmers.valid(F.col("p5"), k) & kmers.valid(F.col("p3"), k)
     kind = F.when(F.coalesce(inside, F.lit(False)), F.when(clean, "used").otherwise("skipped_non_acgt")).otherwise("skipped_oob")
-    return both.select("rec_ord", kind.alias("kind"), "p5", kmers.reverse_complement("p3").alias("p3"))
+    return pairs.select("rec_ord", *(keep or []), kind.alias("kind"), "p5", kmers.reverse_complement("p3").alias("p3"))
 
 
 def motif_rows(pairs: DataFrame, *keep: str) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, flags
 from ..functions.flags import none_of
+from ..functions.numbers import depth_percentile
 
 has = flags.has
 
@@ -74,13 +80,21 @@ def idxstats(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     return placed.unionByName(lost.select(F.lit(-1).alias("tid"), F.lit("*").alias("name"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("mapped"), "unmapped"))
 
 
+#: Fixed value: the four-bit codes of bases, in order.
+BASE_CODES = "=ACMGRSVTWYHKDBN"
+
+
+def _orientation() -> Column:
+    """F18."""
+    first = F.when(has(flags.FIRST), 1).otherwise(-1)
+    side, forward = first * F.signum(F.col("mpos") - F.col("pos")), first * F.when(has(flags.REVERSE), -1).otherwise(1)
+    return F.when(has(flags.REVERSE) == has(flags.MATE_REVERSE), "other").when((side == 0) | (side * forward > 0), "inward").otherwise("outward")
+
+
 def insert_sizes(reads: DataFrame, most: int = 8000) -> DataFrame:
     """Template sizes, cut at most, by orientation: n mates and half as many pairs."""
     kept = flags.primary() & has(flags.PAIRED) & none_of(flags.UNMAPPED | flags.MATE_UNMAPPED) & (F.col("tlen") != 0)
-    first = F.when(has(flags.FIRST), 1).otherwise(-1)
-    side, forward = first * F.signum(F.col("mpos") - F.col("pos")), first * F.when(has(flags.REVERSE), -1).otherwise(1)
-    kind = F.when(has(flags.REVERSE) == has(flags.MATE_REVERSE), "other").when((side == 0) | (side * forward > 0), "inward").otherwise("outward")
-    per = reads.where(kept).groupBy(F.least(F.abs("tlen"), F.lit(most)).alias("size"), kind.alias("orientation")).agg(F.count("*").alias("n"))
+    per = reads.where(kept).groupBy(F.least(F.abs("tlen"), F.lit(most)).alias("size"), _orientation().alias("orientation")).agg(F.count("*").alias("n"))
     return per.withColumn("pairs", F.floor(F.col("n") / 2))
 
 
@@ -96,31 +110,74 @@ def bulk(sizes: DataFrame, share: float = 0.99) -> DataFrame:
 
 
 def summary(reads: DataFrame, quality: Column) -> DataFrame:
-    """Scalars of the summary section in one pass; quality is an array<int>."""
-    prim = flags.primary()
-    mapped = ~has(flags.UNMAPPED)
-    good = prim & ~has(flags.QCFAIL)
-    length = F.length("seq")
+    """Scalars of the summary section in one pass; quality is an array<int>.
+
+    Records that are filtered, unmapped or duplicates are those of the first-match cascade (A07).
+    """
+    prim, pair = flags.primary(), has(flags.PAIRED)
+    mapped, dup = ~has(flags.UNMAPPED), has(flags.DUPLICATE)
+    good, last = prim & ~has(flags.QCFAIL), pair & has(flags.SECOND)
+    length = F.length("seq").cast("long")
     cig = mapped & ~has(flags.SECONDARY)
     total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
+    most = lambda c: F.coalesce(F.max(F.when(c, length)), F.lit(0).cast("long"))
+    mean = lambda c: F.coalesce(F.round(total(c, length) / F.nullif(F.count_if(c), F.lit(0))), F.lit(0)).cast("long")
     q_sum = F.aggregate(quality, F.lit(0).cast("long"), lambda a, x: a + x)
+    bases, wrong = total(cig, cigar.length_of("cigar", "M=XI")), total(prim & mapped, F.greatest(F.col("nm"), F.lit(0)))
+    proper = F.count_if(prim & pair & has(flags.PROPER))
     return reads.agg(
         F.count_if(prim).alias("raw_total"),
-        F.count_if(prim & has(flags.QCFAIL)).alias("filtered"),
+        F.count_if(has(flags.QCFAIL)).alias("filtered"),
+        (F.count_if(prim) - F.count_if(has(flags.QCFAIL))).alias("sequences"),
+        F.count_if(prim & ~last).alias("first_fragments"),
+        F.count_if(prim & last).alias("last_fragments"),
         F.count_if(prim & mapped).alias("reads_mapped"),
-        F.count_if(prim & has(flags.PAIRED)).alias("reads_paired"),
+        F.count_if(good & mapped & pair & ~has(flags.MATE_UNMAPPED)).alias("reads_mapped_and_paired"),
+        F.count_if(cascade() == "unmapped").alias("reads_unmapped"),
+        proper.alias("reads_properly_paired"),
+        F.count_if(prim & pair).alias("reads_paired"),
+        F.count_if(prim & dup).alias("reads_duplicated"),
         F.count_if(prim & mapped & (F.col("mapq") == 0)).alias("reads_mq0"),
+        F.count_if(has(flags.SECONDARY)).alias("secondary"),
+        F.count_if(has(flags.SUPPLEMENTARY)).alias("supplementary"),
         total(prim, length).alias("total_length"),
+        total(prim & ~last, length).alias("total_first_fragment_length"),
+        total(prim & last, length).alias("total_last_fragment_length"),
         total(prim & mapped, length).alias("bases_mapped"),
-        total(cig, cigar.length_of("cigar", "M=XI")).alias("bases_mapped_cigar"),
-        total(prim & mapped, F.col("nm")).alias("mismatches"),
-        F.max(F.when(prim, length)).cast("long").alias("maximum_length"),
-        F.round(total(prim, length) / F.count_if(prim)).cast("long").alias("average_length"),
-        (total(good, q_sum) / total(good, length)).alias("average_quality"),
-        (total(prim & mapped, F.col("nm")) / total(cig, cigar.length_of("cigar", "M=XI"))).alias("error_rate"),
+        bases.alias("bases_mapped_cigar"),
+        total(prim & dup, length).alias("bases_duplicated"),
+        wrong.alias("mismatches"),
+        F.when(bases > 0, wrong / bases).otherwise(0.0).alias("error_rate"),
+        mean(prim).alias("average_length"),
+        mean(prim & ~last).alias("average_first_fragment_length"),
+        mean(prim & last).alias("average_last_fragment_length"),
+        most(prim).alias("maximum_length"),
+        most(prim & ~last).alias("maximum_first_fragment_length"),
+        most(prim & last).alias("maximum_last_fragment_length"),
+        F.coalesce(total(good, q_sum) / F.nullif(total(good, F.size(quality)), F.lit(0)), F.lit(0.0)).alias("average_quality"),
+        F.count_if(prim & pair & mapped & ~has(flags.MATE_UNMAPPED) & (F.col("mtid") != F.col("tid")) & (F.col("mapq") >= 5)).alias("pairs_on_different_chromosomes"),
+        F.when(F.count_if(prim) > 0, 100.0 * proper / F.count_if(prim)).otherwise(0.0).alias("percentage_properly_paired"),
     )
 
 
+def orientations(reads: DataFrame) -> DataFrame:
+    """Pairs by orientation, half of the mates; mates at one place of one contig count too, though their size is 0."""
+    kept = flags.primary() & has(flags.PAIRED) & none_of(flags.UNMAPPED | flags.MATE_UNMAPPED) & ((F.col("tlen") != 0) | (F.col("tid") == F.col("mtid")))
+    n = lambda k: F.floor(F.count_if(_orientation() == k) / 2)
+    return reads.where(kept).agg(n("inward").alias("inward_oriented_pairs"), n("outward").alias("outward_oriented_pairs"), n("other").alias("pairs_with_other_orientation"))
+
+
+def checksums(reads: DataFrame) -> DataFrame:
+    """sums (of 32 bits) of the CRC-32 of all records' names, sequences (four bits a base, two bases a byte) and qualities (without their offset)."""
+    codes = F.translate(F.upper("seq"), BASE_CODES, "0123456789ABCDEF")
+    packed = F.unhex(F.when(F.length(codes) % 2 == 1, F.concat(codes, F.lit("0"))).otherwise(codes))
+    shown = F.unhex(F.array_join(F.transform(F.split("qual", ""), lambda c: F.lpad(F.hex(F.ascii(c) - 33), 2, "0")), ""))
+    part = lambda c, cond: F.pmod(F.coalesce(F.sum(F.when(cond, F.crc32(c))), F.lit(0)), F.lit(1 << 32))
+    some = (F.col("seq") != "*") & (F.length("seq") > 0)
+    none = F.unhex(F.repeat(F.lit("FF"), F.length("seq")))  # no qualities: each byte is 255
+    return reads.agg(part(F.col("qname").cast("binary"), F.lit(True)).alias("names"), part(packed, some).alias("sequences"), part(F.when(F.col("qual") == "*", none).otherwise(shown), some).alias("qualities"))
+
+
 def lengths(reads: DataFrame) -> DataFrame:
     """A10: read lengths of all, first and last fragments."""
     which = F.explode(F.array_compact(F.array(F.lit("RL"), F.when(has(flags.SECOND), "LRL").otherwise("FRL"))))
@@ -131,28 +188,67 @@ def mapping_qualities(reads: DataFrame) -> DataFrame:
     return reads.where(flags.primary() & none_of(flags.QCFAIL | flags.DUPLICATE | flags.UNMAPPED)).groupBy("mapq").agg(F.count("*").alias("n"))
 
 
-def _cycles(reads: DataFrame, values: Column) -> DataFrame:
-    """Primary records' values by read-oriented cycle (F17), from 0."""
-    rows = reads.where(flags.primary()).select("flag", F.size(values).alias("len"), F.posexplode(values).alias("i", "v"))
-    cycle = F.when(has(flags.REVERSE), F.col("len") - 1 - F.col("i")).otherwise(F.col("i"))
-    return rows.select(has(flags.SECOND).alias("is_last"), has(flags.REVERSE).alias("rev"), cycle.alias("cycle"), "v")
+def tallies(reads: DataFrame, values: Column) -> DataFrame:
+    """is_last, rev, cycle, v and n: how many primary records have the value v at a read-oriented cycle (F17, from 0).
+
+    values: array<int>, or a string, whose bytes are the values. Each task adds whole Arrow batches
+    to one table of counts, so no row is made for a base.
+    """
+    source = reads.where(flags.primary()).select("flag", values.alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[bool, bool], np.ndarray] = {}
+        for batch in batches:
+            flag, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(column) if pa.types.is_string(column.type) else pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if pa.types.is_string(column.type):
+                flat = np.frombuffer("".join(x or "" for x in column.to_pylist()).encode("latin-1", "replace"), np.uint8).astype(np.int64)
+            else:
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+            rev, last = (flag & flags.REVERSE) > 0, (flag & flags.SECOND) > 0
+            row = np.repeat(np.arange(len(flag)), sizes)
+            cycle = np.where(rev[row], sizes[row] - 1 - place, place)
+            for key in {(bool(a), bool(b)) for a, b in zip(last, rev, strict=True)}:
+                on = (last[row] == key[0]) & (rev[row] == key[1]) & (flat >= 0) & (flat < 256)
+                if on.any():
+                    counts = np.bincount(cycle[on] * 256 + flat[on])
+                    old = found.get(key, np.zeros(0, np.int64))
+                    new = np.zeros(max(len(old), len(counts)), np.int64)
+                    new[: len(old)] += old
+                    new[: len(counts)] += counts
+                    found[key] = new
+        for (last, rev), counts in found.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"is_last": pa.array(np.full(len(at), last)), "rev": pa.array(np.full(len(at), rev)), "cycle": pa.array((at // 256).astype(np.int32)), "v": pa.array((at % 256).astype(np.int32)), "n": pa.array(counts[at])})
+
+    return source.mapInArrow(run, "is_last boolean, rev boolean, cycle int, v int, n long").groupBy("is_last", "rev", "cycle", "v").agg(F.sum("n").alias("n"))
 
 
 def quality_by_cycle(reads: DataFrame, quality: Column, cap: int = 63) -> DataFrame:
     """Counts by first or last fragment, cycle and quality."""
-    return _cycles(reads, quality).groupBy("is_last", "cycle", F.least("v", F.lit(cap)).alias("quality")).agg(F.count("*").alias("n"))
+    return tallies(reads, quality).groupBy("is_last", "cycle", F.least("v", F.lit(cap)).alias("quality")).agg(F.sum("n").alias("n"))
 
 
 def cycle_quality(reads: DataFrame, quality: Column, most: int = 200) -> DataFrame:
     """Mean quality by cycle."""
-    return _cycles(reads.where(flags.primary_mapped(0)), quality).where(F.col("cycle") < most).groupBy("is_last", "cycle").agg(F.avg("v").alias("mean_quality"), F.count("*").alias("n"))
+    found = tallies(reads.where(flags.primary_mapped(0)), quality).where(F.col("cycle") < most).groupBy("is_last", "cycle")
+    return found.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean_quality"), F.sum("n").alias("n"))
 
 
 def bases_by_cycle(reads: DataFrame, oriented: bool = False) -> DataFrame:
     """Counts and percent of A, C, G and T by cycle (percent of these four); oriented: as sequenced (GCT)."""
-    seq = F.when(has(flags.REVERSE), F.translate("seq", "ACGT", "TGCA")).otherwise(F.col("seq")) if oriented else F.col("seq")
-    rows = _cycles(reads, F.split(seq, "")).where("v in ('A','C','G','T')").groupBy("is_last", "cycle", "v").agg(F.count("*").alias("n"))
-    return rows.select("is_last", "cycle", F.col("v").alias("base"), "n", (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("is_last", "cycle"))).alias("percent"))
+    base = F.chr(F.col("v"))
+    shown = F.when(F.col("rev"), F.translate(base, "ACGT", "TGCA")).otherwise(base) if oriented else base
+    rows = tallies(reads, F.col("seq")).select("is_last", "cycle", shown.alias("base"), "n").where("base in ('A','C','G','T')").groupBy("is_last", "cycle", "base").agg(F.sum("n").alias("n"))
+    return rows.select("is_last", "cycle", "base", "n", (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("is_last", "cycle"))).alias("percent"))
+
+
+def total_bases(reads: DataFrame) -> DataFrame:
+    """FTC and LTC: A, C, G, T and N of first and last fragments."""
+    n = lambda b: F.coalesce(F.sum(F.when(F.col("v") == ord(b), F.col("n"))), F.lit(0)).alias(b.lower())
+    return tallies(reads, F.upper("seq")).groupBy("is_last").agg(*[n(b) for b in "ACGTN"])
 
 
 def gc_steps(reads: DataFrame, bins: int = 200) -> DataFrame:
@@ -171,6 +267,16 @@ def runs(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     return df.withColumn("__b", F.lag(value).over(w)).where(F.col("__b").isNull() | (F.col("__b") != F.col(value))).drop("__b")
 
 
+def gc_plateaus(reads: DataFrame, bins: int = 200) -> DataFrame:
+    """A12 as it is written: percent of GC in the middle of each run of equal counts, and the count; runs of none are left out."""
+    sides = gc_steps(reads, bins).select("is_last").distinct()
+    every = sides.crossJoin(F.broadcast(reads.sparkSession.range(bins - 1).select(F.col("id").cast("int").alias("bin"))))  # two sides, 199 bins
+    full = every.join(gc_steps(reads, bins), ["is_last", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    starts = runs(full, ["is_last"], "bin", "n")
+    last = F.coalesce(F.lead("bin").over(Window.partitionBy("is_last").orderBy("bin")), F.lit(bins - 1))
+    return starts.withColumn("upto", last).where("n > 0").select("is_last", ((F.col("bin") + F.col("upto") - 1) * 0.5 * 100 / (bins - 1)).alias("percent"), "n")
+
+
 def indels(reads: DataFrame) -> DataFrame:
     """Insertions and deletions by size."""
     ops = reads.where(none_of(flags.UNMAPPED | flags.SECONDARY)).select(F.explode(cigar.ops("cigar")).alias("o")).where("o.op in ('I', 'D')")
@@ -206,27 +312,80 @@ def depth_histogram(reads: DataFrame, most: int = 1000) -> DataFrame:
     return walked.where("depth > 0 and len > 0").groupBy(F.least("depth", F.lit(most + 1)).alias("depth")).agg(F.sum("len").alias("n_bases"))
 
 
-def gc_depth(reads: DataFrame, width: int = 20_000) -> DataFrame:
+def gc_depth(reads: DataFrame, width: int = 20_000, stretch: int = 1 << 21) -> DataFrame:
     """Bins opened by the arrival of reads: a read more than width beyond the open bin's start opens the next.
 
-    The bins depend on the order of reads within a contig. Reads of one place are summed in Spark
-    first, so a contig's pandas group has at most a row for each of its places.
+    Reads come by place, as in a sorted file. Reads of one place are summed first. The bin that is
+    open where a stretch of a contig begins follows from the stretch before it, so each stretch tells
+    for each possible end of that bin which bin it leaves open; these few rows are followed along a
+    contig; then each stretch, knowing its first bin, sums its places, and a bin's parts are added.
     """
     n = F.length("seq")
-    kept = reads.where(none_of(flags.UNMAPPED | flags.SECONDARY))
-    rows = kept.groupBy("tid", "pos").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("seq", "[^GC]", "")) / F.greatest(n, F.lit(1))).alias("gc"))
-
-    def bins(pdf: pd.DataFrame) -> pd.DataFrame:
+    kept = reads.where(none_of(flags.UNMAPPED | flags.SECONDARY) & (n > 0))
+    rows = kept.groupBy("tid", "pos").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("seq", "[^GC]", "")) / n).alias("gc")).withColumn("part", F.floor(F.col("pos") / stretch))
+
+    def leads(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """For an open bin that ends before `upto` (and not before the row above), the start of the bin that is open behind the stretch."""
+        places = np.sort(pdf.pos.to_numpy())
+        nxt = np.searchsorted(places, places + width, "right")
+        jump = np.where(nxt == len(places), np.arange(len(places)), np.minimum(nxt, len(places) - 1))
+        while (jump[jump] != jump).any():
+            jump = jump[jump]
+        some = np.searchsorted(places, key[1] * stretch + width, "right") + 1  # an open bin began in the stretch before
+        upto, left = places[:some], places[jump[:some]]
+        ends = np.flatnonzero(np.append(left[1:] != left[:-1], True))
+        return pd.DataFrame({"tid": key[0], "part": key[1], "upto": upto[ends], "left": left[ends]})
+
+    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The bin that is open where each stretch begins; -1 where none is."""
+        now, out = -1, []
+        for part, rows in pdf.sort_values(["part", "upto"]).groupby("part"):
+            out.append((key[0], int(part), now))
+            upto = rows.upto.to_numpy()
+            k = int(np.searchsorted(upto, now + width if now >= 0 else -1, "right"))  # the first place beyond the open bin
+            if k < len(upto):
+                now = int(rows.left.iloc[k])
+        return pd.DataFrame(out, columns=["tid", "part", "open"])
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        places = pdf.pos.to_numpy()
-        starts, at = [], 0
+        places, now = pdf.pos.to_numpy(), int(pdf.open.iloc[0])
+        starts, names = [], []
+        at = 0
+        if now >= 0 and places[0] <= now + width:
+            starts, names = [0], [now]
+            at = int(np.searchsorted(places, now + width, "right"))
         while at < len(places):
             starts.append(at)
+            names.append(places[at])
             at = int(np.searchsorted(places, places[at] + width, "right"))
-        depth, gc = np.add.reduceat(pdf.n.to_numpy(), starts), np.add.reduceat(pdf.gc.to_numpy(), starts)
-        return pd.DataFrame({"tid": pdf.tid.iloc[0], "bin_start": places[starts], "depth": depth, "gc": gc / depth})
+        return pd.DataFrame({"tid": key[0], "bin_start": names, "depth": np.add.reduceat(pdf.n.to_numpy(), starts), "gc": np.add.reduceat(pdf.gc.to_numpy(), starts)})
+
+    per = rows.groupBy("tid", "part")
+    opened = per.applyInPandas(leads, "tid int, part long, upto long, left long").groupBy("tid").applyInPandas(follow, "tid int, part long, open long")
+    parts = rows.join(opened, ["tid", "part"]).groupBy("tid", "part").applyInPandas(sums, "tid int, bin_start long, depth long, gc double")
+    return parts.groupBy("tid", "bin_start").agg(F.sum("depth").alias("depth"), F.sum("gc").alias("gc_sum")).select("tid", "bin_start", "depth", "gc_sum", (F.col("gc_sum") / F.col("depth")).alias("gc"))
 
-    return rows.groupBy("tid").applyInPandas(bins, "tid int, bin_start long, depth long, gc double")
+
+def gc_depth_report(bins: DataFrame, average_length: float, width: int = 20_000) -> list[tuple[float, ...]]:
+    """For each whole percent of GC, the cumulated percent of bins and the 10th, 25th, 50th, 75th and 90th percentile of depth (scaled to coverage).
+
+    The last bin keeps its plain sum of shares, and an empty bin comes first, so that the highest bin
+    is not written. A row for each 20 kb of genome reaches the driver.
+    """
+    rows = bins.orderBy("tid", "bin_start").select("gc_sum", "depth").collect()
+    if not rows:
+        return []
+    shown = [(r.gc_sum if k == len(rows) - 1 else math.floor(100 * r.gc_sum / r.depth + 0.5), r.depth) for k, r in enumerate(rows)]
+    ordered = [(0.0, 0), *sorted(shown)]
+    out, k, scale = [], 0, average_length / width
+    while k < len(rows):
+        first = k
+        while k < len(rows) and abs(ordered[k][0] - ordered[first][0]) < 0.1:
+            k += 1
+        depths = [float(d) for _, d in ordered[first:k]]
+        out.append((float(ordered[first][0]), (k + 1) * 100.0 / (len(rows) + 1), *(depth_percentile(depths, p) * scale for p in (10, 25, 50, 75, 90))))
+    return out
 
 
 def chrom_metrics(reads: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, flags
@@ -13,14 +13,14 @@ from . import intervals
 
 def strand_classes(reads: DataFrame, transcripts: DataFrame, min_mapq: int = 30) -> DataFrame:
     """Records by key: mate (if paired), own strand, and the strands of transcripts they overlap in start order."""
-    kept = reads.where(flags.standard(min_mapq))
-    spans = kept.select("rec_ord", "flag", "tid", F.col("pos").alias("s"), (F.col("pos") + cigar.query_length()).alias("e"))
+    kept = reads.where(flags.standard(min_mapq)).select("flag", "tid", F.col("pos").alias("s"), (F.col("pos") + cigar.query_length()).alias("e"))
     targets = transcripts.where("strand in ('+', '-')").select("tid", F.col("s").alias("rs"), F.col("e").alias("re"), "strand")
-    hits = intervals.overlap_join(spans, targets, ["tid"]).groupBy("rec_ord", "flag").agg(F.array_sort(F.collect_set(F.struct("rs", "re", "strand"))).alias("t"))
-    seen = F.array_join(F.array_distinct(F.transform("t", lambda x: x.strand)), ":")
+    near = intervals.beside(kept, F.col("s"), F.col("e") - 1, targets, ["tid"], ["strand"])
+    hit = F.array_sort(F.array_distinct(F.filter("near", lambda x: (F.col("s") < x.re) & (x.rs < F.col("e")))))
+    seen = F.array_join(F.array_distinct(F.transform(hit, lambda x: x.strand)), ":")
     mate = F.when(flags.has(flags.PAIRED), F.when(flags.has(flags.FIRST), "1").otherwise("2")).otherwise("")
-    key = F.concat(mate, F.when(flags.has(flags.REVERSE), "-").otherwise("+"), seen)
-    return hits.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    key = F.concat(mate, F.when(flags.has(flags.REVERSE), "-").otherwise("+"), F.col("seen"))
+    return near.withColumn("seen", seen).where("seen <> ''").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
 # The keys of the two protocols, for pairs and single reads.
@@ -34,6 +34,11 @@ def infer_strandedness(classes: DataFrame, threshold: float = 0.75) -> DataFrame
     return out.withColumn("failed", 1.0 - F.col("forward") - F.col("reverse")).withColumn("strandedness", kind)
 
 
+def strandedness_mismatch(inferred: str, given: str) -> str | None:
+    """The library that the reads tell, where it is told and is not the given one."""
+    return None if inferred in ("undetermined", given) else inferred
+
+
 def duplication(reads: DataFrame, by: str = "position", min_mapq: int = 30) -> DataFrame:
     """How many keys occur how often, by position (contig, start, blocks) or by sequence."""
     kept = reads.where(flags.duplication_filter(min_mapq))
@@ -80,10 +85,12 @@ def regions(transcripts: DataFrame, tx_exons: DataFrame) -> DataFrame:
 
 def region_tags(reads: DataFrame, region_sets: DataFrame) -> DataFrame:
     """Exon blocks by the region that strictly holds their midpoint; flank counts include the nearer ones."""
-    blocks = reads.where(flags.standard(None)).select("rec_ord", "tid", F.posexplode(cigar.exon_blocks()).alias("i", "b"))
-    points = blocks.select("rec_ord", "i", "tid", F.floor((F.col("b.s") + F.col("b.e")) / 2).alias("p"))
-    hits = intervals.point_join(points, region_sets.select("tid", "region", F.col("s").alias("rs"), F.col("e").alias("re")), ["tid"], strict=True)
-    per = points.join(hits.groupBy("rec_ord", "i").agg(F.collect_set("region").alias("r")), ["rec_ord", "i"], "left").withColumn("r", F.coalesce("r", F.array().cast("array<string>")))
+    mids = F.transform(cigar.exon_blocks(), lambda b: F.floor((b.s + b.e) / 2))
+    kept = reads.where(flags.standard(None)).select("tid", mids.alias("mids")).where(F.size("mids") > 0)
+    targets = region_sets.select("tid", "region", F.col("s").alias("rs"), F.col("e").alias("re"))
+    near = intervals.beside(kept, F.array_min("mids"), F.array_max("mids"), targets, ["tid"], ["region"])
+    held = F.transform("mids", lambda p: F.transform(F.filter("near", lambda x: (x.rs < p) & (p < x.re)), lambda x: x.region))
+    per = near.select(F.explode(held).alias("r"))
     on = lambda n: F.array_contains("r", n)
     tss, tes = [f"tss_up_{k // 1000}kb" for k in FLANKS], [f"tes_down_{k // 1000}kb" for k in FLANKS]
     up, down = on(tss[-1]), on(tes[-1])
@@ -126,15 +133,20 @@ def junction_saturation(events: DataFrame, known: DataFrame, min_intron: int = 5
 
     An observation's place is its hash's rank; it is found from counts of 2^16 hash ranges, so no
     task sorts all of them. A junction is seen at its first place, a known one at its
-    min_coverage-th.
+    min_coverage-th: a least place, or of each task only the min_coverage least of a junction travel.
     """
-    marked = events.where(F.col("e") - F.col("s") >= min_intron).withColumn("h", F.xxhash64("rec_ord", "nth", F.lit(seed))).withColumn("range", F.shiftright("h", 48))
+    name = F.md5(F.concat_ws(":", F.col("rec_ord").cast("string"), F.col("nth").cast("string"), F.lit(str(seed))))
+    marked = events.where(F.col("e") - F.col("s") >= min_intron).withColumn("h", name).withColumn("range", F.substring("h", 1, 4))
     sizes = marked.groupBy("range").agg(F.count("*").alias("n"))
     w = Window.orderBy("range")  # at most 2^16 rows
     before = sizes.select("range", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("h", "rec_ord", "nth"))
     placed = marked.join(before, "range").select("tid", "s", "e", (F.col("before") + place).alias("place"), "total")
-    seen = placed.groupBy("tid", "s", "e").agg(F.min("place").alias("first"), F.get(F.array_sort(F.collect_list("place")), F.lit(max(1, min_coverage) - 1)).alias("nth"), F.first("total").alias("total"))
+    seen = placed.groupBy("tid", "s", "e").agg(F.min("place").alias("first"), F.min("place").alias("nth"), F.first("total").alias("total"))
+    if min_coverage > 1:
+        order = F.row_number().over(Window.partitionBy("tid", "s", "e").orderBy("place"))
+        later = placed.withColumn("__n", order).where(F.col("__n") <= min_coverage).where(F.col("__n") == min_coverage).select("tid", "s", "e", F.col("place").alias("nth"))
+        seen = seen.drop("nth").join(later, ["tid", "s", "e"], "left")
     both = seen.join(known.select("tid", "s", "e").distinct().withColumn("known", F.lit(True)), ["tid", "s", "e"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     points = sorted({*range(floor, ceiling + 1, step), 100})
     percents = F.explode(F.array(*map(F.lit, points))).alias("percent")
@@ -142,29 +154,73 @@ def junction_saturation(events: DataFrame, known: DataFrame, min_intron: int = 5
     return grown.groupBy("percent").agg(F.count_if(F.col("known") & (F.col("nth") <= F.col("upto"))).alias("known"), F.count_if(~F.col("known") & (F.col("first") <= F.col("upto"))).alias("novel"), F.count_if(F.col("first") <= F.col("upto")).alias("all_junctions"))
 
 
-def inner_distances(reads: DataFrame, transcripts: DataFrame, merged_exons: DataFrame, min_mapq: int = 30, most: int = 1_000_000) -> DataFrame:
+def first_records(reads: DataFrame, most: int) -> DataFrame:
+    """The rows of the `most` smallest rec_ords. The bound is found from counts of ranges of 2^20 rec_ords, so only one range is sorted."""
+    sizes = reads.groupBy(F.shiftright("rec_ord", 20).alias("range")).agg(F.count("*").alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("range")))  # a row for each million records
+    over = upto.where(F.col("upto") > most).orderBy("range").first()
+    if over is None:
+        return reads
+    inside = reads.where(F.shiftright("rec_ord", 20) == over.range).select("rec_ord").orderBy("rec_ord").limit(most - (over.upto - over.n))
+    top = inside.agg(F.max("rec_ord")).first()[0]
+    return reads.where(F.col("rec_ord") <= (over.range * (1 << 20) - 1 if top is None else top))
+
+
+def exonic_shelf(transcripts: DataFrame, merged_exons: DataFrame) -> DataFrame:
+    """tid and bin, for all bins up to a contig's last exon or transcript: tx (the transcripts that touch it), ex (merged exons) and cum (exonic bases before the bin)."""
+    size = intervals.BIN
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor((b - 1) / size)))
+    tx = transcripts.where("s < e").select("tid", F.struct("tx_id", "s", "e").alias("t"), bins(F.col("s"), F.col("e")).alias("bin")).groupBy("tid", "bin").agg(F.collect_list("t").alias("tx"))
+    parts = merged_exons.where("s < e").select("tid", "s", "e", bins(F.col("s"), F.col("e")).alias("bin"))
+    inside = F.least("e", (F.col("bin") + 1) * size) - F.greatest("s", F.col("bin") * size)
+    ex = parts.groupBy("tid", "bin").agg(F.collect_list(F.struct("s", "e")).alias("ex"), F.sum(inside).alias("n"))
+    last = transcripts.select("tid", "e").unionByName(merged_exons.select("tid", "e")).groupBy("tid").agg(F.floor(F.max("e") / size).alias("last"))
+    every = last.select("tid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bin"))
+    before = Window.partitionBy("tid").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 4 kb of a contig
+    full = every.join(ex, ["tid", "bin"], "left").join(tx, ["tid", "bin"], "left")
+    none = lambda c: F.coalesce(c, F.array())
+    return full.select("tid", "bin", none("tx").alias("tx"), none("ex").alias("ex"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cum"))
+
+
+def inner_distances(reads: DataFrame, transcripts: DataFrame, merged_exons: DataFrame, min_mapq: int = 30, most: int | None = None) -> DataFrame:
     """Class and distance of each pair, decided at its left mate. transcripts: tx_id, tx_ord, tid, s, e; merged_exons: tid, s, e.
 
     The first transcript of each contig is left out. `most` keeps the pairs of the smallest rec_ord.
+    Each pair looks up the bins of its read's end and its mate's start; exonic bases between them
+    are a difference of running sums, so pairs are not grouped.
     """
     both = flags.standard(min_mapq) & flags.has(flags.PAIRED) & ~flags.has(flags.MATE_UNMAPPED)
     same = (F.col("tid") == F.col("mtid")) & ((F.col("mpos") > F.col("pos")) | ((F.col("mpos") == F.col("pos")) & ~flags.has(flags.FIRST)))
     kept = reads.where(both & (same | (F.col("tid") < F.col("mtid"))))
-    kept = kept.orderBy("rec_ord").limit(most) if most else kept
+    kept = first_records(kept, most) if most else kept
     end = F.col("pos") + cigar.query_length() + cigar.intron_length()
     base = kept.select("rec_ord", "tid", "mtid", "pos", "mpos", "cigar", end.alias("r1e"))
     inside = F.aggregate(cigar.exon_blocks(), F.lit(0).cast("long"), lambda a, b: a + F.greatest(F.lit(0).cast("long"), F.least(b.e, F.col("r1e")) - F.greatest(b.s, F.col("mpos"))))
     base = base.withColumn("d", F.when(F.col("tid") == F.col("mtid"), F.when(F.col("mpos") >= F.col("r1e"), F.col("mpos") - F.col("r1e")).otherwise(-inside)))
     order = Window.partitionBy("tid").orderBy("tx_ord")
-    later = transcripts.withColumn("__n", F.row_number().over(order)).where("__n > 1").select("tid", "tx_id", F.col("s").alias("rs"), F.col("e").alias("re"))
-    local = base.where("tid = mtid")
-    stab = lambda p: intervals.point_join(local.select("rec_ord", "tid", p.alias("p")), later, ["tid"]).select("rec_ord", "tx_id")
-    common = stab(F.col("r1e") - 1).join(stab(F.col("mpos")), ["rec_ord", "tx_id"]).select("rec_ord").distinct().withColumn("common", F.lit(True))
-    gap = local.where("mpos > r1e").select("rec_ord", "tid", F.col("r1e").alias("s"), F.col("mpos").alias("e"))
-    exonic = intervals.overlap_join(gap, merged_exons.select("tid", F.col("s").alias("rs"), F.col("e").alias("re")), ["tid"]).groupBy("rec_ord").agg(F.sum(F.least("e", "re") - F.greatest("s", "rs")).alias("x"))
-    known = merged_exons.select("tid").distinct().withColumn("has_exons", F.lit(True))
+    later = transcripts.withColumn("__n", F.row_number().over(order)).where("__n > 1").select("tid", "tx_id", "s", "e")
+    shelf, size = exonic_shelf(later, merged_exons), intervals.BIN
+    shelf = F.broadcast(shelf) if transcripts.limit(intervals.BROADCAST_TARGETS + 1).count() <= intervals.BROADCAST_TARGETS else shelf
+    total = merged_exons.groupBy("tid").agg(F.sum(F.col("e") - F.col("s")).alias("__total"))
+    local = F.col("tid") == F.col("mtid")
+    keyed = base.withColumn("__b1", F.when(local, F.floor((F.col("r1e") - 1) / size))).withColumn("__b2", F.when(local, F.floor(F.col("mpos") / size)))
+    for n in "12":
+        own = shelf.select(F.col("tid").alias(f"__t{n}"), F.col("bin").alias(f"__bin{n}"), F.col("tx").alias(f"tx{n}"), F.col("ex").alias(f"ex{n}"), F.col("cum").alias(f"cum{n}"))
+        keyed = keyed.join(own, (F.col("tid") == F.col(f"__t{n}")) & (F.col(f"__b{n}") == F.col(f"__bin{n}")), "left")
+    keyed = keyed.join(F.broadcast(total.withColumnRenamed("tid", "__tid")), F.col("tid") == F.col("__tid"), "left")  # a row for each contig
+
+    def stabbed(n: str, p: Column) -> Column:
+        return F.transform(F.filter(f"tx{n}", lambda t: (t.s <= p) & (p < t.e)), lambda t: t.tx_id)
+
+    def before(n: str, p: Column) -> Column:
+        """Exonic bases before p, which lies in the bin or at its end; all of them behind the last bin."""
+        here = F.aggregate(f"ex{n}", F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(0).cast("long"), F.least(x.e, p) - F.greatest(x.s, F.col(f"__b{n}") * size)))
+        return F.coalesce(F.col(f"cum{n}") + here, F.col("__total"))
+
+    common = F.coalesce(F.arrays_overlap(stabbed("1", F.col("r1e") - 1), stabbed("2", F.col("mpos"))), F.lit(False))
+    x = F.when(F.col("mpos") > F.col("r1e"), before("2", F.col("mpos")) - before("1", F.col("r1e")))
+    full = keyed.withColumn("common", F.when(common, True)).withColumn("x", x).withColumn("has_exons", F.when(F.col("__total").isNotNull(), True))
     x = F.coalesce("x", F.lit(0).cast("long"))
-    full = base.join(common, "rec_ord", "left").join(exonic, "rec_ord", "left").join(known, "tid", "left")
     kind = (
         F.when(F.col("tid") != F.col("mtid"), "sameChrom=No")
         .when(F.col("common").isNull(), "sameTranscript=No,dist=genomic")
@@ -197,6 +253,22 @@ def sampled_positions(tx_exons: DataFrame, sample: int = 100) -> DataFrame:
     return points.select("tx_id", "tid", "p").join(size, "tx_id")
 
 
+def depth_at(blocks: DataFrame, points: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """tid, p and c of the points p (1-based) that blocks (tid, s, e, k) cover: c blocks, each counted k times.
+
+    Points lie among the blocks' edges in one sweep, within stretches, onto which the sums of all
+    earlier ones are added; so no block is dealt out to the points in it, and no contig needs one task.
+    """
+    edges = blocks.select("tid", F.explode(F.array(F.struct(F.col("s").alias("at"), F.col("k").alias("d")), F.struct(F.col("e").alias("at"), (-F.col("k")).alias("d")))).alias("x")).groupBy("tid", "x.at").agg(F.sum("x.d").alias("d"))
+    rows = edges.withColumn("p", F.lit(None).cast("long")).unionByName(points.select("tid", (F.col("p") - 1).alias("at"), F.lit(0).cast("long").alias("d"), F.col("p").cast("long").alias("p"))).withColumn("part", F.floor(F.col("at") / stretch))
+    sums = rows.groupBy("tid", "part").agg(F.sum("d").alias("s"))
+    before = Window.partitionBy("tid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    carried = sums.select("tid", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    here = Window.partitionBy("tid", "part").orderBy("at")  # edges at a place count there
+    walked = rows.join(carried, ["tid", "part"]).select("tid", "p", (F.col("base") + F.sum("d").over(here)).alias("c"))
+    return walked.where("p is not null and c > 0")
+
+
 def tin(reads: DataFrame, transcripts: DataFrame, tx_exons: DataFrame, sample: int = 100, min_coverage: int = 10) -> DataFrame:
     """Integrity number of each transcript (0 unless over min_coverage distinct starts lie in it)."""
     kept = reads.where(flags.none_of(flags.UNMAPPED | flags.QCFAIL | flags.SECONDARY))
@@ -206,10 +278,7 @@ def tin(reads: DataFrame, transcripts: DataFrame, tx_exons: DataFrame, sample: i
     passed = intervals.point_join(starts, spans, ["tid"]).groupBy("tx_id").agg(F.count("*").alias("starts"))
     blocks = kept.where(~flags.has(flags.DUPLICATE)).select("tid", F.explode(cigar.aligned_blocks()).alias("b")).select("tid", F.col("b.s").alias("s"), F.col("b.e").alias("e")).groupBy("tid", "s", "e").agg(F.count("*").alias("k"))
     points = sampled_positions(tx_exons, sample)
-    where = points.select("tid", F.col("p")).distinct()
-    # a block's points are found through the bins that it crosses; equal blocks count once, with their number
-    hit = intervals.overlap_join(blocks, where.select("tid", (F.col("p") - 1).alias("rs"), F.col("p").alias("re")), ["tid"])
-    depth = hit.groupBy("tid", F.col("re").alias("p")).agg(F.sum("k").alias("c"))
+    depth = depth_at(blocks, points.select("tid", "p").distinct())
     covered = points.join(depth, ["tid", "p"])
     w = Window.partitionBy("tx_id")
     share = F.col("c") / F.sum("c").over(w)
@@ -226,5 +295,3 @@ def tin_summary(scores: DataFrame) -> DataFrame:
 def known_introns(tx_exons: DataFrame) -> DataFrame:
     """Annotated introns."""
     return intervals.gaps(tx_exons.select("tx_id", "tid", "s", "e"), ["tx_id"], ["tid"]).where("s < e").select("tid", "s", "e").distinct()
-
-

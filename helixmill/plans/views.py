@@ -8,8 +8,11 @@ single records. Genes come from part. Every read has 50 bases.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LENGTH = 5_000_000
 
@@ -72,13 +75,37 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(sql, **frames)
 
 
+#: Views of this session by application, folder and name.
+_saved: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """The view as a Parquet table, written once a session: it stands for an alignment or annotation file, which is not made anew for each report. Without a folder that all executors share it stays a view."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _saved:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.startswith("local["):
+            folder = "file://" + tempfile.mkdtemp(prefix="helixmill-views-")
+        if not folder:
+            return make()
+        path = f"{folder.rstrip('/')}/helixmill-view-{uuid.uuid4().hex}"
+        view = make()
+        view.write.parquet(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _saved[key] = spark.read.schema(view.schema).parquet(path)
+    return _saved[key]
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alignment table: one row for each record."""
-    return _run(spark, sf_dir, "WITH " + READS.replace("CAST(ok AS VARCHAR(20))", "CAST(ok AS STRING)").replace("AS VARCHAR(20)", "AS STRING") + " SELECT * FROM reads", "lineitem")
+    """The alignment table: one row for each record, with made-up base qualities."""
+    sql = "WITH " + READS.replace("CAST(ok AS VARCHAR(20))", "CAST(ok AS STRING)").replace("AS VARCHAR(20)", "AS STRING") + " SELECT * FROM reads"
+    quality = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: (2 + (F.col("rec_ord") * 3 + i * 11) % 40).cast("int"))
+    return _kept(spark, sf_dir, "reads", lambda: _run(spark, sf_dir, sql, "lineitem").withColumn("quality", quality))
 
 
 def _annotation(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    return _run(spark, sf_dir, "WITH " + GENES.replace("AS VARCHAR(20)", "AS STRING") + f" SELECT * FROM {view}", "part", "region")
+    return _kept(spark, sf_dir, view, lambda: _run(spark, sf_dir, "WITH " + GENES.replace("AS VARCHAR(20)", "AS STRING") + f" SELECT * FROM {view}", "part", "region"))
 
 
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ not read: it needs a codec and a reference server that this engine does not have
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -64,16 +65,55 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return _marked(both.drop("mcontig")), head
 
 
-def bgzf_blocks(data: bytes) -> Iterator[bytes]:
-    """The uncompressed blocks of a BGZF file (each a gzip member)."""
-    at = 0
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        out = d.decompress(data[at:]) + d.flush()
-        at = len(data) - len(d.unused_data)
-        yield out
-        if not d.unused_data:
-            break
+class Blocks:
+    """The uncompressed bytes of a BGZF file (each block a gzip member with its size in its header), from a block on. Plain gzip members are read too."""
+
+    def __init__(self, handle, at: int = 0):
+        self.handle, self.at, self.buffer, self.place = handle, at, b"", 0
+        handle.seek(at)
+
+    def more(self) -> bool:
+        """Reads the next block behind what is left of this one."""
+        head = self.handle.read(18)
+        if len(head) < 18:
+            return False
+        if head[:2] != b"\x1f\x8b":
+            raise ValueError("not a compressed block")
+        left = self.buffer[self.place :]
+        self.start = self.at
+        if head[3] & 4 and head[12:14] == b"BC":
+            size = struct.unpack_from("<H", head, 16)[0] + 1
+            text = zlib.decompress(self.handle.read(size - 18)[:-8], -15)
+            self.at += size
+        else:  # its end is found by unpacking
+            d, part, texts, size = zlib.decompressobj(31), head, [], 0
+            while part and not d.eof:
+                texts.append(d.decompress(part))
+                size += len(part)
+                part = b"" if d.eof else self.handle.read(1 << 16)
+            text = b"".join(texts)
+            self.at += size - len(d.unused_data)
+            self.handle.seek(self.at)
+        self.buffer, self.place, self.carried = left + text, 0, len(left)
+        return True
+
+    def take(self, n: int) -> bytes | None:
+        while len(self.buffer) - self.place < n:
+            if not self.more():
+                if self.place < len(self.buffer):
+                    raise ValueError("the file ends within a record")
+                return None
+        self.place += n
+        return self.buffer[self.place - n : self.place]
+
+
+def opened(path: str):
+    """A file that can be read from any place, in any store that Arrow reaches."""
+    from pyarrow import fs
+
+    where = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    store, name = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+    return store.open_input_file(name)
 
 
 def _tags(raw: bytes) -> dict[str, int]:
@@ -95,82 +135,120 @@ def _tags(raw: bytes) -> dict[str, int]:
     return out
 
 
+def bam_contigs(blocks: Blocks) -> list[tuple[str, int]]:
+    """Names and lengths from the head of a BAM file; leaves the blocks at its first record."""
+    whole = lambda: struct.unpack("<i", blocks.take(4) or b"\0\0\0\0")[0]
+    if blocks.take(4) != b"BAM\x01":
+        raise ValueError("not a BAM file")
+    blocks.take(whole())
+    refs = []
+    for _ in range(whole()):
+        name = blocks.take(whole())[:-1].decode()
+        refs.append((name, whole()))
+    return refs
+
+
+def bam_records(blocks: Blocks, refs: list[tuple[str, int]], most: int | None = None) -> Iterator[tuple]:
+    """At most `most` records from here on."""
+    done = 0
+    while (most is None or done < most) and (size := blocks.take(4)):
+        raw = blocks.take(struct.unpack("<i", size)[0])
+        if raw is None:
+            raise ValueError("the file ends within a record")
+        done += 1
+        tid, pos, n_name, mapq, _, n_ops, flag, n_seq, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
+        at = 32 + n_name
+        name = raw[32 : at - 1].decode()
+        cigar = "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", raw, at)) or "*"
+        at += 4 * n_ops
+        packed = raw[at : at + (n_seq + 1) // 2].hex()
+        seq = packed[:n_seq].translate(_BASE_OF) or "*"
+        at += (n_seq + 1) // 2
+        q = raw[at : at + n_seq]
+        qual = "*" if not q or q[0] == 255 else q.translate(_SHOWN).decode("latin-1")
+        tags = _tags(raw[at + n_seq :])
+        yield name, flag, tid, refs[tid][0] if tid >= 0 else "*", pos, mapq, cigar, mtid, mpos, tlen, seq, qual, tags.get("NH"), tags.get("HI"), tags.get("NM")
+
+
+_BASE_OF = str.maketrans("0123456789abcdef", BASES)
+_SHOWN = bytes(min(255, x + 33) for x in range(256))
+
+
 def decode_bam(data: bytes) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
     """Contigs and records of a BAM file."""
-    blocks, buffer = bgzf_blocks(data), bytearray()
-
-    def need(n: int) -> bool:
-        while len(buffer) < n:
-            more = next(blocks, None)
-            if more is None:
-                return False
-            buffer.extend(more)
-        return True
+    blocks = Blocks(io.BytesIO(data))
+    refs = bam_contigs(blocks)
+    return refs, bam_records(blocks, refs)
+
+
+def bam_parts(handle, records: int = 1 << 17) -> Iterator[tuple[int, int, int, int]]:
+    """Parts of a BAM file of `records` records: the place of a block, how many of its bytes come first, the part's first record and how many it has."""
+    blocks = Blocks(handle)
+    bam_contigs(blocks)
+    start, done = None, 0
+    while True:
+        if blocks.place == len(blocks.buffer) and not blocks.more():
+            break
+        # what is left of earlier blocks is a record's beginning: a part begins where none is
+        if blocks.place >= blocks.carried and (start is None or done - start[2] >= records):
+            if start:
+                yield (*start, done - start[2])
+            start = (blocks.start, blocks.place - blocks.carried, done)
+        size = blocks.take(4)
+        if not size:
+            break
+        blocks.take(struct.unpack("<i", size)[0])
+        done += 1
+    if start and done > start[2]:
+        yield (*start, done - start[2])
 
-    def take(n: int) -> bytes:
-        if not need(n):
-            raise ValueError("the file ends within a record")
-        out = bytes(buffer[:n])
-        del buffer[:n]
-        return out
 
-    if take(4) != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    take(struct.unpack("<i", take(4))[0])
-    refs = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        name = take(struct.unpack("<i", take(4))[0])[:-1].decode()
-        refs.append((name, struct.unpack("<i", take(4))[0]))
-
-    def records() -> Iterator[tuple]:
-        while need(4):
-            raw = take(struct.unpack("<i", take(4))[0])
-            tid, pos, n_name, mapq, _, n_ops, flag, n_seq, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
-            at = 32 + n_name
-            name = raw[32 : at - 1].decode()
-            cigar = "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", raw, at)) or "*"
-            at += 4 * n_ops
-            packed = raw[at : at + (n_seq + 1) // 2]
-            seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq] or "*"
-            at += (n_seq + 1) // 2
-            q = raw[at : at + n_seq]
-            qual = "*" if not q or q[0] == 255 else "".join(chr(33 + x) for x in q)
-            tags = _tags(raw[at + n_seq :])
-            yield name, flag, tid, refs[tid][0] if tid >= 0 else "*", pos, mapq, cigar, mtid, mpos, tlen, seq, qual, tags.get("NH"), tags.get("HI"), tags.get("NM")
-
-    return refs, records()
+BAM_COLUMNS = ["qname", "flag", "tid", "contig", "pos", "mapq", "cigar", "mtid", "mpos", "tlen", "seq", "qual", "nh", "hi", "nm"]
+#: Bits of a record's number within its file; the file's number lies above them.
+ORDER_BITS = 40
 
 
-BAM_COLUMNS = ["qname", "flag", "tid", "contig", "pos", "mapq", "cigar", "mtid", "mpos", "tlen", "seq", "qual", "nh", "hi", "nm"]
+def read_bam(spark: SparkSession, path: str, records: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
+    """Alignments and contigs of BAM files. rec_ord is the number of the file (by name) and of the record in it.
 
+    One task a file walks its blocks and notes where parts begin, without decoding records; the parts
+    are then decoded by as many tasks. No file is read as one row.
+    """
+    names = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())  # names, not contents
+    files = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "file long, path string").repartition(max(1, len(names)), "file")
 
-def read_bam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Alignments and contigs of BAM files; one task decodes a file, so split large ones, and save() the result."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, name in batch.itertuples(index=False):
+                with opened(name) as handle:
+                    yield pd.DataFrame([(file, name, *p) for p in bam_parts(handle, records)], columns=["file", "path", "at", "skip", "first", "n"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, content in batch.itertuples(index=False):
-                part: list[tuple] = []
-                n = 0
-                for r in decode_bam(content)[1]:
-                    part.append((n, *r))
-                    n += 1
-                    if len(part) == 20_000:
-                        yield pd.DataFrame(part, columns=["rec_ord", *BAM_COLUMNS]).astype({c: "Int64" for c in ("nh", "hi", "nm")})
-                        part = []
-                if part:
-                    yield pd.DataFrame(part, columns=["rec_ord", *BAM_COLUMNS]).astype({c: "Int64" for c in ("nh", "hi", "nm")})
+            for file, name, at, skip, first, n in batch.itertuples(index=False):
+                with opened(name) as handle:
+                    refs = bam_contigs(Blocks(handle))
+                    blocks = Blocks(handle, at)
+                    blocks.take(skip)
+                    part: list[tuple] = []
+                    for k, r in enumerate(bam_records(blocks, refs, n)):
+                        part.append(((file << ORDER_BITS) + first + k, *r))
+                        if len(part) == 20_000 or k == n - 1:
+                            yield pd.DataFrame(part, columns=["rec_ord", *BAM_COLUMNS]).astype({c: "Int64" for c in ("nh", "hi", "nm")})
+                            part = []
 
     schema = "rec_ord long, qname string, flag int, tid int, contig string, pos long, mapq int, cigar string, mtid int, mpos long, tlen long, seq string, qual string, nh int, hi int, nm int"
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, content in batch.itertuples(index=False):
-                refs = decode_bam(content)[0]
+            for _, name in batch.itertuples(index=False):
+                with opened(name) as handle:
+                    refs = bam_contigs(Blocks(handle))
                 yield pd.DataFrame([(k, n, size, n) for k, (n, size) in enumerate(refs)], columns=["tid", "name", "length", "gtf_name"])
 
-    return _marked(files.mapInPandas(rows, schema)), files.mapInPandas(heads, "tid int, name string, length long, gtf_name string").distinct()
+    parts = files.mapInPandas(index, "file long, path string, at long, skip long, first long, n long")
+    dealt = parts.repartition(spark.sparkContext.defaultParallelism * 4, "file", "first")
+    return _marked(dealt.mapInPandas(rows, schema)), files.mapInPandas(heads, "tid int, name string, length long, gtf_name string").distinct()
 
 
 def save(reads: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-@pytest.mark.parametrize("name", ["a03_dup_matrix", "a07_bam_stat", "a16_depth_histogram", "a21_junctions", "a24_tin", "a28_fragment_summary", "a37_snp_fingerprint", "a40_deciles"])
+@pytest.mark.parametrize("name", ["a03_dup_matrix", "a07_bam_stat", "a16_depth_histogram", "a21_junctions", "a24_tin", "a28_fragment_summary", "a37_snp_fingerprint", "a40_deciles", "a17_gc_report", "a22_junction_saturation_thrice", "a23_inner_distance", "a26_read_origin_reverse", "a27_bias", "a27_coverage_profile", "a39_per_gene_table", "f11_checksums", "m01_duplication_fit", "u05_samples", "w11_duplication_boxes"])
 def test_queries_agree_with_their_sql(spark, name):
     import duckdb
 

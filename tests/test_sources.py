@@ -48,6 +48,48 @@ def bam(path):
             out.write(c.compress(part) + c.flush())
 
 
+def bgzf(path, data, size):
+    """data as blocks of `size` bytes with their sizes in their headers."""
+    with open(path, "wb") as out:
+        for part in [*(data[a : a + size] for a in range(0, len(data), size)), b""]:
+            c = zlib.compressobj(6, zlib.DEFLATED, -15)
+            body = c.compress(part) + c.flush()
+            out.write(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+
+
+def test_large_bam_files_are_read_in_parts(spark, tmp_path):
+    def data(n, tag):
+        out = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 10**6)
+        for k in range(n):
+            name, bases = f"{tag}{k}".encode() + b"\0", 7 + k % 5
+            packed = bytes([0x12] * ((bases + 1) // 2))
+            rec = struct.pack("<iiBBHHHiiii", 0, k, len(name), 60, 0, 1, 0, bases, -1, -1, 0) + name + struct.pack("<I", bases << 4) + packed + bytes([k % 40] * bases) + b"NHC\x01"
+            out += struct.pack("<i", len(rec)) + rec
+        return out
+
+    (tmp_path / "in").mkdir()
+    for size in (23, 500, 60_000):
+        bgzf(tmp_path / "in" / "a.bam", data(400, "a"), size)
+        bgzf(tmp_path / "in" / "b.bam", data(7, "b"), size)
+        reads, contigs = alignments.read_bam(spark, str(tmp_path / "in"), records=50)
+        rows = reads.orderBy("rec_ord").collect()
+        assert [(r.qname, r.pos, r.cigar, r.nh) for r in rows] == [(f"a{k}", k, f"{7 + k % 5}M", 1) for k in range(400)] + [(f"b{k}", k, f"{7 + k % 5}M", 1) for k in range(7)]
+        assert [r.rec_ord for r in rows] == [*range(400), *((1 << alignments.ORDER_BITS) + k for k in range(7))]
+        assert rows[3].seq == "ACACACACAC" and rows[3].qual == "$" * 10 and contigs.count() == 1
+    bgzf(tmp_path / "x.bam", data(400, "a"), 500)
+    with alignments.opened(str(tmp_path / "x.bam")) as handle:
+        parts = list(alignments.bam_parts(handle, 50))
+    assert sum(p[3] for p in parts) == 400 and len(parts) >= 6
+
+
+def test_settings_names():
+    p = config.Params.of({"rna": {"junction_saturation": {"percentile_floor": 10}, "preseq": {"step_size": 5.0, "defects": True}, "stranded": "Reverse", "chromosome_mapping": {"1": "chr1"}}})
+    assert p["junction_saturation"]["percentile_floor"] == 10 and p["complexity"]["step"] == 5.0 and p["library"] == "reverse" and p["chromosome_mapping"] == {"1": "chr1"}
+    for wrong in ({"inner_distance": {"low": 1}}, {"nonsense": 1}, {"preseq": {"steps": 1}}):
+        with pytest.raises(ValueError):
+            config.Params.of(wrong)
+
+
 def test_sam_and_bam_agree(spark, tmp_path):
     (tmp_path / "a.sam").write_text(SAM)
     bam(tmp_path / "a.bam")
@@ -140,6 +182,7 @@ def test_whole_report(sample, tmp_path):
     params = config.Params.of(library_prep="ligation", complexity={"max_extrap": 5e4, "step": 1e3}, min_gene_reads=1)
     doc = report.run(sample, params)
     assert doc["flagstat"]["total"] == sample.reads.count() == sum(doc["bam_stat"][k] for k in ("qc_failed", "duplicate", "non_primary", "unmapped", "non_unique", "unique"))
+    assert set(report.REQUIRED) <= set(doc) and set(report.schema()["required"]) == set(report.REQUIRED) and doc["read_count_total"] == doc["flagstat"]["total"] and doc["peak_rss_mb"] > 0
     assert "end_motifs_skipped_no_fasta" in doc["qc_flags"] and doc["qc_flags"] == sorted(doc["qc_flags"])
     shares = [p["genes_ge_1"] for p in doc["saturation"]]
     assert shares == sorted(shares) and doc["junction_saturation"][-1]["percent"] == 100
