@@ -29,6 +29,7 @@ def one_place(v: float) -> str:
 
 
 def c_exponent(v: float) -> str:
+    """Six places and a power of at least two digits."""
     return f"{v:e}"
 
 

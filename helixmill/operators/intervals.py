@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of a join bin in bases.
 BIN = 1 << 12
-#: Bits of the bins of each level of a shelf, and how many targets are broadcast (some 60 bytes each a level).
-LEVELS, BROADCAST_TARGETS = (12, 17, 22, 31), 200_000
+#: Bits of the bins of each level of a shelf, for short targets (exons) and long ones (genes); and how many entries of a shelf are broadcast (some 60 bytes each).
+LEVELS, LONG_LEVELS, BROADCAST_ENTRIES = (9, 12, 17, 22, 31), (12, 17, 22, 31), 1_000_000
 
 
 def merge(df: DataFrame, by: list[str]) -> DataFrame:
@@ -74,31 +76,33 @@ def overlap(s: Column, e: Column, rs: Column, re: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e, re) - F.greatest(s, rs))
 
 
-def shelves(targets: DataFrame, by: list[str], columns: list[str], closed: bool = False) -> DataFrame:
-    """by, level, bin, and near: the targets (rs, re, columns) that touch each bin of each level."""
+def shelf(targets: DataFrame, by: list[str], columns: list[str], closed: bool = False, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """by, level, bin, and near: the targets (rs, re, columns) that touch each bin of each level. It is marked for broadcast if it has few entries."""
     last = F.col("re") if closed else F.greatest(F.col("re") - 1, F.col("rs"))
     rows = targets.select(*by, F.struct("rs", "re", *columns).alias("t"), last.alias("last")).distinct()
-    bins = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("t.rs"), k).alias("a"), F.shiftright(F.col("last"), k).alias("b")) for k in LEVELS])
+    spans = [(k, F.shiftright("t.rs", k), F.shiftright("last", k)) for k in levels]
+    entries = rows.agg(F.sum(reduce(lambda x, y: x + y, [b - a + 1 for _, a, b in spans]))).first()[0] or 0
+    bins = F.array(*[F.struct(F.lit(k).alias("level"), a.alias("a"), b.alias("b")) for k, a, b in spans])
     placed = rows.select(*by, "t", F.explode(bins).alias("x")).select(*by, "t", "x.level", F.explode(F.sequence("x.a", "x.b")).alias("bin"))
-    return placed.groupBy(*by, "level", "bin").agg(F.collect_list("t").alias("near"))
+    out = placed.groupBy(*by, "level", "bin").agg(F.collect_list("t").alias("near"))
+    return F.broadcast(out) if entries <= BROADCAST_ENTRIES else out
 
 
-def beside(rows: DataFrame, first: Column, last: Column, targets: DataFrame, by: list[str], columns: list[str], closed: bool = False) -> DataFrame:
+def beside(rows: DataFrame, first: Column, last: Column, targets: DataFrame, by: list[str], columns: list[str], closed: bool = False, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """rows with `near`: all targets (rs, re, columns) that touch [first, last], and some that lie by.
 
     A row looks up the two bins or fewer that it crosses at the finest level where it does, so rows
     are neither exploded nor grouped again, and few targets are broadcast: then no row moves. The
     caller filters `near`. A row without a place has none.
     """
-    shelf = shelves(targets, by, columns, closed)
-    shelf = F.broadcast(shelf) if targets.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS else shelf
-    level = F.lit(LEVELS[-1])
-    for k in reversed(LEVELS[:-1]):
+    table = shelf(targets, by, columns, closed, levels)
+    level = F.lit(levels[-1])
+    for k in reversed(levels[:-1]):
         level = F.when(F.shiftright(last, k) - F.shiftright(first, k) <= 1, k).otherwise(level)
     at = lambda c: F.call_function("shiftright", c.cast("long"), F.col("__level"))
     keyed = rows.withColumn("__first", first).withColumn("__last", last).withColumn("__level", F.when(F.col("__first").isNotNull(), level)).withColumn("__b1", at(F.col("__first")))
     keyed = keyed.withColumn("__b2", F.when(at(F.col("__last")) != F.col("__b1"), at(F.col("__last"))))
-    named = lambda n: shelf.select(*[F.col(c).alias(f"__{c}{n}") for c in by], F.col("level").alias(f"__level{n}"), F.col("bin").alias(f"__bin{n}"), F.col("near").alias(f"__near{n}"))
+    named = lambda n: table.select(*[F.col(c).alias(f"__{c}{n}") for c in by], F.col("level").alias(f"__level{n}"), F.col("bin").alias(f"__bin{n}"), F.col("near").alias(f"__near{n}"))
     for n, b in ((1, "__b1"), (2, "__b2")):
         on = (F.col("__level") == F.col(f"__level{n}")) & (F.col(b) == F.col(f"__bin{n}"))
         for c in by:

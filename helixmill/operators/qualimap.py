@@ -26,7 +26,9 @@ def _gaps(tx_exons: DataFrame) -> DataFrame:
 def located(kept: DataFrame, exons: DataFrame, introns: DataFrame | None = None) -> DataFrame:
     """kept's reads that have M blocks, with `blocks`, `hits` (block i, gene_id, strand, s, e: each block and merged exon of a gene that encloses it), `touches` (a block overlaps an exon without lying in it) and `intronic` (J13: a block touches an intron; abutting is touching)."""
     merged = intervals.merge(exons, ["tid", "gene_id", "strand"]).select("tid", F.col("s").alias("rs"), F.col("e").alias("re"), "gene_id", "strand")
-    targets = merged if introns is None else merged.unionByName(introns.select("tid", "rs", "re", F.lit(None).cast("string").alias("gene_id"), F.lit(None).cast("string").alias("strand")))
+    # introns count only as covered bases, so their union will do
+    union = None if introns is None else intervals.merge(introns.select("tid", F.col("rs").alias("s"), F.col("re").alias("e")), ["tid"]).select("tid", F.col("s").alias("rs"), F.col("e").alias("re"))
+    targets = merged if union is None else merged.unionByName(union.select("tid", "rs", "re", F.lit(None).cast("string").alias("gene_id"), F.lit(None).cast("string").alias("strand")))
     rows = kept.withColumn("blocks", cigar.span_blocks()).where(F.size("blocks") > 0)
     first, last = F.get("blocks", F.lit(0))["s"], F.get("blocks", F.size("blocks") - 1)["e"]
     near = intervals.beside(rows, first, last, targets, ["tid"], ["gene_id", "strand"], closed=True)

@@ -15,7 +15,7 @@ def strand_classes(reads: DataFrame, transcripts: DataFrame, min_mapq: int = 30)
     """Records by key: mate (if paired), own strand, and the strands of transcripts they overlap in start order."""
     kept = reads.where(flags.standard(min_mapq)).select("flag", "tid", F.col("pos").alias("s"), (F.col("pos") + cigar.query_length()).alias("e"))
     targets = transcripts.where("strand in ('+', '-')").select("tid", F.col("s").alias("rs"), F.col("e").alias("re"), "strand")
-    near = intervals.beside(kept, F.col("s"), F.col("e") - 1, targets, ["tid"], ["strand"])
+    near = intervals.beside(kept, F.col("s"), F.col("e") - 1, targets, ["tid"], ["strand"], levels=intervals.LONG_LEVELS)
     hit = F.array_sort(F.array_distinct(F.filter("near", lambda x: (F.col("s") < x.re) & (x.rs < F.col("e")))))
     seen = F.array_join(F.array_distinct(F.transform(hit, lambda x: x.strand)), ":")
     mate = F.when(flags.has(flags.PAIRED), F.when(flags.has(flags.FIRST), "1").otherwise("2")).otherwise("")
@@ -200,7 +200,9 @@ def inner_distances(reads: DataFrame, transcripts: DataFrame, merged_exons: Data
     order = Window.partitionBy("tid").orderBy("tx_ord")
     later = transcripts.withColumn("__n", F.row_number().over(order)).where("__n > 1").select("tid", "tx_id", "s", "e")
     shelf, size = exonic_shelf(later, merged_exons), intervals.BIN
-    shelf = F.broadcast(shelf) if transcripts.limit(intervals.BROADCAST_TARGETS + 1).count() <= intervals.BROADCAST_TARGETS else shelf
+    span = F.floor(F.col("e") / size) - F.floor(F.col("s") / size) + 1
+    entries = later.select(span.alias("n")).unionByName(merged_exons.select(span.alias("n"))).unionByName(merged_exons.groupBy("tid").agg(F.max(F.floor(F.col("e") / size)).alias("n")).select("n")).agg(F.sum("n")).first()[0] or 0
+    shelf = F.broadcast(shelf) if entries <= intervals.BROADCAST_ENTRIES else shelf
     total = merged_exons.groupBy("tid").agg(F.sum(F.col("e") - F.col("s")).alias("__total"))
     local = F.col("tid") == F.col("mtid")
     keyed = base.withColumn("__b1", F.when(local, F.floor((F.col("r1e") - 1) / size))).withColumn("__b2", F.when(local, F.floor(F.col("mpos") / size)))
@@ -242,31 +244,32 @@ def distance_histogram(distances: DataFrame, low: int = -250, high: int = 250, s
 
 def sampled_positions(tx_exons: DataFrame, sample: int = 100) -> DataFrame:
     """tx_id, tid, p (1-based) of sampled exonic bases, and n, the size of the sample."""
-    w = Window.partitionBy("tx_id")
-    ex = intervals.offsets(tx_exons.select("tx_id", "tid", "s", "e"), ["tx_id", "tid"]).withColumn("total", F.sum(F.col("e") - F.col("s")).over(w)).withColumn("lo", F.min("s").over(w)).withColumn("hi", F.max("e").over(w))
-    all_bases = F.sequence(F.col("s") + 1, F.col("e"))
+    per = tx_exons.groupBy("tx_id", "tid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ex"), F.sum(F.col("e") - F.col("s")).alias("total"))  # a transcript's exons
+    bases = F.flatten(F.transform("ex", lambda x: F.sequence(x.s + 1, x.e)))
     step = F.floor(F.col("total") / sample)
-    strided = F.filter(all_bases, lambda p: ((F.col("before") + p - F.col("s") - 1) % step) == 0)
-    chosen = F.when(F.col("total") <= sample, all_bases).otherwise(F.array_distinct(F.concat(strided, F.array(F.col("s") + 1, F.col("e")))))
-    points = ex.select("tx_id", "tid", "total", F.explode(chosen).alias("p")).distinct()
-    size = points.groupBy("tx_id").agg(F.count("*").alias("c"), F.first("total").alias("t")).select("tx_id", F.when(F.col("t") <= sample, F.col("t") + 2).otherwise(F.col("c")).alias("n"))
-    return points.select("tx_id", "tid", "p").join(size, "tx_id")
+    strided = F.filter("bases", lambda p, i: (i % step) == 0)
+    edges = F.flatten(F.transform("ex", lambda x: F.array(x.s + 1, x.e)))
+    short = F.col("total") <= sample
+    chosen = per.withColumn("bases", bases).withColumn("chosen", F.array_distinct(F.when(short, F.col("bases")).otherwise(F.concat(strided, edges))))
+    return chosen.select("tx_id", "tid", F.when(short, F.col("total") + 2).otherwise(F.size("chosen")).alias("n"), F.explode("chosen").alias("p"))
 
 
 def depth_at(blocks: DataFrame, points: DataFrame, stretch: int = 1 << 16) -> DataFrame:
-    """tid, p and c of the points p (1-based) that blocks (tid, s, e, k) cover: c blocks, each counted k times.
+    """points (tid, p from 1, and more columns) that blocks (tid, s, e, k) cover, with c: how many, each block counted k times.
 
     Points lie among the blocks' edges in one sweep, within stretches, onto which the sums of all
     earlier ones are added; so no block is dealt out to the points in it, and no contig needs one task.
     """
     edges = blocks.select("tid", F.explode(F.array(F.struct(F.col("s").alias("at"), F.col("k").alias("d")), F.struct(F.col("e").alias("at"), (-F.col("k")).alias("d")))).alias("x")).groupBy("tid", "x.at").agg(F.sum("x.d").alias("d"))
-    rows = edges.withColumn("p", F.lit(None).cast("long")).unionByName(points.select("tid", (F.col("p") - 1).alias("at"), F.lit(0).cast("long").alias("d"), F.col("p").cast("long").alias("p"))).withColumn("part", F.floor(F.col("at") / stretch))
+    more = [c for c in points.columns if c != "tid"]
+    own = points.select("tid", (F.col("p") - 1).alias("at"), F.lit(0).cast("long").alias("d"), F.col("p").isNotNull().alias("__point"), *more)
+    rows = edges.withColumn("__point", F.lit(False)).unionByName(own, allowMissingColumns=True).withColumn("part", F.floor(F.col("at") / stretch))
     sums = rows.groupBy("tid", "part").agg(F.sum("d").alias("s"))
     before = Window.partitionBy("tid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     carried = sums.select("tid", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     here = Window.partitionBy("tid", "part").orderBy("at")  # edges at a place count there
-    walked = rows.join(carried, ["tid", "part"]).select("tid", "p", (F.col("base") + F.sum("d").over(here)).alias("c"))
-    return walked.where("p is not null and c > 0")
+    walked = rows.join(carried, ["tid", "part"]).select("tid", "__point", *more, (F.col("base") + F.sum("d").over(here)).alias("c"))
+    return walked.where("__point and c > 0").drop("__point")
 
 
 def tin(reads: DataFrame, transcripts: DataFrame, tx_exons: DataFrame, sample: int = 100, min_coverage: int = 10) -> DataFrame:
@@ -277,12 +280,10 @@ def tin(reads: DataFrame, transcripts: DataFrame, tx_exons: DataFrame, sample: i
     spans = transcripts.select("tx_id", "tid", F.col("s").alias("rs"), F.col("e").alias("re"))
     passed = intervals.point_join(starts, spans, ["tid"]).groupBy("tx_id").agg(F.count("*").alias("starts"))
     blocks = kept.where(~flags.has(flags.DUPLICATE)).select("tid", F.explode(cigar.aligned_blocks()).alias("b")).select("tid", F.col("b.s").alias("s"), F.col("b.e").alias("e")).groupBy("tid", "s", "e").agg(F.count("*").alias("k"))
-    points = sampled_positions(tx_exons, sample)
-    depth = depth_at(blocks, points.select("tid", "p").distinct())
-    covered = points.join(depth, ["tid", "p"])
-    w = Window.partitionBy("tx_id")
-    share = F.col("c") / F.sum("c").over(w)
-    score = covered.withColumn("h", -share * F.log(share)).groupBy("tx_id").agg((100 * F.exp(F.sum("h")) / F.first("n")).alias("score"))
+    covered = depth_at(blocks, sampled_positions(tx_exons, sample))
+    # the entropy of the shares c / t is ln t - sum(c ln c) / t
+    total, c = F.sum("c"), F.col("c").cast("double")
+    score = covered.groupBy("tx_id").agg((100 * F.exp(F.log(total) - F.sum(c * F.log(c)) / total) / F.first("n")).alias("score"))
     out = transcripts.join(passed, "tx_id", "left").join(score, "tx_id", "left")
     ok = F.coalesce("starts", F.lit(0)) > min_coverage
     return out.select("tx_id", "tid", "s", "e", ok.alias("passed"), F.when(ok, F.coalesce("score", F.lit(0.0))).otherwise(0.0).alias("tin"))

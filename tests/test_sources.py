@@ -198,6 +198,49 @@ def test_whole_report(sample, tmp_path):
         report.run(sample, config.Params.of())
 
 
+def test_text_reports(sample, tmp_path):
+    from pyspark.sql import functions as F
+
+    from helixmill.operators import counting, intervals, qualimap, rseqc
+
+    reads = sample.reads.withColumn("qual", F.array_join(F.transform("quality", lambda q: F.chr(q + 33)), ""))
+    text = sinks.stats_text(reads, F.col("quality"))
+    tags = {line.split("\t")[0] for line in text.splitlines()}
+    assert tags >= set("CHK SN FFQ LFQ GCF GCL GCC GCT FBC LBC FTC LTC IS RL FRL LRL MAPQ ID IC COV GCD".split())
+    assert text.count("\nSN\t") == 39 and f"SN\traw total sequences:\t{reads.where('flag & 2304 = 0').count()}\t# excluding" in text
+    row = readstats.bam_stat(reads).first().asDict()
+    assert f"{'Total records:':<40}{row['total']}\n\n" in sinks.bam_stat_text(row)
+    told = rseqc.infer_strandedness(rseqc.strand_classes(reads, sample.transcripts)).first().asDict()
+    assert 'explained by "1++,1--,2+-,2-+": ' + f"{told['forward']:.4f}" in sinks.infer_text(told, "PairEnd") and "Unknown" in sinks.infer_text(told, "Mixture")
+    assert sinks.fit_text({"intercept": 0.597277876400675, "slope": 0.967140186993884}, "test") == "test - dupRadar Int (duprate at low read counts): 0.597277876400675\ntest - dupRadar Sl (progression of the duplication rate): 0.967140186993884\n"
+    motifs = [(r.motif, r.percent) for r in qualimap.junction_motifs(reads).collect()]
+    origin = {r.origin: r.n for r in qualimap.origin(reads, sample.exons, sample.tx_exons).collect()}
+    out = sinks.origin_text(origin, qualimap.cascade_counts(reads).first().asDict(), qualimap.strand_votes(reads, sample.exons).first().asDict(), {"bias_5p": 1.5, "bias_3p": None, "bias_5p_3p": 0.25}, motifs, 10, "a.bam", "a.gtf")
+    assert "    5' bias = 1.5\n    3' bias = NaN\n    5'-3' bias = 0.25" in out and len(motifs) == 11 and ">>>>>>> Junction analysis" in out
+    status = counting.read_status(reads, sample.exons)
+    fc = status.where("gene_id is not null").groupBy("gene_id").agg(F.count("*").alias("fc_reads"))
+    sinks.write_feature_counts(sample.exons, sample.genes, intervals.union_length(sample.exons, ["gene_id"]), fc, sample.contigs, str(tmp_path / "fc.txt"), "s1")
+    lines = (tmp_path / "fc.txt").read_text().splitlines()
+    assert lines[0].split("\t")[-1] == "s1" and len(lines) == 1 + sample.genes.count() and sum(int(x.split("\t")[-1]) for x in lines[1:]) == fc.agg(F.sum("fc_reads")).first()[0]
+    sinks.write_biotypes(counting.biotype_counts(counting.biotype_status(reads, sample.exons)), str(tmp_path / "b.txt"), "s1")
+    sinks.write_status(counting.status_counts(status, reads), str(tmp_path / "s.txt"), "s1")
+    assert "Unassigned_NoFeatures" in (tmp_path / "s.txt").read_text()
+    assert sinks.flagstat_text(readstats.flagstat(reads).first().asDict()).count("\n") == 16
+    sinks.write_idxstats(readstats.idxstats(reads, sample.contigs), str(tmp_path / "i.txt"))
+    assert (tmp_path / "i.txt").read_text().splitlines()[-1].startswith("*\t0\t")
+    events, known = rseqc.splice_events(reads), rseqc.known_introns(sample.tx_exons)
+    found = rseqc.junctions(events, known)
+    sinks.write_junctions(found, sample.contigs, str(tmp_path / "j.xls"))
+    sinks.junction_bed(found, sample.contigs, str(tmp_path / "j.bed"))
+    assert len((tmp_path / "j.xls").read_text().splitlines()) == 1 + len((tmp_path / "j.bed").read_text().splitlines())
+    sinks.write_tin(rseqc.tin(reads, sample.transcripts, sample.tx_exons), str(tmp_path / "t.xls"))
+    far = rseqc.distance_histogram(rseqc.inner_distances(reads, sample.transcripts, intervals.merge(sample.exons, ["tid"])))
+    sinks.write_histogram(far, ["lo", "n"], str(tmp_path / "d.txt"))
+    assert sinks.inner_distance_text(far).startswith("mean\t")
+    sets = rseqc.regions(sample.transcripts, sample.tx_exons)
+    assert "cds_exon" in sinks.region_text(rseqc.region_report(rseqc.region_tags(reads, sets), sets))
+
+
 def test_invariance_under_order_and_partitions(sample):
     mixed = sample.reads.repartition(7).orderBy("seq")
     assert readstats.flagstat(mixed).collect() == readstats.flagstat(sample.reads).collect()
