@@ -36,7 +36,7 @@ PLAIN = r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\
 #: Any other character: numerals that are no decimal digits, and what lies beyond Latin and general punctuation.
 OTHER = "[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e]"
 #: Bytes split and merged at a time, bytes expanded to ids at a time, and distinct words kept; they bound memory and change no result.
-MERGE_BYTES, CHUNK_CHARS, KEEP_WORDS = 4_000_000, 1_000_000, 120_000
+MERGE_BYTES, CHUNK_CHARS, KEEP_WORDS = 6_000_000, 1_500_000, 250_000
 SHIFT = 20
 
 

@@ -39,7 +39,7 @@ from .common import small_batches
 #: Hashed weights of n-grams and affixes; longest word part that features read from each end is the whole word.
 BUCKETS = 1 << 16
 #: Words of a block of the chain; texts and words held at a time. They change no result.
-CHAIN, KEEP_WORDS, PART_WORDS = 64, 80_000, 50_000
+CHAIN, KEEP_WORDS, PART_WORDS = 64, 160_000, 80_000
 #: Bounds of training: bytes of a row's text, and languages.
 MAX_BYTES, MAX_LANGUAGES = 60_000, 200
 UNKNOWN = "und"

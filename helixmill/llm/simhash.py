@@ -15,6 +15,7 @@ table. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,8 +33,8 @@ SEED, BITS = 42, 64
 CHUNK = 1 << 16
 # They change no result: texts sampled for common shingles, how many of those are kept, the longest list of texts that meet pair by pair at once and the most rounds before, and ids broadcast.
 SAMPLE, COMMON, LONG_LIST, ROUNDS, BROADCAST_ROWS = 10_000, 200_000, 20, 4, 500_000
-#: How many shingles of their prefixes two texts must share to be compared. More make longer prefixes and fewer pairs, and change no result.
-SHARED = 8
+#: How many shingles of their prefixes two texts must share to be compared, and the ratio of the set sizes that one bucket holds. They change no result.
+SHARED, BUCKET = 8, 1.1
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -228,25 +229,53 @@ def joined_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
-    """h, id, n, size and times: the texts that share a shingle of their prefixes, once for all `times` shingles that the same texts share."""
-    rows = nodes.select("id", "n", F.explode("hs").alias("h"))
-    lists = rows.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor("id").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y")).where("size > 1")
-    kept = saved(lists.groupBy("size", "x", "y").agg(F.min("h").alias("h"), F.count("*").alias("times")).select("h", "size", "times"))
+    """h, id, n and pos: the texts that share a shingle of their prefixes, at its place there, for the first of all shingles that the same texts share.
+
+    Texts that are near copies share many shingles, and one of them is enough to meet. The order of
+    shingles is one for all texts, so the first is the first in each.
+    """
+    own = F.slice("hs", F.lit(1), F.col("n") - whole(F.col("n")) + 1)
+    rows = nodes.select("id", "n", F.posexplode(own).alias("pos", "h")).withColumn("pos", F.col("pos") + 1)
+    lists = rows.groupBy("h").agg(F.count("*").alias("size"), F.sum("pos").alias("places"), F.bit_xor("id").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y")).where("size > 1")
+    kept = saved(lists.groupBy("size", "x", "y").agg(F.min_by("h", F.struct("places", "h")).alias("h")).select("h"))
     return saved(rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "h"))
 
 
+def whole(n: Column) -> Column:
+    """Four fifths, rounded up."""
+    return F.floor((4 * n + 4) / 5).cast("int")
+
+
+def meetings(rows: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides to join on h and bucket: rows, and the larger sets that may be similar to them.
+
+    Two sets that first share a shingle at place p of n and q of m share at most the n - p + 1 and
+    m - q + 1 from there, and need four ninths of n + m. So a larger set asks only for the sizes that
+    leave it enough, in buckets of sizes: texts that have no more than a common passage in common
+    never meet, however many have it.
+    """
+    bucket = lambda n: F.floor(F.log(n.cast("double")) / math.log(BUCKET)).cast("int")
+    index = others.select("h", bucket(F.col("n")).alias("bucket"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"))
+    top = F.least(F.col("n"), F.floor(9 * (F.col("n") - F.col("pos") + 1) / 4).cast("int") - F.col("n"))
+    asks = rows.withColumn("top", top).where(F.col("top") >= whole(F.col("n"))).withColumn("bucket", F.explode(F.sequence(bucket(whole(F.col("n"))), bucket(F.col("top")))))
+    return asks, index
+
+
 def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """known (id and its group c) after all texts of Jaccard similarity 0.8 or more over their shingle sets are linked.
 
     nodes has id, its smallest doc_id, n and hs (the prefix) of each text; rows doc_id, id, text.
     Two such sets share SHARED shingles of their prefixes (or, if they are smaller, four fifths of
     their shingles), so each pair is found, and the whole sets verify it. Pairs of one group need no
-    link. In long lists all texts first meet one text of the list, the one that comes first in an
-    order of the round: it leads most lists of a group of near copies, so such a group becomes one
-    without all its pairs. Rounds end when the lists left are short; what is left in several groups
-    meets pair by pair.
+    link. Where pair by pair would be much work, all texts first meet one text of each list: the one
+    that has fewest shingles of its own before it, as the text has from which the others were copied,
+    or in later rounds any. So a group of near copies becomes one without all its pairs.
     """
     lists = shared_lists(nodes)
+    # the larger set asks; of equal sizes the larger id does
+    enough = (4 * (F.col("n") + F.col("m")) <= 9 * (F.col("n") - F.col("pos") + 1)) & (4 * (F.col("n") + F.col("m")) <= 9 * (F.col("m") - F.col("q") + 1))
+    meet = (F.col("c") != F.col("d")) & enough & (5 * F.col("m") >= 4 * F.col("n"))
+    larger = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") > F.col("other")))
 
     def spread(groups: DataFrame) -> DataFrame:
         """The rows, with their groups, of lists in more than one group."""
@@ -254,10 +283,11 @@ def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int
         several = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
         return saved(now.join(several, "h"))
 
-    now = spread(known)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs)
+        pairs = saved(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        x, y = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}")) for c in "ab")
+        likely = F.size(F.array_intersect("ha", "hb")) >= F.least(F.lit(SHARED), whole(F.col("na")), whole(F.col("nb")))
+        pairs = saved(pairs.join(x, "a").join(y, "b").where(likely).select("a", "b"))
         ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes.select("id", "doc_id"), "id"))
         few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         sets = saved(shingled(rows.join(few, ["doc_id", "id"], "left_semi").select("id", "text"), width).select("id", "n", "hs").dropDuplicates(["id"]))
@@ -265,22 +295,25 @@ def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(x, "a").join(y, "b").where(5 * both >= 4 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
-    whole = lambda n: F.floor((4 * n + 4) / 5)
-    close = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
+    now = spread(known)
+    left = now.count()
     for turn in range(ROUNDS):
-        long = now.where(F.col("size") > LONG_LIST)
-        cost = now.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("n") > LONG_LIST, F.col("n").cast("double") * F.col("n"))).alias("pairs")).first()
-        if not cost.pairs or cost.pairs < LONG_LIST * cost.rows:  # to meet pair by pair is no more work
+        asks, index = meetings(now, now)
+        work = asks.groupBy("h", "bucket").agg(F.count("*").alias("x")).join(index.groupBy("h", "bucket").agg(F.count("*").cast("double").alias("y")), ["h", "bucket"])
+        if (work.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0) < LONG_LIST * left:
             break
-        first = long.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("at"), "id", "n", "c")).alias("p"))
-        met = long.join(first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "h").where((F.col("c") != F.col("d")) & close)
-        known = joined_groups(known, verified(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()))
+        order = F.struct((F.col("pos") / F.col("n")).alias("own"), F.xxhash64("id").alias("at")) if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("at"))
+        first = now.groupBy("h").agg(F.min_by(F.struct("id", "n", "pos", "c"), order).alias("p"))
+        met = now.join(first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("q"), F.col("p.c").alias("d")), "h")
+        known = joined_groups(known, verified(met.where((F.col("c") != F.col("d")) & enough)))
         before, now = now, spread(known)
         forget(before)
-    others = now.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = now.join(others, "h").where((F.col("id") < F.col("other")) & (F.col("c") != F.col("d")) & close)
-    pairs = rest.groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("times").alias("shared"), F.min(F.least(F.lit(SHARED), whole(F.col("n")), whole(F.col("m")))).alias("least"))
-    return joined_groups(known, verified(pairs.where("shared >= least").select("a", "b")))
+        last, left = left, now.count()
+        if left > 0.95 * last:  # another round would join little more
+            break
+    asks, index = meetings(now, now)
+    on = (asks.h == index.h) & (asks.bucket == index.bucket) & meet & larger
+    return joined_groups(known, verified(asks.join(index, on).select("id", "other")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:
