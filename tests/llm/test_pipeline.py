@@ -35,6 +35,29 @@ def tables(seed=3):
     return docs, items
 
 
+def groups_of(rows, width=5, bits=4):
+    """The smallest doc_id of each document's group: texts link at `bits` or fewer differing bits, or at a similarity of 0.8 or more of their sets of shingles."""
+    prints = {i: int(f, 16) for i, f, _ in test_simhash.brute(rows, width)}
+    sets = {}
+    for i, t in rows:
+        words = t.encode().lower().split()
+        sets[i] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    low = {i: i for i, _ in rows}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for i in low:
+        for j in low:
+            both = len(sets[i] & sets[j])
+            if i < j and ((prints[i] ^ prints[j]).bit_count() <= bits or (both and 5 * both >= 4 * len(sets[i] | sets[j]))):
+                a, b = sorted((find(i), find(j)))
+                low[b] = a
+    return {i: find(i) for i in low}
+
+
 def test_stages_against_plain_python(spark, tmp_path):
     docs, items = tables()
     d = spark.createDataFrame([(*x, len(x[1] or "")) for x in docs], "doc_id long, text string, lang string, source string, n_chars long")
@@ -47,7 +70,7 @@ def test_stages_against_plain_python(spark, tmp_path):
     kept = [x for x, s in zip(kept, share) if s.max() >= 0.4]
     cut = test_linededup.brute(kept, 50)
     kept = [(i, cut[i][0]) for i, _ in kept if cut[i][2] == 0 or cut[i][2] < cut[i][1]]
-    groups = {i: c for i, _, c in test_simhash.brute(kept, width=5)}
+    groups = groups_of(kept)
     kept = [(i, t) for i, t in kept if groups[i] == i]
     hits = {b[0]: b[3] for b in test_decontam.brute(kept, items)}
     kept = [(i, t) for i, t in kept if not hits[i]]
