@@ -142,7 +142,6 @@ def qc_flags(sample: DataFrame) -> DataFrame:
     return sample.withColumn("qc_flags", F.array_sort(F.array_distinct(F.array_compact(found))))
 
 
-def snp_summary(sites: DataFrame) -> DataFrame:
-    """Sites, called sites, and called sites by the alternative's share: heterozygous between a tenth and nine tenths."""
-    called, share = F.col("called"), F.col("alt_fraction")
-    return sites.agg(F.count("*").alias("sites"), F.count_if(called).alias("called"), F.count_if(called & (share > 0.1) & (share < 0.9)).alias("mixed"), F.coalesce(F.avg(F.when(called, F.col("depth"))), F.lit(0.0)).alias("mean_depth"))
+def snp_summary(found: DataFrame, min_depth: int = 4) -> DataFrame:
+    """Sites, those with reads, and those with enough of them."""
+    return found.agg(F.count("*").alias("sites_total"), F.count_if(F.col("depth") > 0).alias("sites_with_any_depth"), F.count_if(F.col("called")).alias("sites_called"), F.lit(min_depth).alias("min_depth_for_called"))

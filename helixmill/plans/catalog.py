@@ -888,6 +888,11 @@ def snp_fingerprint(spark, d):
     return _round(cohort.snp_depths(t.reads, sites))
 
 
+@query("a37_snp_summary", oracle(" SELECT count(*) AS sites_total, count(*) FILTER (depth > 0) AS sites_with_any_depth, count(*) FILTER (depth >= 4) AS sites_called, 4 AS min_depth_for_called FROM (SELECT depth_a + depth_c + depth_g + depth_t AS depth FROM sd)", SNPS, SEEN, blocks=True))
+def snp_summary(spark, d):
+    return cohort.snp_summary(snp_fingerprint(spark, d))
+
+
 @query("a38_splice_motifs")
 def splice_motifs(spark, d):
     t = Tables(spark, d)
@@ -1005,6 +1010,117 @@ def first_pass(spark, d):
     return cohort.first_pass(Tables(spark, d).reads)
 
 
+# Sources: the views are written in the format of each and read again.
+@query(
+    "s01_sam_text",
+    oracle(
+        """ SELECT r.rec_ord, r.qname, flag, c.name AS contig, r.tid, CAST(pos AS BIGINT) AS pos, mapq, cigar, mtid, CAST(coalesce(mpos, -1) AS BIGINT) AS mpos, tlen, seq, nh, CAST(CASE WHEN r.rec_ord % 3 = 0 THEN 2 END AS INTEGER) AS hi, nm, flag & 1024 > 0 AS is_dup, flag & 2304 = 0 AS is_primary
+  FROM (SELECT * REPLACE (row_number() OVER (ORDER BY rec_ord) - 1 AS rec_ord), rec_ord AS own FROM reads) r JOIN contigs c ON r.tid = c.tid WHERE own % 7 = 0""".replace("CASE WHEN r.rec_ord % 3 = 0", "CASE WHEN own % 3 = 0").replace("r.rec_ord, r.qname", "own AS rec_ord, r.qname")
+    ),
+)
+def sam_text(spark, d):
+    """Every seventh record as SAM text; a record keeps its number as the first part of its name."""
+    from ..sources import alignments
+
+    t = Tables(spark, d)
+    names = {r.tid: r.name for r in t.contigs.select("tid", "name").collect()}  # a row for each contig
+    name = lambda c: F.element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))]), c)
+    rnext = F.when(F.col("mtid").isNull(), "*").when(F.col("mtid") == F.col("tid"), "=").otherwise(name(F.col("mtid")))
+    text = lambda c: F.col(c).cast("string")
+    tags = F.concat_ws("\t", F.concat(F.lit("NM:i:"), text("nm")), F.when(F.col("rec_ord") % 3 == 0, "HI:i:2"), F.concat(F.lit("NH:i:"), text("nh")), F.lit("XS:Z:NH:i:9"))
+    fields = [F.concat_ws(":", text("rec_ord"), "qname"), text("flag"), name(F.col("tid")), (F.col("pos") + 1).cast("string"), text("mapq"), F.col("cigar"), rnext, (F.coalesce("mpos", F.lit(-1)) + 1).cast("string"), text("tlen"), F.col("seq"), F.lit("*"), tags]
+    body = t.reads.where("rec_ord % 7 = 0").select(F.col("rec_ord").alias("o"), F.concat_ws("\t", *fields).alias("value"))
+    head = t.contigs.select((F.col("tid") - 100).cast("long").alias("o"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), text("length")).alias("value"))
+    got, _ = alignments.read_sam(spark, views.as_text(body.unionByName(head), "o"))
+    own = F.split("qname", ":")
+    return got.select(own[0].cast("long").alias("rec_ord"), own[1].alias("qname"), "flag", "contig", "tid", "pos", "mapq", "cigar", "mtid", "mpos", "tlen", "seq", "nh", "hi", "nm", "is_dup", "is_primary")
+
+
+def _gtf(t: Tables) -> DataFrame:
+    """The genes as GTF lines: exons, and CDS and codons of some, as the annotation of one transcript each."""
+    attrs = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "T'), "gene_id", F.lit('"; gene_name "'), "symbol", F.lit('"; gene_biotype "'), "biotype", F.lit('";'))
+    line = lambda kind, s, e, o: F.struct(F.lit(kind).alias("kind"), s.cast("long").alias("s"), e.cast("long").alias("e"), o.cast("long").alias("o"))
+    c = F.col
+    coding, codons = c("gene_ord") % 3 != 0, c("gene_ord") % 2 == 0
+    more = F.array_compact(F.array(F.when(coding, line("CDS", c("s") + 2, c("s") + 5, c("gene_ord") * 100 + 90)), F.when(codons, line("start_codon", c("s") + 4, c("s") + 7, c("gene_ord") * 100 + 91)), F.when(codons, line("stop_codon", c("e") - 6, c("e") - 3, c("gene_ord") * 100 + 92))))
+    rest = t.genes.select("gene_id", "symbol", "biotype", "tid", "strand", F.explode(more).alias("x")).select("gene_id", "symbol", "biotype", "tid", "strand", "x.*")
+    order = Window.partitionBy("gene_id").orderBy("s", "e")
+    exon = t.exons.select("gene_id", "symbol", "biotype", "tid", "strand", F.lit("exon").alias("kind"), "s", "e", (c("gene_ord") * 100 + F.row_number().over(order)).cast("long").alias("o"))
+    text = lambda x: x.cast("string")
+    return exon.unionByName(rest).select("o", F.concat_ws("\t", F.concat(F.lit("chr"), text(c("tid") + 1)), F.lit("made"), "kind", text(c("s") + 1), text(c("e")), F.lit("."), "strand", F.lit("."), attrs).alias("value"))
+
+
+@query(
+    "s05_gtf",
+    oracle(
+        """ SELECT gene_id, row_number() OVER (ORDER BY gene_ord) AS place, 'chr' || (tid + 1) AS contig, strand, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, symbol AS gene_name, biotype AS gene_biotype, 'T' || gene_id AS tx_id,
+  CAST(CASE WHEN gene_ord % 3 <> 0 THEN CASE WHEN gene_ord % 2 <> 0 THEN s WHEN strand = '+' THEN s + 4 ELSE e - 6 END END AS BIGINT) AS cds_s, CAST(CASE WHEN gene_ord % 3 <> 0 THEN CASE WHEN gene_ord % 2 <> 0 THEN e WHEN strand = '+' THEN e - 3 ELSE s + 7 END END AS BIGINT) AS cds_e, n AS n_exons
+  FROM genes JOIN (SELECT gene_id, count(*) AS n FROM exons GROUP BY gene_id) USING (gene_id)"""
+    ),
+)
+def gtf_text(spark, d):
+    """S05, S06, A.1: genes, transcripts and coding ranges from GTF text."""
+    from ..sources import annotation
+
+    rows = annotation.read_gtf(spark, views.as_text(_gtf(Tables(spark, d)), "o"), ("gene_name", "gene_biotype"))
+    genes, tx = annotation.genes(rows, ("gene_name", "gene_biotype")), annotation.transcripts(rows)
+    count = annotation.exons(rows).groupBy("gene_id").agg(F.count("*").alias("n_exons"))
+    place = F.row_number().over(Window.orderBy("gene_ord")).cast("long")  # a row for each gene
+    return genes.join(tx.select("gene_id", "tx_id", "cds_s", "cds_e"), "gene_id").join(count, "gene_id").select("gene_id", place.alias("place"), "contig", "strand", "s", "e", "gene_name", "gene_biotype", "tx_id", "cds_s", "cds_e", "n_exons")
+
+
+@query("s09_fasta", oracle(f" SELECT contig, CAST(k AS BIGINT) AS chunk_no, md5(seq) AS seq_md5, CAST(len(seq) AS BIGINT) AS n FROM (SELECT contig, k, substr(string_agg({_PIECE.format(k='(k * 32 + j)')}, '' ORDER BY j), 1, CASE WHEN k = 9 THEN 1000 ELSE 1027 END) AS seq FROM (SELECT name AS contig, name AS c, k, j FROM contigs, (SELECT unnest(range(10)) AS k), (SELECT unnest(range(33)) AS j) WHERE tid < 4) GROUP BY contig, k)"))
+def fasta_text(spark, d):
+    """Chunks of a reference of 10216 bases a contig, from lines of 60 bases."""
+    from ..sources import annotation
+
+    t = Tables(spark, d)
+    piece = lambda k: F.translate(F.md5(F.concat("name", F.lit(":"), k.cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGN")
+    whole = F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(320)), piece), ""), 1, 9 * 1024 + 1000)
+    lines = t.contigs.where("tid < 4").select("tid", F.concat(F.array(F.concat(F.lit(">"), "name", F.lit(" made up"))), F.regexp_extract_all(whole, F.lit(".{1,60}"), F.lit(0))).alias("x")).select("tid", F.posexplode("x").alias("i", "value"))
+    got = annotation.read_fasta(spark, views.as_text(lines.withColumn("o", F.col("tid") * 1_000_000 + F.col("i")), "o"), CHUNK, 3)
+    return got.select("contig", "chunk_no", F.md5("seq").alias("seq_md5"), F.length("seq").cast("long").alias("n"))
+
+
+@query("s10_panel_rows", oracle(" SELECT gid AS gene_id, gene_symbol, panel, cell_type, count(*) AS n FROM pn GROUP BY ALL", PANELS))
+def panel_rows(spark, d):
+    """Marker panels from tab-separated text, with a heading and remarks."""
+    from ..sources import annotation
+
+    part = spark.read.parquet(f"{d}/part.parquet")
+    text = lambda c: F.col(c).cast("string")
+    row = lambda gid: F.concat_ws("\t", gid, "p_name", F.concat(F.lit("panel"), (F.col("p_partkey") % 2).cast("string")), F.concat(F.lit("cell"), (F.col("p_partkey") % 5).cast("string")), F.lit("0.5"))
+    own = F.concat(F.lit("G"), text("p_partkey"))
+    first = part.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("o"), row(F.when(F.col("p_partkey") % 3 == 0, own).otherwise("")).alias("value"))
+    twice = part.where("p_partkey % 22 = 0").select(F.col("p_partkey").alias("o"), row(own).alias("value"))
+    head = spark.createDataFrame([(-2, "# made up"), (-1, "gene_id\tgene_symbol\tpanel\tcell_type\tweight"), (-1, "\tabsent\tpanel0\tghost\t1")], "o long, value string")
+    got = annotation.read_panels(spark, views.as_text(first.unionByName(head), "o"), views.as_text(twice.unionByName(head.where("o = -2")), "o"))
+    return got.groupBy("gene_id", "gene_symbol", "panel", "cell_type").agg(F.count("*").alias("n"))
+
+
+@query("s11_snp_rows", oracle(" SELECT 'chr' || (tid + 1) AS contig, CAST(site AS BIGINT) AS site, ref, alt, 'rs' || site AS rsid FROM sn", SNPS))
+def snp_rows(spark, d):
+    """Sites from tab-separated text."""
+    from ..sources import annotation
+
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 4 = 1")
+    letter = lambda s: F.lower(F.substring(F.lit(s), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)))
+    site = (F.col("p_partkey") * 23) % 4900000 + 17
+    value = F.concat_ws("\t", F.concat(F.lit("chr"), (F.col("p_partkey") % 5 + 1).cast("string")), (site + 1).cast("string"), letter("ACGT"), letter("CGTA"), F.concat(F.lit("rs"), site.cast("string")))
+    lines = part.select(F.col("p_partkey").alias("o"), value.alias("value")).unionByName(spark.createDataFrame([(-1, "#chrom"), (-1, "chrom\tpos\tref\talt")], "o long, value string"))
+    return annotation.read_snps(spark, views.as_text(lines, "o"))
+
+
+@query("s12_symbol_rows", oracle(" SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'odd' END AS class, p_name AS symbol FROM part WHERE p_partkey % 7 = 0"))
+def symbol_rows(spark, d):
+    """Lists of one symbol a line."""
+    from ..sources import annotation
+
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 7 = 0")
+    paths = {name: views.as_text(part.where(F.col("p_partkey") % 2 == k).select(F.col("p_partkey").alias("o"), F.concat(F.lit(" "), "p_name").alias("value")), "o") for k, name in enumerate(("even", "odd"))}
+    return annotation.read_symbols(spark, **paths)
+
+
 # More SQL: reports whose oracle needs several steps.
 SQL["a18_strandedness"] = oracle(
     """, kc AS (SELECT CASE WHEN flag & 1 = 0 THEN '' WHEN flag & 64 > 0 THEN '1' ELSE '2' END || CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END || k AS key, count(*) AS n FROM sp GROUP BY 1),

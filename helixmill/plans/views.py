@@ -79,20 +79,39 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
 _saved: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def new_path(spark: SparkSession) -> str | None:
+    """A new place in the folder that all executors share, or none where there is no such folder; it goes when the driver ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local["):
+        folder = "file://" + tempfile.mkdtemp(prefix="helixmill-views-")
+    if not folder:
+        return None
+    path = f"{folder.rstrip('/')}/helixmill-view-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    fs.deleteOnExit(where)
+    return path
+
+
+def as_text(lines: DataFrame, order: str) -> str:
+    """lines (value and an order) as one text file; its folder."""
+    path = new_path(lines.sparkSession)
+    if path is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    lines.orderBy(order).select("value").coalesce(1).write.text(path)
+    return path
+
+
 def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """The view as a Parquet table, written once a session: it stands for an alignment or annotation file, which is not made anew for each report. Without a folder that all executors share it stays a view."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _saved:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and spark.sparkContext.master.startswith("local["):
-            folder = "file://" + tempfile.mkdtemp(prefix="helixmill-views-")
-        if not folder:
+        path = new_path(spark)
+        if not path:
             return make()
-        path = f"{folder.rstrip('/')}/helixmill-view-{uuid.uuid4().hex}"
         view = make()
         view.write.parquet(path)
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
         _saved[key] = spark.read.schema(view.schema).parquet(path)
     return _saved[key]
 

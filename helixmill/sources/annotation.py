@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def is_gzip(path: str) -> bool:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """value and line, in file order; compressed text is found by content where the path is local."""
-    if not path.endswith(".gz") and "://" not in path and is_gzip(path):
+    if not path.endswith(".gz") and os.path.isfile(path) and is_gzip(path):
         files = spark.read.format("binaryFile").load(path)
 
         def unpack(batches):
