@@ -1098,6 +1098,14 @@ def panel_rows(spark, d):
     return got.groupBy("gene_id", "gene_symbol", "panel", "cell_type").agg(F.count("*").alias("n"))
 
 
+@query("s12_bundled_lists", "SELECT * FROM (VALUES ('class', 'apolipoprotein', 22), ('class', 'hemoglobin', 10), ('class', 'ribosomal_protein', 165), ('panel', 'lm22', 33), ('panel', 'tabula_sapiens_cfrna', 26), ('panel', 'vorperian', 23), ('snps', 'common', 12)) v(kind, name, n)")
+def bundled_lists(spark, d):
+    from ..sources import bundled
+
+    count = lambda df, kind, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    return count(bundled.classes(spark), "class", F.col("class")).unionByName(count(bundled.panels(spark), "panel", F.col("panel"))).unionByName(count(bundled.snps(spark), "snps", F.lit("common")))
+
+
 @query("s11_snp_rows", oracle(" SELECT 'chr' || (tid + 1) AS contig, CAST(site AS BIGINT) AS site, ref, alt, 'rs' || site AS rsid FROM sn", SNPS))
 def snp_rows(spark, d):
     """Sites from tab-separated text."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cohort, complexity, counting, fragmentomics, intervals, pergene, qualimap, readstats, rseqc
-from ..sources import alignments
+from ..sources import alignments, bundled
 from ..sources.config import Params
 
 VERSION = "0.2.0"
@@ -144,12 +144,14 @@ def _document(sample: Sample, params: Params, began: float, kept: list[DataFrame
         names = ("total_reads", "expected_distinct", "lower_ci", "upper_ci")
         doc["preseq"] = {"curve": [{k: None if v != v else v for k, v in zip(names, p, strict=True)} for p in curve] if curve else None}
         slope = float(curve[-1][1] - curve[-2][1]) / c["step"] if curve and len(curve) > 1 else None
-    if sample.classes is not None:
-        doc["gene_class_fractions"] = {r["class"]: r.asDict() for r in cohort.gene_class_fractions(fc, sample.genes, sample.classes).collect()}
-    if sample.panels is not None:
-        doc["panels"] = [r.asDict() for r in cohort.panel_totals(sample.panels, sample.genes, fc).orderBy("panel", "cell_type").collect()]
-    if sample.sites is not None:
-        doc["snp_fingerprint"] = [r.asDict() for r in cohort.snp_depths(reads, sample.sites, q).orderBy("tid", "site").collect()]
+    spark = reads.sparkSession
+    kinds_ = sample.classes if sample.classes is not None else bundled.classes(spark)
+    doc["gene_class_fractions"] = {r["class"]: r.asDict() for r in cohort.gene_class_fractions(fc, sample.genes, kinds_).collect()}
+    panels = sample.panels if sample.panels is not None else bundled.panels(spark, params["panels"])
+    doc["panels"] = [r.asDict() for r in cohort.panel_totals(panels, sample.genes, fc).orderBy("panel", "cell_type").collect()]
+    sites = sample.sites if sample.sites is not None else bundled.snps(spark, sample.contigs)
+    depths = held(cohort.snp_depths(reads, sites, q))
+    doc["snp_fingerprint"] = {**_one(cohort.snp_summary(depths)), "sites": [r.asDict() for r in depths.orderBy("tid", "site").collect()]}
     if sample.fasta is not None:
         named = reads.join(sample.contigs.select("tid", F.col("name").alias("contig")), "tid") if "contig" not in reads.columns else reads
         doc["end_motifs"] = [r.asDict() for r in fragmentomics.end_motifs(named, sample.fasta, min_mapq=q).orderBy("end", "kmer").collect()]

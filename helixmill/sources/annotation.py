@@ -91,6 +91,11 @@ def has_attribute(gtf_lines: DataFrame, key: str, rows: int = 1000) -> bool:
     return bool(head.where(attribute(F.col("value"), key).isNotNull() | F.col("value").rlike(rf'\b{key} "')).take(1))
 
 
+def contig_names(gtf_lines: DataFrame, rows: int = 1000) -> DataFrame:
+    """Name of the contigs of the first feature rows, for cohort.naming_style."""
+    return gtf_lines.where(~F.col("value").startswith("#")).limit(rows).select(F.split("value", "\t")[0].alias("name")).distinct()
+
+
 def read_panels(spark: SparkSession, *paths: str) -> DataFrame:
     """Marker panels; five fields a row, an optional header, # comments."""
     out = None

@@ -15,7 +15,7 @@ DEFAULTS: dict[str, Any] = {
     "inner_distance": {"enabled": True, "sample_size": 1_000_000, "lower_bound": -250, "upper_bound": 250, "step": 5},
     "tin": {"enabled": True, "sample_size": 100, "min_coverage": 10},
     "complexity": {"enabled": True, "seed": 408, "max_extrap": 1e10, "step": 1e6, "n_bootstraps": 100, "longest": 100_000_000, "confidence": 0.95, "max_terms": 100},
-    "read_duplication": {"enabled": True}, "min_gene_reads": 20, "stranded": None, "sample_name": None, "flat_output": False,
+    "read_duplication": {"enabled": True}, "min_gene_reads": 20, "stranded": None, "panels": None, "sample_name": None, "flat_output": False,
     "dupradar": {"dup_matrix": True, "intercept_slope": True, "density_scatter_plot": True, "boxplot": True, "expression_histogram": True, "multiqc_intercept": True, "multiqc_curve": True},
     "featurecounts": {"counts_file": True, "summary_file": True, "biotype_summary_file": True, "biotype_counts": True, "biotype_counts_mqc": True, "biotype_rrna_mqc": True, "biotype_attribute": "gene_biotype"},
     "bam_stat": {"enabled": True}, "infer_experiment": {"enabled": True, "sample_size": 200_000}, "read_distribution": {"enabled": True}, "junction_annotation": {"enabled": True, "min_intron": 50},
