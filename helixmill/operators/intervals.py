@@ -49,7 +49,7 @@ def subtract(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return merge(swept.where("ina > 0 and inb = 0 and e is not null").select(*by, "s", "e"), by)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: list[str], closed: bool = False, bin_size: int = BIN, how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], closed: bool = False, bin_size: int = BIN) -> DataFrame:
     """Pairs of left (s, e) and right (rs, re) that share a base; closed: that touch is enough.
 
     Both sides are dealt to the bins that they cross and joined on group and bin; a pair is kept in
@@ -72,10 +72,6 @@ def point_join(points: DataFrame, right: DataFrame, by: list[str], strict: bool
     return points.withColumn("__bin", F.floor(F.col("p") / bin_size)).join(rb, [*by, "__bin"]).where(inside).drop("__bin")
 
 
-def overlap(s: Column, e: Column, rs: Column, re: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(e, re) - F.greatest(s, rs))
-
-
 def shelf(targets: DataFrame, by: list[str], columns: list[str], closed: bool = False, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """by, level, bin, and near: the targets (rs, re, columns) that touch each bin of each level. It is marked for broadcast if it has few entries."""
     last = F.col("re") if closed else F.greatest(F.col("re") - 1, F.col("rs"))

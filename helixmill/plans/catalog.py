@@ -258,6 +258,39 @@ def biotype_counts(spark, d):
     return counting.biotype_counts(counting.biotype_status(t.reads, t.exons))
 
 
+@query(
+    "a05_without_biotypes",
+    oracle(
+        " SELECT k AS biotype, count(*) AS n FROM (SELECT rec_ord, min(k) AS k FROM (SELECT DISTINCT hits.rec_ord, CASE WHEN gene_ord % 4 = 0 THEN 'gene:' || gene_id ELSE biotype END AS k FROM hits JOIN genes USING (gene_id)) JOIN (SELECT rec_ord FROM reads WHERE flag & 2564 = 0 AND nh <= 1) USING (rec_ord) GROUP BY rec_ord HAVING count(*) = 1) WHERE k NOT LIKE 'gene:%' GROUP BY k",
+        HITS,
+        blocks=True,
+    ),
+)
+def without_biotypes(spark, d):
+    """A quarter of the genes has no biotype: each is a feature of its own."""
+    t = Tables(spark, d)
+    exons = t.exons.withColumn("biotype", F.when(F.col("gene_ord") % 4 != 0, F.col("biotype")))
+    return counting.biotype_counts(counting.biotype_status(t.reads, exons))
+
+
+@query("p19_p20_guards", oracle(" SELECT 'duplicates' AS guard, CASE WHEN count(*) FILTER (flag & 1024 > 0) > 0 THEN 'passes' ELSE 'stops' END AS told FROM reads UNION ALL SELECT 'no duplicates', 'stops' UNION ALL SELECT 'contigs', 'passes' UNION ALL SELECT 'other contigs', 'stops'"))
+def guards(spark, d):
+    t = Tables(spark, d)
+    far = t.exons.withColumn("tid", F.col("tid") + 100)
+
+    def told(check, *args) -> str:
+        try:
+            check(*args)
+        except ValueError:
+            return "stops"
+        return "passes"
+
+    counts = lambda exons: counting.gene_counts(counting.fragments(t.reads, exons))
+    rows = [("duplicates", told(counting.check_duplicates_marked, t.reads)), ("no duplicates", told(counting.check_duplicates_marked, t.reads.where(F.col("flag").bitwiseAND(1024) == 0)))]
+    rows += [("contigs", told(counting.check_contigs, t.reads, counts(t.exons))), ("other contigs", told(counting.check_contigs, t.reads, counts(far)))]
+    return spark.createDataFrame(rows, "guard string, told string")
+
+
 @query(
     "a06_flagstat",
     oracle(
@@ -290,6 +323,13 @@ def idxstats(spark, d):
     return readstats.idxstats(t.reads, t.contigs)
 
 
+@query("a08_unplaced", oracle(" SELECT c.tid, name, length, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 > 0) AS unmapped FROM contigs c LEFT JOIN (SELECT * FROM reads WHERE flag & 4 = 0 OR rec_ord % 2 = 0) r ON c.tid = r.tid GROUP BY c.tid, name, length UNION ALL SELECT -1, '*', 0, 0, count(*) FROM reads WHERE flag & 4 > 0 AND rec_ord % 2 = 1"))
+def unplaced(spark, d):
+    """Half of the unmapped records have no place."""
+    t = Tables(spark, d)
+    return readstats.idxstats(t.reads.withColumn("tid", F.when((F.col("flag").bitwiseAND(4) == 0) | (F.col("rec_ord") % 2 == 0), F.col("tid"))), t.contigs)
+
+
 @query(
     "a09_summary",
     oracle(
@@ -577,6 +617,34 @@ def complexity_table(spark, d):
     return complexity.frequency_table(complexity.fragment_keys(Tables(spark, d).reads))
 
 
+@query(
+    "m03_interpolation",
+    oracle(
+        """, tn AS (SELECT sum(j * n_j) AS total, sum(n_j) AS dist FROM fq), tg AS (SELECT k, total * k / 8 AS target FROM tn, (SELECT unnest(range(1, 8)) AS k)),
+  ts AS (SELECT k, dist, list(CASE WHEN total - j >= target THEN n_j * exp(lgamma(total - j + 1) - lgamma(total - j - target + 1) - (lgamma(total + 1) - lgamma(total - target + 1))) ELSE 0 END ORDER BY j) AS terms FROM fq, tn, tg GROUP BY k, dist)
+  SELECT CAST(k AS BIGINT) AS eighth, CAST(dist - list_reduce(list_concat([0.0::DOUBLE], terms), lambda a, x: floor(a + x)) AS BIGINT) AS distinct_reads FROM ts""",
+        FREQUENCIES,
+    ),
+)
+def interpolation(spark, d):
+    """Expected distinct fragments at eighths of the depth."""
+    hist = {r.j: r.n_j for r in complexity_table(spark, d).collect()}  # one row for each frequency
+    total, distinct = sum(j * n for j, n in hist.items()), sum(hist.values())
+    return spark.createDataFrame([(k, int(complexity.interpolate(hist, total, distinct, total * k / 8))) for k in range(1, 8)], "eighth long, distinct_reads long")
+
+
+@query("f27_number_text", oracle(" SELECT gene_id, CASE WHEN au > 0 THEN printf('%.15g', (au - fu) / au) ELSE 'NA' END AS dup_rate, printf('%.15g', au * 1000.0 / gene_length) AS rpk FROM dm", FRAGMENTS, MATRIX, blocks=True))
+def number_text(spark, d):
+    """numbers as the duplication matrix writes them."""
+    from ..functions.numbers import sig15
+
+    def shown(batches):
+        for b in batches:
+            yield b.assign(dup_rate=[sig15(v) for v in b.dup_rate], rpk=[sig15(v) for v in b.rpk])
+
+    return _matrix(Tables(spark, d)).select("gene_id", "dup_rate", "rpk").mapInPandas(shown, "gene_id string, dup_rate string, rpk string")
+
+
 @query("m06_complexity_curve")
 def complexity_curve(spark, d):
     hist = {r.j: r.n_j for r in complexity_table(spark, d).collect()}  # one row for each frequency
@@ -767,6 +835,18 @@ def soft_clips(spark, d):
     return fragmentomics.soft_clips(Tables(spark, d).reads)
 
 
+SHORT = "sq AS (SELECT CASE WHEN (ln = 3) = (flag & 16 = 0) THEN '5p' ELSE '3p' END AS ed, CASE rec_ord % 3 WHEN 0 THEN 'len_1' WHEN 1 THEN 'len_2' ELSE 'len_3plus' END AS clip_bin, CASE WHEN flag & 16 > 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS q FROM reads WHERE flag & 3844 = 0 AND mapq >= 30 AND ln IN (3, 7))"
+
+
+@query("a30_short_clips", oracle(' SELECT ed AS "end", clip_bin, CASE WHEN ed = \'5p\' THEN substr(q, 1, 4) ELSE substr(q, 47, 4) END AS kmer, count(*) AS n FROM sq GROUP BY ALL', SHORT))
+def short_clips(spark, d):
+    """Clips of one, two and more bases."""
+    reads = Tables(spark, d).reads
+    n = F.when(F.col("rec_ord") % 3 == 0, "1").when(F.col("rec_ord") % 3 == 1, "2").otherwise("5")
+    cut = F.when(F.col("ln") == 3, F.concat(n, F.lit("S45M"))).when(F.col("ln") == 7, F.concat(F.lit("45M"), n, F.lit("S"))).otherwise(F.col("cigar"))
+    return fragmentomics.soft_clips(reads.withColumn("cigar", cut))
+
+
 @query("a30_clip_rates", oracle(" SELECT round(count(*) FILTER (ln IN (3, 7) AND (ln = 3) = (flag & 16 = 0)) / count(*), 6) AS rate_5p, round(count(*) FILTER (ln IN (3, 7) AND (ln = 3) <> (flag & 16 = 0)) / count(*), 6) AS rate_3p, count(*) AS n FROM reads WHERE flag & 3844 = 0 AND mapq >= 30"))
 def clip_rates(spark, d):
     return _round(fragmentomics.clip_rates(Tables(spark, d).reads))
@@ -1069,6 +1149,28 @@ def gtf_text(spark, d):
     return genes.join(tx.select("gene_id", "tx_id", "cds_s", "cds_e"), "gene_id").join(count, "gene_id").select("gene_id", place.alias("place"), "contig", "strand", "s", "e", "gene_name", "gene_biotype", "tx_id", "cds_s", "cds_e", "n_exons")
 
 
+@query("s08_gzip_gtf", oracle(" SELECT 'exon' AS feature, count(*) AS n, count(DISTINCT gene_id) AS genes FROM exons UNION ALL SELECT 'CDS', count(*), count(*) FROM genes WHERE gene_ord % 3 <> 0 UNION ALL SELECT unnest(['start_codon', 'stop_codon']), count(*), count(*) FROM genes WHERE gene_ord % 2 = 0"))
+def gzip_gtf(spark, d):
+    """The same from compressed text."""
+    from ..sources import annotation
+
+    rows = annotation.read_gtf(spark, views.as_text(_gtf(Tables(spark, d)), "o", packed=True))
+    return rows.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("gene_id").alias("genes"))
+
+
+@query("s02_one_contig", oracle(" SELECT count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, count(*) FILTER (flag & 1024 > 0) AS duplicates FROM reads WHERE tid = 2"))
+def one_contig(spark, d):
+    """One contig of the table saved by contig: only its folder is read."""
+    from ..sources import alignments
+
+    t = Tables(spark, d)
+    path = views.new_path(spark)
+    if path is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    alignments.save(t.reads.select("rec_ord", "flag", "pos", F.concat(F.lit("chr"), (F.col("tid") + 1).cast("string")).alias("contig")), path)
+    return spark.read.parquet(path).where("contig = 'chr3'").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.count_if(F.col("flag").bitwiseAND(1024) > 0).alias("duplicates"))
+
+
 @query("s09_fasta", oracle(f" SELECT contig, CAST(k AS BIGINT) AS chunk_no, md5(seq) AS seq_md5, CAST(len(seq) AS BIGINT) AS n FROM (SELECT contig, k, substr(string_agg({_PIECE.format(k='(k * 32 + j)')}, '' ORDER BY j), 1, CASE WHEN k = 9 THEN 1000 ELSE 1027 END) AS seq FROM (SELECT name AS contig, name AS c, k, j FROM contigs, (SELECT unnest(range(10)) AS k), (SELECT unnest(range(33)) AS j) WHERE tid < 4) GROUP BY contig, k)"))
 def fasta_text(spark, d):
     """Chunks of a reference of 10216 bases a contig, from lines of 60 bases."""

@@ -94,12 +94,12 @@ def new_path(spark: SparkSession) -> str | None:
     return path
 
 
-def as_text(lines: DataFrame, order: str) -> str:
+def as_text(lines: DataFrame, order: str, packed: bool = False) -> str:
     """lines (value and an order) as one text file; its folder."""
     path = new_path(lines.sparkSession)
     if path is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    lines.orderBy(order).select("value").coalesce(1).write.text(path)
+    lines.orderBy(order).select("value").coalesce(1).write.option("compression", "gzip" if packed else "none").text(path)
     return path
 
 
