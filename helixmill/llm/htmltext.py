@@ -52,6 +52,9 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - {"option", "select", "button", "html", "head", "body", "tbody", "thead", "tfoot", "tr", "caption", "legend", "summary"}
 # Fixed values of HTML: elements that an element of the same kind closes, and those that shield them.
 CLOSED = [(frozenset(["p"]), frozenset("div article section td li body".split())), (frozenset(["li"]), frozenset("ul ol menu".split())), (frozenset("dt dd".split()), frozenset(["dl"])), (frozenset(["tr"]), frozenset("table tbody thead tfoot".split())), (frozenset(["option"]), frozenset(["select"]))]
+#: For each tag, which places of Node.nearest it takes (True) or shields, and which elements it closes.
+_NEAR = {tag: [(k, tag in same) for k, (same, shields) in enumerate(CLOSED) if tag in same | shields] for tag in frozenset().union(*(a | b for a, b in CLOSED))}
+_CLOSES = {tag: [k for k, (same, _) in enumerate(CLOSED) if (tag in CLOSES_P if k == 0 else tag in same)] for tag in BLOCK}
 # Tags that are never content, and words of role, id and class that say so.
 DROP_TAGS = frozenset("nav footer aside form head button select option dialog menu fieldset label".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status".split())
@@ -155,7 +158,12 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
 
     def push(tag: str, said: int, root: int, classes: str) -> None:
         top, k = stack[-1], len(stack)
-        nearest = tuple(k if tag in same else 0 if tag in shields else n for (same, shields), n in zip(CLOSED, top.nearest, strict=True))
+        nearest = top.nearest
+        if tag in _NEAR:
+            places = list(nearest)
+            for at, own in _NEAR[tag]:
+                places[at] = k if own else 0
+            nearest = tuple(places)
         level = max(top.level, root)
         stack.append(Node(tag, said, root if root > top.level else 0, level, classes, len(blocks), nearest))
         opened[tag] = opened.get(tag, 0) + 1
@@ -264,10 +272,9 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
                 mark, depth = (tag, len(buffer)), 1
             continue
         flush()
-        for k, (same, _) in enumerate(CLOSED):
-            if (tag in CLOSES_P if k == 0 else tag in same) and stack[-1].nearest[k]:
-                while len(stack) > stack[-1].nearest[k] > 0:
-                    close()
+        for k in _CLOSES[tag]:
+            while len(stack) > stack[-1].nearest[k] > 0:
+                close()
         if tag in VOID:
             continue
         said, main, classes = says(tag, m[3], stack[-1].level > 0)
