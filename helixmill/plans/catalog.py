@@ -516,7 +516,7 @@ def duplication_by_sequence(spark, d):
 @query("a20_read_distribution")
 def read_distribution(spark, d):
     t = Tables(spark, d)
-    sets = rseqc.regions(t.transcripts, t.tx_exons)
+    sets = rseqc.regions(t.transcripts, t.tx_exons).persist()  # of the annotation's size; looked up, and measured
     return _round(rseqc.region_report(rseqc.region_tags(t.reads, sets), sets))
 
 

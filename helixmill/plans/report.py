@@ -95,7 +95,7 @@ def _document(sample: Sample, params: Params, began: float, kept: list[DataFrame
     sizes = _one(readstats.bulk(readstats.insert_sizes(reads)))
     known = rseqc.known_introns(sample.tx_exons)
     found = rseqc.junctions(events, known, params["min_intron"])
-    sets = rseqc.regions(sample.transcripts, sample.tx_exons)
+    sets = held(rseqc.regions(sample.transcripts, sample.tx_exons))
     regions = rseqc.region_report(rseqc.region_tags(reads, sets), sets).collect()
     hist = fragmentomics.fragment_lengths(reads, q)
     lengths_row = _one(fragmentomics.fragment_summary(hist)) if paired else {}

@@ -31,12 +31,6 @@ def write_dup_matrix(matrix: DataFrame, path: str) -> None:
     write_table([list(r) for r in matrix.orderBy("gene_ord").select(*DUP_COLUMNS).collect()], path, DUP_HEADER)
 
 
-def write_counts(genes: DataFrame, counts: DataFrame, path: str, sample: str) -> None:
-    """Reads of each gene, in annotation order."""
-    rows = genes.join(counts, "gene_id", "left").fillna(0, subset=["fc_reads"]).orderBy("gene_ord").select("gene_id", "fc_reads").collect()
-    write_table([list(r) for r in rows], path, ["Geneid", sample])
-
-
 def write_status(status: DataFrame, path: str, sample: str) -> None:
     """The assignment summary."""
     name = lambda s: s if s == "Assigned" else f"Unassigned_{s}"

@@ -38,6 +38,34 @@ def test_interval_algebra(spark, seed):
         assert got == sorted((t, p, u, v) for t in (0, 1) for p in range(70) for t2, u, v in b if t == t2 and (u < p < v if strict else u <= p < v))
 
 
+@pytest.mark.parametrize("entries", [1_000_000, 0])
+def test_lookups_beside_rows_at_all_scales(spark, monkeypatch, entries):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(intervals, "BROADCAST_ENTRIES", entries)
+    rng = random.Random(entries)
+    span = lambda top: ((a := rng.randrange(top)), a + int(10 ** rng.uniform(0, 6.5)))
+    targets = [(rng.randrange(2), *span(3_000_000), f"t{k}") for k in range(120)]
+    rows = [(k, rng.randrange(3), *span(3_000_000)) for k in range(150)] + [(999, 0, None, None)]
+    t, r = spark.createDataFrame(targets, "tid int, rs long, re long, name string"), spark.createDataFrame(rows, "k int, tid int, s long, e long")
+    for closed in (False, True):
+        near = intervals.beside(r, F.col("s"), F.col("e") if closed else F.col("e") - 1, t, ["tid"], ["name"], closed)
+        touch = lambda x: (F.col("s") <= x.re) & (x.rs <= F.col("e")) if closed else (F.col("s") < x.re) & (x.rs < F.col("e"))  # noqa: B023, E731
+        got = {x.k: sorted(x.names) for x in near.select("k", F.transform(F.filter("near", touch), lambda x: x["name"]).alias("names")).collect()}
+        hit = lambda s, e, a, b: (s <= b and a <= e) if closed else (s < b and a < e)  # noqa: B023, E731
+        assert got == {k: sorted(n for u, a, b, n in targets if s is not None and u == tid and hit(s, e, a, b)) for k, tid, s, e in rows}
+
+
+def test_first_records_and_duplication_boxes(spark):
+    reads = spark.createDataFrame([((k * 7919) % 5000 * 2**12,) for k in range(5000)], "rec_ord long")
+    order = sorted(r.rec_ord for r in reads.collect())
+    for most in (1, 700, 4999, 5000, 9000):
+        assert sorted(r.rec_ord for r in rseqc.first_records(reads, most).collect()) == order[:most]
+    few = spark.createDataFrame([(float(k), k / 40 if k else None) for k in range(40)], "rpk double, dup_rate double")
+    boxes = {r.bin: r for r in counting.dup_boxes(few).collect()}
+    assert sum(b.genes for b in boxes.values()) == 40 and len(boxes) == 20 and boxes[0].rated == boxes[0].genes - 1
+
+
 # Genes of a small annotation (1-based, inclusive exons), their reads and duplicates, and the known matrix.
 GENES = {
     "GENE_HIGH": ("chr1", "+", [(1000, 1500), (2000, 2500), (3000, 3800)], 200, 160), "GENE_MED": ("chr1", "+", [(5000, 5600), (6000, 6500)], 50, 40), "GENE_LOW": ("chr1", "-", [(8000, 8500)], 10, 5),
