@@ -100,11 +100,6 @@ class Crf:
         return sums + np.array([self.lexicon.get(w, none) for w in words])
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
-
-
 def posteriors(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray, want_pairs: bool = False, want_before: bool = False):
     """Forward-backward over consecutive chains of `sizes` words: each word's label probabilities.
 
