@@ -252,9 +252,42 @@ def write_envelope(document: dict, path: str) -> None:
     Path(path).write_text(json.dumps(clean(document), indent=2) + "\n")
 
 
-def write_per_gene(table: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """One file with key-value metadata, 10,000 rows a group; batches pass through the driver one at a time."""
-    ordered = table.orderBy("gene_ord")
+# The columns of the per-gene file, in order, and the kinds of those that have others here.
+GENE_COLUMNS = (
+    "gene_id gene_symbol chrom gene_start gene_end strand effective_length biotype fragment_count_assigned primary_reads primary_reads_unique primary_reads_unique_nodup primary_reads_multi fc_reads "
+    "tlen_bin_lt_50 tlen_bin_50_80 tlen_bin_80_120 tlen_bin_120_160 tlen_bin_160_200 tlen_bin_200_300 tlen_bin_300_500 tlen_bin_gt_500 tlen_overflow tlen_count tlen_mean tlen_median_approx tlen_min tlen_max "
+    "em_pair_count_used em_pair_count_skipped_non_acgt em_pair_count_skipped_oob em_5p em_3p em_shannon_5p em_shannon_3p em_jsd_5p_3p decile_coverage soft_clip_rate_5p soft_clip_rate_3p primary_reads_with_5p_clip primary_reads_with_3p_clip "
+    "exon_aligned_bp intron_aligned_bp cds_aligned_bp utr_aligned_bp cds_utr_ratio intron_retention_rate"
+).split()
+GENE_KINDS = {"em_5p": "map<string,bigint>", "em_3p": "map<string,bigint>", "em_shannon_5p": "double", "em_shannon_3p": "double", "em_jsd_5p_3p": "double", "biotype": "string", "gene_symbol": "string"}
+
+
+def gene_layout(table: DataFrame, contigs: DataFrame) -> DataFrame:
+    """The per-gene table in the file's columns, after gene_ord; places count from 1. What the table lacks (motifs without a reference) is null, or 0 for counts."""
+    named = table.join(F.broadcast(contigs.select("tid", F.col("name").alias("chrom"))), "tid", "left")  # a row for each contig
+    own = {"gene_symbol": F.col("symbol") if "symbol" in table.columns else None, "gene_start": F.col("s") + 1, "gene_end": F.col("e")}
+
+    def column(name: str) -> Column:
+        known = own.get(name)
+        if known is None and name in named.columns:
+            known = F.col(name)
+        if known is None:
+            known = F.lit(0).cast("long") if name.startswith("em_pair") else F.lit(None).cast(GENE_KINDS[name])
+        return known.alias(name)
+
+    return named.select("gene_ord", *map(column, GENE_COLUMNS))
+
+
+def gene_metadata(document: dict, min_reads: int, n_genes: int, n_rows: int) -> dict[str, str]:
+    """The file's notes, from the sample's document."""
+    told = {"sample_id": document["sample_id"], "extractor_version": document["extractor_version"], "git_commit": document["git_commit"], "per_gene_schema_version": document["schema_version"], "bam_md5": document["bam_md5"], "gtf_md5": document["gtf_md5"], "library_prep": document["library_prep"], "min_gene_reads_threshold": min_reads, "n_genes_total": n_genes, "n_genes_emitted": n_rows, "paired_end": str(document["paired_end"]).lower(), "strandedness": document["strandedness"]}
+    return {f"helixmill.{k}": str(v) for k, v in told.items()}
+
+
+def write_per_gene(table: DataFrame, path: str, metadata: dict[str, str], contigs: DataFrame | None = None) -> None:
+    """One file with key-value metadata, 10,000 rows a group, with contigs in the file's layout; batches pass through the driver one at a time."""
+    ordered = (table if contigs is None else gene_layout(table, contigs)).orderBy("gene_ord")
+    ordered = ordered if contigs is None else ordered.drop("gene_ord")
     writer = None
     try:
         names, part = ordered.columns, []

@@ -215,3 +215,39 @@ def test_complexity_report_has_all_points_and_bounds():
     coefficients, degree = complexity.choose_degree(hist)
     ts = [0.05, 1.0, 99.0, 1e6]
     assert np.allclose(complexity.evaluate_all(coefficients, np.array(ts), degree), [complexity.evaluate(coefficients, t, degree) for t in ts])
+
+
+def test_the_first_good_degree_is_taken():
+    found = []
+    for share in (0.3, 0.5, 0.6, 0.7, 0.8):
+        for top in (9, 14, 25, 40):
+            hist = {j: max(1, int(1e6 * share**j)) for j in range(1, top)}
+            got = complexity.choose_degree(hist)
+            terms = (top - 1) - (top - 1) % 2
+            c = complexity.continued_fraction([(-1) ** j * float(hist[j + 1]) for j in range(terms)])
+            grid = [0.05 * k for k in range(1, 2001)]
+            good = [d for d in range(8, terms + 1, 2) if complexity.good_curve([0.0, *(t * complexity.evaluate(c, t, d) for t in grid)])]
+            assert (got and got[1]) == (good[0] if good else None), (share, top)
+            found += good[1:2]
+    assert found  # some have several, and the first counts
+    assert complexity.choose_degree({1: 100, 2: 10}) is None and not complexity.good_curve([0.0, 1.0, 2.5]) and not complexity.good_curve([0.0, -1.0])
+
+
+def test_hash_places_and_name_bridges(spark):
+    from pyspark.sql import functions as F
+
+    from helixmill.operators import qualimap
+
+    def place(name, size):
+        h = 0
+        for b in name.encode():
+            h = (31 * h + b) & 0xFFFFFFFF
+        return (h ^ (h >> 16)) & (size - 1)
+
+    names = ["abc", "ENSG00000223972", "", "gène", "G17"]
+    df = spark.createDataFrame([(n, s) for n in names for s in (16, 64, 1 << 17)], "n string, s long")
+    assert all(r.p == place(r.n, r.s) for r in df.withColumn("p", qualimap.hash_place(F.col("n"), F.col("s"))).collect())
+    sizes = spark.createDataFrame([(n,) for n in (0, 12, 13, 24, 25, 100_000)], "n long")
+    assert {r.n: r.s for r in sizes.withColumn("s", qualimap.table_size(F.col("n"))).collect()} == {0: 16, 12: 16, 13: 32, 24: 32, 25: 64, 100_000: 1 << 18}
+    assert [cohort.name_bridge(*x) for x in (("no_chr", "chr"), ("chr", "no_chr"), ("chr", "chr"), ("no_chr", "chr", True))] == ["add_chr", "unsupported", "none", "none"]
+    assert rseqc.strandedness_mismatch("forward", "reverse") == "forward" and rseqc.strandedness_mismatch("undetermined", "reverse") is None

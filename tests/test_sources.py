@@ -194,6 +194,12 @@ def test_whole_report(sample, tmp_path):
 
     back = pq.read_table(tmp_path / "g.parquet")
     assert back.num_rows == table.count() > 0 and back.schema.metadata[b"sample_id"] == b"s1"
+    notes = sinks.gene_metadata(doc, 1, sample.genes.count(), back.num_rows)
+    sinks.write_per_gene(table, str(tmp_path / "h.parquet"), notes, sample.contigs)
+    laid = pq.read_table(tmp_path / "h.parquet")
+    assert laid.column_names == sinks.GENE_COLUMNS and len(laid.column_names) == 47 and laid.num_rows == back.num_rows
+    assert laid["gene_start"].to_pylist() == [s + 1 for s in back["s"].to_pylist()] and set(laid["chrom"].to_pylist()) <= {"chr1", "chr2", "chr3", "chr4", "chr5"} and laid["em_5p"].null_count == laid.num_rows
+    assert len(notes) == 12 and laid.schema.metadata[b"helixmill.n_genes_emitted"] == str(back.num_rows).encode()
     with pytest.raises(ValueError):
         report.run(sample, config.Params.of())
 
