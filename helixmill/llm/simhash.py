@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 # They change no result: texts sampled for common shingles, how many of those are kept, the longest list of texts that meet pair by pair at once and the most rounds before, and ids broadcast.
 SAMPLE, COMMON, LONG_LIST, ROUNDS, BROADCAST_ROWS = 10_000, 200_000, 20, 4, 500_000
 #: How many shingles of their prefixes two texts must share to be compared, and the ratio of the set sizes that one bucket holds. They change no result.
-SHARED, BUCKET = 8, 1.1
+SHARED, BUCKET = 8, 1.25
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -182,9 +182,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def shingled(rows: DataFrame, width: int, common: np.ndarray | None = None) -> DataFrame:
-    """rows (the last column is the text) with, in place of the text, its fingerprint fp, the number n of its distinct shingles, and hs: their hashes, or with `common` the prefix of these."""
+    """rows (the last column is the text) with, in place of the text, its fingerprint fp, the number n of its distinct shingles, and hs: their hashes, or with `common` the prefix of these, and z: their sketch."""
     names = rows.columns[:-1]
-    made = [T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), T.StructField("hs", T.ArrayType(T.LongType(), False), False)]
+    made = [T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), *[T.StructField(c, T.ArrayType(T.LongType(), False), False) for c in (["hs"] if common is None else ["hs", "z"])]]
     small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(common)  # at most COMMON longs
 
@@ -198,12 +198,27 @@ def shingled(rows: DataFrame, width: int, common: np.ndarray | None = None) -> D
                 sets = [np.unique(h).view(np.int64) for h in hashes]
                 sizes = pa.array([len(s) for s in sets], pa.int32())
                 kept = sets if late is None else [prefix_of(s, late) for s in sets]
-                hs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32)), pa.array(np.concatenate(kept)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fp), sizes, hs], names=[*names, "fp", "n", "hs"])
+                lists = {"hs": kept} | ({} if late is None else {"z": [sketch_of(s) for s in sets]})
+                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in lists.values()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fp), sizes, *arrays], names=[*names, "fp", "n", *lists])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made]))
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """A bit for each class of hashes, set if the set has an odd number of that class; as many classes as the next power of two from the set's size, 64 at least."""
+    classes = max(64, 1 << max(0, len(s) - 1).bit_length())
+    odd = (np.bincount(s & (classes - 1), minlength=classes) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def apart(x: str, y: str) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the other's length: never more than the shingles that only one of the sets has."""
+    width = F.least(F.size(x), F.size(y))
+    folded = lambda z: F.when(F.size(z) <= width, F.col(z)).otherwise(F.zip_with(F.slice(z, F.lit(1), width), F.slice(z, width + 1, width), lambda a, b: a.bitwiseXOR(b)))
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits)
+
+
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """Hashes of shingles that many texts (id, text) have, by a sample. They only order the prefixes; no result depends on them."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
@@ -252,10 +267,10 @@ def meetings(rows: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
     Two sets that first share a shingle at place p of n and q of m share at most the n - p + 1 and
     m - q + 1 from there, and need four ninths of n + m. So a larger set asks only for the sizes that
     leave it enough, in buckets of sizes: texts that have no more than a common passage in common
-    never meet, however many have it.
+    never meet, however many have it. `rows` and `others` may have sketches z.
     """
     bucket = lambda n: F.floor(F.log(n.cast("double")) / math.log(BUCKET)).cast("int")
-    index = others.select("h", bucket(F.col("n")).alias("bucket"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"))
+    index = others.select("h", bucket(F.col("n")).alias("bucket"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), *([F.col("z").alias("y")] if "z" in others.columns else []))
     top = F.least(F.col("n"), F.floor(9 * (F.col("n") - F.col("pos") + 1) / 4).cast("int") - F.col("n"))
     asks = rows.withColumn("top", top).where(F.col("top") >= whole(F.col("n"))).withColumn("bucket", F.explode(F.sequence(bucket(whole(F.col("n"))), bucket(F.col("top")))))
     return asks, index
@@ -264,9 +279,11 @@ def meetings(rows: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """known (id and its group c) after all texts of Jaccard similarity 0.8 or more over their shingle sets are linked.
 
-    nodes has id, its smallest doc_id, n and hs (the prefix) of each text; rows doc_id, id, text.
+    nodes has id, its smallest doc_id, n, hs (the prefix) and z (the sketch) of each text; rows doc_id, id, text.
     Two such sets share SHARED shingles of their prefixes (or, if they are smaller, four fifths of
-    their shingles), so each pair is found, and the whole sets verify it. Pairs of one group need no
+    their shingles), so each pair is found, and the whole sets verify it. Only one of two such sets
+    has at most a ninth of n + m shingles, so texts whose sketches differ in more bits make no pair
+    where they meet: copies of one text that are too far from each other are many. Pairs of one group need no
     link. Where pair by pair would be much work, all texts first meet one text of each list: the one
     that has fewest shingles of its own before it, as the text has from which the others were copied,
     or in later rounds any. So a group of near copies becomes one without all its pairs.
@@ -275,6 +292,8 @@ def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int
     # the larger set asks; of equal sizes the larger id does
     enough = (4 * (F.col("n") + F.col("m")) <= 9 * (F.col("n") - F.col("pos") + 1)) & (4 * (F.col("n") + F.col("m")) <= 9 * (F.col("m") - F.col("q") + 1))
     meet = (F.col("c") != F.col("d")) & enough & (5 * F.col("m") >= 4 * F.col("n"))
+    close = 9 * apart("z", "y") <= F.col("n") + F.col("m")
+    sketches = nodes.select("id", "z")
     larger = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") > F.col("other")))
 
     def spread(groups: DataFrame) -> DataFrame:
@@ -304,15 +323,20 @@ def with_similar(known: DataFrame, nodes: DataFrame, rows: DataFrame, width: int
             break
         order = F.struct((F.col("pos") / F.col("n")).alias("own"), F.xxhash64("id").alias("at")) if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("at"))
         first = now.groupBy("h").agg(F.min_by(F.struct("id", "n", "pos", "c"), order).alias("p"))
-        met = now.join(first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("q"), F.col("p.c").alias("d")), "h")
-        known = joined_groups(known, verified(met.where((F.col("c") != F.col("d")) & enough)))
+        others = first.select("h", F.col("p.id").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("q"), F.col("p.c").alias("d"))
+        met = now.join(others, "h").where((F.col("c") != F.col("d")) & enough & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
+        met = saved(met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct())
+        x, y = nodes.select("id", "n", "z"), nodes.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("z").alias("y"))
+        known = joined_groups(known, verified(met.join(x, "id").join(y, "other").where(close)))
+        forget(met)
         before, now = now, spread(known)
         forget(before)
         last, left = left, now.count()
         if left > 0.95 * last:  # another round would join little more
             break
-    asks, index = meetings(now, now)
-    on = (asks.h == index.h) & (asks.bucket == index.bucket) & meet & larger
+    drawn = now.join(sketches, "id")
+    asks, index = meetings(drawn, drawn)
+    on = (asks.h == index.h) & (asks.bucket == index.bucket) & meet & larger & close
     return joined_groups(known, verified(asks.join(index, on).select("id", "other")))
 
 
@@ -325,7 +349,7 @@ def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("id"), text.alias("text"))
     made = saved(shingled(rows, width, common_shingles(rows.select("id", "text"), width)))
-    nodes = saved(made.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("hs").alias("hs")))
+    nodes = saved(made.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("hs").alias("hs"), F.first("z").alias("z")))
     roots = components(links(nodes.select("fp").distinct(), max_bits))
     known = saved(nodes.join(roots, nodes.fp == roots.node, "left").select("id", F.coalesce("root", "fp").alias("c")))
     groups = made.select("doc_id", "id").join(with_similar(known, nodes, rows, width), "id")

@@ -145,3 +145,40 @@ def test_each_group_keeps_a_row_though_an_id_has_two_texts(spark):
     rows = [(3, a), (5, a), (3, a), (5, b), (7, b)]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(3, a), (5, b)]
+
+
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(0, 700))
+        a = np.unique(rng.integers(-(2**63), 2**63, n))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(-(2**63), 2**63, int(rng.integers(0, 60)))]))
+        x, y = (simhash.sketch_of(s).view(np.uint64) for s in (a, b))
+        while len(x) != len(y):
+            x, y = (z.reshape(2, -1)[0] ^ z.reshape(2, -1)[1] if len(z) > min(len(x), len(y)) else z for z in (x, y))
+        assert sum(int(p).bit_count() for p in x ^ y) <= len(np.setxor1d(a, b))
+
+
+def test_far_copies_of_one_text_make_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in range(300)]
+    rows = []
+    for k in range(60):  # pairs of copies are at a similarity of some 0.5
+        copy = list(base)
+        for at in rng.choice(300, 12, replace=False):
+            copy[at] = f"n{rng.integers(1 << 40)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(100 + k, t + " tail") for k, t in rows[:5]]
+    made = []
+    keep = simhash.saved
+
+    def counted(df):
+        table = keep(df)
+        made.append((table.columns, table.count()))
+        return table
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == list(range(60))
+    pairs = [n for columns, n in made if columns == ["a", "b"]]
+    assert max(pairs) < 100  # of 1770 that share shingles
