@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, flags
-from ..functions.numbers import log_choose
 
 
 def fragment_keys(reads: DataFrame, longest: int = 100_000_000) -> DataFrame:
@@ -30,11 +29,11 @@ def frequency_table(fragments: DataFrame) -> DataFrame:
 
 
 def interpolate(hist: dict[int, int], total: int, distinct: int, target: float) -> float:
-    """Expected distinct among `target` fragments; the running sum is cut to a whole number at each step."""
+    """Expected distinct among `target` fragments; the running sum is cut to a whole number at each step. The ratio of binomials is a product of j factors: differences of large log-gammas lose the digits that decide the cut."""
     acc = 0
     for j, n in sorted(hist.items()):
         if total - j >= target:
-            acc = int(acc + n * math.exp(log_choose(total - j, target) - log_choose(total, target)))
+            acc = int(acc + n * math.prod((total - target - i) / (total - i) for i in range(j)))
     return distinct - acc
 
 

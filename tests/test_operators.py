@@ -251,3 +251,10 @@ def test_hash_places_and_name_bridges(spark):
     assert {r.n: r.s for r in sizes.withColumn("s", qualimap.table_size(F.col("n"))).collect()} == {0: 16, 12: 16, 13: 32, 24: 32, 25: 64, 100_000: 1 << 18}
     assert [cohort.name_bridge(*x) for x in (("no_chr", "chr"), ("chr", "no_chr"), ("chr", "chr"), ("no_chr", "chr", True))] == ["add_chr", "unsupported", "none", "none"]
     assert rseqc.strandedness_mismatch("forward", "reverse") == "forward" and rseqc.strandedness_mismatch("undetermined", "reverse") is None
+
+
+def test_interpolation_of_large_tables_is_exact():
+    hist = {3: 774279, 6: 12834, 5: 57925, 9: 144, 1: 13553623, 7: 3143, 8: 678, 2: 2543966, 10: 17, 4: 221587}
+    total, distinct = sum(j * n for j, n in hist.items()), sum(hist.values())
+    got = [complexity.interpolate(hist, total, distinct, total * k / 8) for k in range(1, 8)]
+    assert got == [2675475, 5158715, 7474181, 9642725, 11682164, 13607772, 15432678]  # by fractions
